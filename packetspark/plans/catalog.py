@@ -205,3 +205,248 @@ QUERIES = {
     "class_weights": q_class_weights,
     "stratified_folds": q_stratified_folds,
 }
+
+
+# ---------------------------------------------------------------- evaluation
+
+def metric_base(spark, sf) -> DataFrame:
+    """Label, a deterministic prediction and a score with many ties, derived
+    from ``event_id`` in both engines."""
+    p = read_packets(spark, sf)
+    eid = F.col("event_id")
+    pred = F.when(eid % 7 == 0, (F.col("target") + 1) % 6).otherwise(F.col("target"))
+    score = (-((eid * 7919) % 1000)).cast("double") / F.lit(1000.0)
+    return p.select("event_id", F.col("target").alias("label"), pred.alias("prediction"),
+                    score.alias("score"), "us")
+
+
+def _binary(df):
+    return df.select("event_id", binary_relabel(F.col("label")).alias("label"),
+                     binary_relabel(F.col("prediction")).alias("prediction"), "score", "us")
+
+
+def q_confusion(spark, sf):
+    from packetspark.operators import metrics as M
+    return M.confusion(metric_base(spark, sf))
+
+
+def q_confusion_normalised(spark, sf):
+    from packetspark.operators import metrics as M
+    return M.confusion_normalised(M.confusion(metric_base(spark, sf))) \
+        .select("label", "prediction", "n", r("share", "share"))
+
+
+def q_class_metrics(spark, sf):
+    from packetspark.operators import metrics as M
+    cm = M.class_metrics(M.confusion(metric_base(spark, sf)))
+    return cm.select("class_label", "class_name", *[r(c, c) for c in ("precision", "recall", "f1_score")],
+                     "support")
+
+
+def q_macro_metrics(spark, sf):
+    from packetspark.operators import metrics as M
+    m = M.summary_metrics(M.confusion(metric_base(spark, sf)))
+    return m.select(*[r(c, c) for c in ("accuracy", "precision_macro", "recall_macro", "f1_macro")], "n")
+
+
+def q_classification_report(spark, sf):
+    from packetspark.operators import metrics as M
+    rep = M.classification_report(M.confusion(metric_base(spark, sf)))
+    return rep.select("row", "pos", *[r(c, c) for c in ("precision", "recall", "f1_score")], "support")
+
+
+def q_binary_counts(spark, sf):
+    from packetspark.operators import metrics as M
+    return M.binary_counts(M.confusion(_binary(metric_base(spark, sf))))
+
+
+def q_binary_metrics(spark, sf):
+    from packetspark.operators import metrics as M
+    b = M.binary_metrics(M.confusion(_binary(metric_base(spark, sf))), positive=1)
+    return b.select(*[r(c, c) for c in b.columns])
+
+
+def q_metrics_chart(spark, sf):
+    from packetspark.operators import metrics as M
+    ch = M.metrics_chart(M.confusion(metric_base(spark, sf)))
+    return ch.select("class_label", "display_name", *[r(c, c) for c in ("precision", "recall", "f1_score")])
+
+
+def q_label_set(spark, sf):
+    from packetspark.operators import metrics as M
+    return M.label_set(metric_base(spark, sf))
+
+
+def _anomaly_scores(spark, sf):
+    from packetspark.operators import metrics as M
+    b = metric_base(spark, sf).withColumn("y01", (F.col("label") != S.NORMAL_CLASS).cast("int"))
+    return M.minmax_scale_scores(b, "score", "score_scaled")
+
+
+def q_minmax_scores(spark, sf):
+    return _anomaly_scores(spark, sf).select("event_id", r("score_scaled", "score_scaled"))
+
+
+def q_roc_auc(spark, sf):
+    from packetspark.operators import metrics as M
+    return M.roc_auc(_anomaly_scores(spark, sf), "y01", "score_scaled").select(r("roc_auc", "roc_auc"))
+
+
+def q_average_precision(spark, sf):
+    from packetspark.operators import metrics as M
+    return M.average_precision(_anomaly_scores(spark, sf), "y01", "score_scaled") \
+        .select(r("average_precision", "average_precision"))
+
+
+def q_roc_auc_ovr(spark, sf):
+    from packetspark.operators import metrics as M
+    p = read_packets(spark, sf)
+    eid = F.col("event_id")
+    probs = F.array(*[((eid * (2 * c + 3) + c) % 10).cast("double") / F.lit(10.0) for c in range(6)])
+    x = p.select((eid % 6).cast("int").alias("label"), probs.alias("probability"))
+    return M.roc_auc_ovr(x, "label", "probability").select(r("roc_auc_ovr", "roc_auc_ovr"))
+
+
+# ---------------------------------------------------------------- anomaly
+
+def q_contamination(spark, sf):
+    from packetspark.operators.isoforest import contamination
+    s = TL.time_split(read_packets(spark, sf)).where(F.col("split").isin("train", "validation"))
+    c = contamination(s.select(binary_relabel(F.col("target")).alias("y")), "y")
+    return spark.createDataFrame([(float(c["anomaly_rate"]), bool(c["flipped"]), float(c["contamination"]))],
+                                 "anomaly_rate double, flipped boolean, contamination double") \
+        .select(r("anomaly_rate", "anomaly_rate"), "flipped", r("contamination", "contamination"))
+
+
+def q_threshold_sweep(spark, sf):
+    from packetspark.operators.isoforest import threshold_sweep
+    b = _binary(metric_base(spark, sf)).select(F.col("label").alias("y"), "score")
+    sw = threshold_sweep(b, "y", "score", flipped=False, min_precision=0.1)
+    return sw.select("pos", r("percentile", "percentile"), r("threshold", "threshold"),
+                     *[r(c, c) for c in ("precision_macro", "recall_macro", "f1_macro")], "eligible", "selected")
+
+
+# ---------------------------------------------------------------- importance tables
+
+IMP_COLS = ["tcp_len", "mqtt_msg", "tcp_time_delta", "mqtt_hdrflags", "mqtt_conflags",
+            "mqtt_conack_flags", "mqtt_qos"]
+
+
+def importance_proxy(spark, sf) -> DataFrame:
+    """(feature, importance): |corr(x, target)| normalised to sum 1."""
+    p = read_packets(spark, sf)
+    row = p.agg(*[F.abs(F.corr(F.col(c).cast("double"), F.col("target").cast("double"))).alias(c)
+                  for c in IMP_COLS])
+    long = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v"))
+                                          for c in IMP_COLS])).alias("x")).select("x.*")
+    return long.select("feature", (F.col("v") / F.sum("v").over(Window.partitionBy())).alias("importance"))
+
+
+def q_topk(spark, sf):
+    from packetspark.operators.metrics import top_k
+    return top_k(importance_proxy(spark, sf), 3).select("feature", r("importance", "importance"))
+
+
+def q_importance_summary(spark, sf):
+    from packetspark.operators.metrics import importance_summary
+    s = importance_summary(importance_proxy(spark, sf), top=5)
+    return s.select("n_features", *[r(c, c) for c in ("total", "max_importance", "mean_importance",
+                                                       "median_importance", "top_share_pct")])
+
+
+def q_importance_cumulative(spark, sf):
+    from packetspark.operators.metrics import importance_cumulative
+    x = importance_cumulative(importance_proxy(spark, sf))
+    return x.select("feature", *[r(c, c) for c in ("importance", "cumulative", "cumulative_pct")])
+
+
+# ---------------------------------------------------------------- faults (F1-F8)
+
+FAULT_FEATURES = ["frame_length", "protocol_flags", "mqtt_msgtype", "mqtt_qos", "mqtt_payload_len",
+                  "mqtt_retain", "mqtt_client_id_hash"]
+
+
+def fault_base(spark, sf, with_split=False) -> DataFrame:
+    m = mapped(spark, sf)
+    if with_split:
+        m = TL.time_split(m)
+    cols = ["event_id", *FAULT_FEATURES, "target"] + (["split"] if with_split else [])
+    return m.select(*cols)
+
+
+def _fault_out(df, extra=()):
+    return df.select("event_id", *extra, *[r(c, c) for c in FAULT_FEATURES])
+
+
+def q_feature_corruption(spark, sf):
+    from packetspark.operators.faults import FaultConfig, corrupt_features
+    cfg = FaultConfig(corruption_rate=0.3, noise_std=0.3)
+    x, _ = corrupt_features(fault_base(spark, sf), cfg)
+    return _fault_out(x)
+
+
+def q_payload_loss(spark, sf):
+    from packetspark.operators.faults import FaultConfig, payload_loss
+    cfg = FaultConfig(payload_loss_rate=0.3, drop_features=["mqtt_qos"])
+    x, _ = payload_loss(fault_base(spark, sf), cfg)
+    return _fault_out(x, ["_affected"]).withColumnRenamed("_affected", "affected")
+
+
+def q_combined_faults(spark, sf):
+    from packetspark.operators.faults import FaultConfig, combined_faults
+    x, _ = combined_faults(fault_base(spark, sf), FaultConfig())
+    return _fault_out(x, ["_affected"]).withColumnRenamed("_affected", "affected")
+
+
+def q_fault_target(spark, sf):
+    from packetspark.operators.faults import FaultConfig, apply_to_target
+    x, _ = apply_to_target(fault_base(spark, sf, with_split=True), FaultConfig(target="test"))
+    return _fault_out(x, ["split", "_affected"]).withColumnRenamed("_affected", "affected")
+
+
+SWEEP = [("s1", 0.1, 0.1, 0.05), ("s2", 0.2, 0.1, 0.15), ("s3", 0.3, 0.3, 0.3)]
+
+
+def q_fault_sweep(spark, sf):
+    from packetspark.operators.faults import FaultConfig, sweep
+    scen = [FaultConfig(corruption_rate=a, noise_std=b, payload_loss_rate=c, scenario_id=i)
+            for i, a, b, c in SWEEP]
+    x = sweep(fault_base(spark, sf), scen)
+    return x.select("scenario_id", "event_id", F.col("_affected").alias("affected"),
+                    *[r(c, c) for c in FAULT_FEATURES])
+
+
+def q_fault_report(spark, sf):
+    from packetspark.operators.faults import FaultConfig, combined_faults, fault_report_frame
+    cfg = FaultConfig()
+    x, rep = combined_faults(fault_base(spark, sf), cfg)
+    f = fault_report_frame(spark, x, rep, cfg)
+    return f.select(*[r(c, c) if c in ("corruption_rate", "noise_std", "sample_rate") else c for c in f.columns])
+
+
+QUERIES.update({
+    "confusion": q_confusion,
+    "confusion_normalised": q_confusion_normalised,
+    "class_metrics": q_class_metrics,
+    "macro_metrics": q_macro_metrics,
+    "classification_report": q_classification_report,
+    "binary_counts": q_binary_counts,
+    "binary_metrics": q_binary_metrics,
+    "metrics_chart": q_metrics_chart,
+    "label_set": q_label_set,
+    "minmax_scores": q_minmax_scores,
+    "roc_auc": q_roc_auc,
+    "average_precision": q_average_precision,
+    "roc_auc_ovr": q_roc_auc_ovr,
+    "contamination": q_contamination,
+    "threshold_sweep": q_threshold_sweep,
+    "topk": q_topk,
+    "importance_summary": q_importance_summary,
+    "importance_cumulative": q_importance_cumulative,
+    "feature_corruption": q_feature_corruption,
+    "payload_loss": q_payload_loss,
+    "combined_faults": q_combined_faults,
+    "fault_target": q_fault_target,
+    "fault_sweep": q_fault_sweep,
+    "fault_report": q_fault_report,
+})

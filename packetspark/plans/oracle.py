@@ -232,3 +232,261 @@ SELECT event_id, target,
   CAST((row_number() OVER (PARTITION BY target ORDER BY md5(concat('42|', CAST(event_id AS VARCHAR), '|fold')), event_id) - 1) % 5 AS INTEGER) AS fold
 FROM packets""",
 }
+
+
+# ---------------------------------------------------------------- evaluation
+
+BASE = f"""{WITH_P}, base AS (
+  SELECT event_id, target AS label,
+         CASE WHEN event_id % 7 = 0 THEN (target + 1) % 6 ELSE target END AS prediction,
+         CAST(-((event_id * 7919) % 1000) AS DOUBLE) / 1000.0 AS score, us
+  FROM packets),
+bbase AS (SELECT event_id, CAST(CASE WHEN label = 3 THEN 1 ELSE -1 END AS INTEGER) AS label,
+                 CAST(CASE WHEN prediction = 3 THEN 1 ELSE -1 END AS INTEGER) AS prediction, score FROM base)"""
+
+CLASS_NAME = ("CASE class_label WHEN 0 THEN 'bruteforce' WHEN 1 THEN 'dos' WHEN 2 THEN 'flood' "
+              "WHEN 3 THEN 'legitimate' WHEN 4 THEN 'malformed' WHEN 5 THEN 'slowite' "
+              "ELSE 'class_' || CAST(class_label AS VARCHAR) END")
+
+
+def conf_sql(src: str) -> str:
+    return f"""cnt AS (SELECT label, prediction, count(*) AS n FROM {src} GROUP BY label, prediction),
+labs AS (SELECT label AS c FROM {src} UNION SELECT prediction AS c FROM {src}),
+conf AS (SELECT a.c AS label, b.c AS prediction, coalesce(cnt.n, 0) AS n
+         FROM labs a CROSS JOIN labs b LEFT JOIN cnt ON cnt.label = a.c AND cnt.prediction = b.c),
+t AS (SELECT label AS class_label, sum(n) AS support FROM conf GROUP BY label),
+p AS (SELECT prediction AS class_label, sum(n) AS predicted FROM conf GROUP BY prediction),
+tp AS (SELECT label AS class_label, n AS tp FROM conf WHERE label = prediction),
+cm0 AS (SELECT class_label, CAST(t.support AS BIGINT) AS support, CAST(p.predicted AS DOUBLE) AS predicted,
+               CAST(tp.tp AS DOUBLE) AS tp FROM t JOIN p USING (class_label) JOIN tp USING (class_label)),
+cm1 AS (SELECT class_label, support,
+               CASE WHEN predicted <> 0 THEN tp / predicted ELSE 0 END AS precision,
+               CASE WHEN support <> 0 THEN tp / support ELSE 0 END AS recall FROM cm0),
+cm AS (SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1_score,
+              {CLASS_NAME} AS class_name FROM cm1),
+acc AS (SELECT CAST(sum(n) FILTER (WHERE label = prediction) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS accuracy,
+               CAST(sum(n) AS BIGINT) AS n FROM conf)"""
+
+
+def _auc_sql(src: str, y: str, s: str, group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    return f"""g AS (SELECT {g}{s} AS s, CAST(count(*) FILTER (WHERE {y} = 1) AS DOUBLE) AS pos,
+                   CAST(count(*) FILTER (WHERE {y} <> 1) AS DOUBLE) AS neg FROM {src} GROUP BY {g}{s}),
+gc AS (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g),
+auc AS (SELECT {g}CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (nb + 0.5 * neg)) / (sum(pos) * sum(neg)) END AS roc_auc
+        FROM gc {('GROUP BY ' + group) if group else ''})"""
+
+
+SCALED = """mm AS (SELECT min(-score) AS mn, max(-score) AS mx FROM base),
+sc AS (SELECT event_id, CASE WHEN label <> 3 THEN 1 ELSE 0 END AS y01,
+              (-score - mn) / (mx - mn + 1e-10) AS score_scaled FROM base, mm)"""
+
+SWEEP_PCTS = ([1 + 0.5 * i for i in range(18)] + [10.0 + i for i in range(15)] + [25.0 + 2 * i for i in range(13)])
+
+
+def _sweep_sql() -> str:
+    fr = ", ".join(repr(p / 100.0) for p in SWEEP_PCTS)
+    vals = ", ".join(f"({i}, {p!r})" for i, p in enumerate(SWEEP_PCTS))
+    return f"""{BASE},
+b AS (SELECT label AS y, score FROM bbase),
+q AS (SELECT quantile_cont(score, [{fr}]) AS qs FROM b),
+pt AS (SELECT * FROM (VALUES {vals}) v(pos, pct)),
+t AS (SELECT pos, CAST(pct AS DOUBLE) AS pct, list_extract(qs, pos + 1) AS thr FROM pt, q),
+m AS (SELECT t.pos, t.pct, t.thr,
+             CAST(count(*) FILTER (WHERE b.score <= t.thr AND b.y = -1) AS DOUBLE) AS tpa,
+             CAST(count(*) FILTER (WHERE b.score <= t.thr AND b.y = 1) AS DOUBLE) AS fpa,
+             CAST(count(*) FILTER (WHERE b.score > t.thr AND b.y = -1) AS DOUBLE) AS fna,
+             CAST(count(*) FILTER (WHERE b.score > t.thr AND b.y = 1) AS DOUBLE) AS tna
+      FROM t, b GROUP BY t.pos, t.pct, t.thr),
+r1 AS (SELECT *, CASE WHEN tpa + fpa > 0 THEN tpa / (tpa + fpa) ELSE 0 END AS pa,
+              CASE WHEN tpa + fna > 0 THEN tpa / (tpa + fna) ELSE 0 END AS ra,
+              CASE WHEN tna + fna > 0 THEN tna / (tna + fna) ELSE 0 END AS pn,
+              CASE WHEN tna + fpa > 0 THEN tna / (tna + fpa) ELSE 0 END AS rn FROM m),
+r2 AS (SELECT *, CASE WHEN pa + ra > 0 THEN 2 * pa * ra / (pa + ra) ELSE 0 END AS fa,
+              CASE WHEN pn + rn > 0 THEN 2 * pn * rn / (pn + rn) ELSE 0 END AS fn_ FROM r1),
+r3 AS (SELECT pos, pct, thr, (pa + pn) / 2 AS precision_macro, (ra + rn) / 2 AS recall_macro,
+              (fa + fn_) / 2 AS f1_macro, (pa + pn) / 2 >= 0.1 AS eligible FROM r2),
+best AS (SELECT pos, row_number() OVER (ORDER BY f1_macro DESC, pos) AS rk FROM r3 WHERE eligible)
+SELECT CAST(r3.pos AS INTEGER) AS pos, {rd('pct', 'percentile')}, {rd('thr', 'threshold')},
+       {rd('precision_macro', 'precision_macro')}, {rd('recall_macro', 'recall_macro')}, {rd('f1_macro', 'f1_macro')},
+       eligible, coalesce(best.rk = 1, false) AS selected
+FROM r3 LEFT JOIN best USING (pos)"""
+
+
+IMP_COLS = ["tcp_len", "mqtt_msg", "tcp_time_delta", "mqtt_hdrflags", "mqtt_conflags",
+            "mqtt_conack_flags", "mqtt_qos"]
+IMP = (f"{WITH_P}, a AS (SELECT "
+       + ", ".join(f"abs(corr(CAST({c} AS DOUBLE), CAST(target AS DOUBLE))) AS {c}" for c in IMP_COLS)
+       + " FROM packets), l AS ("
+       + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v FROM a" for c in IMP_COLS)
+       + "), imp AS (SELECT feature, v / sum(v) OVER () AS importance FROM l)")
+
+ORACLE.update({
+    "confusion": f"{BASE}, {conf_sql('base')}\nSELECT label, prediction, n FROM conf",
+    "confusion_normalised": f"""{BASE}, {conf_sql('base')}
+SELECT label, prediction, n,
+  {rd('CASE WHEN sum(n) OVER (PARTITION BY label) <> 0 THEN CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY label) ELSE 0 END', 'share')}
+FROM conf""",
+    "class_metrics": f"""{BASE}, {conf_sql('base')}
+SELECT class_label, class_name, {rd('precision', 'precision')}, {rd('recall', 'recall')}, {rd('f1_score', 'f1_score')}, support FROM cm""",
+    "macro_metrics": f"""{BASE}, {conf_sql('base')}
+SELECT {rd('accuracy', 'accuracy')}, {rd('avg(precision)', 'precision_macro')}, {rd('avg(recall)', 'recall_macro')},
+       {rd('avg(f1_score)', 'f1_macro')}, any_value(acc.n) AS n FROM cm, acc GROUP BY accuracy""",
+    "classification_report": f"""{BASE}, {conf_sql('base')}
+SELECT class_name AS row, CAST(class_label AS INTEGER) AS pos, {rd('precision', 'precision')}, {rd('recall', 'recall')},
+       {rd('f1_score', 'f1_score')}, support FROM cm
+UNION ALL SELECT 'accuracy', 1000, NULL, NULL, {rd('accuracy', 'f1_score')}, (SELECT CAST(sum(support) AS BIGINT) FROM cm) FROM acc
+UNION ALL SELECT 'macro avg', 1001, {rd('avg(precision)', 'p')}, {rd('avg(recall)', 'r')}, {rd('avg(f1_score)', 'f')},
+       CAST(sum(support) AS BIGINT) FROM cm
+UNION ALL SELECT 'weighted avg', 1002, {rd('sum(precision * support) / sum(support)', 'p')},
+       {rd('sum(recall * support) / sum(support)', 'r')}, {rd('sum(f1_score * support) / sum(support)', 'f')},
+       CAST(sum(support) AS BIGINT) FROM cm""",
+    "binary_counts": f"""{BASE}, {conf_sql('bbase')}
+SELECT CAST(sum(n) FILTER (WHERE label = -1 AND prediction = -1) AS BIGINT) AS tp,
+       CAST(sum(n) FILTER (WHERE label = -1 AND prediction = 1) AS BIGINT) AS fn,
+       CAST(sum(n) FILTER (WHERE label = 1 AND prediction = -1) AS BIGINT) AS fp,
+       CAST(sum(n) FILTER (WHERE label = 1 AND prediction = 1) AS BIGINT) AS tn FROM conf""",
+    "binary_metrics": f"""{BASE}, {conf_sql('bbase')}
+SELECT {rd('precision', 'precision_binary')}, {rd('recall', 'recall_binary')}, {rd('f1_score', 'f1_binary')}
+FROM cm WHERE class_label = 1""",
+    "metrics_chart": f"""{BASE}, {conf_sql('base')}
+SELECT class_label,
+       CASE WHEN class_label IN (0, 1, 2, 3, 4, 5) THEN upper(substr(class_name, 1, 1)) || substr(class_name, 2)
+            ELSE 'Class_' || CAST(class_label AS VARCHAR) END AS display_name,
+       {rd('precision', 'precision')}, {rd('recall', 'recall')}, {rd('f1_score', 'f1_score')} FROM cm""",
+    "label_set": f"{BASE}\nSELECT label AS class_label FROM base UNION SELECT prediction FROM base",
+    "minmax_scores": f"{BASE}, {SCALED}\nSELECT event_id, {rd('score_scaled', 'score_scaled')} FROM sc",
+    "roc_auc": f"{BASE}, {SCALED}, {_auc_sql('sc', 'y01', 'score_scaled')}\nSELECT {rd('roc_auc', 'roc_auc')} FROM auc",
+    "average_precision": f"""{BASE}, {SCALED},
+g AS (SELECT score_scaled AS s, CAST(count(*) FILTER (WHERE y01 = 1) AS DOUBLE) AS pos,
+             CAST(count(*) FILTER (WHERE y01 <> 1) AS DOUBLE) AS neg FROM sc GROUP BY score_scaled),
+c AS (SELECT *, sum(pos) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tpc,
+             sum(pos + neg) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS allc FROM g)
+SELECT {rd('CASE WHEN sum(pos) > 0 THEN sum(pos * tpc / allc) / sum(pos) END', 'average_precision')} FROM c""",
+    "roc_auc_ovr": f"""{WITH_P},
+x AS (SELECT CAST(event_id % 6 AS INTEGER) AS label, c.cls,
+             CAST((event_id * (2 * c.cls + 3) + c.cls) % 10 AS DOUBLE) / 10.0 AS p
+      FROM packets CROSS JOIN (SELECT unnest(range(6)) AS cls) c),
+xy AS (SELECT cls, p, CASE WHEN label = cls THEN 1 ELSE 0 END AS y FROM x),
+{_auc_sql('xy', 'y', 'p', 'cls')}
+SELECT {rd('CASE WHEN count(*) FILTER (WHERE roc_auc IS NULL) = 0 THEN avg(roc_auc) END', 'roc_auc_ovr')} FROM auc""",
+    "contamination": f"""{WITH_P}, x AS (
+  SELECT target, row_number() OVER (ORDER BY us, event_id) - 1 AS idx, count(*) OVER () AS n FROM packets),
+s AS (SELECT avg(CASE WHEN target = 3 THEN 0.0 ELSE 1.0 END) AS a FROM x
+      WHERE idx < floor(n * CAST(0.6 AS DOUBLE)) + floor(n * CAST(0.2 AS DOUBLE)))
+SELECT {rd('a', 'anomaly_rate')}, a > 0.5 AS flipped, {rd('CASE WHEN a > 0.5 THEN 1 - a ELSE a END', 'contamination')} FROM s""",
+    "threshold_sweep": _sweep_sql(),
+    "topk": f"{IMP}\nSELECT feature, {rd('importance', 'importance')} FROM imp ORDER BY importance DESC, feature LIMIT 3",
+    "importance_summary": f"""{IMP}, rk AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS r FROM imp)
+SELECT count(*) AS n_features, {rd('sum(importance)', 'total')}, {rd('max(importance)', 'max_importance')},
+       {rd('avg(importance)', 'mean_importance')}, {rd('quantile_cont(importance, 0.5)', 'median_importance')},
+       {rd('sum(CASE WHEN r <= 5 THEN importance ELSE 0 END) * 100.0 / sum(importance)', 'top_share_pct')} FROM rk""",
+    "importance_cumulative": f"""{IMP}, c AS (SELECT feature, importance,
+    sum(importance) OVER (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING) AS cumulative,
+    sum(importance) OVER () AS total FROM imp)
+SELECT feature, {rd('importance', 'importance')}, {rd('cumulative', 'cumulative')},
+       {rd('cumulative * 100.0 / total', 'cumulative_pct')} FROM c""",
+})
+
+
+# ---------------------------------------------------------------- faults
+
+FAULT_FEATURES = ["frame_length", "protocol_flags", "mqtt_msgtype", "mqtt_qos", "mqtt_payload_len",
+                  "mqtt_retain", "mqtt_client_id_hash"]
+
+
+def _fault_sql(kind: str) -> str:
+    from packetspark.functions import draws as D
+    from packetspark.operators.faults import choose_columns
+    import warnings
+    warnings.simplefilter("ignore")
+    cols = {"event_id", "scenario_id"}
+    FF = FAULT_FEATURES
+    fb = (f"{WITH_M}, sp AS (SELECT *, row_number() OVER (ORDER BY us, event_id) - 1 AS idx, count(*) OVER () AS n_all FROM mapped),"
+          f" fb AS (SELECT event_id, {', '.join(FF)}, target,"
+          f" CASE WHEN idx < floor(n_all * CAST(0.6 AS DOUBLE)) THEN 'train'"
+          f" WHEN idx < floor(n_all * CAST(0.6 AS DOUBLE)) + floor(n_all * CAST(0.2 AS DOUBLE)) THEN 'validation'"
+          f" ELSE 'test' END AS split FROM sp)")
+
+    def corrupt(rate, noise, seed=42, salt=(), where=None, src="fb"):
+        chosen = choose_columns(FF, rate, seed, list(salt))
+        stats = ", ".join(f"stddev_samp(CAST({c} AS DOUBLE)) AS {c}_s" for c in chosen)
+        wh = f" WHERE {where}" if where else ""
+        exprs = {}
+        for c in FF:
+            base = f"CAST({c} AS DOUBLE)"
+            if c in chosen:
+                g = D.sql_gaussian([seed, *salt, "event_id", c], cols)
+                noisy = f"{base} + {g} * (CASE WHEN st.{c}_s > 0 THEN st.{c}_s * {noise!r} ELSE {noise!r} END)"
+                exprs[c] = f"CASE WHEN {where} THEN {noisy} ELSE {base} END" if where else noisy
+            else:
+                exprs[c] = base
+        return f"st AS (SELECT {stats} FROM {src}{wh})", exprs, chosen
+
+    def loss(rate, seed=42, salt=(), where=None, src="fb"):
+        h = D.sql_hash60([seed, *salt, "event_id", "loss"], cols)
+        wh = f" WHERE {where}" if where else ""
+        return (f"lr AS (SELECT event_id, row_number() OVER (ORDER BY {h}, event_id) AS rn, count(*) OVER () AS nn FROM {src}{wh}),"
+                f" lo AS (SELECT event_id FROM lr WHERE rn <= greatest(1, floor(nn * CAST({rate!r} AS DOUBLE))))")
+
+    if kind == "feature_corruption":
+        st, ex, _ = corrupt(0.3, 0.3)
+        return f"{fb}, {st}\nSELECT event_id, {', '.join(rd(ex[c], c) for c in FF)} FROM fb, st"
+    if kind == "payload_loss":
+        ex = {c: f"CAST({c} AS DOUBLE)" for c in FF}
+        ex["mqtt_payload_len"] = "CASE WHEN affected THEN 0.0 ELSE CAST(mqtt_payload_len AS DOUBLE) END"
+        ex["mqtt_qos"] = "CASE WHEN affected THEN 0.0 ELSE CAST(mqtt_qos AS DOUBLE) END"
+        return (f"{fb}, {loss(0.3)}, x AS (SELECT fb.*, lo.event_id IS NOT NULL AS affected FROM fb LEFT JOIN lo USING (event_id))\n"
+                f"SELECT event_id, affected, {', '.join(rd(ex[c], c) for c in FF)} FROM x")
+    if kind in ("combined_faults", "fault_report"):
+        st, ex, chosen = corrupt(0.2, 0.1)
+        y = (f"{fb}, {st}, {loss(0.15)},"
+             f" c AS (SELECT event_id, {', '.join(f'{ex[c]} AS {c}' for c in FF)} FROM fb, st),"
+             f" x AS (SELECT c.*, lo.event_id IS NOT NULL AS affected FROM c LEFT JOIN lo USING (event_id))")
+        if kind == "fault_report":
+            return (f"{y}\nSELECT 'default' AS scenario_id, '{','.join(chosen)}' AS corrupted_features,"
+                    f" {rd(repr(len(chosen) / len(FF)), 'corruption_rate')}, {rd('0.1', 'noise_std')},"
+                    f" CAST({len(chosen)} AS INTEGER) AS n_features_corrupted, CAST({len(FF)} AS INTEGER) AS n_total_numeric_features,"
+                    f" count(*) FILTER (WHERE affected) AS affected_samples,"
+                    f" {rd('CAST(count(*) FILTER (WHERE affected) AS DOUBLE) / count(*)', 'sample_rate')},"
+                    f" 'mqtt_payload_len' AS payload_feature, true AS payload_zeroed, '' AS dropped_features,"
+                    f" CAST(NULL AS VARCHAR) AS drop_mode FROM x")
+        ex2 = {c: c for c in FF}
+        ex2["mqtt_payload_len"] = "CASE WHEN affected THEN 0.0 ELSE mqtt_payload_len END"
+        return f"{y}\nSELECT event_id, affected, {', '.join(rd(ex2[c], c) for c in FF)} FROM x"
+    if kind == "fault_target":
+        w = "split = 'test'"
+        st, ex, _ = corrupt(0.2, 0.1, salt=("test",), where=w)
+        ex2 = {c: c for c in FF}
+        ex2["mqtt_payload_len"] = "CASE WHEN affected THEN 0.0 ELSE mqtt_payload_len END"
+        return (f"{fb}, {st}, {loss(0.15, salt=('test',), where=w)},"
+                f" c AS (SELECT event_id, split, {', '.join(f'{ex[c]} AS {c}' for c in FF)} FROM fb, st),"
+                f" x AS (SELECT c.*, lo.event_id IS NOT NULL AS affected FROM c LEFT JOIN lo USING (event_id))\n"
+                f"SELECT event_id, split, affected, {', '.join(rd(ex2[c], c) for c in FF)} FROM x")
+    if kind == "fault_sweep":
+        from packetspark.plans.catalog import SWEEP
+        stats = ", ".join(f"stddev_samp(CAST({c} AS DOUBLE)) AS {c}_s" for c in FF)
+        parts = []
+        for sid, rate, noise, lrate in SWEEP:
+            chosen = choose_columns(FF, rate, 42, [sid])
+            ex = {}
+            for c in FF:
+                base = f"CAST({c} AS DOUBLE)"
+                if c in chosen:
+                    g = D.sql_gaussian([42, sid, "event_id", c], cols)
+                    ex[c] = f"{base} + {g} * (CASE WHEN st.{c}_s > 0 THEN st.{c}_s * {noise!r} ELSE {noise!r} END)"
+                else:
+                    ex[c] = base
+            h = D.sql_hash60([42, sid, "event_id", "loss"], cols)
+            ex["mqtt_payload_len"] = f"CASE WHEN rn <= greatest(1, floor(nn * CAST({lrate!r} AS DOUBLE))) THEN 0.0 ELSE {ex['mqtt_payload_len']} END"
+            parts.append(
+                f"SELECT '{sid}' AS scenario_id, event_id, rn <= greatest(1, floor(nn * CAST({lrate!r} AS DOUBLE))) AS affected, "
+                f"{', '.join(rd(ex[c], c) for c in FF)} FROM (SELECT fb.*, row_number() OVER (ORDER BY {h}, event_id) AS rn, "
+                f"count(*) OVER () AS nn FROM fb) fbr, st")
+        return f"{fb}, st AS (SELECT {stats} FROM fb)\n" + "\nUNION ALL\n".join(parts)
+    raise KeyError(kind)
+
+
+for _k in ("feature_corruption", "payload_loss", "combined_faults", "fault_target", "fault_sweep", "fault_report"):
+    ORACLE[_k] = _fault_sql(_k)
