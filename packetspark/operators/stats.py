@@ -57,23 +57,45 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             need[c][int(math.floor(h))] = None
             need[c][int(math.ceil(h))] = None
 
-    # Brackets [lo, hi] per (column, rank); start open.
+    # Brackets [lo, hi] per (column, rank).  A column small enough to sort
+    # directly starts with the whole range and known counts; a larger one
+    # starts from a sketch around each quantile.
     brackets = {(c, k): [-INF, INF] for c in columns for k in need[c]}
+    known = {(c, k): (0, counts[c]) for c in columns for k in need[c] if counts[c] <= max_candidates}
+    big = [c for c in columns if counts[c] > max_candidates and need[c]]
+    if big:
+        delta = 3.0 / accuracy
+        aggs = []
+        for c in big:
+            for k in need[c]:
+                frac = k / max(counts[c] - 1, 1)
+                qs = [min(max(frac - delta, 0.0), 1.0), min(max(frac + delta, 0.0), 1.0)]
+                aggs.append(F.percentile_approx(vals[c], qs, accuracy).alias(f"{c}__{k}"))
+        arow = df.agg(*aggs).first()
+        for c in big:
+            for k in need[c]:
+                a = arow[f"{c}__{k}"]
+                brackets[(c, k)] = [float(a[0]), float(a[1])]
     for _ in range(max_rounds):
         open_keys = [key for key, v in brackets.items() if v is not None]
         if not open_keys:
             break
-        # Exact counts for current brackets.
-        aggs = []
-        for i, (c, k) in enumerate(open_keys):
-            lo, hi = brackets[(c, k)]
-            v = vals[c]
-            inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
-            aggs += [F.count_if(v < F.lit(lo)).alias(f"b{i}"), F.count_if(inside).alias(f"m{i}")]
-        row = df.agg(*aggs).first()
+        # Exact counts for current brackets (skipped when already known).
+        to_count = [key for key in open_keys if key not in known]
+        row = {}
+        if to_count:
+            aggs = []
+            for i, (c, k) in enumerate(to_count):
+                lo, hi = brackets[(c, k)]
+                v = vals[c]
+                inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+                aggs += [F.count_if(v < F.lit(lo)).alias(f"b{i}"), F.count_if(inside).alias(f"m{i}")]
+            r0 = df.agg(*aggs).first()
+            row = {key: (r0[f"b{i}"], r0[f"m{i}"]) for i, key in enumerate(to_count)}
+        row.update({key: known.pop(key) for key in open_keys if key in known})
         small, large = [], []
         for i, key in enumerate(open_keys):
-            below, m = row[f"b{i}"], row[f"m{i}"]
+            below, m = row[key]
             k = key[1]
             lo, hi = brackets[key]
             if k < below:

@@ -139,11 +139,12 @@ def ordered_scan(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
 
 def inter_arrival(df: DataFrame, mode: str = "delta_diff", keys: Sequence[str] = (),
                   us: str = "us", tiebreak: str = "event_id", out: str = "iat",
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, index_out: str | None = None) -> DataFrame:
     """Inter-arrival time in seconds; first row (and null) -> 0.
 
     ``delta_diff``: difference of consecutive ``tcp_time_delta`` (the batch
     reference whenever that column exists); ``ts_gap``: timestamp gap.
+    ``index_out`` also keeps the row position from the same scan (R1).
     """
     if mode == "delta_diff" and "tcp_time_delta" not in df.columns:
         mode = "ts_gap"
@@ -154,7 +155,10 @@ def inter_arrival(df: DataFrame, mode: str = "delta_diff", keys: Sequence[str] =
         v = F.col("tcp_time_delta") - F.col(f"_os_prev_{lagc}")
     else:
         v = (F.col(us) - F.col(f"_os_prev_{lagc}")) / F.lit(float(MICROS))
-    return x.withColumn(out, F.coalesce(v.cast("double"), F.lit(0.0))).drop("_os_idx", f"_os_prev_{lagc}")
+    x = x.withColumn(out, F.coalesce(v.cast("double"), F.lit(0.0))).drop(f"_os_prev_{lagc}")
+    if index_out:
+        return x.withColumnRenamed("_os_idx", index_out)
+    return x.drop("_os_idx")
 
 
 # --------------------------------------------------------------------------
@@ -236,14 +240,18 @@ def with_global_index(df: DataFrame, order: Sequence[str] = ("us", "event_id"),
 
 def time_split(df: DataFrame, train_ratio: float = 0.6, val_ratio: float = 0.2,
                order: Sequence[str] = ("us", "event_id"), partitions: int | None = None,
-               total: int | None = None) -> DataFrame:
+               total: int | None = None, index_col: str | None = None) -> DataFrame:
     """First ``int(n*train)`` rows by time are 'train', the next
-    ``int(n*val)`` 'validation', the rest 'test'.  Adds ``split``."""
+    ``int(n*val)`` 'validation', the rest 'test'.  Adds ``split``.
+    ``index_col`` reuses a position computed earlier in the same order."""
     if total is None:
         total = df.count()
     n_train = int(total * train_ratio)
     n_val = int(total * val_ratio)
-    x = with_global_index(df, order, out="_split_idx", partitions=partitions)
+    if index_col:
+        x = df.withColumnRenamed(index_col, "_split_idx")
+    else:
+        x = with_global_index(df, order, out="_split_idx", partitions=partitions)
     split = (F.when(F.col("_split_idx") < F.lit(n_train), F.lit("train"))
               .when(F.col("_split_idx") < F.lit(n_train + n_val), F.lit("validation"))
               .otherwise(F.lit("test")))

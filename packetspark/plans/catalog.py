@@ -450,3 +450,154 @@ QUERIES.update({
     "fault_sweep": q_fault_sweep,
     "fault_report": q_fault_report,
 })
+
+
+# ---------------------------------------------------------------- models (C1-C10, A2-A9) and E13
+
+# 100 trees as the reference; depth 10 from its search space (unlimited = 30 via fit_forest)
+RF_QUERY = dict(num_trees=100, max_depth=10)
+
+
+def _features(spark, sf):
+    from packetspark.session import cut_lineage
+    res = preprocess(read_packets(spark, sf), PreprocessOptions())
+    return cut_lineage(res.features)
+
+
+def q_rf_fit_predict(spark, sf):
+    from packetspark.operators import classify as C
+    from packetspark.plans.training import split_rows, train_val
+    f = _features(spark, sf)
+    model = C.fit_forest(train_val(f), **RF_QUERY)
+    p = C.score(model, split_rows(f, "test"))
+    return p.select("event_id", F.col("target").cast("int").alias("target"), "prediction", r("confidence", "confidence"))
+
+
+def q_rf_importance(spark, sf):
+    from packetspark.operators import classify as C
+    from packetspark.plans.training import train_val
+    model = C.fit_forest(train_val(_features(spark, sf)), **RF_QUERY)
+    return C.feature_importance(model)
+
+
+def q_rf_search(spark, sf):
+    from packetspark.operators import classify as C
+    from packetspark.plans.training import train_val
+    _, res = C.search_forest(train_val(_features(spark, sf)), method="randomized", n_iter=4, cv=3)
+    return res
+
+
+def q_rf_cv(spark, sf):
+    from packetspark.operators import classify as C
+    from packetspark.plans.training import train_val
+    return C.cross_validate(train_val(_features(spark, sf)), cv=3, num_trees=50)
+
+
+def q_iforest_fit_score(spark, sf):
+    from packetspark.plans.training import run_isolation
+    from packetspark.operators import isoforest as IF
+    f = _features(spark, sf)
+    run = run_isolation(f, do_search=False, n_trees=100)
+    t = f.where(F.col("split") == "test").withColumn("y", binary_relabel(F.col("target")))
+    p = IF.predict(IF.score(run.model, t), run.model.offset, threshold=run.model.threshold,
+                   flipped=run.model.flipped)
+    return p.select("event_id", "y", r("score", "score"), "prediction")
+
+
+def q_iforest_search(spark, sf):
+    from packetspark.operators import isoforest as IF
+    from packetspark.plans.training import split_rows, train_val
+    f = _features(spark, sf).withColumn("y", binary_relabel(F.col("target")))
+    c = IF.contamination(train_val(f), "y")
+    return IF.search(train_val(f), split_rows(f, "validation"), "y", psi_options=("auto", 512),
+                     tree_options=(100, 200), contamination_rate=c["contamination"])
+
+
+def q_fault_evaluation(spark, sf):
+    from packetspark.operators import classify as C
+    from packetspark.operators.faults import FaultConfig
+    from packetspark.plans.evaluation import evaluate_faults
+    from packetspark.plans.training import train_val
+    f = _features(spark, sf)
+    model = C.fit_forest(train_val(f), num_trees=50, max_depth=10)
+    scen = [FaultConfig(corruption_rate=a, noise_std=b, payload_loss_rate=c, scenario_id=i) for i, a, b, c in SWEEP]
+    return evaluate_faults(model, "forest", f, scen)["summary"]
+
+
+def q_rf_embeddings(spark, sf):
+    """Second classifier fit: 64-dim embeddings, labels 0..9."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+    from packetspark.functions import draws as D
+    e = read_table(spark, sf, "embeddings")
+    e = e.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))) \
+         .withColumn("_u", D.uniform([42, F.col("vec_id"), "split"]))
+    rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=50, seed=42)
+    m = rf.fit(e.where(F.col("_u") < 0.8).withColumn("label", F.col("label").cast("double")))
+    p = m.transform(e.where(F.col("_u") >= 0.8).withColumn("label", F.col("label").cast("double")))
+    return p.select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+
+
+def q_label_imbalance(spark, sf):
+    from packetspark.operators.classify import balanced_weights
+    from packetspark.operators.metrics import class_distribution
+    lab = read_table(spark, sf, "labels")
+    d = class_distribution(lab, "toxic")
+    w = balanced_weights(lab, "toxic")
+    return d.join(w, "toxic").select("toxic", "n", r("pct", "pct"), r("weight", "weight"))
+
+
+# ---------------------------------------------------------------- streaming (ST1-ST10)
+
+def _stream_run(spark, sf, bad_every=None, model=None, kind="label", windows=WIDE, scaler=None, caps=None,
+                temporal_only=False):
+    from packetspark.streaming import scorer as SC
+    src = SC.scratch(spark, "stream-src")
+    SC.stage_records(SC.records_from_packets(read_packets(spark, sf), bad_every), src)
+    parsed = SC.parse_records(SC.read_stream(spark, src))
+    if temporal_only:
+        st = SC.temporal_stream(parsed, windows, key="device_id", watermark="3650 days")
+        out = SC.scratch(spark, "stream-out")
+        SC.run_to_sink(st, out, SC.scratch(spark, "stream-ckpt"))
+    else:
+        st = SC.score_stream(parsed, windows, key="device_id", watermark="3650 days", scaler=scaler, caps=caps,
+                             model=model, model_kind=kind)
+        out = SC.scratch(spark, "stream-out")
+        SC.run_to_sink(st, out, SC.scratch(spark, "stream-ckpt"))
+    return spark.read.parquet(out)
+
+
+def q_stream_replay_window(spark, sf):
+    x = _stream_run(spark, sf, temporal_only=True)
+    return x.select("event_id", "device_id", r("iat", "iat"),
+                    *[r(f(w), f(w)) for w in WIDE for f in (S.rate_col, S.mean_col, S.std_col)])
+
+
+def q_stream_dead_letter(spark, sf):
+    x = _stream_run(spark, sf, bad_every=97, windows=S.DEFAULT_WINDOWS)
+    return x.where(F.col("status") == "bad").select("event_id", "status")
+
+
+def q_stream_predict(spark, sf):
+    from packetspark.operators import classify as C
+    from packetspark.plans.training import train_val
+    f = _features(spark, sf)
+    model = C.fit_forest(train_val(f), num_trees=50, max_depth=10)
+    x = _stream_run(spark, sf, model=model, kind="forest", windows=S.DEFAULT_WINDOWS)
+    return x.select("event_id", "device_id", "status", "predicted_label", r("confidence", "confidence"))
+
+
+QUERIES.update({
+    "rf_fit_predict": q_rf_fit_predict,
+    "rf_importance": q_rf_importance,
+    "rf_search": q_rf_search,
+    "rf_cv": q_rf_cv,
+    "rf_embeddings": q_rf_embeddings,
+    "label_imbalance": q_label_imbalance,
+    "iforest_fit_score": q_iforest_fit_score,
+    "iforest_search": q_iforest_search,
+    "fault_evaluation": q_fault_evaluation,
+    "stream_replay_window": q_stream_replay_window,
+    "stream_dead_letter": q_stream_dead_letter,
+    "stream_predict": q_stream_predict,
+})

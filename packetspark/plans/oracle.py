@@ -490,3 +490,36 @@ def _fault_sql(kind: str) -> str:
 
 for _k in ("feature_corruption", "payload_loss", "combined_faults", "fault_target", "fault_sweep", "fault_report"):
     ORACLE[_k] = _fault_sql(_k)
+
+
+# ---------------------------------------------------------------- streaming, labels
+
+def _stream_replay_sql(windows) -> str:
+    cols = []
+    for w in windows:
+        fr = f"OVER (PARTITION BY device_id ORDER BY us RANGE BETWEEN {w * 1000000} PRECEDING AND 1 PRECEDING)"
+        tie = "OVER (PARTITION BY device_id, us ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        p = "coalesce(CAST(mqtt_msg AS DOUBLE), 0)"
+        cols.append(f"CAST(count(*) {fr} AS DOUBLE) + CAST(count(*) {tie} AS DOUBLE) AS n{w}")
+        cols.append(f"coalesce(sum({p}) {fr}, 0) + coalesce(sum({p}) {tie}, 0) AS s{w}")
+        cols.append(f"coalesce(sum({p} * {p}) {fr}, 0) + coalesce(sum({p} * {p}) {tie}, 0) AS ss{w}")
+    outs = []
+    for w in windows:
+        n, s, ss = f"n{w}", f"s{w}", f"ss{w}"
+        outs.append(rd(f"{n} / {w}", f"msg_rate_{w}s"))
+        outs.append(rd(f"CASE WHEN {n} > 0 THEN {s} / {n} ELSE 0 END", f"rolling_mean_payload_{w}s"))
+        outs.append(rd(f"CASE WHEN {n} > 1 THEN sqrt(greatest({ss} / {n} - ({s} / {n}) * ({s} / {n}), 0)) ELSE 0 END",
+                       f"rolling_std_payload_{w}s"))
+    iat = "coalesce(CAST(us - lag(us) OVER (PARTITION BY device_id ORDER BY us, event_id) AS DOUBLE) / 1000000.0, 0)"
+    return (f"{WITH_P}, x AS (SELECT event_id, device_id, {iat} AS iat, {', '.join(cols)} FROM packets)\n"
+            f"SELECT event_id, device_id, {rd('iat', 'iat')}, {', '.join(outs)} FROM x")
+
+
+ORACLE.update({
+    "stream_replay_window": _stream_replay_sql(WIDE),
+    "stream_dead_letter": "SELECT event_id, 'bad' AS status FROM events WHERE event_id % 97 = 0",
+    "label_imbalance": """SELECT toxic, count(*) AS n,
+  round(CAST(count(*) AS DOUBLE) * 100.0 / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS pct,
+  round(CAST(sum(count(*)) OVER () AS DOUBLE) / (CAST(count(*) OVER () AS DOUBLE) * count(*)), 6) AS weight
+FROM labels GROUP BY toxic""",
+})

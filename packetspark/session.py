@@ -14,6 +14,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -26,9 +27,12 @@ def build_session(master: str | None = None, app: str = "packetspark",
     ``local[N]``.
     """
     b = SparkSession.builder.appName(app)
+    conf = dict(DEFAULT_CONF)
     if master:
         b = b.master(master)
-    conf = dict(DEFAULT_CONF)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            conf["spark.driver.memory"] = os.environ.get("PACKETSPARK_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
