@@ -601,3 +601,13 @@ QUERIES.update({
     "stream_dead_letter": q_stream_dead_letter,
     "stream_predict": q_stream_predict,
 })
+
+
+def q_tumbling_rate(spark, sf):
+    from packetspark.streaming.scorer import tumbling_rates
+    m = mapped(spark, sf).withColumn("ts", F.timestamp_micros("us"))
+    t = tumbling_rates(m, "1 hour", watermark=None)
+    return t.select("device_id", "window_start_us", "n", r("mean_payload", "mean_payload"))
+
+
+QUERIES["tumbling_rate"] = q_tumbling_rate

@@ -523,3 +523,8 @@ ORACLE.update({
   round(CAST(sum(count(*)) OVER () AS DOUBLE) / (CAST(count(*) OVER () AS DOUBLE) * count(*)), 6) AS weight
 FROM labels GROUP BY toxic""",
 })
+
+ORACLE["tumbling_rate"] = f"""{WITH_M}
+SELECT device_id, us - ((us % 3600000000) + 3600000000) % 3600000000 AS window_start_us, count(*) AS n,
+       {rd('avg(mqtt_payload_len)', 'mean_payload')}
+FROM mapped GROUP BY device_id, window_start_us"""

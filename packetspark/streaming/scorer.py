@@ -279,3 +279,13 @@ def records_from_packets(packets: DataFrame, bad_every: int | None = None) -> Da
         ts_text = F.when(F.col("event_id") % bad_every == 0, F.lit("not-a-time")).otherwise(ts_text)
     return packets.select("event_id", "device_id", ts_text.alias("timestamp"), "tcp_len", "tcp_flags", "mqtt_msg",
                           "mqtt_hdrflags", "mqtt_conflags", "mqtt_conack_flags", "mqtt_qos")
+
+
+def tumbling_rates(df: DataFrame, width: str = "10 seconds", key: str = "device_id",
+                   watermark: str | None = "1 minute", ts: str = "ts") -> DataFrame:
+    """ST10: packets per device per tumbling window (coarse form of T4).
+    Works on a stream (with a watermark, append mode) and on a batch frame."""
+    x = df.withWatermark(ts, watermark) if (watermark and df.isStreaming) else df
+    return (x.groupBy(key, F.window(ts, width).alias("w"))
+             .agg(F.count(F.lit(1)).alias("n"), F.avg("mqtt_payload_len").alias("mean_payload"))
+             .select(key, F.unix_micros(F.col("w.start")).alias("window_start_us"), "n", "mean_payload"))
