@@ -61,16 +61,18 @@ def ordered_scan(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
     * ``{prefix}prev_{col}``: value of ``col`` on the previous row (null on
       the first row of the group).
 
-    ``order`` must be a total order (end it with a unique id).
+    ``order`` must be a total order (end it with a unique id).  The scan runs
+    on a narrow projection (sort key, summed values, lagged values) and the
+    results are joined back to the full rows on the unique sort key, so only
+    the narrow columns are shuffled by range and cached.
     """
     sums = dict(sums or {})
     group, order, lags = list(group), list(order), list(lags)
     P = _parts(df, partitions)
     sort_key = group + order
+    narrow = list(dict.fromkeys(sort_key + lags))
 
-    x = df
-    for name, e in sums.items():
-        x = x.withColumn(f"_v_{name}", F.coalesce(e.cast("double"), F.lit(0.0)))
+    x = df.select(*narrow, *[F.coalesce(e.cast("double"), F.lit(0.0)).alias(f"_v_{n}") for n, e in sums.items()])
     if lags:
         x = x.withColumn("_lagv", F.struct(*[F.col(c) for c in lags]))
     x = x.repartitionByRange(P, *sort_key).withColumn("_seg", F.spark_partition_id())
@@ -128,9 +130,12 @@ def ordered_scan(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
         out = out.withColumn("_prev", prev)
         for c in lags:
             out = out.withColumn(f"{prefix}prev_{c}", F.col("_prev")[c])
-    produced = {f"{prefix}idx"} | {f"{prefix}{n}_before" for n in sums} | {f"{prefix}prev_{c}" for c in lags}
-    drop = [c for c in out.columns if c.startswith("_") and c not in df.columns and c not in produced]
-    return out.drop(*drop)
+    produced = [f"{prefix}idx"] + [f"{prefix}{n}_before" for n in sums] + [f"{prefix}prev_{c}" for c in lags]
+    if all(c in narrow for c in df.columns):
+        return out.select(*df.columns, *produced)
+    keyed = out.select(*[F.col(c).alias(f"_ok{i}") for i, c in enumerate(sort_key)], *produced)
+    cond = [df[c].eqNullSafe(keyed[f"_ok{i}"]) for i, c in enumerate(sort_key)]
+    return df.join(keyed, cond, "inner").drop(*[f"_ok{i}" for i in range(len(sort_key))])
 
 
 # --------------------------------------------------------------------------
