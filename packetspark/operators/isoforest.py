@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -333,21 +334,35 @@ def search(train: DataFrame, val: DataFrame, y: str = "y", features: Sequence[st
     counts.  Validation macro F1 per (psi, trees); first best wins."""
     n = train.count()
     seen, rows = set(), []
-    results = None
     for opt in psi_options:
         psi = resolve_psi(opt, n)
         if (opt != "auto" and int(opt) > n) or psi in seen:
             continue
         seen.add(psi)
         model = fit(train, features, max(tree_options), psi, seed, key, n)
-        tr = score(model, train, tree_counts=tree_options)
-        va = score(model, val, tree_counts=tree_options)
-        for t in tree_options:
-            off = fit_offset(tr, contamination_rate, f"score_{t}")
-            pr = va.withColumn("prediction", F.when(F.col(f"score_{t}") < F.lit(off), -1).otherwise(1))
-            conf = M.confusion(pr, y, "prediction")
-            m = M.summary_metrics(conf).withColumn("max_samples", F.lit(str(opt))) \
-                 .withColumn("psi", F.lit(psi)).withColumn("n_trees", F.lit(t))
-            results = m if results is None else results.unionByName(m)
+        cols = [f"score_{t}" for t in tree_options]
+        # Scores feed several passes (offsets, metrics): compute them once.
+        tr = score(model, train.select(key, *model.features), tree_counts=tree_options) \
+            .select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+        va = score(model, val.select(key, y, *model.features), tree_counts=tree_options) \
+            .select(y, *cols).persist(StorageLevel.MEMORY_AND_DISK)
+        offsets = exact_quantiles(tr, cols, [contamination_rate])
+        preds = va.select(y, *[F.when(F.col(f"score_{t}") < F.lit(offsets[f"score_{t}"][0]), -1).otherwise(1)
+                               .alias(f"p_{t}") for t in tree_options])
+        # One confusion table for every tree count (grouped), not one job each.
+        long = preds.select(y, F.explode(F.array(*[F.struct(F.lit(t).alias("n_trees"), F.col(f"p_{t}").alias("prediction"))
+                                                   for t in tree_options])).alias("_p")) \
+                    .select(y, "_p.n_trees", "_p.prediction")
+        conf = M.confusion(long, y, "prediction", group=["n_trees"])
+        m = (M.summary_metrics(conf, ["n_trees"]).withColumn("max_samples", F.lit(str(opt)))
+             .withColumn("psi", F.lit(psi)))
+        m = m.select("max_samples", "psi", "n_trees", "accuracy", "n", "precision_macro", "recall_macro",
+                     "f1_macro").toPandas()   # <= len(tree_options) rows
+        rows.extend(m.itertuples(index=False, name=None))
+        tr.unpersist()
+        va.unpersist()
+    spark = train.sparkSession
+    res = spark.createDataFrame(rows, "max_samples string, psi int, n_trees int, accuracy double, n long, "
+                                      "precision_macro double, recall_macro double, f1_macro double")
     w = Window.orderBy(F.desc("f1_macro"), F.asc("psi"), F.asc("n_trees"))
-    return results.withColumn("rank", F.row_number().over(w))
+    return res.withColumn("rank", F.row_number().over(w))

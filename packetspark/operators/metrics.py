@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetspark import schema as S
 from packetspark.functions.mapping import class_name
@@ -35,17 +36,32 @@ def _join_on(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction",
               group: Sequence[str] = ()) -> DataFrame:
     """Long-form confusion ``(group..., label, prediction, n)`` over the
-    full grid of the union of true and predicted labels (zeros included)."""
+    full grid of the union of true and predicted labels (zeros included).
+
+    The counting is one distributed aggregate with map-side partial
+    aggregation.  Its result has at most ``groups x classes^2`` rows, so it is
+    materialised as a small local table: every metric below reads it several
+    times, and re-planning the aggregate each time costs more than the data."""
     group = list(group)
     counts = df.groupBy(*group, F.col(label).alias("label"),
                         F.col(prediction).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
-    labs = (counts.select(*group, F.array("label", "prediction").alias("_l"))
-                  .select(*group, F.explode("_l").alias("_c"))
-                  .groupBy(*group).agg(F.array_sort(F.collect_set("_c")).alias("_labels")))
-    grid = (labs.select(*group, F.explode("_labels").alias("label"), "_labels")
-                .select(*group, "label", F.explode("_labels").alias("prediction")))
-    return (grid.join(counts, group + ["label", "prediction"], "left")
-                .withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("bigint")))
+    rows = counts.collect()   # bounded: groups x classes^2
+    by_group: dict = {}
+    for r in rows:
+        g = tuple(r[c] for c in group)
+        by_group.setdefault(g, {})[(r["label"], r["prediction"])] = r["n"]
+    out = []
+    order = lambda v: (v is None, v)
+    for g, cells in by_group.items():
+        labs = sorted({a for a, _ in cells} | {b for _, b in cells}, key=order)
+        for a in labs:
+            for b in labs:
+                out.append((*g, a, b, int(cells.get((a, b), 0))))
+    schema = T.StructType([*[counts.schema[c] for c in group],
+                           T.StructField("label", counts.schema["label"].dataType),
+                           T.StructField("prediction", counts.schema["prediction"].dataType),
+                           T.StructField("n", T.LongType(), False)])
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def confusion_wide(conf: DataFrame, labels: Sequence[int], group: Sequence[str] = ()) -> DataFrame:

@@ -109,14 +109,19 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             (small if m <= max_candidates else large).append((i, key, (below, m)))
         # Resolve small brackets: sort the bounded candidate set.
         if small:
+            # One bounded candidate list per distinct (column, bracket): ranks
+            # sharing a bracket (always so for small columns) share the list.
+            uniq = {}
+            for _, (c, k), _bm in small:
+                uniq.setdefault((c, *brackets[(c, k)]), len(uniq))
             aggs = []
-            for j, (i, (c, k), _) in enumerate(small):
-                lo, hi = brackets[(c, k)]
+            for (c, lo, hi), j in uniq.items():
                 v = vals[c]
                 aggs.append(F.sort_array(F.collect_list(
                     F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), v))).alias(f"s{j}"))
             srow = df.agg(*aggs).first()
-            for j, (i, (c, k), (below, m)) in enumerate(small):
+            for _, (c, k), (below, m) in small:
+                j = uniq[(c, *brackets[(c, k)])]
                 need[c][k] = float(srow[f"s{j}"][k - below])
                 brackets[(c, k)] = None
         # Narrow large brackets with a sketch over the bracket only.

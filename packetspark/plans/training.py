@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ class ForestRun:
 
 
 def run_forest(features: DataFrame, tuning: str | None = "randomized", n_iter: int = 10, cv: int = 5,
-               seed: int = 42, do_cv: bool = True, **fit_kw) -> ForestRun:
+               seed: int = 42, do_cv: bool = True, space: dict | None = None, **fit_kw) -> ForestRun:
     """3.2: tune -> cross-validate -> refit -> evaluate test -> importance.
 
     Validation metrics are computed on rows that were in the fit set
@@ -56,7 +57,8 @@ def run_forest(features: DataFrame, tuning: str | None = "randomized", n_iter: i
     tv = train_val(features)
     search = None
     if tuning:
-        best, search = C.search_forest(tv, method=tuning, n_iter=n_iter, cv=cv, seed=seed)
+        best, search = C.search_forest(tv, method=tuning, n_iter=n_iter, cv=cv, seed=seed,
+                                       space=space or C.SEARCH_SPACE)
         rf = best.stages[-1]
         fit_kw = dict(num_trees=rf.getNumTrees, max_depth=rf.getMaxDepth(),
                       min_instances=rf.getMinInstancesPerNode(),
@@ -80,7 +82,8 @@ class IsolationRun:
 
 def run_isolation(features: DataFrame, normal_class: int = S.NORMAL_CLASS, seed: int = 42,
                   do_search: bool = True, n_trees: int = 100, max_samples="auto",
-                  min_precision: float = 0.1) -> IsolationRun:
+                  min_precision: float = 0.1, psi_options=IF.PSI_OPTIONS,
+                  tree_options=IF.TREE_OPTIONS) -> IsolationRun:
     """3.2 (anomaly): contamination + flip -> psi / tree search -> fit ->
     threshold sweep on validation -> evaluate validation and test."""
     x = features.withColumn("y", binary_relabel(F.col(S.LABEL), normal_class))
@@ -89,22 +92,27 @@ def run_isolation(features: DataFrame, normal_class: int = S.NORMAL_CLASS, seed:
     search = None
     if do_search:
         search = IF.search(tv, split_rows(x, "validation"), "y", seed=seed,
-                           contamination_rate=cont["contamination"])
+                           contamination_rate=cont["contamination"], psi_options=psi_options,
+                           tree_options=tree_options).cache()
         best = search.where("rank = 1").first()
         n_trees, max_samples = best["n_trees"], best["psi"]
     model = IF.fit(tv, n_trees=n_trees, max_samples=max_samples, seed=seed)
-    tr_scores = IF.score(model, tv)
+    tr_scores = IF.score(model, tv.select("event_id", *model.features)).select("score") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     model.offset = IF.fit_offset(tr_scores, cont["contamination"])
+    tr_scores.unpersist()
     model.flipped = cont["flipped"]
     model.contamination = cont["contamination"]
-    val_scores = IF.score(model, split_rows(x, "validation"))
-    sweep = IF.threshold_sweep(val_scores.select("y", "score"), "y", "score", flipped=cont["flipped"],
-                               min_precision=min_precision)
+    val_scores = IF.score(model, split_rows(x, "validation")).select("y", "score") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    sweep = IF.threshold_sweep(val_scores, "y", "score", flipped=cont["flipped"],
+                               min_precision=min_precision).cache()
     sel = sweep.where("selected").first()
     model.threshold = sel["threshold"] if sel else None
 
     def ev(df):
-        p = IF.predict(IF.score(model, df), model.offset, threshold=model.threshold, flipped=model.flipped)
+        p = IF.predict(IF.score(model, df), model.offset, threshold=model.threshold, flipped=model.flipped) \
+            .select("y", "score", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
         conf = M.confusion(p.select(F.col("y").alias("label"), "prediction"))
         b = M.minmax_scale_scores(p, "score", "score_scaled").withColumn("y01", (F.col("y") == -1).cast("int"))
         return {"confusion": conf, "class_metrics": M.class_metrics(conf), "summary": M.summary_metrics(conf),

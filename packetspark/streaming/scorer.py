@@ -289,3 +289,15 @@ def tumbling_rates(df: DataFrame, width: str = "10 seconds", key: str = "device_
     return (x.groupBy(key, F.window(ts, width).alias("w"))
              .agg(F.count(F.lit(1)).alias("n"), F.avg("mqtt_payload_len").alias("mean_payload"))
              .select(key, F.unix_micros(F.col("w.start")).alias("window_start_us"), "n", "mean_payload"))
+
+
+def limit_successes(results: DataFrame, max_records: int | None, order=("us", "event_id")) -> DataFrame:
+    """R7 on a replayed (bounded) result: keep rows up to the ``max_records``-th
+    successful one in record order; failures before it are kept too, as the
+    reference counts successes only.  0 / None means no limit."""
+    if not max_records:
+        return results
+    from packetspark.operators.timeline import ordered_scan
+    ok = (F.col("status") != F.lit("bad")).cast("double")
+    x = ordered_scan(results, order=list(order), sums={"ok": ok}, prefix="_lim_")
+    return x.where(F.col("_lim_ok_before") < F.lit(float(max_records))).drop("_lim_idx", "_lim_ok_before")
