@@ -483,14 +483,16 @@ def q_rf_importance(spark, sf):
 def q_rf_search(spark, sf):
     from packetspark.operators import classify as C
     from packetspark.plans.training import train_val
-    _, res = C.search_forest(train_val(_features(spark, sf)), method="randomized", n_iter=4, cv=3)
+    # The reference grid with depth 10 and 50 / 100 trees (full grid: C.SEARCH_SPACE).
+    space = dict(C.SEARCH_SPACE, n_estimators=[50, 100], max_depth=[10])
+    _, res = C.search_forest(train_val(_features(spark, sf)), method="randomized", n_iter=4, cv=3, space=space)
     return res
 
 
 def q_rf_cv(spark, sf):
     from packetspark.operators import classify as C
     from packetspark.plans.training import train_val
-    return C.cross_validate(train_val(_features(spark, sf)), cv=3, num_trees=50)
+    return C.cross_validate(train_val(_features(spark, sf)), cv=3, num_trees=50, max_depth=10)
 
 
 def q_iforest_fit_score(spark, sf):
