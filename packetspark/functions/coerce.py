@@ -72,7 +72,7 @@ def epoch_micros(df, name: str) -> Column:
     TIMESTAMP_NTZ (read as UTC wall clock) and exact for TIMESTAMP."""
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
+        return ntz_micros(F.col(name))
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(F.col(name))
     if isinstance(dtype, T.DateType):
@@ -80,6 +80,16 @@ def epoch_micros(df, name: str) -> Column:
     return normalise_timestamp_micros(F.col(name))
 
 
+def ntz_micros(c: Column) -> Column:
+    """Wall-clock TIMESTAMP_NTZ -> epoch microseconds read as UTC, built from
+    the date and time fields so that no session time zone (or DST change)
+    takes part."""
+    day = F.unix_date(c.cast("date")).cast("bigint") * F.lit(86_400_000_000)
+    hm = (F.hour(c).cast("bigint") * 3600 + F.minute(c).cast("bigint") * 60) * F.lit(1_000_000)
+    sec = (F.date_part(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("bigint")
+    return day + hm + sec
+
+
 def normalise_timestamp_micros(c: Column) -> Column:
     """Text or number -> epoch microseconds (null when unparsable).
 
@@ -89,11 +99,7 @@ def normalise_timestamp_micros(c: Column) -> Column:
     """
     t = _text(c)
     num = t.try_cast("double")
-    parsed = F.timestamp_diff(
-        "MICROSECOND",
-        F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-        t.try_cast("timestamp_ntz"),
-    )
+    parsed = ntz_micros(t.try_cast("timestamp_ntz"))
     from_seconds = F.when(num > F.lit(1e9), (num * F.lit(1e6)).cast("bigint"))
     from_days = F.when((num <= F.lit(1e9)) & num.isNotNull(), (num * F.lit(86400e6)).cast("bigint"))
     return F.when(num.isNotNull(), F.coalesce(from_seconds, from_days)).otherwise(parsed)

@@ -40,6 +40,7 @@ def build_session(master: str | None = None, app: str = "packetspark",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -65,3 +66,24 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``packetspark`` importable on executors (pandas UDFs, grouped
+    maps and the streaming state function run there): zip the package once
+    per SparkContext and register it with ``addPyFile``, as ``--py-files``
+    would."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="packetspark-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "packetspark"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="packetspark")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)

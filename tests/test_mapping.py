@@ -33,3 +33,17 @@ def test_relabel_and_names(spark):
     rows = df.select(binary_relabel(F.col("t")).alias("y"), class_name(F.col("t")).alias("n")).collect()
     assert [r["y"] for r in rows] == [-1, 1, -1, -1]
     assert [r["n"] for r in rows] == ["bruteforce", "legitimate", "slowite", "class_9"]
+
+
+def test_ntz_micros_ignores_session_zone_and_dst(spark):
+    from packetspark.functions.coerce import ntz_micros, normalise_timestamp_micros
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([("2024-07-01 12:00:00.5",), ("1969-12-31 23:59:59",)], "s string")
+        rows = df.select(ntz_micros(F.col("s").cast("timestamp_ntz")).alias("a"),
+                         normalise_timestamp_micros(F.col("s")).alias("b")).collect()
+        assert [r["a"] for r in rows] == [1719835200500000, -1000000]
+        assert [r["b"] for r in rows] == [1719835200500000, -1000000]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
