@@ -52,3 +52,9 @@ def test_micro_recall_equals_accuracy(spark):
     acc = rep["accuracy"]["f1_score"]
     w = rep["weighted avg"]["recall"]
     assert acc == pytest.approx(w)
+
+
+def test_stream_summary(spark):
+    df = spark.createDataFrame([(3, 0.9), (1, 0.5), (3, 0.7)], "predicted_label int, confidence double")
+    r = M.stream_summary(df).first()
+    assert r["n"] == 3 and r["mean_confidence"] == pytest.approx(0.7) and list(r["labels"]) == [1, 3]
