@@ -301,3 +301,12 @@ def limit_successes(results: DataFrame, max_records: int | None, order=("us", "e
     ok = (F.col("status") != F.lit("bad")).cast("double")
     x = ordered_scan(results, order=list(order), sums={"ok": ok}, prefix="_lim_")
     return x.where(F.col("_lim_ok_before") < F.lit(float(max_records))).drop("_lim_idx", "_lim_ok_before")
+
+
+def replay(spark: SparkSession, src: str, out: str, checkpoint: str, max_records: int | None = None,
+           **score_kw) -> DataFrame:
+    """ST9 + R7: replay a folder of records through the streaming scorer with
+    ``availableNow`` and return the written results, cut after the
+    ``max_records``-th success (0 / None = all)."""
+    run_to_sink(score_stream(parse_records(read_stream(spark, src)), **score_kw), out, checkpoint)
+    return limit_successes(spark.read.parquet(out), max_records)

@@ -49,3 +49,6 @@ def test_stream_replay_cuts_and_dead_letter(spark, tmp_path):
     rows = spark.read.parquet(out2).orderBy("event_id").collect()
     assert [r["iat"] for r in rows] == pytest.approx([0, 0.5, 0.5, 0, 1, 10])
     assert [r["rolling_mean_payload_10s"] for r in rows] == pytest.approx([0, 10, 15, 10, 17.5, 50])
+    lim = SC.replay(spark, src, os.path.join(base, "r"), os.path.join(base, "ck3"), max_records=3,
+                    windows=(1, 10, 60), watermark="3650 days")
+    assert lim.where("status = 'ok'").count() == 3 and lim.where("status = 'bad'").count() == 1
