@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .mixing import op1_pareto_mix
+from .packing import op7_pack
 from .rules import op6_host_rules
+from .wavelet import op3_wavelet_corpus
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op3_wavelet_corpus": op3_wavelet_corpus,
     "op6_host_rules": op6_host_rules,
+    "op7_pack": op7_pack,
 }
