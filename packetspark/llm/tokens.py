@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 
 #: Pieces that a Python worker remembers, some 200 bytes each; when it is full it starts again.
 REMEMBERED = 1_200_000
+#: Bytes of text that are encoded together.
+TOGETHER = 12 << 20
 #: A word of Latin letters, and the marks behind it.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
@@ -53,29 +55,33 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, word: str, marks: str) -> bytes:
-        if marks not in self.marks:
-            self.marks[marks], = self._library([marks])
-        text = word if self.keeps_space else word.lower()
-        ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
-        return np.array(ids, "<u4").tobytes() + self.marks[marks]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words by the model alone: what the pipeline before it does to them is done here at once."""
+        text = "\n".join(words)
+        letters = (text if self.keeps_space else text.lower()).encode().decode("latin-1").translate(self.letters)
+        tokenize, flat, ends = self.model.tokenize, [], [0]
+        for word in letters.split(self.letters[10]):
+            flat.extend([t.id for t in tokenize(word)])
+            ends.append(4 * len(flat))
+        data = np.array(flat, "<u4").tobytes()
+        return [data[i:j] for i, j in zip(ends, ends[1:])]
 
     def _learn(self, pieces: list[str], lead: str) -> list[bytes]:
         """Ids of pieces, each behind ``lead``: a space or nothing."""
-        out, other = [b""] * len(pieces), []
+        lead = lead if self.keeps_space else ""
+        plain, marks, other = [], [], []
         for i, piece in enumerate(pieces):
-            lines = [PLAIN.fullmatch(x) for x in piece.split("\n")]  # a single line break between words is a token or nothing
-            if all(lines):
-                if self.keeps_space:
-                    first, *more = lines
-                    ids = [self._plain(lead + first[1], first[2]) if lead else self._plain(first[1], first[2])]
-                    for m in more:
-                        ids += [self._plain("\n", ""), self._plain(m[1], m[2])]
-                    out[i] = b"".join(ids)
-                else:
-                    out[i] = b"".join(self._plain(m[1], m[2]) for m in lines)
+            if m := PLAIN.fullmatch(piece):
+                plain.append((i, lead + m[1]))
+                marks.append(m[2])
             else:
                 other.append(i)
+        out = [b""] * len(pieces)
+        for mark in set(marks).difference(self.marks):
+            self.marks[mark], = self._library([mark])
+        if plain:
+            for (i, _), mark, ids in zip(plain, marks, self._words([w for _, w in plain])):
+                out[i] = ids + self.marks[mark]
         for i, ids in zip(other, self._library([lead + pieces[i] for i in other])):
             out[i] = ids
         return out
@@ -83,7 +89,20 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as unsigned 32-bit integers, offsets of the texts); a null text is empty; no special tokens."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        cuts = [0]
+        while cuts[-1] < len(texts):  # some megabytes of text at a time
+            cuts.append(cuts[-1] + max(1, int(np.searchsorted(np.cumsum(pc.binary_length(texts.slice(cuts[-1])).to_numpy()), TOGETHER, "right"))))
+        parts = [self._encode(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+        if len(parts) == 1:
+            return parts[0]
+        flat = np.concatenate([np.zeros(0, "<u4"), *[p[0] for p in parts]])
+        sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(p[1]) for p in parts]])
+        return flat, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
+        if not self.keeps_space:  # line ends and capitals make no difference: fewer distinct pieces
+            texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))  # in this order: ascii_lower needs offsets from 0
         odd = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False) if self.keeps_space else np.zeros(n, bool)
         pieces = pc.split_pattern(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, " ")
         offsets = pieces.offsets.to_numpy().astype(np.int64)

@@ -52,7 +52,7 @@ class WaveletMatrix:
             ranks.append((np.cumsum(ones) - ones).astype("<u4").tobytes())
             zeros.append(z)
             moved = np.empty_like(x)
-            moved[:z], moved[z:] = x[~one], x[one]
+            moved[:z], moved[z:] = np.compress(~one, x), np.compress(one, x)
             x = moved
         return cls(n, zeros, planes, ranks)
 
@@ -118,8 +118,8 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             z, back = self.zeros[level], np.empty_like(x)
-            back[~one] = x[:z]
-            back[one] = x[z:] | x.dtype.type(1 << bits - 1 - level)
+            back[np.flatnonzero(~one)] = x[:z]
+            back[np.flatnonzero(one)] = x[z:] | x.dtype.type(1 << bits - 1 - level)
             x = back
         return x.astype("<u4")
 
