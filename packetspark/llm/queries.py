@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import op1_pareto_mix
+from .neardup import op8_minhash
 from .packing import op7_pack
 from .rules import op6_host_rules
 from .wavelet import op3_wavelet_corpus
@@ -12,4 +13,5 @@ QUERIES = {
     "op3_wavelet_corpus": op3_wavelet_corpus,
     "op6_host_rules": op6_host_rules,
     "op7_pack": op7_pack,
+    "op8_minhash": op8_minhash,
 }
