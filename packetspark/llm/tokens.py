@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a Python worker remembers, some 200 bytes each; when it is full it starts again.
-REMEMBERED = 1_200_000
+#: Pieces that a Python worker remembers, some 70 bytes each; when it is full it starts again.
+REMEMBERED = 2_500_000
 #: Bytes of text that are encoded together.
 TOGETHER = 12 << 20
 #: A word of Latin letters, and the marks behind it.
@@ -38,6 +38,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _runs(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of a pool, one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class Encoder:
     """``keeps_space``: the vocabulary codes white space (byte-level BPE); else white space only separates words and case does not count."""
 
@@ -49,9 +55,21 @@ class Encoder:
         self.model = self.tokenizer.model
         self.keeps_space = keeps_space
         self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
+        self._forget()
         self.marks: dict[str, bytes] = {"": b""}
 
+    def _forget(self) -> None:
+        """The table: pieces, where their ids begin in the pool, how many they are, and the pool."""
+        self.known, self.pool = pa.array([], pa.large_string()), np.zeros(0, "<u4")
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _remember(self, pieces: pa.Array, ids: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        self.known = pa.concat_arrays([self.known, pieces])
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -108,27 +126,26 @@ class Encoder:
         offsets = pieces.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = pieces.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        lead = " " if self.keeps_space else ""
-        ids = list(map(self.known.get, words))
-        if missing := [i for i, x in enumerate(ids) if x is None]:
-            if len(self.known) + len(missing) > REMEMBERED:
-                self.known = {}
-            learned = self._learn([words[i] for i in missing], lead)
-            for i, x in zip(missing, learned):
-                ids[i] = self.known[words[i]] = x
+        words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        place = pc.index_in(words, value_set=self.known)
+        if place.null_count:
+            if len(self.known) + place.null_count > REMEMBERED:
+                self._forget()
+            new = words.filter(pc.is_null(place)) if len(self.known) else words
+            self._remember(new, self._learn(new.to_pylist(), " "))
+            place = pc.index_in(words, value_set=self.known)
+        place = place.to_numpy()
+        sizes = self.sizes[place].astype(np.int64)
+        pool = _runs(self.pool, self.starts[place], sizes)
         if self.keeps_space and n:  # a text's first piece has no space before it
             heads = pc.dictionary_encode(pieces.flatten().take(pa.array(offsets[:-1])))
-            first = heads.dictionary.to_pylist()
-            codes[offsets[:-1]] = heads.indices.to_numpy() + len(ids)
-            ids += self._learn(first, "")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool = np.frombuffer(b"".join(ids), "<u4")
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[codes]
+            codes[offsets[:-1]] = heads.indices.to_numpy() + len(sizes)
+            first = self._learn(heads.dictionary.to_pylist(), "")
+            sizes = np.concatenate([sizes, np.fromiter(map(len, first), np.int64, len(first)) // 4])
+            pool = np.concatenate([pool, np.frombuffer(b"".join(first), "<u4")])
+        starts, each = np.cumsum(sizes) - sizes, sizes[codes]
         ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = pool[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)]
+        flat = _runs(pool, starts[codes], each)
         bounds = np.concatenate([[0], ends])[offsets]
         if odd.any():  # runs of spaces are tokens of their own: such texts go to the library whole
             own = {i: np.frombuffer(x, "<u4") for i, x in zip(np.flatnonzero(odd).tolist(), self._library(texts.filter(pa.array(odd)).to_pylist()))}
