@@ -5,11 +5,13 @@ from __future__ import annotations
 from .mixing import op1_pareto_mix
 from .neardup import op8_minhash
 from .packing import op7_pack
+from .quality import op2_bayes_quality
 from .rules import op6_host_rules
 from .wavelet import op3_wavelet_corpus
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_bayes_quality": op2_bayes_quality,
     "op3_wavelet_corpus": op3_wavelet_corpus,
     "op6_host_rules": op6_host_rules,
     "op7_pack": op7_pack,
