@@ -35,6 +35,11 @@ def words_of(column: Column) -> Column:
     return F.array_remove(F.split(text_of(column), f"{WHITE_CLASS}+"), "")
 
 
+def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
+    """Bound the bytes of a batch of rows on its way to Python; rows of whole texts or sets would else fill an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that all executors share."""
     return f"{checkpoint_dir(spark).rstrip('/')}/packetspark-{name}-{uuid.uuid4().hex}"

@@ -17,6 +17,8 @@ lies is sorted row by row.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,46 +74,86 @@ def _class_rates(classes: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
             F.least(F.lit(float(cap)), F.greatest(F.col("fits"), F.lit(0.0)) * F.col("class"))).alias("copies"))
 
 
+class Plan(NamedTuple):
+    """What decides over documents: a row per (source, class) with the expected copies, and a row per source with the cut."""
+    rates: DataFrame
+    cuts: DataFrame
+
+
+def _class() -> Column:
+    return F.length(F.bin("size"))
+
+
+def _drawn(sized: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """Rows with doc_id, source and size -> + certain copies, the order variable q of the rest and its bucket."""
+    r = rates.select(F.col("source").alias("_source"), F.col("class").alias("_class"), "copies")
+    part = F.col("copies") - F.col("certain")
+    q = F.col("_u") / (1 - F.col("_u")) * (1 - F.col("p")) / F.col("p")
+    bucket = F.least(F.lit(BUCKETS - 1), F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS)).cast("int")
+    return (sized.join(r, F.col("source").eqNullSafe(F.col("_source")) & (_class() == F.col("_class"))).drop("_source", "_class")
+            .withColumn("certain", F.floor("copies").cast("long")).withColumn("p", F.when(part > 1e-12, part)).drop("copies")
+            .withColumn("_u", F.when(F.col("p").isNotNull(), unit_draw(seed, F.col("doc_id"), F.col("size")))).withColumn("q", q)
+            .withColumn("bucket", F.when(F.col("p").isNotNull(), bucket)).drop("_u"))
+
+
+def plan(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> Plan:
+    """From (doc_id, source, size) of all documents, a written table that is read a few times."""
+    classes = cut(slim.groupBy("source", _class().alias("class")).agg(F.sum("size").alias("words")), "mix-classes")
+    targets = cut(source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap), "mix-targets")
+    rates = cut(_class_rates(classes, targets, cap), "mix-rates")
+    drawn = _drawn(slim, rates, seed)
+    buckets = drawn.groupBy("source", "bucket").agg(F.sum(F.when(F.col("p").isNotNull(), F.col("size"))).alias("words"), F.sum(F.col("size") * F.col("certain")).alias("whole"))
+    t = targets.select(F.col("source").alias("_source"), "target")
+    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edges = (buckets.join(t, F.col("source").eqNullSafe(F.col("_source"))).withColumn("left", F.col("target") - F.sum("whole").over(Window.partitionBy("source")))
+             .where("bucket is not null").withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))))
+    # the last bucket that begins before the words left run out: those below are taken whole, those above not at all
+    last = cut(edges.groupBy("source").agg(F.max(F.when(F.col("before") < F.col("left"), F.struct("bucket", "before", "left"))).alias("e")).where("e is not null").select(
+        F.col("source").alias("_source"), F.col("e.bucket").alias("edge"), F.col("e.before").alias("before"), F.col("e.left").alias("left")), "mix-edges")
+    inside = drawn.join(last, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("edge")))
+    order = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("left")
+    final = inside.withColumn("taken", taken).where("taken").groupBy("source").agg(F.max(F.struct("q", "doc_id", "size")).alias("last")).withColumnRenamed("source", "_inner")
+    cuts = targets.join(last.drop("before", "left"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").join(
+        final, F.col("source").eqNullSafe(F.col("_inner")), "left").drop("_inner")
+    return Plan(rates, cut(cuts, "mix-cuts"))
+
+
+def draw(sized: DataFrame, plan: Plan, seed: int = SEED) -> DataFrame:
+    """Rows with doc_id, source and size, and any other columns -> + source_size, target, copies.  Nothing is shuffled but the plan."""
+    c = plan.cuts.select(F.col("source").alias("_source"), "source_size", "target", "edge", "last")
+    here = F.struct("q", "doc_id", "size") <= F.col("last")
+    extra = F.coalesce((F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & here), F.lit(False)).cast("long")
+    return _drawn(sized, plan.rates, seed).join(c, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", F.col("certain") + extra).drop(
+        "_source", "certain", "p", "q", "bucket", "edge", "last")
+
+
+def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                       (F.size(words_of(F.col(text_col))).cast("long") if size is None else size.cast("long")).alias("size"))
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
         share: float = SHARE, cap: int = CAP, seed: int = SEED, size: Column | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
     ``size``: words of the text unless another size is given; a null text has 0 words, and a document without words
     takes 0 words whatever its copies.  A null source is a source of its own, last by name.  Repeated rows are separate
-    documents; rows alike in id, size and source are interchangeable.  An empty table gives an empty result.  Reruns
-    agree: draws depend on ids and sizes alone.
+    documents; rows alike in id, size and source are taken alike, which moves the cut by no more than their words.  An empty
+    table gives an empty result; other columns are not read.  Reruns agree: draws depend on ids and sizes alone.
     """
-    slim = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                           (F.size(words_of(F.col(text_col))).cast("long") if size is None else size.cast("long")).alias("size")), "mix-sizes")
-    slim = slim.withColumn("class", F.length(F.bin("size")))
-    classes = cut(slim.groupBy("source", "class").agg(F.sum("size").alias("words")), "mix-classes")
-    targets = cut(source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap), "mix-targets")
-    rates = cut(_class_rates(classes, targets, cap), "mix-rates")
-    u = unit_draw(seed, F.col("doc_id"), F.col("size"))
-    part = F.col("copies") - F.col("certain")
-    drawn = (slim.alias("s").join(rates.alias("r"), F.col("s.source").eqNullSafe(F.col("r.source")) & (F.col("s.class") == F.col("r.class")))
-             .select("s.doc_id", "s.source", "s.size", "r.target", "r.copies").withColumn("certain", F.floor("copies").cast("long"))
-             .withColumn("p", F.when(part > 1e-12, part)).withColumn("u", F.when(F.col("p").isNotNull(), u))
-             .withColumn("q", F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p"))
-             .withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS)).cast("int"))
-             .withColumn("bucket", F.when(F.col("p").isNotNull(), F.col("bucket"))))
-    buckets = drawn.groupBy("source", "bucket").agg(F.sum(F.when(F.col("p").isNotNull(), F.col("size"))).alias("words"),
-                                                    F.sum(F.col("size") * F.col("certain")).alias("whole"), F.max("target").alias("target"))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edges = (buckets.withColumn("left", F.col("target") - F.sum("whole").over(Window.partitionBy("source"))).where("bucket is not null")
-             .withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))))
-    # the last bucket that begins before the words left run out: those below are taken whole, those above not at all
-    last = edges.groupBy("source").agg(F.max(F.when(F.col("before") < F.col("left"), F.struct("bucket", "before", "left"))).alias("e"))
-    marks = cut(targets.alias("t").join(last.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left").select(
-        "t.source", "t.source_size", F.coalesce("l.e.bucket", F.lit(-1)).alias("edge"), F.col("l.e.before").alias("before"), F.col("l.e.left").alias("left")), "mix-marks")
-    placed = drawn.alias("d").join(marks.alias("m"), F.col("d.source").eqNullSafe(F.col("m.source"))).select("d.*", "m.source_size", "m.edge", "m.before", "m.left")
-    at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
-    order = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = placed.where(at_edge).withColumn("run", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))).withColumn(
-        "extra", (F.col("run") + F.col("size") / 2 <= F.col("left")).cast("long"))
-    outside = placed.where(~at_edge).withColumn("extra", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)).cast("long"))
-    keep = ["doc_id", "source", "size", "source_size", "target", (F.col("certain") + F.col("extra")).alias("copies")]
-    return inside.select(*keep).unionByName(outside.select(*keep)).withColumn("taken", F.col("size") * F.col("copies"))
+    slim = cut(sizes_of(docs, id_col, text_col, source_col, size), "mix-sizes")
+    return draw(slim, plan(slim, weights, share, cap, seed), seed).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """``docs`` (with doc_id, text and source) with every row as often as the mix takes it.  No text is shuffled."""
+    columns = docs.columns
+    slim = cut(sizes_of(docs), "mix-sizes")
+    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")).select(
+        "_row", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.source").cast("string").alias("source"), F.size(words_of(F.col("_row.text"))).cast("long").alias("size"))
+    taken = draw(one, plan(slim, seed=seed), seed).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"_row.`{c}`") for c in columns])
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, table, words_of
+from .common import ascii_lower, bounded_batches, cut, table, words_of
 from .components import components
 
 #: Fixed values of the registered query: words in a shingle and the least similarity in per cent.
@@ -33,11 +33,11 @@ COLLECTIONS, HASHES = 18, 3
 #: Members that are compared with one copy of a centre's set; a centre with more is copied.
 MEMBERS = 2_000
 #: Rows of a bucket that are compared with each other in one task; larger buckets are cut into pairs of blocks.
-BLOCK = 1_024
+BLOCK = 512
 #: Smallest shingle hashes that stand for a set, and the standard deviations that an estimate from them may fall below
-#: the least similarity (passed over: 1 in 10 million).
-SKETCH = 256
-DEVIATIONS = 5.5
+#: the least similarity (passed over: 3 in 100,000 at that similarity).
+SKETCH = 512
+DEVIATIONS = 4.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,7 +66,7 @@ def shingle_sets(words: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(rolled[a:b - k + 1]))
         elif b > a:
-            short = np.uint64(b - a) * weight[k] + sum(flat[a + i:a + i + 1] * weight[i] for i in range(b - a))
+            short = np.array([b - a], np.uint64) * weight[k] + sum(flat[a + i:a + i + 1] * weight[i] for i in range(b - a))
             out.append(_finish(short + np.uint64(1)))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     document, whatever their texts.  A null id is linked with nothing, has a null component and is kept.  Copies are one
     node; equal links repeat nothing.  An empty table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     ided = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = cut(ided.select("doc_id", _word_hashes(F.col("text")).alias("words")).mapInArrow(
         _sketch(shingle, collections, hashes), "doc_id long, n_shingles long, set_key binary, keys array<long>"), "near-sketches")
@@ -277,5 +277,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, *, shingle: int = 5, similarity: int = SIMILARITY) -> DataFrame:
+    """``docs`` (with doc_id and text) with one document of each near-duplicate group: that with the smallest id.
+
+    Of rows with equal ids one stays, that with the smallest hash of its text; rows without an id stay.
+    """
+    kept = near_duplicates(docs, shingle=shingle, similarity=similarity).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    chosen = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.min_by(F.struct(*columns), F.xxhash64("text")).alias("_row")).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
+    return chosen.unionByName(docs.where("doc_id is null"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

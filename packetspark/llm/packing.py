@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded_batches, cut, table
 from .tokens import encoder, vocabulary
 
 #: Tokens in a sequence, and the id that ends a document.
@@ -152,6 +152,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     A null text counts as empty and gives a piece with the end id alone; a null id stays null; rows with the same id are
     separate documents; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     pieces = cut(pieces_of(docs, path or vocabulary("byte_bpe_50k.json"), id_col, text_col), "pack-pieces")
     return pack(pieces)
 

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import cut, table
+from .common import bounded_batches, cut, table
 
 #: The classifier is fitted on at most so many labelled documents, drawn by the hash of their ids: features on three quarters
 #: of them, the evidence of a score on the others.
@@ -95,10 +96,10 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                                          names=["feature", "bad", "docs"])
 
 
-def _scores(weights: dict[str, float]):
+def _scores(weights: dict[str, float], keep_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [c for c in batch.schema.names if c != "text"]
+            kept = [c for c in batch.schema.names if keep_text or c != "text"]
             out = [score(data, words, distinct, weights) for _, data, words, distinct in _texts(batch)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.float64())], names=[*kept, "score"])
     return run
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return Model(weights, [max(evidence[:c + 1]) if max(evidence[:c + 1]) > -math.inf else 0.0 for c in range(len(evidence))])  # a higher score is never less evidence
 
 
-def _strength(groups: DataFrame, by: str, mean: Column) -> float:
+def _strength(groups: DataFrame, mean: Column) -> float:
     """Strength of the beta prior around ``mean`` (the level above) from the spread of the groups' rates beyond chance."""
     chance = mean * (1 - mean)
     row = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(chance).alias("noise"), F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - mean, 2)).alias("spread"),
@@ -163,31 +164,65 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: Column | None = None,
     count each; an empty table gives an empty result, and without labels of both kinds there is no evidence and every
     site has the same rate.  Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     host = F.col("source").cast("string") if host is None else host
     path = F.col("lang").cast("string") if path is None else path
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), host.alias("host"), path.alias("path"))
-    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), bad.alias("bad")).groupBy("doc_id").agg(F.max("bad").alias("bad"))
+    known = known_labels(labels)
     model = fit(slim, known, fit_rows) if model is None else model
-    scored = slim.select("doc_id", "host", "path", "text").mapInArrow(_scores(model.weights), "doc_id long, host string, path string, score double")
-    scored = cut(scored.withColumn("evidence", F.element_at(F.array(*map(F.lit, model.evidence)), _class(F.col("score")) + 1)), "quality-evidence")
+    scored = cut(_evidence(slim.select("doc_id", "host", "path", "text"), model, False), "quality-evidence")
+    return _judged(scored, site_rates(scored, known)).withColumn("kept", F.col("p_bad") <= reject).drop("score")
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id -> bad (1, 0 or null), the worst of several labels."""
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), bad.alias("bad")).groupBy("doc_id").agg(F.max("bad").alias("bad"))
+
+
+def _evidence(rows: DataFrame, model: Model, keep_text: bool) -> DataFrame:
+    """Rows with a text -> + score and evidence."""
+    kind = StructType([f for f in rows.schema.fields if keep_text or f.name != "text"]).add("score", "double")
+    scored = rows.mapInArrow(_scores(model.weights, keep_text), kind)
+    return scored.withColumn("evidence", F.element_at(F.array(*map(F.lit, model.evidence)), _class(F.col("score")) + 1))
+
+
+def site_rates(scored: DataFrame, known: DataFrame) -> DataFrame:
+    """host, path -> host_rate, path_rate: bad shares shrunk level by level.
+
+    Every document counts for its site: by its label, or else by its own evidence.
+    """
     all_known = scored.join(known, "doc_id").agg(F.sum("bad").alias("bad"), F.count("bad").alias("n")).first()
     start = ((all_known["bad"] or 0) + 1) / ((all_known["n"] or 0) + 2)
-    # every document counts for its site: by its label, or else by its own evidence
     own = 1 / (1 + F.exp(-(F.col("evidence") + math.log(start / (1 - start)))))
     paths = cut(scored.join(known, "doc_id", "left").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("bad").cast("double"), own)).alias("bad")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     mean = F.lit((total["bad"] or 0.0) / (total["n"] or 1))
-    above = _strength(hosts, "host", mean)
+    above = _strength(hosts, mean)
     hosts = hosts.select(F.col("host").alias("_host"), ((F.col("bad") + above * mean) / (F.col("n") + above)).alias("host_rate"))
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    within = _strength(paths, "path", F.col("host_rate"))
-    rates = cut(paths.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_rate",
-                             ((F.col("bad") + within * F.col("host_rate")) / (F.col("n") + within)).alias("path_rate")), "quality-rates")
+    within = _strength(paths, F.col("host_rate"))
+    return cut(paths.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_rate",
+                            ((F.col("bad") + within * F.col("host_rate")) / (F.col("n") + within)).alias("path_rate")), "quality-rates")
+
+
+def _judged(scored: DataFrame, rates: DataFrame) -> DataFrame:
     prior = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col("path_rate")))
     joined = scored.join(rates, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))).drop("_host", "_path")
-    return joined.withColumn("p_bad", 1 / (1 + F.exp(-(F.col("evidence") + F.log(prior / (1 - prior)))))).withColumn("kept", F.col("p_bad") <= reject)
+    return joined.withColumn("p_bad", 1 / (1 + F.exp(-(F.col("evidence") + F.log(prior / (1 - prior))))))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, reject: float = REJECT, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` (with doc_id, text, source and lang) without those that ``classify`` rejects.  No text is shuffled: texts are scored where they lie."""
+    bounded_batches(docs.sparkSession)
+    columns, known = docs.columns, known_labels(labels)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")).select(
+        "_row", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.text").cast("string").alias("text"), F.col("_row.source").cast("string").alias("host"), F.col("_row.lang").cast("string").alias("path"))
+    model = fit(rows.select("doc_id", "text"), known, fit_rows)
+    scored = cut(_evidence(rows.select("doc_id", "host", "path", "text"), model, False), "quality-evidence")
+    again = _evidence(rows.select("_row", "host", "path", "text"), model, False)
+    return _judged(again, site_rates(scored, known)).where(F.col("p_bad") <= reject).select(*[F.col(f"_row.`{c}`") for c in columns])
 
 
 def op2_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .mixing import op1_pareto_mix
 from .neardup import op8_minhash
 from .packing import op7_pack
+from .pii import op10_weak_pii
 from .quality import op2_bayes_quality
 from .rules import op6_host_rules
 from .wavelet import op3_wavelet_corpus
@@ -16,4 +17,5 @@ QUERIES = {
     "op6_host_rules": op6_host_rules,
     "op7_pack": op7_pack,
     "op8_minhash": op8_minhash,
+    "op10_weak_pii": op10_weak_pii,
 }

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import bounded_batches, shared_path, table
 from .tokens import encoder, vocabulary
 
 #: Fixed value: the id that ends a document.
@@ -161,6 +161,7 @@ def write_corpus(docs: DataFrame, out: str, path: str | None = None, id_col: str
     orders the corpus.  A null text is empty and leaves its end id; documents with equal ids follow each other in the
     order of their texts' hashes; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
     parts = slim.repartitionByRange(*order).sortWithinPartitions(*order)
