@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a Python worker remembers, some 70 bytes each; when it is full it starts again.
-REMEMBERED = 2_500_000
+REMEMBERED = 1_800_000
 #: Bytes of text that are encoded together.
-TOGETHER = 12 << 20
+TOGETHER = 6 << 20
 #: A word of Latin letters, and the marks behind it.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
@@ -110,7 +110,10 @@ class Encoder:
         cuts = [0]
         while cuts[-1] < len(texts):  # some megabytes of text at a time
             cuts.append(cuts[-1] + max(1, int(np.searchsorted(np.cumsum(pc.binary_length(texts.slice(cuts[-1])).to_numpy()), TOGETHER, "right"))))
-        parts = [self._encode(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+        parts = []
+        for a, b in zip(cuts, cuts[1:]):
+            parts.append(self._encode(texts.slice(a, b - a)))
+            pa.default_memory_pool().release_unused()  # else Arrow keeps several times the table's size
         if len(parts) == 1:
             return parts[0]
         flat = np.concatenate([np.zeros(0, "<u4"), *[p[0] for p in parts]])
