@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op4_learned_partitions
 from .mixing import op1_pareto_mix
 from .neardup import op8_minhash
 from .packing import op7_pack
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_bayes_quality": op2_bayes_quality,
     "op3_wavelet_corpus": op3_wavelet_corpus,
+    "op4_learned_partitions": op4_learned_partitions,
     "op6_host_rules": op6_host_rules,
     "op7_pack": op7_pack,
     "op8_minhash": op8_minhash,
