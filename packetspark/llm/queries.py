@@ -9,6 +9,7 @@ from .packing import op7_pack
 from .pii import op10_weak_pii
 from .quality import op2_bayes_quality
 from .rules import op6_host_rules
+from .suffixtree import op5_suffix_tree
 from .wavelet import op3_wavelet_corpus
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_bayes_quality": op2_bayes_quality,
     "op3_wavelet_corpus": op3_wavelet_corpus,
     "op4_learned_partitions": op4_learned_partitions,
+    "op5_suffix_tree": op5_suffix_tree,
     "op6_host_rules": op6_host_rules,
     "op7_pack": op7_pack,
     "op8_minhash": op8_minhash,
