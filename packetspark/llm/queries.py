@@ -8,6 +8,7 @@ from .neardup import op8_minhash
 from .packing import op7_pack
 from .pii import op10_weak_pii
 from .quality import op2_bayes_quality
+from .repeats import op9_repeated_passages
 from .rules import op6_host_rules
 from .suffixtree import op5_suffix_tree
 from .wavelet import op3_wavelet_corpus
@@ -21,5 +22,6 @@ QUERIES = {
     "op6_host_rules": op6_host_rules,
     "op7_pack": op7_pack,
     "op8_minhash": op8_minhash,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_weak_pii": op10_weak_pii,
 }
