@@ -231,7 +231,7 @@ def grow(encoded: DataFrame, words: Words, depth: int = DEPTH) -> list[Level]:
             break
         symbol_keys.append(keys)
         entries = cut(training.mapInArrow(_count_entries(symbol_keys, k), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")), "pst-entries")
-        totals = entries.groupBy(F.floor(F.col("entry") / k).cast("long").alias("context")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).toPandas()  # a row per context
+        totals = entries.groupBy(F.expr(f"entry div {k}").alias("context")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).toPandas()  # a row per context
         many = entries.where(F.col("n") >= max(1.0, ENTRY_SHARE * words.total)).toPandas().sort_values("entry")  # at most 1 / ENTRY_SHARE rows
         n, kinds = np.zeros(len(keys)), np.ones(len(keys))
         n[totals["context"]], kinds[totals["context"]] = totals["n"], totals["kinds"]
@@ -242,7 +242,7 @@ def grow(encoded: DataFrame, words: Words, depth: int = DEPTH) -> list[Level]:
         parent = _probabilities(symbol, suffix, root, levels)
         shown, parent_shown = np.bincount(context, c, len(keys)), np.minimum(1 - 1e-12, np.bincount(context, parent, len(keys)))
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.bincount(context, c * np.log(c / n[context] / parent), len(keys))
+            gain = np.bincount(context, c * np.log(c / n[context] / parent), len(keys)).astype(float)
             rest = n - shown
             gain += np.where(rest > 0, rest * np.log(rest / n / (1 - parent_shown)), 0.0)
             kept = np.nan_to_num(gain) > 0.5 * kinds * np.log(np.maximum(n, 2))
