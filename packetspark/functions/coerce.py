@@ -12,6 +12,17 @@ def _text(c: Column) -> Column:
     return F.trim(c.cast("string"))
 
 
+def _to_long(v: Column) -> Column:
+    """DOUBLE -> BIGINT, truncated; null for NaN, infinities and what does not fit."""
+    return F.when((v >= F.lit(-9.2e18)) & (v <= F.lit(9.2e18)), v).try_cast("bigint")
+
+
+def _hex_value(t: Column, kind: str) -> Column:
+    """Value of ``0x..`` text; null beyond 64 bits, where ``conv`` would fail."""
+    digits = F.regexp_replace(F.substring(t, 3, 1 << 20), "^0+(?=.)", "")
+    return F.when(t.rlike(HEX_RE) & (F.length(digits) <= 16), F.conv(F.substring(digits, 1, 16), 16, 10)).try_cast(kind)
+
+
 def to_number(c: Column, default: float | None = 0.0) -> Column:
     """S3: numeric text -> DOUBLE, anything else -> ``default``."""
     v = _text(c).try_cast("double")
@@ -23,7 +34,7 @@ def to_int(c: Column, default: int = 0) -> Column:
 
     ``cast('bigint')`` truncates toward zero like ``astype(int)``.
     """
-    return F.coalesce(_text(c).try_cast("double").cast("bigint"), F.lit(default).cast("bigint"))
+    return F.coalesce(_to_long(_text(c).try_cast("double")), F.lit(default).cast("bigint"))
 
 
 def hex_int(c: Column, default: int = 0, hex_mode: str = "parse") -> Column:
@@ -34,10 +45,9 @@ def hex_int(c: Column, default: int = 0, hex_mode: str = "parse") -> Column:
     read as a number and truncated; failures give ``default``.
     """
     t = _text(c)
-    numeric = t.try_cast("double").cast("bigint")
+    numeric = _to_long(t.try_cast("double"))
     if hex_mode == "parse":
-        hexval = F.conv(F.substring(t, 3, 64), 16, 10).try_cast("bigint")
-        v = F.when(t.rlike(HEX_RE), hexval).otherwise(numeric)
+        v = F.when(t.rlike(HEX_RE), _hex_value(t, "bigint")).otherwise(numeric)
     elif hex_mode == "zero":
         v = numeric
     else:
@@ -50,8 +60,7 @@ def hex_float(c: Column, default: float = 0.0, hex_mode: str = "parse") -> Colum
     t = _text(c)
     numeric = t.try_cast("double")
     if hex_mode == "parse":
-        hexval = F.conv(F.substring(t, 3, 64), 16, 10).try_cast("double")
-        v = F.when(t.rlike(HEX_RE), hexval).otherwise(numeric)
+        v = F.when(t.rlike(HEX_RE), _hex_value(t, "double")).otherwise(numeric)
     else:
         v = numeric
     return F.coalesce(v, F.lit(float(default)))
@@ -63,7 +72,7 @@ def coerce_int_column(df, name: str, hex_mode: str = "parse", default: int = 0)
     if isinstance(dtype, T.StringType):
         return hex_int(F.col(name), default, hex_mode)
     if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return F.coalesce(F.col(name).cast("bigint"), F.lit(default).cast("bigint"))
+        return F.coalesce(_to_long(F.col(name).cast("double")), F.lit(default).cast("bigint"))
     return F.coalesce(F.col(name).cast("bigint"), F.lit(default).cast("bigint"))
 
 
@@ -77,7 +86,7 @@ def epoch_micros(df, name: str) -> Column:
         return F.unix_micros(F.col(name))
     if isinstance(dtype, T.DateType):
         return F.unix_micros(F.col(name).cast("timestamp"))
-    return normalise_timestamp_micros(F.col(name))
+    return normalise_timestamp_micros(F.col(name), days=isinstance(dtype, T.NumericType))
 
 
 def ntz_micros(c: Column) -> Column:
@@ -90,16 +99,19 @@ def ntz_micros(c: Column) -> Column:
     return day + hm + sec
 
 
-def normalise_timestamp_micros(c: Column) -> Column:
+def normalise_timestamp_micros(c: Column, days: bool = False) -> Column:
     """Text or number -> epoch microseconds (null when unparsable).
 
     * text that parses as a datetime (read as UTC wall clock);
     * a number > 1e9 is epoch seconds;
-    * a smaller positive number is a count of days since the epoch.
+    * with ``days`` (a numeric column), a smaller number counts days since the
+      epoch; small numbers in text are no timestamps.
+
+    Numbers beyond the range of microseconds are unparsable too.
     """
     t = _text(c)
     num = t.try_cast("double")
     parsed = ntz_micros(t.try_cast("timestamp_ntz"))
-    from_seconds = F.when(num > F.lit(1e9), (num * F.lit(1e6)).cast("bigint"))
-    from_days = F.when((num <= F.lit(1e9)) & num.isNotNull(), (num * F.lit(86400e6)).cast("bigint"))
+    from_seconds = F.when(num > F.lit(1e9), _to_long(num * F.lit(1e6)))
+    from_days = F.when(num <= F.lit(1e9), _to_long(num * F.lit(86400e6))) if days else F.lit(None).cast("bigint")
     return F.when(num.isNotNull(), F.coalesce(from_seconds, from_days)).otherwise(parsed)

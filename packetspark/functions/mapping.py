@@ -46,7 +46,12 @@ def map_features(df: DataFrame, hex_mode: str = "parse") -> DataFrame:
 
 
 def ml_projection(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """M8: keep the fixed feature list (those present) + label + extras."""
+    """M8: keep the fixed feature list (those present) + label + extras.
+
+    The label counts in any case (``Target``) and is named ``S.LABEL`` after."""
+    for c in df.columns:
+        if c.lower() == S.LABEL.lower() and S.LABEL not in df.columns:
+            df = df.withColumnRenamed(c, S.LABEL)
     keep = [c for c in S.FEATURES + [S.LABEL] if c in df.columns]
     keep += [c for c in (extra or []) if c in df.columns and c not in keep]
     return df.select(*keep)

@@ -56,13 +56,14 @@ def c_factor(n) -> np.ndarray:
 
 # ---------------------------------------------------------------- A1
 
-def contamination(df: DataFrame, y: str = "y") -> dict:
+def contamination(df: DataFrame, y: str = "y", flip: bool = True) -> dict:
     """A1: anomaly share (y == -1); above 0.5 the labels are flipped and the
-    normal share is used."""
+    normal share is used.  Without ``flip`` (standalone use) the share is
+    capped at 0.5 instead."""
     r = df.agg(F.avg((F.col(y) == -1).cast("double")).alias("a"), F.count(F.lit(1)).alias("n")).first()
     a = float(r["a"] or 0.0)
-    flipped = a > 0.5
-    return {"anomaly_rate": a, "flipped": flipped, "contamination": (1.0 - a) if flipped else a, "n": r["n"]}
+    flipped = flip and a > 0.5
+    return {"anomaly_rate": a, "flipped": flipped, "contamination": (1.0 - a) if flipped else min(a, 0.5), "n": r["n"]}
 
 
 # ---------------------------------------------------------------- A2
@@ -329,9 +330,12 @@ def threshold_sweep(scores: DataFrame, y: str = "y", col: str = "score", flipped
 
 def search(train: DataFrame, val: DataFrame, y: str = "y", features: Sequence[str] = S.FEATURES,
            psi_options=PSI_OPTIONS, tree_options=TREE_OPTIONS, seed: int = 42,
-           contamination_rate: float = 0.1, key: str = "event_id") -> DataFrame:
+           contamination_rate: float = 0.1, key: str = "event_id", flipped: bool = False) -> DataFrame:
     """One forest of max(trees) per psi; prefixes give the smaller tree
-    counts.  Validation macro F1 per (psi, trees); first best wins."""
+    counts.  Validation macro F1 per (psi, trees); first best wins.  With
+    ``flipped`` labels the predictions are swapped back before the metrics, as
+    ``predict`` does (A8)."""
+    anomaly = 1 if flipped else -1
     n = train.count()
     seen, rows = set(), []
     for opt in psi_options:
@@ -347,7 +351,7 @@ def search(train: DataFrame, val: DataFrame, y: str = "y", features: Sequence[st
         va = score(model, val.select(key, y, *model.features), tree_counts=tree_options) \
             .select(y, *cols).persist(StorageLevel.MEMORY_AND_DISK)
         offsets = exact_quantiles(tr, cols, [contamination_rate])
-        preds = va.select(y, *[F.when(F.col(f"score_{t}") < F.lit(offsets[f"score_{t}"][0]), -1).otherwise(1)
+        preds = va.select(y, *[F.when(F.col(f"score_{t}") < F.lit(offsets[f"score_{t}"][0]), anomaly).otherwise(-anomaly)
                                .alias(f"p_{t}") for t in tree_options])
         # One confusion table for every tree count (grouped), not one job each.
         long = preds.select(y, F.explode(F.array(*[F.struct(F.lit(t).alias("n_trees"), F.col(f"p_{t}").alias("prediction"))

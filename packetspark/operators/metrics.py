@@ -111,11 +111,11 @@ def summary_metrics(conf: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 
 def binary_metrics(conf: DataFrame, positive: int = 1, group: Sequence[str] = ()) -> DataFrame:
-    """E5: precision / recall / F1 of one positive label."""
+    """E5: precision / recall / F1 of one positive label, zeros where it does not occur."""
     cm = class_metrics(conf, group)
-    return cm.where(F.col("class_label") == positive).select(
-        *group, F.col("precision").alias("precision_binary"),
-        F.col("recall").alias("recall_binary"), F.col("f1_score").alias("f1_binary"))
+    of = lambda c: F.coalesce(F.max(F.when(F.col("class_label") == positive, F.col(c))), F.lit(0.0))
+    return cm.groupBy(*group).agg(of("precision").alias("precision_binary"), of("recall").alias("recall_binary"),
+                                  of("f1_score").alias("f1_binary"))
 
 
 def classification_report(conf: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -188,9 +188,9 @@ def roc_auc(df: DataFrame, y: str = "y01", score: str = "score",
     group = list(group)
     g = _score_groups(df, y, score, group)
     g = ordered_scan(g, order=["_s"], group=group, sums={"neg": F.col("_neg")}, prefix="_r_")
-    contrib = F.col("_pos") * (F.col("_r_neg_before") + 0.5 * F.col("_neg"))
+    contrib = F.col("_pos") * (F.col("_r_neg_before") + 0.5 * F.col("_neg"))   # double
     agg = g.groupBy(*group).agg(F.sum(contrib).alias("_u"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
-    auc = F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / (F.col("_p") * F.col("_n")))
+    auc = F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / F.col("_p").cast("double") / F.col("_n").cast("double"))
     return agg.select(*group, auc.alias("roc_auc"))
 
 
@@ -210,14 +210,14 @@ def average_precision(df: DataFrame, y: str = "y01", score: str = "score",
 
 def roc_auc_ovr(df: DataFrame, label: str = "label", probability: str = "probability",
                 group: Sequence[str] = ()) -> DataFrame:
-    """One-vs-rest macro ROC-AUC over classes 0..C-1 of an array column
-    of class probabilities; null when any class has no positive or negative."""
+    """One-vs-rest macro ROC-AUC over the classes that occur as labels, of an
+    array column of class probabilities indexed by class; null when no class
+    has both positives and negatives."""
     group = list(group)
     x = df.select(*group, label, F.posexplode(probability).alias("_cls", "_p"))
     x = x.withColumn("_y", (F.col(label) == F.col("_cls")).cast("int"))
     per = roc_auc(x, "_y", "_p", group + ["_cls"])
-    return per.groupBy(*group).agg(
-        F.when(F.count_if(F.col("roc_auc").isNull()) == 0, F.avg("roc_auc")).alias("roc_auc_ovr"))
+    return per.groupBy(*group).agg(F.avg("roc_auc").alias("roc_auc_ovr"))   # null where a class never occurs
 
 
 def minmax_scale_scores(df: DataFrame, score: str = "score", out: str = "score_scaled") -> DataFrame:

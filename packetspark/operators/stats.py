@@ -4,19 +4,12 @@ Exact quantiles at scale
 ------------------------
 ``percentile`` keeps every distinct value of a group in one task, which does
 not survive a global column of a hundred terabytes.  ``exact_quantiles``
-selects the needed order statistics instead:
-
-1. one pass: ``count`` and ``percentile_approx`` at q +- delta for every
-   requested quantile (rank error <= n / accuracy),
-2. one pass: exact counts below / inside each bracket; a bracket that misses
-   its rank is widened to the open side,
-3. a bracket holding <= ``max_candidates`` values is sorted in one bounded
-   group; a larger one is narrowed again with ``percentile_approx`` restricted
-   to the bracket.
-
-Every pass is a plain aggregate with map-side partial aggregation.  The
-result equals linear-interpolation quantiles (pandas / NumPy default, DuckDB
-``quantile_cont``).
+counts each distinct value (partial aggregation, so ties collapse before the
+shuffle), range-partitions the distinct values into bounded segments and finds
+the segment of every needed rank from the segments' totals; only those
+segments are scanned.  There is one path for every size and every
+distribution.  The result equals linear-interpolation quantiles (pandas /
+NumPy default, DuckDB ``quantile_cont``).
 """
 
 from __future__ import annotations
@@ -24,12 +17,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetspark import schema as S
-
-INF = float("inf")
+from packetspark.session import cut_lineage
 
 
 def _finite(c: Column) -> Column:
@@ -38,121 +31,52 @@ def _finite(c: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    accuracy: int = 100_000, max_candidates: int = 200_000,
-                    max_rounds: int = 8) -> dict[str, list[float | None]]:
-    """Exact linear-interpolation quantiles for several columns at once."""
+                    values_per_segment: int = 1_000_000) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles for several columns at once.
+
+    The driver sees one row per column, one per (segment, column) and one per
+    needed rank.  A column without a value gives nulls.
+    """
     columns, probs = list(columns), [float(p) for p in probs]
-    vals = {c: _finite(F.col(c).cast("double")) for c in columns}
-    counts = df.agg(*[F.count(vals[c]).alias(c) for c in columns]).first().asDict()
-
-    # Needed ranks (0-based) per column.
-    need: dict[str, dict[int, float | None]] = {}
-    for c in columns:
-        n = counts[c]
-        need[c] = {}
-        if n == 0:
-            continue
-        for p in probs:
-            h = (n - 1) * p
-            need[c][int(math.floor(h))] = None
-            need[c][int(math.ceil(h))] = None
-
-    # Brackets [lo, hi] per (column, rank).  A column small enough to sort
-    # directly starts with the whole range and known counts; a larger one
-    # starts from a sketch around each quantile.
-    brackets = {(c, k): [-INF, INF] for c in columns for k in need[c]}
-    known = {(c, k): (0, counts[c]) for c in columns for k in need[c] if counts[c] <= max_candidates}
-    big = [c for c in columns if counts[c] > max_candidates and need[c]]
-    if big:
-        delta = 3.0 / accuracy
-        aggs = []
-        for c in big:
-            for k in need[c]:
-                frac = k / max(counts[c] - 1, 1)
-                qs = [min(max(frac - delta, 0.0), 1.0), min(max(frac + delta, 0.0), 1.0)]
-                aggs.append(F.percentile_approx(vals[c], qs, accuracy).alias(f"{c}__{k}"))
-        arow = df.agg(*aggs).first()
-        for c in big:
-            for k in need[c]:
-                a = arow[f"{c}__{k}"]
-                brackets[(c, k)] = [float(a[0]), float(a[1])]
-    for _ in range(max_rounds):
-        open_keys = [key for key, v in brackets.items() if v is not None]
-        if not open_keys:
-            break
-        # Exact counts for current brackets (skipped when already known).
-        to_count = [key for key in open_keys if key not in known]
-        row = {}
-        if to_count:
-            aggs = []
-            for i, (c, k) in enumerate(to_count):
-                lo, hi = brackets[(c, k)]
-                v = vals[c]
-                inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
-                aggs += [F.count_if(v < F.lit(lo)).alias(f"b{i}"), F.count_if(inside).alias(f"m{i}")]
-            r0 = df.agg(*aggs).first()
-            row = {key: (r0[f"b{i}"], r0[f"m{i}"]) for i, key in enumerate(to_count)}
-        row.update({key: known.pop(key) for key in open_keys if key in known})
-        small, large = [], []
-        for i, key in enumerate(open_keys):
-            below, m = row[key]
-            k = key[1]
-            lo, hi = brackets[key]
-            if k < below:
-                brackets[key] = [-INF, hi]
-                large.append((i, key, None))
-                continue
-            if k >= below + m:
-                brackets[key] = [lo, INF]
-                large.append((i, key, None))
-                continue
-            (small if m <= max_candidates else large).append((i, key, (below, m)))
-        # Resolve small brackets: sort the bounded candidate set.
-        if small:
-            # One bounded candidate list per distinct (column, bracket): ranks
-            # sharing a bracket (always so for small columns) share the list.
-            uniq = {}
-            for _, (c, k), _bm in small:
-                uniq.setdefault((c, *brackets[(c, k)]), len(uniq))
-            aggs = []
-            for (c, lo, hi), j in uniq.items():
-                v = vals[c]
-                aggs.append(F.sort_array(F.collect_list(
-                    F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), v))).alias(f"s{j}"))
-            srow = df.agg(*aggs).first()
-            for _, (c, k), (below, m) in small:
-                j = uniq[(c, *brackets[(c, k)])]
-                need[c][k] = float(srow[f"s{j}"][k - below])
-                brackets[(c, k)] = None
-        # Narrow large brackets with a sketch over the bracket only.
-        narrow = [(i, key, bm) for (i, key, bm) in large if bm is not None]
-        if narrow:
-            aggs = []
-            delta = 3.0 / accuracy
-            for j, (i, (c, k), (below, m)) in enumerate(narrow):
-                lo, hi = brackets[(c, k)]
-                v = vals[c]
-                frac = (k - below) / max(m - 1, 1)
-                qs = [min(max(frac - delta, 0.0), 1.0), min(max(frac + delta, 0.0), 1.0)]
-                aggs.append(F.percentile_approx(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), v),
-                                                qs, accuracy).alias(f"a{j}"))
-            arow = df.agg(*aggs).first()
-            for j, (i, key, _) in enumerate(narrow):
-                a = arow[f"a{j}"]
-                brackets[key] = [float(a[0]), float(a[1])]
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), _finite(F.col(c).cast("double")).alias("v"))
+                      for i, c in enumerate(columns)])
+    values = df.select(F.explode(cells).alias("x")).select("x.c", "x.v").where(F.col("v").isNotNull())
+    distinct = cut_lineage(values.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    sizes = {r["c"]: (r["n"], r["d"]) for r in distinct.groupBy("c").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
+    if not sizes:
+        return {c: [None] * len(probs) for c in columns}
+    segments = max(1, math.ceil(sum(d for _, d in sizes.values()) / values_per_segment))
+    seg = cut_lineage(distinct.repartitionByRange(segments, "c", "v").withColumn("seg", F.spark_partition_id()))
+    totals = seg.groupBy("c", "seg").agg(F.sum("n").alias("n")).orderBy("c", "seg").collect()
+
+    # The segment that holds each needed rank (0-based), and the rank inside it.
+    need: list[tuple[int, int, int, int]] = []
+    before: dict[int, int] = {}
+    for r in totals:
+        c, start = r["c"], before.get(r["c"], 0)
+        before[c] = start + r["n"]
+        ranks = {k for p in probs for k in (math.floor((sizes[c][0] - 1) * p), math.ceil((sizes[c][0] - 1) * p))}
+        need += [(c, r["seg"], k, k - start) for k in sorted(ranks) if start <= k < start + r["n"]]
+    wanted = df.sparkSession.createDataFrame(need, "c int, seg int, k long, local long")
+    run = Window.partitionBy("c", "seg").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    cells_at = (seg.where(F.col("seg").isin(sorted({s for _, s, _, _ in need})))
+                   .withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
+                   .join(F.broadcast(wanted), ["c", "seg"])
+                   .where((F.col("local") >= F.col("before")) & (F.col("local") < F.col("before") + F.col("n"))))
+    found = {(r["c"], r["k"]): r["v"] for r in cells_at.select("c", "k", "v").collect()}
+    if len(found) != len(need):
+        raise RuntimeError("a rank was not found in its segment")
     out: dict[str, list[float | None]] = {}
-    for c in columns:
-        n = counts[c]
-        res = []
+    for i, c in enumerate(columns):
+        if i not in sizes:
+            out[c] = [None] * len(probs)
+            continue
+        out[c] = []
         for p in probs:
-            if n == 0:
-                res.append(None)
-                continue
-            h = (n - 1) * p
-            lo_k, hi_k = int(math.floor(h)), int(math.ceil(h))
-            a, b = need[c][lo_k], need[c][hi_k]
-            res.append(a + (h - lo_k) * (b - a))
-        out[c] = res
+            h = (sizes[i][0] - 1) * p
+            a, b = found[i, math.floor(h)], found[i, math.ceil(h)]
+            out[c].append(a + (h - math.floor(h)) * (b - a))
     return out
 
 
@@ -319,9 +243,9 @@ def load_state(spark, path: str | None = None, refit_from: DataFrame | None = No
     if path:
         try:
             state = spark.read.schema(S.STATS).parquet(path)
-            state.limit(1).count()
-        except Exception:
-            state = None
+        except AnalysisException as e:  # nothing was saved there; any other failure to read is an error
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     if state is None and refit_from is not None:
         state = fit_state(refit_from)
     if state is None:

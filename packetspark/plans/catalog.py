@@ -115,6 +115,17 @@ def q_split_profile(spark, sf):
 RAW = ["tcp_len", "mqtt_msg", "tcp_time_delta"]
 
 
+def q_quantiles_ties(spark, sf):
+    """Constant, heavily tied and plain columns of the events."""
+    df = read_packets(spark, sf).select(F.lit(7.0).alias("constant"), "tcp_len",
+                                        F.when(F.col("event_id") % 10 == 0, F.col("event_id").cast("double"))
+                                         .otherwise(F.lit(0.0)).alias("ties"))
+    cols = ["constant", "ties", "tcp_len"]
+    q = ST.exact_quantiles(df, cols, [0.05, 0.5, 0.95])
+    return spark.createDataFrame([(c, *q[c]) for c in cols], "column string, q05 double, median double, q95 double") \
+        .select("column", *[r(c, c) for c in ("q05", "median", "q95")])
+
+
 def q_quantiles(spark, sf):
     df = read_packets(spark, sf)
     q = ST.exact_quantiles(df, RAW, [0.25, 0.5, 0.75])
@@ -195,6 +206,7 @@ QUERIES = {
     "time_split": q_time_split,
     "split_profile": q_split_profile,
     "quantiles": q_quantiles,
+    "quantiles_ties": q_quantiles_ties,
     "iqr_cap": q_iqr_cap,
     "zscore_cap": q_zscore_cap,
     "cap_counts": q_cap_counts,
@@ -511,8 +523,8 @@ def q_iforest_search(spark, sf):
     from packetspark.plans.training import split_rows, train_val
     f = _features(spark, sf).withColumn("y", binary_relabel(F.col("target")))
     c = IF.contamination(train_val(f), "y")
-    return IF.search(train_val(f), split_rows(f, "validation"), "y", psi_options=("auto", 512),
-                     tree_options=(100, 200), contamination_rate=c["contamination"])
+    return IF.search(train_val(f), split_rows(f, "validation"), "y", contamination_rate=c["contamination"],
+                     flipped=c["flipped"])
 
 
 def q_fault_evaluation(spark, sf):

@@ -202,6 +202,11 @@ FROM y GROUP BY split""",
 """ + "\nUNION ALL\n".join(
         f"SELECT '{c}' AS column, {rd(f'quantile_cont({c}, 0.25)', 'q1')}, {rd(f'quantile_cont({c}, 0.5)', 'median')}, "
         f"{rd(f'quantile_cont({c}, 0.75)', 'q3')} FROM packets" for c in RAW),
+    "quantiles_ties": f"""{WITH_P}, t AS (SELECT 7.0::DOUBLE AS constant, tcp_len,
+  CASE WHEN event_id % 10 = 0 THEN event_id::DOUBLE ELSE 0.0 END AS ties FROM packets)
+""" + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column, {rd(f'quantile_cont({c}, 0.05)', 'q05')}, {rd(f'quantile_cont({c}, 0.5)', 'median')}, "
+        f"{rd(f'quantile_cont({c}, 0.95)', 'q95')} FROM t" for c in ("constant", "ties", "tcp_len")),
     "iqr_cap": f"""{WITH_P}, {_bounds_cte(RAW, 1.0)}
 SELECT event_id, {', '.join(rd(_clip(c), c) for c in RAW)} FROM packets, b""",
     "zscore_cap": f"""{WITH_P}, z AS (SELECT {', '.join(f'avg({c}) AS {c}_m, stddev_samp({c}) AS {c}_s' for c in RAW)} FROM packets)

@@ -93,7 +93,7 @@ def run_isolation(features: DataFrame, normal_class: int = S.NORMAL_CLASS, seed:
     if do_search:
         search = IF.search(tv, split_rows(x, "validation"), "y", seed=seed,
                            contamination_rate=cont["contamination"], psi_options=psi_options,
-                           tree_options=tree_options).cache()
+                           tree_options=tree_options, flipped=cont["flipped"]).cache()
         best = search.where("rank = 1").first()
         n_trees, max_samples = best["n_trees"], best["psi"]
     model = IF.fit(tv, n_trees=n_trees, max_samples=max_samples, seed=seed)

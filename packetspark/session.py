@@ -48,14 +48,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cutting lineage.
 
     The cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when it is unset (local tests) a scratch folder is created and
-    registered.
+    Only when it is unset on a local master (tests) a scratch folder is
+    created and registered; elsewhere a machine-local folder would not be
+    shared, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="packetspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetspark import schema as S
@@ -62,7 +62,14 @@ def read_packets_csv(spark: SparkSession, path: str, schema=S.PACKET) -> DataFra
           .option("columnNameOfCorruptRecord", "_corrupt_record")
           .csv(path))
     df = df.withColumn("us", epoch_micros(df, "timestamp"))
+    for c in df.columns:
+        if c.lower() == S.LABEL.lower() and c != S.LABEL:
+            df = df.withColumnRenamed(c, S.LABEL)
     if "event_id" not in df.columns:
-        # Stable row identity for tie-breaking: file + position in file order.
-        df = df.withColumn("event_id", F.monotonically_increasing_id())
+        # Row identity from the content, whatever the file splits; rows that
+        # are alike in every column are numbered among themselves.
+        columns = df.columns
+        same = Window.partitionBy("_content").orderBy("_content")
+        df = (df.withColumn("_content", F.xxhash64(*columns)).withColumn("_copy", F.row_number().over(same))
+                .withColumn("event_id", F.xxhash64("_content", "_copy")).drop("_content", "_copy"))
     return df

@@ -166,7 +166,7 @@ def score_stream(parsed: DataFrame, windows: Sequence[int] = S.DEFAULT_WINDOWS,
     by being re-derived from the record columns kept in the output."""
     good = parsed.where(F.col("us").isNotNull())
     if caps:
-        good = apply_caps(good, caps, {"mqtt_msg": "_payload"})
+        good = apply_caps(good, caps, {"mqtt_msg": "_payload", "tcp_len": "frame_length"})
     good = good.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", watermark)
     static_cols = ["frame_length", "protocol_flags", "mqtt_msgtype", "mqtt_qos", "mqtt_retain",
                    "mqtt_client_id_hash"]
@@ -208,7 +208,7 @@ def score_stream(parsed: DataFrame, windows: Sequence[int] = S.DEFAULT_WINDOWS,
 
 def _apply_model(feats: DataFrame, model, kind: str) -> DataFrame:
     """ST8: probability model -> max probability; score model -> sigmoid of
-    the decision value; label-only -> confidence 1.0."""
+    the raw score; any other fitted model gives its label with confidence 1.0."""
     if model is None:
         return feats.withColumn("predicted_label", F.lit(None).cast("int")) \
                     .withColumn("confidence", F.lit(None).cast("double"))
@@ -226,8 +226,9 @@ def _apply_model(feats: DataFrame, model, kind: str) -> DataFrame:
         x = IF.score(model, feats)
         x = IF.predict(x, model.offset or 0.0, threshold=model.threshold, flipped=model.flipped,
                        out="predicted_label")
-        return x.withColumn("confidence", sigmoid_confidence(F.col("decision")))
-    return feats.withColumn("predicted_label", F.lit(None).cast("int")).withColumn("confidence", F.lit(1.0))
+        return x.withColumn("confidence", sigmoid_confidence(F.col("score")))
+    return model.transform(feats).withColumn("predicted_label", F.col("prediction").cast("int")) \
+                .withColumn("confidence", F.lit(1.0))
 
 
 # ---------------------------------------------------------------- running (S12, S13, ST9)
@@ -291,10 +292,11 @@ def tumbling_rates(df: DataFrame, width: str = "10 seconds", key: str = "device_
              .select(key, F.unix_micros(F.col("w.start")).alias("window_start_us"), "n", "mean_payload"))
 
 
-def limit_successes(results: DataFrame, max_records: int | None, order=("us", "event_id")) -> DataFrame:
+def limit_successes(results: DataFrame, max_records: int | None, order=("event_id",)) -> DataFrame:
     """R7 on a replayed (bounded) result: keep rows up to the ``max_records``-th
     successful one in record order; failures before it are kept too, as the
-    reference counts successes only.  0 / None means no limit."""
+    reference counts successes only, and nothing after it.  A bad record has no
+    time, so the order is that of the record ids.  0 / None means no limit."""
     if not max_records:
         return results
     from packetspark.operators.timeline import ordered_scan

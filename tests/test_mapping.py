@@ -47,3 +47,29 @@ def test_ntz_micros_ignores_session_zone_and_dst(spark):
         assert [r["b"] for r in rows] == [1719835200500000, -1000000]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_poison_values_never_fail(spark):
+    from packetspark.functions.coerce import hex_float, hex_int, normalise_timestamp_micros, to_int
+    bad = ["nan", "inf", "-Infinity", "1e30", "0x" + "f" * 20, "0xZZ", "", None, "9" * 40, "abc"]
+    df = spark.createDataFrame([(x,) for x in bad], "s string")
+    rows = df.select(to_int(F.col("s")).alias("i"), hex_int(F.col("s")).alias("h"), hex_float(F.col("s")).alias("f"),
+                     normalise_timestamp_micros(F.col("s")).alias("t")).collect()
+    assert [r["i"] for r in rows] == [0] * len(bad) and [r["h"] for r in rows] == [0] * len(bad)
+    assert all(r["t"] is None for r in rows)
+    ok = spark.createDataFrame([("0x1F",), ("0x00000000000000000010",), (" 7.9 ",)], "s string")
+    assert [r[0] for r in ok.select(hex_int(F.col("s"))).collect()] == [31, 16, 7]
+
+
+def test_small_numbers_are_days_only_in_numeric_columns(spark):
+    from packetspark.functions.coerce import epoch_micros
+    text = spark.createDataFrame([("12",), ("500000000",), ("1704067201",)], "timestamp string")
+    assert [r[0] for r in text.select(epoch_micros(text, "timestamp")).collect()] == [None, None, 1704067201000000]
+    num = spark.createDataFrame([(12.0,), (1704067201.0,), (1e30,)], "timestamp double")
+    assert [r[0] for r in num.select(epoch_micros(num, "timestamp")).collect()] == [12 * 86400 * 10**6, 1704067201000000, None]
+
+
+def test_label_in_any_case_survives(spark):
+    from packetspark.functions.mapping import ml_projection
+    df = spark.createDataFrame([(1.0, 3)], "frame_length double, Target int")
+    assert ml_projection(df).columns == ["frame_length", "target"]

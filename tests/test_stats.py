@@ -27,15 +27,25 @@ def test_standardise_golden(spark):
     assert [r[0] for r in const.collect()] == [0, 0, 0]
 
 
-@pytest.mark.parametrize("max_candidates", [200_000, 50])
-def test_exact_quantiles_match_numpy(spark, max_candidates):
+@pytest.mark.parametrize("per_segment", [1_000_000, 50])
+def test_exact_quantiles_match_numpy(spark, per_segment):
     rng = np.random.default_rng(0)
     v = np.concatenate([rng.normal(size=5000), np.full(700, 1.25)])  # heavy tie
-    q = ST.exact_quantiles(col(spark, v), ["x"], [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0],
-                           accuracy=1000, max_candidates=max_candidates)["x"]
+    q = ST.exact_quantiles(col(spark, v), ["x"], [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0], per_segment)["x"]
     assert q == pytest.approx(list(np.percentile(v, [0, 10, 25, 50, 75, 99.9, 100])))
 
 
+def test_exact_quantiles_on_ties_and_constants(spark):
+    n = 1_200_000
+    df = spark.range(n).selectExpr("0.0 as zero", "case when id % 10 = 0 then cast(id as double) else 0.0 end as ties",
+                                   "cast(null as double) as nothing", "cast(id as double) as ramp")
+    q = ST.exact_quantiles(df, ["zero", "ties", "nothing", "ramp"], [0.25, 0.5, 0.95], 100_000)
+    ties = np.where(np.arange(n) % 10 == 0, np.arange(n), 0.0)
+    assert q["zero"] == [0, 0, 0] and q["nothing"] == [None] * 3
+    assert q["ties"] == pytest.approx(list(np.percentile(ties, [25, 50, 95])))
+    assert q["ramp"] == pytest.approx([0.25 * (n - 1), 0.5 * (n - 1), 0.95 * (n - 1)])
+
+
 def test_state_roundtrip(spark, tmp_path):
     df = col(spark, [1, 2, 3, 4, 100]).withColumnRenamed("x", "iat")
     st = ST.fit_state(df, scale_columns=["iat"], cap_columns=["iat"])
