@@ -14,12 +14,15 @@ distributed building blocks are used instead:
     last row across segment borders through a broadcast join.
 
 ``window_stats``
-    Range frames ``[t - w, t]`` over time.  Packets are first collapsed to one
-    row per distinct ``(key, microsecond)`` with map-side partial aggregation,
-    so a flood of identical timestamps is one row.  The collapsed rows are
-    bucketed by the longest window W and copied once into the next bucket as
-    context, which makes every frame complete inside one bucket.  A task thus
-    holds at most 2 * W * 10^6 rows per key whatever the data volume.
+    Range frames ``[t - w, t]`` over time in linear work.  Packets are first
+    collapsed to one row per distinct ``(key, microsecond)``, so a flood of
+    identical timestamps is one row.  A frame is the running sum at ``t`` minus
+    the running sum just before ``t - w``: every row adds one probe event per
+    window, and one ``ordered_scan`` over rows and probes gives all running
+    sums.  The scan starts anew in each bucket of the longest window (with the
+    bucket before as context), around the bucket's rounded mean, which keeps
+    sums of whole numbers exact; being range-partitioned it splits a dense bucket
+    over many tasks.
 """
 
 from __future__ import annotations
@@ -53,7 +56,7 @@ def bucket_of(us: Column, width_us: int) -> Column:
 def ordered_scan(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
                  sums: dict[str, Column] | None = None,
                  lags: Sequence[str] = (), partitions: int | None = None,
-                 prefix: str = "") -> DataFrame:
+                 prefix: str = "", carry: Sequence[str] = ()) -> DataFrame:
     """Adds, per row and within ``group`` in ``order``:
 
     * ``{prefix}idx``: 0-based position,
@@ -64,13 +67,15 @@ def ordered_scan(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
     ``order`` must be a total order (end it with a unique id).  The scan runs
     on a narrow projection (sort key, summed values, lagged values) and the
     results are joined back to the full rows on the unique sort key, so only
-    the narrow columns are shuffled by range and cached.
+    the narrow columns are shuffled by range and cached.  ``carry`` names
+    further columns that travel with the scan; if they are all that is left,
+    there is no join.
     """
     sums = dict(sums or {})
     group, order, lags = list(group), list(order), list(lags)
     P = _parts(df, partitions)
     sort_key = group + order
-    narrow = list(dict.fromkeys(sort_key + lags))
+    narrow = list(dict.fromkeys(sort_key + lags + list(carry)))
 
     x = df.select(*narrow, *[F.coalesce(e.cast("double"), F.lit(0.0)).alias(f"_v_{n}") for n, e in sums.items()])
     if lags:
@@ -170,15 +175,23 @@ def inter_arrival(df: DataFrame, mode: str = "delta_diff", keys: Sequence[str] =
 # Sliding windows
 # --------------------------------------------------------------------------
 
-def _collapse(df: DataFrame, keys: Sequence[str], us: str, value: Column) -> DataFrame:
-    return (df.groupBy(*keys, us)
-              .agg(F.count(F.lit(1)).alias("_n"),
-                   F.sum(value).alias("_s"),
-                   F.sum(value * value).alias("_ss")))
-
-
-def _finish(n: Column, s: Column, ss: Column, w: int, rate: str, mean: str, std: str):
-    mean_v = F.when(n > 0, s / n).otherwise(F.lit(0.0))
+def _collapse(df: DataFrame, keys: Sequence[str], us: str, value: Column, width_us: int) -> DataFrame:
+    """One row per (key, microsecond): count, sum and sum of squares of the
+    value around ``_m``, the rounded mean of the row's bucket.  ``_next_m`` is
+    that of the bucket after it (null where that is empty).  For whole-number
+    values (payload lengths) every sum stays a whole number, so differences of
+    running sums are exact."""
+    x = df.where(F.col(us).isNotNull()).select(*keys, us, value.alias("_x"), bucket_of(F.col(us), width_us).alias("_b"))
+    means = x.groupBy(*keys, "_b").agg(F.round(F.avg("_x")).alias("_m"))
+    after = means.select(*keys, (F.col("_b") - 1).alias("_b"), F.col("_m").alias("_next_m"))
+    off = F.col("_x") - F.col("_m")
+    return (x.join(means, [*keys, "_b"]).join(after, [*keys, "_b"], "left").groupBy(*keys, us, "_b")
+             .agg(F.max("_m").alias("_m"), F.max("_next_m").alias("_next_m"), F.count(F.lit(1)).alias("_n"),
+                  F.sum(off).alias("_s"), F.sum(off * off).alias("_ss")))
+
+
+def _finish(n: Column, s: Column, ss: Column, centre: Column, w: int, rate: str, mean: str, std: str):
+    mean_v = F.when(n > 0, centre + s / n).otherwise(F.lit(0.0))
     var = F.when(n > 1, F.greatest(ss / n - (s / n) * (s / n), F.lit(0.0))).otherwise(F.lit(0.0))
     return [(n.cast("double") / F.lit(float(w))).alias(rate), mean_v.alias(mean), F.sqrt(var).alias(std)]
 
@@ -201,36 +214,47 @@ def window_stats(df: DataFrame, windows: Sequence[int] = S.DEFAULT_WINDOWS,
     keys = list(keys)
     wmax = max(windows) * MICROS
     val = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    d = _collapse(df, keys, us, val)
-    d = (d.withColumn("_off", F.explode(F.array(F.lit(0), F.lit(1))))
-          .withColumn("_b", bucket_of(F.col(us), wmax) + F.col("_off")))
-    base = Window.partitionBy(*keys, "_b").orderBy(us)
-    cols = []
-    for w in windows:
-        frame = base.rangeBetween(-w * MICROS, 0 if include_current else -1)
-        cols += [F.coalesce(F.sum(c).over(frame), F.lit(0)).alias(f"_{c}{w}") for c in ("_n", "_s", "_ss")]
-    d = d.select(*keys, us, "_off", *cols).where(F.col("_off") == 0).drop("_off")
-
-    if include_current:
-        x = df.join(d, keys + [us], "left")
-        out_cols = []
-        for w in windows:
-            out_cols += _finish(F.col(f"__n{w}"), F.col(f"__s{w}"), F.col(f"__ss{w}"), w,
-                                S.rate_col(w), S.mean_col(w), S.std_col(w))
-    else:
+    d = _collapse(df, keys, us, val, wmax)
+
+    # Events of a bucket: its rows, those of the bucket before around its
+    # mean, and a probe per row and window, which sorts before a row of its time.
+    shift = F.col("_m") - F.col("_next_m")
+    own = d.select(*keys, "_b", F.col(us).alias("_t"), F.lit(1).alias("_w"), F.col(us).alias("_own"), "_n", "_s", "_ss")
+    context = d.where(F.col("_next_m").isNotNull()).select(
+        *keys, (F.col("_b") + 1).alias("_b"), F.col(us).alias("_t"), F.lit(1).alias("_w"),
+        F.lit(None).cast("bigint").alias("_own"), "_n", (F.col("_s") + F.col("_n") * shift).alias("_s"),
+        (F.col("_ss") + 2 * shift * F.col("_s") + F.col("_n") * shift * shift).alias("_ss"))
+    probes = d.withColumn("_w", F.explode(F.array(*[F.lit(-w) for w in windows]))).select(
+        *keys, "_b", (F.col(us) + F.col("_w").cast("bigint") * MICROS).alias("_t"), "_w", F.col(us).alias("_own"),
+        F.lit(0).cast("bigint").alias("_n"), F.lit(0.0).alias("_s"), F.lit(0.0).alias("_ss"))
+    events = own.unionByName(context).unionByName(probes)
+    scan = ordered_scan(events, order=["_t", "_w"], group=[*keys, "_b"], carry=["_own", "_n", "_s", "_ss"],
+                        sums={"n": F.col("_n"), "s": F.col("_s"), "ss": F.col("_ss")},
+                        partitions=partitions, prefix="_w_")
+    sums = {c: F.col(f"_w_{c}_before") + (F.col(f"_{c}") if include_current else F.lit(0.0)) for c in ("n", "s", "ss")}
+    picked = [F.max(F.when(F.col("_w") == 1, e)).alias(f"_at_{c}") for c, e in sums.items()]
+    picked += [F.max(F.when(F.col("_w") == -w, F.col(f"_w_{c}_before"))).alias(f"_from_{c}{w}")
+               for w in windows for c in ("n", "s", "ss")]
+    frames = scan.where(F.col("_own").isNotNull()).groupBy(*keys, "_b", F.col("_own").alias(us)).agg(*picked).drop("_b")
+    frames = frames.join(d.select(*keys, us, "_m"), keys + [us])
+
+    def frame(c: str, w: int) -> Column:
+        return F.col(f"_at_{c}") - F.col(f"_from_{c}{w}")
+
+    x = df.join(frames, keys + [us], "left")
+    tie = {c: F.lit(0.0) for c in ("n", "s", "ss")}
+    if not include_current:
         # Rows with the same timestamp that come earlier by the tie-breaker.
-        x = ordered_scan(df.withColumn("_pv", val), order=[tiebreak], group=keys + [us],
-                         sums={"one": F.lit(1.0), "p": F.col("_pv"), "pp": F.col("_pv") * F.col("_pv")},
-                         partitions=partitions, prefix="_tie_").drop("_pv", "_tie_idx")
-        x = x.join(d, keys + [us], "left")
-        out_cols = []
-        for w in windows:
-            out_cols += _finish(F.col(f"__n{w}") + F.col("_tie_one_before"),
-                                F.col(f"__s{w}") + F.col("_tie_p_before"),
-                                F.col(f"__ss{w}") + F.col("_tie_pp_before"), w,
-                                S.rate_col(w), S.mean_col(w), S.std_col(w))
-    keep = [c for c in df.columns]
-    return x.select(*keep, *out_cols)
+        off = val - F.col("_m")
+        x = ordered_scan(x.withColumn("_pv", off), order=[tiebreak], group=keys + [us],
+                         sums={"n": F.lit(1.0), "s": F.col("_pv"), "ss": F.col("_pv") * F.col("_pv")},
+                         partitions=partitions, prefix="_tie_")
+        tie = {c: F.col(f"_tie_{c}_before") for c in ("n", "s", "ss")}
+    out_cols = []
+    for w in windows:
+        out_cols += _finish(*[frame(c, w) + tie[c] for c in ("n", "s", "ss")], F.col("_m"), w,
+                            S.rate_col(w), S.mean_col(w), S.std_col(w))
+    return x.select(*df.columns, *out_cols)
 
 
 # --------------------------------------------------------------------------

@@ -51,19 +51,17 @@ def rd(x: str, name: str) -> str:
 
 def win_cols(windows, part: str = "", value: str = "coalesce(mqtt_payload_len, 0)",
              rate=True, stats=True) -> str:
-    """Inclusive range windows; mean / std from sums, as the Spark side."""
+    """Inclusive range windows."""
     out = []
     for w in windows:
         fr = f"OVER ({part} ORDER BY us RANGE BETWEEN {w * 1000000} PRECEDING AND CURRENT ROW)"
         n = f"CAST(count(*) {fr} AS DOUBLE)"
         s = f"sum({value}) {fr}"
-        ss = f"sum({value} * {value}) {fr}"
         if rate:
             out.append(rd(f"{n} / {w}", f"msg_rate_{w}s"))
         if stats:
             out.append(rd(f"{s} / {n}", f"rolling_mean_payload_{w}s"))
-            out.append(rd(f"CASE WHEN {n} > 1 THEN sqrt(greatest({ss} / {n} - ({s} / {n}) * ({s} / {n}), 0)) ELSE 0 END",
-                          f"rolling_std_payload_{w}s"))
+            out.append(rd(f"coalesce(stddev_pop({value}) {fr}, 0)", f"rolling_std_payload_{w}s"))
     return ",\n  ".join(out)
 
 

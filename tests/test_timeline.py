@@ -80,3 +80,26 @@ def test_split_sizes(spark, n, exp):
     df = spark.createDataFrame([(i, i * 10) for i in range(n)], "event_id long, us long")
     c = {r["split"]: r["count"] for r in TL.time_split(df).groupBy("split").count().collect()}
     assert (c.get("train", 0), c.get("validation", 0), c.get("test", 0)) == exp
+
+
+def test_windows_keep_small_spreads_of_large_values(spark):
+    df = spark.createDataFrame([(i, 1_000_000 * i, 1e8 + i % 2) for i in range(20)], "event_id long, us long, mqtt_payload_len double")
+    for include in (True, False):
+        rows = TL.window_stats(df, (3,), include_current=include).orderBy("event_id").collect()
+        assert all(abs(r["rolling_std_payload_3s"] - 0.5) < 1e-6 for r in rows[4:] if include)
+        assert all(abs(r["rolling_mean_payload_3s"] - 1e8) <= 1 for r in rows[1:])
+
+
+def test_dense_minute_against_brute_force(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    us = np.sort(rng.integers(-90_000_000, 90_000_000, 3000))
+    pay = rng.integers(0, 50, 3000).astype(float)
+    df = spark.createDataFrame([(i, int(t), float(p)) for i, (t, p) in enumerate(zip(us, pay))], "event_id long, us long, mqtt_payload_len double")
+    rows = TL.window_stats(df, (1, 30, 60)).orderBy("event_id").collect()
+    for i in range(0, 3000, 37):
+        for w in (1, 30, 60):
+            frame = pay[(us >= us[i] - w * 1_000_000) & (us <= us[i])]
+            assert abs(rows[i][f"msg_rate_{w}s"] - len(frame) / w) < 1e-9
+            assert abs(rows[i][f"rolling_mean_payload_{w}s"] - frame.mean()) < 1e-8
+            assert abs(rows[i][f"rolling_std_payload_{w}s"] - frame.std()) < 1e-6
