@@ -2,13 +2,14 @@
 
 A tokenizer of the ``tokenizers`` library costs many microseconds per word, and prose repeats its words.  Neither kind of
 vocabulary used here joins characters across a single space, so a batch of texts is cut at spaces, the distinct
-pieces are looked up in a bounded table that the Python worker keeps, and the ids are put together by numpy.  Pieces that the table
-lacks go to the library: plain words to its model, anything else through its whole pipeline.  The ids are exactly those
+pieces are looked up in a bounded table that the Python worker keeps (by a hash, then compared letter by letter), and
+the ids are put together by numpy.  Pieces that the table lacks go to the library: plain words to its model, anything else through its whole pipeline.  The ids are exactly those
 of the library for the whole text.
 """
 
 from __future__ import annotations
 
+import ctypes
 import re
 from functools import cache
 
@@ -16,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a Python worker remembers, some 70 bytes each; when it is full it starts again.
-REMEMBERED = 1_800_000
+#: Pieces that a Python worker remembers, some 80 bytes each; when it is full it starts again.
+REMEMBERED = 1_500_000
 #: Bytes of text that are encoded together.
-TOGETHER = 6 << 20
+TOGETHER = 4 << 20
 #: A word of Latin letters, and the marks behind it.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
@@ -38,6 +39,21 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _hashes(pieces: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string of a large-string array."""
+    offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:pieces.offset + len(pieces) + 1]
+    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    powers = np.multiply.accumulate(np.full(int(sizes.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    letters = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    letters = (letters ^ (letters >> np.uint64(31))) * powers[np.arange(len(data)) - np.repeat(starts, sizes)]
+    out = sizes.astype(np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        out[full] += np.add.reduceat(letters, starts[full])
+    return (out ^ (out >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def _runs(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Runs of a pool, one after the other."""
     ends = np.cumsum(sizes)
@@ -62,8 +78,24 @@ class Encoder:
         """The table: pieces, where their ids begin in the pool, how many they are, and the pool."""
         self.known, self.pool = pa.array([], pa.large_string()), np.zeros(0, "<u4")
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def _remember(self, pieces: pa.Array, ids: list[bytes]) -> None:
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # in order of the hashes
+
+    def _find(self, pieces: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Place of each piece in the table, -1 where it is not."""
+        if not len(self.hashes):
+            return np.full(len(pieces), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        place = np.where(self.hashes[at] == hashes, self.places[at], -1)
+        here = np.flatnonzero(place >= 0)
+        same = pc.equal(self.known.take(pa.array(place[here])), pieces.take(pa.array(here))).to_numpy(zero_copy_only=False)
+        place[here[~same]] = -1
+        return place
+
+    def _remember(self, pieces: pa.Array, ids: list[bytes], hashes: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.places = np.insert(self.places, at, (len(self.known) + order).astype(np.int32))
         sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -114,6 +146,8 @@ class Encoder:
         for a, b in zip(cuts, cuts[1:]):
             parts.append(self._encode(texts.slice(a, b - a)))
             pa.default_memory_pool().release_unused()  # else Arrow keeps several times the table's size
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # and the C library what learning took for a while
+            trim(0)
         if len(parts) == 1:
             return parts[0]
         flat = np.concatenate([np.zeros(0, "<u4"), *[p[0] for p in parts]])
@@ -130,14 +164,17 @@ class Encoder:
         offsets -= offsets[0]
         coded = pieces.flatten().dictionary_encode()
         words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        place = pc.index_in(words, value_set=self.known)
-        if place.null_count:
-            if len(self.known) + place.null_count > REMEMBERED:
+        hashes = _hashes(words)
+        place = self._find(words, hashes)
+        if (place < 0).any():
+            missing = np.flatnonzero(place < 0)
+            if len(self.known) + len(missing) > REMEMBERED:
                 self._forget()
-            new = words.filter(pc.is_null(place)) if len(self.known) else words
-            self._remember(new, self._learn(new.to_pylist(), " "))
-            place = pc.index_in(words, value_set=self.known)
-        place = place.to_numpy()
+                missing = np.arange(len(words))
+                place = np.full(len(words), -1)
+            new = words.take(pa.array(missing))
+            place[missing] = len(self.known) + np.arange(len(missing))
+            self._remember(new, self._learn(new.to_pylist(), " "), hashes[missing])
         sizes = self.sizes[place].astype(np.int64)
         pool = _runs(self.pool, self.starts[place], sizes)
         if self.keeps_space and n:  # a text's first piece has no space before it
