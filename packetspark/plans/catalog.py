@@ -595,9 +595,13 @@ def q_stream_dead_letter(spark, sf):
 def q_stream_predict(spark, sf):
     from packetspark.operators import classify as C
     from packetspark.plans.training import train_val
-    f = _features(spark, sf)
-    model = C.fit_forest(train_val(f), num_trees=50, max_depth=10)
-    x = _stream_run(spark, sf, model=model, kind="forest", windows=S.DEFAULT_WINDOWS)
+    from packetspark.session import cut_lineage
+    # the model sees features as the stream makes them: per device, timestamp gaps, capped copies, one scaler
+    opts = PreprocessOptions(iat_mode="ts_gap", keys=("device_id",), cap_derived=True,
+                             scale_columns=tuple(S.SERVE_SCALE_COLUMNS))
+    res = preprocess(read_packets(spark, sf), opts)
+    model = C.fit_forest(train_val(cut_lineage(res.features)), num_trees=50, max_depth=10)
+    x = _stream_run(spark, sf, model=model, kind="forest", windows=S.DEFAULT_WINDOWS, scaler=res.scaler, caps=res.caps)
     return x.select("event_id", "device_id", "status", "predicted_label", r("confidence", "confidence"))
 
 
