@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a Python worker remembers, some 80 bytes each; when it is full it starts again.
-REMEMBERED = 1_500_000
+REMEMBERED = 2_200_000
 #: Bytes of text that are encoded together.
 TOGETHER = 4 << 20
 #: A word of Latin letters, and the marks behind it.
