@@ -1,78 +1,110 @@
 """Language-model scores by a probabilistic suffix tree.
 
-Words are counted over the training documents.  Frequent words and the end of a document are the tree's symbols; all
-other words share one symbol and are told apart by their own frequency.  Contexts of one, two and three symbols are
-grown level by level: only contexts that are frequent themselves are counted further, and one stays in the tree if the
-symbols that follow it diverge from those that follow its longest kept suffix by more than the description of its
-distribution costs.  A symbol's probability comes from the longest kept suffix of what precedes it, smoothed with that of the next
-shorter one, down to the frequencies of words.
-
-Counts are gathered by Spark, in tasks first and then by key.  Only what relative thresholds bound is broadcast: words,
-contexts and continuations with a fixed least share of all tokens, so at most one over that share of each.  Rarer words
-are looked up by a join: every chunk of documents sends its distinct rare words once.
+Words are counted over the training documents.  Words seen ``LEAST`` times or more and the end of a document are the
+tree's symbols, each by its hash; rarer words share one symbol, are no contexts and are told apart by their own frequency.
+Contexts are grown level by level from grouped counts of all that follows them: one that is seen ``LEAST`` times or more
+stays in the tree if the symbols that follow it diverge from those that follow its longest kept suffix by more than the
+description of its distribution costs.  Longer contexts are tried until ``PATIENCE`` lengths in a row fail that test; no
+length ends the growth by itself.  A symbol's probability comes from the longest kept suffix of what
+precedes it, smoothed with that of the next shorter one, down to the frequencies of words.
+
+Words, contexts and continuations are Spark tables that grow with the corpus; nothing of them is gathered or broadcast.
+Every chunk of documents asks for its distinct words, contexts and continuations once a level by a join, and each answer
+goes into the scores, the next level and the next question.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, cut, table, words_of
+from .common import ascii_lower, bounded_batches, cut, table, words_of, write_shared
 
-#: Least share of all tokens: of a word that is broadcast, of a word that is a symbol, of a context, of a continuation.
-WORD_SHARE, SYMBOL_SHARE, CONTEXT_SHARE, ENTRY_SHARE = 1e-6, 1e-4, 2e-5, 1e-6
-#: Longest context, in symbols.
-DEPTH = 3
+#: Least occurrences of a word that is a symbol and of a context.
+LEAST = 10
+#: A branch of the tree ends where so many lengths in a row are not kept.
+PATIENCE = 3
 #: Added to each word's count.
 ADD = 0.1
 #: Tokens in a chunk of documents.
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 END, RARE = 0, 1
 #: Documents whose id's checksum leaves this rest modulo ten are held out.
 HELD_OUT, FOLDS = 0, 10
-ENCODED = "chunk long, doc_id long, held_out boolean, n_tokens long, known_n long, known_sum double, symbols binary, rare binary, hashes array<long>"
+#: Kinds of rows of the state: a document, its chunk, a question for a continuation, one for a context.
+DOC, CHUNK_ROW, PAIR, CONTEXT = range(4)
+SPARK_STATE = ("chunk long, kind int, pos int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
+               "tokens binary, hashes binary, alive binary, ctx long, sym long, p double, n long, parent long, far long")
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+STATE = pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in SPARK_STATE.split(", ")])
 
 
 class Words(NamedTuple):
-    """Broadcast words: sorted hashes with counts and symbols, and the totals of the training tokens."""
-    hashes: np.ndarray
-    counts: np.ndarray
-    symbols: np.ndarray
-    symbol_counts: np.ndarray
+    """The words of the training documents as a table (word, n), and the totals."""
+    counts: DataFrame
+    ends: int
     total: int
     distinct: int
+    symbols: int  # words that are symbols
+    symbol_total: int  # their occurrences
 
     def rare_mass(self) -> float:
         """Tokens behind the rare symbol, with what is added to each word and to an unknown one."""
-        shown = int(np.count_nonzero(self.symbol_counts))
-        return self.total - int(self.symbol_counts.sum()) + ADD * (self.distinct - shown + 1)
+        return self.total - self.ends - self.symbol_total + ADD * (self.distinct - self.symbols - (self.ends > 0) + 1)
 
     def mass(self) -> float:
         return self.total + ADD * (self.distinct + 1)
 
+    def gathered(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and count of each symbol; for small corpora only."""
+        many = self.counts.where(F.col("n") >= LEAST).toPandas().sort_values("word")
+        return np.concatenate([[END, RARE], many["word"].to_numpy(np.int64)]), np.concatenate([[self.ends, 0], many["n"].to_numpy(np.float64)])
+
     def root(self) -> np.ndarray:
-        """Probability of each symbol without a context."""
-        p = (self.symbol_counts + ADD) / self.mass()
+        """Probability of each symbol without a context; for small corpora only."""
+        p = (self.gathered()[1] + ADD) / self.mass()
         p[RARE] = self.rare_mass() / self.mass()
         return p
 
 
-class Level(NamedTuple):
-    """Contexts of one length: sorted keys of the counted ones, which are kept, and their continuations."""
-    keys: np.ndarray
-    kept: np.ndarray
-    weight: np.ndarray  # of the suffix's distribution
-    scale: np.ndarray  # one over count plus smoothing
-    entries: np.ndarray  # sorted: context * symbols + symbol
-    counts: np.ndarray
+class Level:
+    """Contexts of one length: tables of the contexts and their continuations, and the documents scored so far.
+
+    The arrays gather the tables, the way ``_probabilities`` reads them; for small corpora only.
+    """
+
+    def __init__(self, words: Words, shorter: Level | None, asked: DataFrame, entries: DataFrame, contexts: DataFrame, after: str):
+        self.words, self.shorter, self.asked, self.entries_table, self.contexts, self.after = words, shorter, asked, entries, contexts, after
+
+    @cached_property
+    def _arrays(self) -> tuple:
+        hashes = self.words.gathered()[0]
+        k, place = len(hashes), {h: i for i, h in enumerate(hashes.tolist())}
+        rows = self.contexts.join(self.asked.where(F.col("kind") == CONTEXT).groupBy("ctx").agg(F.first("parent").alias("parent"), F.first("far").alias("far")), "ctx").toPandas()
+        above = {} if self.shorter is None else self.shorter._arrays[0]
+        rows["key"] = [place[far] if self.shorter is None else above[parent] * k + place[far] for parent, far in zip(rows["parent"], rows["far"])]
+        rows = rows.sort_values("key")
+        at = {c: i for i, c in enumerate(rows["ctx"].tolist())}
+        entries = self.entries_table.toPandas()
+        entries["key"] = [at[c] * k + place[s] for c, s in zip(entries["ctx"], entries["sym"])]
+        entries = entries.sort_values("key")
+        n, kinds = rows["n"].to_numpy(float), rows["kinds"].to_numpy(float)
+        return at, rows["key"].to_numpy(np.int64), rows["kept"].to_numpy(bool), kinds / (n + kinds), 1 / (n + kinds), entries["key"].to_numpy(np.int64), entries["n"].to_numpy(float)
+
+    keys = property(lambda self: self._arrays[1])
+    kept = property(lambda self: self._arrays[2])
+    weight = property(lambda self: self._arrays[3])  # of the suffix's distribution
+    scale = property(lambda self: self._arrays[4])  # one over count plus smoothing
+    entries = property(lambda self: self._arrays[5])  # sorted: context * symbols + symbol
+    counts = property(lambda self: self._arrays[6])
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -83,6 +115,26 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
+def _suffix_at(symbol_keys: list[np.ndarray], d: int, context: np.ndarray, k: int) -> np.ndarray:
+    """Index of the context of d + 1 symbols that ends each context of the last level."""
+    at = context
+    for keys in reversed(symbol_keys[d + 1:]):
+        at = keys[at] // k
+    return at
+
+
+def _probabilities(x: np.ndarray, at: list[np.ndarray], root: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """Probability of each symbol from the longest kept suffix, over gathered levels."""
+    k, p = len(root), root[x]
+    for a, level in zip(at, levels):
+        here = np.flatnonzero(a >= 0)
+        here = here[level.kept[a[here]]]
+        entry = _find(level.entries, a[here] * k + x[here])
+        counts = np.where(entry >= 0, level.counts[entry] if len(level.counts) else 0, 0)
+        p[here] = counts * level.scale[a[here]] + level.weight[a[here]] * p[here]
+    return p
+
+
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, held_out and the hashes of the words; two words share a 64-bit hash with negligible probability."""
     doc_id = F.col(id_col).cast("long")
@@ -114,205 +166,187 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _encode(words: Words):
-    def chunk_of(flat: np.ndarray, sizes: np.ndarray, ids: list, out: list, chunk: int) -> Iterator[pa.RecordBatch]:
-        unique, place = np.unique(flat, return_inverse=True)
-        at = _find(words.hashes, unique)
-        known = at >= 0
-        symbol = np.where(known, words.symbols[at] if len(words.symbols) else RARE, RARE).astype("<u2")
-        logs = np.where(known, np.log10((words.counts[at] if len(words.counts) else 0) + ADD), 0.0)[place]
-        rare_at = (np.cumsum(~known) - 1).astype("<i4")
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        symbols, is_rare = symbol[place], ~known[place]
-        rare = rare_at[place][is_rare]
-        rare_ends = np.concatenate([[0], np.cumsum(is_rare)])
-        sums = np.zeros(len(sizes))
-        full = np.flatnonzero(sizes)
-        if len(full):
-            sums[full] = np.add.reduceat(logs, starts[full])
-        end = np.array([END], "<u2").tobytes()
-        rows = len(sizes)
-        rare_n = rare_ends[ends] - rare_ends[starts]
-        fields = [pa.array([chunk] * rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(sizes + 1), pa.array(sizes - rare_n), pa.array(sums),
-                  pa.array([symbols[a:b].tobytes() + end for a, b in zip(starts, ends)], pa.binary()),
-                  pa.array([rare[rare_ends[a]:rare_ends[b]].tobytes() for a, b in zip(starts, ends)], pa.binary()), pa.nulls(rows, pa.list_(pa.int64()))]
-        names = ["chunk", "doc_id", "held_out", "n_tokens", "known_n", "known_sum", "symbols", "rare", "hashes"]
-        yield pa.RecordBatch.from_arrays(fields, names=names)
-        if not known.all():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *[pa.nulls(1, f.type) for f in fields[1:-1]], pa.array([unique[~known]], pa.list_(pa.int64()))], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flats, sizes, ids, out, n, turn = [], [], [], [], 0, 0
-        name = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            flat, offsets = _flat(batch, "words")
-            flats.append(flat)
-            sizes.append(np.diff(offsets))
-            ids += batch.column("doc_id").to_pylist()
-            out += batch.column("held_out").to_pylist()
-            n += len(flat)
-            if n >= CHUNK:
-                yield from chunk_of(np.concatenate(flats), np.concatenate(sizes), ids, out, name + turn)
-                flats, sizes, ids, out, n, turn = [], [], [], [], 0, turn + 1
-        if ids:
-            yield from chunk_of(np.concatenate(flats), np.concatenate(sizes), ids, out, name + turn)
-    return run
-
+def _rows(n: int, /, **columns) -> pa.Table:
+    """Rows of the state with the given columns, null in all others."""
+    def made(f: pa.Field):
+        given = columns.get(f.name)
+        if isinstance(given, (pa.Array, pa.ChunkedArray)):
+            return given
+        return pa.nulls(n, f.type) if given is None else pa.array(given, f.type)
+    return pa.table([made(f) for f in STATE], schema=STATE)
 
-def _sequence(symbols: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Symbols of documents one after the other, and what stands one, two ... places before each: -1 beyond the start.
-
-    Before a document's first symbol stands an end.
-    """
-    x = np.frombuffer(b"".join(symbols), "<u2").astype(np.int64)
-    sizes = np.array([len(s) // 2 for s in symbols], np.int64)
-    place = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    before = []
-    for d in range(1, DEPTH + 1):
-        prior = np.concatenate([np.full(min(d, len(x)), END), x[:-d]])[:len(x)]
-        before.append(np.where(place >= d, prior, np.where(place == d - 1, END, -1)))
-    return x, before
 
+def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chunk, hashes in zip(batch.column("chunk").to_pylist(), batch.column("hashes").to_pylist()):
+            words = np.frombuffer(hashes, "<i8")[1:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), pa.array(np.arange(len(words)), pa.int32()), pa.array(words)], names=["chunk", "pos", "word"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in chunks: a row per document and one with the chunk's distinct words and tokens, places in the former."""
+    flats, sizes, ids, out, n, turn = [], [], [], [], 0, 0
+    name = TaskContext.get().partitionId() << 32
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        size = np.concatenate(sizes)
+        unique, place = np.unique(np.concatenate(flats), return_inverse=True)
+        tokens = np.insert(place + 1, np.cumsum(size), 0).astype("<i4")
+        chunk, k = name + turn, len(size)
+        yield from _rows(k, chunk=[chunk] * k, kind=[DOC] * k, pos=np.arange(k), doc_id=ids, held_out=out, n_tokens=size + 1).to_batches()
+        yield from _rows(1, chunk=[chunk], kind=[CHUNK_ROW], tokens=[tokens.tobytes()], hashes=[np.concatenate([[END], unique]).astype("<i8").tobytes()]).to_batches()
+    for batch in batches:
+        flat, offsets = _flat(batch, "words")
+        flats.append(flat)
+        sizes.append(np.diff(offsets))
+        ids += batch.column("doc_id").to_pylist()
+        out += batch.column("held_out").to_pylist()
+        n += len(flat)
+        if n >= CHUNK:
+            yield from whole()
+            flats, sizes, ids, out, n, turn = [], [], [], [], 0, turn + 1
+    if ids:
+        yield from whole()
+
+
+class Chunk:
+    """A chunk's documents in order, its tokens and the symbols (hashes) of its distinct words."""
+
+    def __init__(self, rows: pa.Table):
+        kind = rows["kind"].to_numpy()
+        self.docs = rows.filter(pa.array(kind == DOC)).sort_by("pos")
+        row = rows.filter(pa.array(kind == CHUNK_ROW)).to_pylist()[0]
+        self.name, self.alive = row["chunk"], row["alive"]
+        self.tokens, self.hashes = np.frombuffer(row["tokens"], "<i4"), np.frombuffer(row["hashes"], "<i8")
+        self.sizes = self.docs["n_tokens"].to_numpy()
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(len(self.owner)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+
+    def column(self, name: str) -> np.ndarray:
+        return self.docs[name].to_numpy()
+
+    def sums(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner[at], values, len(self.sizes))
+
+    def asked(self, at: np.ndarray, depth: int) -> tuple:
+        """Contexts of the tokens at some places (hash, that of the suffix, first symbol) and distinct pairs with the next symbol."""
+        x = self.hashes[self.tokens].astype(np.uint64)
+        before = np.concatenate([np.array([END], np.uint64), x])
+        ctx, parent = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        for j in range(depth):
+            parent, far = ctx, before[at - j]
+            ctx = _mix(ctx * np.uint64(0x9E3779B97F4A7C15) + far)
+        _, pair, of_pair = np.unique(_mix(ctx * np.uint64(0xD6E8FEB86659FD93) + x[at]), return_index=True, return_inverse=True)
+        _, one, of_one = np.unique(ctx, return_index=True, return_inverse=True)
+        return ctx.view(np.int64), parent.view(np.int64), far.view(np.int64), x[at].view(np.int64), pair, of_pair, one, of_one
+
+    def state(self, depth: int, alive: np.ndarray, p: np.ndarray, hashes: np.ndarray, **columns) -> pa.Table:
+        """The chunk after a level, with what it asks of the next: pairs with their counts in training, and contexts.
+
+        ``alive`` is 0 where a token has no longer context, else one more than the lengths in a row that were not kept.
+        """
+        k = len(self.sizes)
+        given = {c: self.docs[c] for c in ("chunk", "pos", "doc_id", "held_out", "n_tokens", "n_known", "base_score")}
+        out = [_rows(k, **{**given, "kind": [DOC] * k, **columns})]
+        left = alive.any()  # without a place to look at, tokens are not needed again
+        out.append(_rows(1, chunk=[self.name], kind=[CHUNK_ROW], tokens=[self.tokens.tobytes() if left else b""], hashes=[hashes.tobytes() if left else b""], alive=[alive.tobytes() if left else b""]))
+        if left:
+            self.hashes = hashes
+            at = np.flatnonzero(alive)
+            ctx, parent, far, sym, pair, of_pair, one, _ = self.asked(at, depth)
+            training = ~self.docs["held_out"].to_numpy()[self.owner[at]]
+            n = np.bincount(of_pair, training, len(pair)).astype(np.int64)
+            out.append(_rows(len(pair), chunk=np.full(len(pair), self.name), kind=np.full(len(pair), PAIR), pos=np.arange(len(pair)), ctx=ctx[pair], sym=sym[pair], p=p[at][pair], n=n))
+            out.append(_rows(len(one), chunk=np.full(len(one), self.name), kind=np.full(len(one), CONTEXT), pos=np.arange(len(one)), ctx=ctx[one], parent=parent[one], far=far[one]))
+        return pa.concat_tables(out)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _begin(ends: int, mass: float, rare_mass: float):
+    """Scores from the frequencies of words; asks for the contexts of one symbol."""
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        chunk = Chunk(rows)
+        n = np.zeros(len(chunk.hashes))
+        n[0] = ends
+        n[found["pos"].to_numpy() + 1] = found["n"].to_numpy()
+        symbol = np.where(n >= LEAST, chunk.hashes, RARE)
+        symbol[0] = END
+        rare = symbol == RARE
+        p = np.where(rare, rare_mass, n + ADD) / mass
+        every, x = np.arange(len(chunk.tokens)), chunk.tokens
+        base = chunk.sums(every, np.log10((n + ADD) / mass)[x])
+        tree = chunk.sums(every, (np.log10(p) + np.where(rare, np.log10((n + ADD) / rare_mass), 0.0))[x])
+        context = (n >= LEAST) & ~rare
+        alive = context[np.concatenate([[0], x[:-1]])].astype(np.uint8)
+        return chunk.state(1, alive, p[x], symbol, n_known=chunk.sums(every, (n > 0)[x]).astype(np.int64), base_score=base, score=tree)
+    return run
 
-def _contexts(before: list[np.ndarray], levels: list[np.ndarray], k: int) -> list[np.ndarray]:
-    """Index of the context of each length among the counted ones (sorted keys by level), -1 where it is none.
 
-    The key of a longer context is the index of its last symbols' context and the symbol before them.
-    """
-    at, out = None, []
-    for d, keys in enumerate(levels):
-        key = before[0] if at is None else np.where((at >= 0) & (before[d] >= 0), at * k + before[d], -1)
-        at = np.where(key >= 0, _find(keys, key), -1)
-        out.append(at)
-    return out
-
-
-def _count_entries(levels: list[np.ndarray], k: int):
-    """Continuations of the contexts of the last level, summed within a task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            x, before = _sequence(batch.column("symbols").to_pylist())
-            at = _contexts(before, levels, k)[-1]
-            more, n = np.unique((at * k + x)[at >= 0], return_counts=True)
-            both, place = np.unique(np.concatenate([keys, more]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, n]), len(both)).astype(np.int64)
-            keys = both
-            if len(keys) > CHUNK:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["entry", "n"])
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["entry", "n"])
+def _deepen(depth: int):
+    """Scores with the contexts of ``depth`` symbols; asks for longer ones."""
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        chunk = Chunk(rows)
+        if not len(chunk.tokens):
+            return rows.select([f.name for f in STATE])
+        size = len(chunk.tokens)
+        before = np.frombuffer(chunk.alive, np.uint8)
+        at = np.flatnonzero(before)
+        *_, pair, of_pair, one, of_one = chunk.asked(at, depth)
+        kind, pos = found["kind"].to_numpy(), found["pos"].to_numpy()
+        n, p, share, weight, kept = np.zeros(len(pair)), np.ones(len(pair)), np.zeros(len(one)), np.ones(len(one)), np.zeros(len(one), bool)
+        is_pair = kind == PAIR
+        n[pos[is_pair]], p[pos[is_pair]] = found["n"].to_numpy()[is_pair], found["p"].to_numpy()[is_pair]
+        total, kinds = found["n"].to_numpy()[~is_pair], found["kinds"].to_numpy()[~is_pair].astype(float)
+        share[pos[~is_pair]], weight[pos[~is_pair]], kept[pos[~is_pair]] = 1 / (total + kinds), kinds / (total + kinds), found["kept"].to_numpy()[~is_pair].astype(bool)
+        n, p, use = n[of_pair], p[of_pair], kept[of_one]
+        better = np.where(use, n * share[of_one] + weight[of_one] * p, p)
+        tree = chunk.column("score") + chunk.sums(at, np.log10(better) - np.log10(p))
+        # a longer context is what the context one place before saw follow it
+        # (beyond PATIENCE that one may not have been counted; the longer one's own count decides then)
+        frequent = np.full(size + 1, depth > PATIENCE)
+        frequent[at + 1] = n >= LEAST
+        far = chunk.hashes[chunk.tokens[np.maximum(at - depth - 1, 0)]]
+        far, last = np.where(chunk.place[at] == depth, END, far), chunk.hashes[chunk.tokens[np.maximum(at - 1, 0)]]
+        alive, full = np.zeros(size, np.uint8), np.ones(size)
+        missed = np.where(use, 0, before[at])
+        alive[at] = np.where(frequent[at] & (chunk.place[at] >= depth) & (far != RARE) & (last != RARE) & (missed < PATIENCE), missed + 1, 0)
+        full[at] = better
+        return chunk.state(depth + 1, alive, full, chunk.hashes, score=tree)
     return run
 
 
-def _probabilities(x: np.ndarray, at: list[np.ndarray], root: np.ndarray, levels: list[Level]) -> np.ndarray:
-    """Probability of each symbol from the longest kept suffix, which passes what it smooths on to the next shorter one."""
-    k, p = len(root), root[x]
-    for a, level in zip(at, levels):
-        here = np.flatnonzero(a >= 0)
-        here = here[level.kept[a[here]]]
-        entry = _find(level.entries, a[here] * k + x[here])
-        counts = np.where(entry >= 0, level.counts[entry] if len(level.counts) else 0, 0)
-        p[here] = counts * level.scale[a[here]] + level.weight[a[here]] * p[here]
-    return p
-
+def grow(state: str, words: Words) -> list[Level]:
+    """The tree's levels; ``state`` is the path of the chunks that ask for contexts of one symbol.
 
-def grow(encoded: DataFrame, words: Words, depth: int = DEPTH) -> list[Level]:
-    """The tree's levels from the training documents' symbols."""
-    spark, root = encoded.sparkSession, words.root()
-    k, levels = len(root), []
-    keys = np.array([s for s in range(k) if s != RARE and words.symbol_counts[s] >= CONTEXT_SHARE * words.total], np.int64)
-    training = encoded.where("hashes is null and not held_out").select("symbols")
-    symbol_keys: list[np.ndarray] = []
-    for _ in range(depth):
-        if not len(keys):
+    Growth ends where no chunk asks for longer contexts; last levels without a kept context are left out.
+    """
+    spark, levels = words.counts.sparkSession, []
+    while True:
+        rows = spark.read.schema(SPARK_STATE).parquet(state)
+        if rows.where(F.col("kind") == PAIR).isEmpty():
             break
-        symbol_keys.append(keys)
-        entries = cut(training.mapInArrow(_count_entries(symbol_keys, k), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")), "pst-entries")
-        totals = entries.groupBy(F.expr(f"entry div {k}").alias("context")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).toPandas()  # a row per context
-        many = entries.where(F.col("n") >= max(1.0, ENTRY_SHARE * words.total)).toPandas().sort_values("entry")  # at most 1 / ENTRY_SHARE rows
-        n, kinds = np.zeros(len(keys)), np.ones(len(keys))
-        n[totals["context"]], kinds[totals["context"]] = totals["n"], totals["kinds"]
-        e, c = many["entry"].to_numpy(np.int64), many["n"].to_numpy(np.float64)
-        context, symbol = e // k, e % k
-        # the same continuation by the longest kept suffix: the levels below, at the contexts' last symbols
-        suffix = [_suffix_at(symbol_keys, d, context, k) for d in range(len(levels))]
-        parent = _probabilities(symbol, suffix, root, levels)
-        shown, parent_shown = np.bincount(context, c, len(keys)), np.minimum(1 - 1e-12, np.bincount(context, parent, len(keys)))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.bincount(context, c * np.log(c / n[context] / parent), len(keys)).astype(float)
-            rest = n - shown
-            gain += np.where(rest > 0, rest * np.log(rest / n / (1 - parent_shown)), 0.0)
-            kept = np.nan_to_num(gain) > 0.5 * kinds * np.log(np.maximum(n, 2))
-        levels.append(Level(keys, kept, (kinds + rest) / np.maximum(n + kinds, 1), 1 / np.maximum(n + kinds, 1), e, c))
-        longer = (c >= CONTEXT_SHARE * words.total) & (symbol != RARE)
-        keys = _longer_keys(symbol_keys, context[longer], symbol[longer], k)
+        pairs, asked = rows.where(F.col("kind") == PAIR).select("chunk", "pos", "ctx", "sym", "p", "n"), rows.where(F.col("kind") == CONTEXT).select("chunk", "pos", "ctx")
+        entries = pairs.where("n > 0").groupBy("ctx", "sym").agg(F.sum("n").alias("n"), F.max("p").alias("p"))
+        n, kinds = F.sum("n"), F.count(F.lit(1))
+        gain = F.sum(F.col("n") * (F.log("n") - F.log("p"))) - n * F.log(n)
+        contexts = entries.groupBy("ctx").agg(n.alias("n"), kinds.alias("kinds"), ((n >= LEAST) & (gain > 0.5 * kinds * F.log(F.greatest(n, F.lit(2))))).alias("kept"))
+        seen = entries.select("ctx", "sym", F.col("n").alias("seen"), F.col("p").alias("q"))
+        told = pairs.drop("n").join(seen, ["ctx", "sym"], "left").select(F.col("chunk").alias("of"), F.lit(PAIR).alias("kind"), "pos", F.coalesce("seen", F.lit(0)).cast("long").alias("n"),
+                                                                         F.coalesce("q", "p").alias("p"), F.lit(0).cast("long").alias("kinds"), F.lit(False).alias("kept"))
+        told = told.unionAll(asked.join(contexts, "ctx").select(F.col("chunk").alias("of"), F.lit(CONTEXT).alias("kind"), "pos", "n", F.lit(1.0).alias("p"), "kinds", "kept"))
+        own = spark.read.schema(SPARK_STATE).parquet(state).where(F.col("kind").isin(DOC, CHUNK_ROW))
+        state = write_shared(own.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(_deepen(len(levels) + 1), SPARK_STATE), "pst-level")
+        levels.append(Level(words, levels[-1] if levels else None, rows, entries, contexts, state))
+    while levels and levels[-1].contexts.where("kept").isEmpty():
+        levels.pop()
     return levels
 
 
-def _symbols_of(symbol_keys: list[np.ndarray], context: np.ndarray, k: int) -> list[np.ndarray]:
-    """Symbols of contexts of the last level, nearest first."""
-    out, at = [], context
-    for keys in reversed(symbol_keys[1:]):
-        key = keys[at]
-        out.append(key % k)
-        at = key // k
-    return [symbol_keys[0][at], *reversed(out)]
-
-
-def _suffix_at(symbol_keys: list[np.ndarray], d: int, context: np.ndarray, k: int) -> np.ndarray:
-    """Index of the context of d + 1 symbols that ends each context of the last level."""
-    at = context
-    for keys in reversed(symbol_keys[d + 1:]):
-        at = keys[at] // k
-    return at
-
-
-def _longer_keys(symbol_keys: list[np.ndarray], context: np.ndarray, symbol: np.ndarray, k: int) -> np.ndarray:
-    """Keys of the contexts that a frequent continuation makes: its symbol, then the context's symbols, one more in all."""
-    before = [symbol, *_symbols_of(symbol_keys, context, k)]
-    at = None
-    for d, keys in enumerate(symbol_keys):
-        at = _find(keys, before[0] if at is None else at * k + before[d])
-        if (at < 0).any():
-            fine = at >= 0
-            at, before = at[fine], [b[fine] for b in before]
-    return np.unique(at * k + before[len(symbol_keys)])
-
-
-def _score(words: Words, levels: list[Level], depth_keys: list[np.ndarray]):
-    root = words.root()
-    base, rare = math.log10(words.mass()), math.log10(words.rare_mass())
-
-    def run(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-        if not len(docs):
-            return pd.DataFrame({n: [] for n in names}).astype({"doc_id": "Int64", "held_out": bool, "n_tokens": "int64", "n_known": "int64", "base_score": float, "score": float})
-        counts = np.zeros(int(found["pos"].max()) + 1 if len(found) else 0)
-        counts[found["pos"]] = found["n"]
-        sizes = docs["rare"].map(len).to_numpy() // 4
-        place = np.frombuffer(b"".join(docs["rare"]), "<i4")
-        c = np.where(place < len(counts), counts[np.minimum(place, max(0, len(counts) - 1))] if len(counts) else 0, 0)
-        owner = np.repeat(np.arange(len(docs)), sizes)
-        rare_log = np.bincount(owner, np.log10(c + ADD), len(docs))
-        rare_known = np.bincount(owner, c > 0, len(docs)).astype(np.int64)
-        end_count = int(words.symbol_counts[END])
-        total = docs["known_sum"].to_numpy() + rare_log + math.log10(end_count + ADD)
-        x, before = _sequence(docs["symbols"].to_list())
-        p = np.log10(_probabilities(x, _contexts(before, depth_keys, len(root)), root, levels))
-        # within the rare symbol a word has its own frequency; broadcast words may be rare symbols too
-        lengths = docs["n_tokens"].to_numpy()
-        tree = np.add.reduceat(p, np.cumsum(lengths) - lengths)
-        hidden = np.bincount(np.repeat(np.arange(len(docs)), lengths), x == RARE, len(docs))
-        shown_log = np.bincount(np.repeat(np.arange(len(docs)), lengths), np.where(x == RARE, 0.0, np.log10(words.symbol_counts + ADD)[x]), len(docs))
-        inside = total - shown_log - hidden * rare
-        return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": lengths, "n_known": docs["known_n"].to_numpy() + rare_known + (end_count > 0),
-                             "base_score": total - lengths * base, "score": tree + inside})
-    return run
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -325,22 +359,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = hashed(docs, id_col, text_col)
     counts = cut(rows.where("not held_out").select("words").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "pst-words")
     ends = docs.where((F.crc32(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).cast("binary")) % FOLDS) != HELD_OUT).count()
-    all_words = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).first()
-    total, distinct = (all_words["n"] or 0) + ends, all_words["kinds"] + (ends > 0)
-    many = counts.where(F.col("n") >= max(1.0, WORD_SHARE * total)).toPandas().sort_values("word")  # at most 1 / WORD_SHARE rows
-    n = many["n"].to_numpy(np.int64)
-    symbol = np.full(len(n), RARE, np.int64)
-    often = n >= SYMBOL_SHARE * total
-    symbol[often] = 2 + np.arange(int(often.sum()))
-    words = Words(many["word"].to_numpy(np.int64), n, symbol, np.concatenate([[ends, 0], n[often]]).astype(np.float64), int(total), int(distinct))
-    encoded = cut(rows.mapInArrow(_encode(words), ENCODED), "pst-symbols")
-    levels = grow(encoded, words)
-    asked = encoded.where("hashes is not null").select("chunk", F.posexplode("hashes").alias("pos", "word"))
+    often = F.col("n") >= LEAST
+    sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum(F.when(often, F.col("n"))).alias("shown"), F.count(F.when(often, 1)).alias("symbols")).first()
+    total = (sums["n"] or 0) + ends
+    words = Words(counts, ends, total, sums["kinds"] + (ends > 0), sums["symbols"], sums["shown"] or 0)
+    chunks = cut(rows.mapInArrow(_chunks, SPARK_STATE), "pst-chunks")
+    asked = chunks.where(F.col("kind") == CHUNK_ROW).select("chunk", "hashes").mapInArrow(_asked_words, "chunk long, pos int, word long")
     found = asked.join(counts, "word").select(F.col("chunk").alias("of"), "pos", "n")
-    texts = encoded.where("hashes is null").drop("hashes")
-    shared = spark.sparkContext.broadcast((words, levels, [level.keys for level in levels]))
-    scored = texts.groupBy("chunk").cogroup(found.groupBy("of")).applyInPandas(
-        lambda a, b: _score(*shared.value)(a, b), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    state = write_shared(chunks.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(_begin(ends, words.mass(), words.rare_mass()), SPARK_STATE), "pst-level")
+    levels = grow(state, words)
+    scored = spark.read.schema(SPARK_STATE).parquet(levels[-1].after if levels else state).where(F.col("kind") == DOC)
     plain = F.lit(total > 0)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"),
                          F.when(plain, F.col("base_score")).otherwise(0.0).alias("base_score"), F.when(plain, F.col("score")).otherwise(0.0).alias("score"))

@@ -196,6 +196,71 @@ def test_base_scores_against_brute_force(spark, small, odd_clashing, empty):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == r.base_score == 0 for r in suffixtree.score(only).collect())
 
 
+def tree_scores(rows, least=10, patience=3):
+    """The suffix tree in plain Python: every context of any length, no share of the corpus cuts it."""
+    tokens = [(d, WORD.findall((t or "").translate(LOWER)) + ["\n"]) for d, t in rows]
+    out = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    count = Counter(w for d, ws in tokens if not out(d) for w in ws)
+    total, v = sum(count.values()), len(count)
+    mass, shown = total + 0.1 * (v + 1), {w for w, n in count.items() if n >= least or w == "\n"}
+    rare = total - sum(count[w] for w in shown) + 0.1 * (v - len(shown) + 1)
+    seqs = [(d, [w if w in shown else None for w in ws]) for d, ws in tokens]
+    root = lambda s: (rare if s is None else count[s] + 0.1) / mass
+    tree: list[dict] = []
+
+    def contexts(s, i):
+        c = tuple((["\n"] + s)[max(0, i - len(tree)):i + 1])
+        return [c[len(c) - d:] for d in range(1, len(c) + 1)]
+
+    def p(s, i, x):
+        out = root(x)
+        for level, c in zip(tree, contexts(s, i)):
+            if c in level and level[c][0]:
+                _, n, follow, _ = level[c]
+                out = (follow[x] + len(follow) * out) / (n + len(follow))
+        return out
+
+    while True:
+        d, found = len(tree) + 1, {}
+        for doc, s in seqs:
+            if out(doc):
+                continue
+            for i in range(len(s)):
+                c = tuple((["\n"] + s)[i + 1 - d:i + 1]) if i + 1 >= d else None
+                if c is None or None in c or (d > 1 and tree[d - 2].get(c[1:], (0, 0, 0, patience))[3] >= patience):
+                    continue
+                found.setdefault(c, []).append((p(s, i, s[i]), s[i]))
+        level = {}
+        for c, seen in found.items():
+            if len(seen) >= least:
+                follow, n = Counter(x for _, x in seen), len(seen)
+                gain = sum(math.log(follow[x] / n / q) for q, x in seen)
+                kept = gain > 0.5 * len(follow) * math.log(n)
+                level[c] = (kept, n, follow, 0 if kept else 1 + (tree[d - 2][c[1:]][3] if d > 1 else 0))
+        if not level:
+            break
+        tree.append(level)
+    score = {}
+    for (doc, ws), (_, s) in zip(tokens, seqs):
+        score[doc] = sum(math.log10(p(s, i, s[i])) + (0 if s[i] is not None else math.log10((count[ws[i]] + 0.1) / rare)) for i in range(len(s)))
+    return score, tree
+
+
+def test_tree_against_brute_force_beyond_shares_and_depth(spark):
+    rng, rows = np.random.default_rng(5), []
+    for i in range(400):
+        w = [f"f{rng.integers(0, 30)}" for _ in range(300)]
+        if i % 20 == 0:  # rare words: 1e-4 of all words is more than they have
+            w += f"rareone{i % 40} raretwo{i % 40} answer{i % 40}".split()
+        first = rng.integers(0, 3)  # what ends the passage is told by the word four before
+        w += [f"s{first}", "a", "b", "c", f"e{first}"] + ["unseen"] * (i == 7)
+        rows.append((i, " ".join(w)))
+    want, tree = tree_scores(rows)
+    got = {r.doc_id: r.score for r in suffixtree.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(tree) > 3 and any(kept for kept, *_ in tree[3].values())
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
+
+
 def test_contexts_help_and_probabilities_add_up(spark, monkeypatch):
     seen = {}
     grow = suffixtree.grow
