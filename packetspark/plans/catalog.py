@@ -466,8 +466,9 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- models (C1-C10, A2-A9) and E13
 
-# 100 trees as the reference; depth 10 from its search space (unlimited = 30 via fit_forest)
-RF_QUERY = dict(num_trees=100, max_depth=10)
+# the reference's forest (unlimited depth = Spark's maximum of 30) and its search
+RF_QUERY = dict(num_trees=100, max_depth=None)
+RF_SEARCH = dict(method="randomized", n_iter=10, cv=5)
 
 
 def _features(spark, sf):
@@ -495,16 +496,14 @@ def q_rf_importance(spark, sf):
 def q_rf_search(spark, sf):
     from packetspark.operators import classify as C
     from packetspark.plans.training import train_val
-    # The reference grid with depth 10 and 50 / 100 trees (full grid: C.SEARCH_SPACE).
-    space = dict(C.SEARCH_SPACE, n_estimators=[50, 100], max_depth=[10])
-    _, res = C.search_forest(train_val(_features(spark, sf)), method="randomized", n_iter=4, cv=3, space=space)
+    _, res = C.search_forest(train_val(_features(spark, sf)), space=C.SEARCH_SPACE, **RF_SEARCH)
     return res
 
 
 def q_rf_cv(spark, sf):
     from packetspark.operators import classify as C
     from packetspark.plans.training import train_val
-    return C.cross_validate(train_val(_features(spark, sf)), cv=3, num_trees=50, max_depth=10)
+    return C.cross_validate(train_val(_features(spark, sf)), cv=RF_SEARCH["cv"], **RF_QUERY)
 
 
 def q_iforest_fit_score(spark, sf):
@@ -533,7 +532,7 @@ def q_fault_evaluation(spark, sf):
     from packetspark.plans.evaluation import evaluate_faults
     from packetspark.plans.training import train_val
     f = _features(spark, sf)
-    model = C.fit_forest(train_val(f), num_trees=50, max_depth=10)
+    model = C.fit_forest(train_val(f), **RF_QUERY)
     scen = [FaultConfig(corruption_rate=a, noise_std=b, payload_loss_rate=c, scenario_id=i) for i, a, b, c in SWEEP]
     return evaluate_faults(model, "forest", f, scen)["summary"]
 
@@ -600,7 +599,7 @@ def q_stream_predict(spark, sf):
     opts = PreprocessOptions(iat_mode="ts_gap", keys=("device_id",), cap_derived=True,
                              scale_columns=tuple(S.SERVE_SCALE_COLUMNS))
     res = preprocess(read_packets(spark, sf), opts)
-    model = C.fit_forest(train_val(cut_lineage(res.features)), num_trees=50, max_depth=10)
+    model = C.fit_forest(train_val(cut_lineage(res.features)), **RF_QUERY)
     x = _stream_run(spark, sf, model=model, kind="forest", windows=S.DEFAULT_WINDOWS, scaler=res.scaler, caps=res.caps)
     return x.select("event_id", "device_id", "status", "predicted_label", r("confidence", "confidence"))
 
