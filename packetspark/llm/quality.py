@@ -154,11 +154,19 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return min(1e6, max(1.0, row["chance"] / row["n"] / max(between, 1e-9) - 1))
 
 
+def _path_of(columns: list[str], of: str = "") -> Column:
+    """The path of a document: the first part of its URL's path where there is a ``url`` column, else its language."""
+    if "url" in columns:
+        url = F.col(f"{of}url").cast("string")
+        return F.when(url.isNotNull(), F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^/?#]*)", 1))
+    return F.col(f"{of}lang").cast("string")
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, host: Column | None = None, path: Column | None = None, reject: float = REJECT, fit_rows: int = FIT_ROWS,
              model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, host, path, evidence, host_rate, path_rate, p_bad, kept.
 
-    ``docs`` has doc_id, text and, unless given, source (the host) and lang (with the host, the path).  ``labels`` has
+    ``docs`` has doc_id, text and, unless given, source (the host) and url or lang (with the host, the path).  ``labels`` has
     doc_id, quality and toxic: a document is bad if its quality is 0 or toxic is 1; nulls in both are no label, and of
     several labels the worst counts.  A null text is empty; null hosts and paths are sites of their own; repeated rows
     count each; an empty table gives an empty result, and without labels of both kinds there is no evidence and every
@@ -166,7 +174,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: Column | None = None,
     """
     bounded_batches(docs.sparkSession)
     host = F.col("source").cast("string") if host is None else host
-    path = F.col("lang").cast("string") if path is None else path
+    path = _path_of(docs.columns) if path is None else path
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), host.alias("host"), path.alias("path"))
     known = known_labels(labels)
     model = fit(slim, known, fit_rows) if model is None else model
@@ -214,11 +222,11 @@ def _judged(scored: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, reject: float = REJECT, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``docs`` (with doc_id, text, source and lang) without those that ``classify`` rejects.  No text is shuffled: texts are scored where they lie."""
+    """``docs`` (with doc_id, text, source and url or lang) without those that ``classify`` rejects.  No text is shuffled: texts are scored where they lie."""
     bounded_batches(docs.sparkSession)
     columns, known = docs.columns, known_labels(labels)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")).select(
-        "_row", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.text").cast("string").alias("text"), F.col("_row.source").cast("string").alias("host"), F.col("_row.lang").cast("string").alias("path"))
+        "_row", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.text").cast("string").alias("text"), F.col("_row.source").cast("string").alias("host"), _path_of(columns, "_row.").alias("path"))
     model = fit(rows.select("doc_id", "text"), known, fit_rows)
     scored = cut(_evidence(rows.select("doc_id", "host", "path", "text"), model, False), "quality-evidence")
     again = _evidence(rows.select("_row", "host", "path", "text"), model, False)

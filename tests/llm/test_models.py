@@ -44,6 +44,17 @@ def test_classifier_on_held_out_documents(spark, odd_clashing, empty):
     assert quality.classify(empty, known).count() == 0 and quality.good_documents(empty, known).count() == 0
 
 
+def test_path_comes_from_the_url_where_there_is_one(spark):
+    rows, labels = labelled(200)
+    urls = ["https://h.org/blog/1", "//h.org/news?x=/blog/", "http://h.org", None]
+    want = ["/blog", "/news", "", None]
+    docs = spark.createDataFrame([(*row, urls[row[0] % 4]) for row in rows], "doc_id long, text string, lang string, source string, n_chars long, url string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = quality.classify(docs, known).collect()
+    assert len(out) == 200 and all(r.path == want[r.doc_id % 4] for r in out)
+    assert {r.doc_id for r in quality.good_documents(docs, known).collect()} == {r.doc_id for r in out if r.kept}
+
+
 def test_sparse_sites_shrink_towards_their_host(spark):
     rows = [(i, "h", "en", 0.0, 1) for i in range(400)] + [(i + 400, "h", "xx", 0.0, 1) for i in range(2)] + [(i + 500, "g", "en", 0.0, 0) for i in range(400)] + [(i + 900, "g", "xx", 0.0, 1) for i in range(1)]
     scored = spark.createDataFrame([(a, b, c, e) for a, b, c, e, _ in rows], "doc_id long, host string, path string, evidence double")
