@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetspark import schema as S
-from packetspark.session import cut_lineage
+from packetspark.session import written
 
 
 def _finite(c: Column) -> Column:
@@ -41,13 +41,16 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     cells = F.array(*[F.struct(F.lit(i).alias("c"), _finite(F.col(c).cast("double")).alias("v"))
                       for i, c in enumerate(columns)])
     values = df.select(F.explode(cells).alias("x")).select("x.c", "x.v").where(F.col("v").isNotNull())
-    distinct = cut_lineage(values.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    distinct = written(values.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")), "distinct-values")
     sizes = {r["c"]: (r["n"], r["d"]) for r in distinct.groupBy("c").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
     if not sizes:
         return {c: [None] * len(probs) for c in columns}
     segments = max(1, math.ceil(sum(d for _, d in sizes.values()) / values_per_segment))
-    seg = cut_lineage(distinct.repartitionByRange(segments, "c", "v").withColumn("seg", F.spark_partition_id()))
+    if segments == 1:  # all values are one segment as they are
+        seg = distinct.withColumn("seg", F.lit(0))
+    else:
+        seg = written(distinct.repartitionByRange(segments, "c", "v").withColumn("seg", F.spark_partition_id()), "value-segments")
     totals = seg.groupBy("c", "seg").agg(F.sum("n").alias("n")).orderBy("c", "seg").collect()
 
     # The segment that holds each needed rank (0-based), and the rank inside it.

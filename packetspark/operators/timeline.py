@@ -29,11 +29,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from packetspark import schema as S
+from packetspark.session import written
 
 MICROS = 1_000_000
 
@@ -56,7 +57,7 @@ def bucket_of(us: Column, width_us: int) -> Column:
 def ordered_scan(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
                  sums: dict[str, Column] | None = None,
                  lags: Sequence[str] = (), partitions: int | None = None,
-                 prefix: str = "", carry: Sequence[str] = ()) -> DataFrame:
+                 prefix: str = "", carry: Sequence[str] = (), scan_of: DataFrame | None = None) -> DataFrame:
     """Adds, per row and within ``group`` in ``order``:
 
     * ``{prefix}idx``: 0-based position,
@@ -69,7 +70,7 @@ def ordered_scan(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
     results are joined back to the full rows on the unique sort key, so only
     the narrow columns are shuffled by range and cached.  ``carry`` names
     further columns that travel with the scan; if they are all that is left,
-    there is no join.
+    there is no join.  ``scan_of`` is scanned in place of ``df`` (same rows).
     """
     sums = dict(sums or {})
     group, order, lags = list(group), list(order), list(lags)
@@ -77,64 +78,37 @@ def ordered_scan(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
     sort_key = group + order
     narrow = list(dict.fromkeys(sort_key + lags + list(carry)))
 
-    x = df.select(*narrow, *[F.coalesce(e.cast("double"), F.lit(0.0)).alias(f"_v_{n}") for n, e in sums.items()])
+    x = (df if scan_of is None else scan_of).select(*narrow, *[F.coalesce(e.cast("double"), F.lit(0.0)).alias(f"_v_{n}") for n, e in sums.items()])
     if lags:
         x = x.withColumn("_lagv", F.struct(*[F.col(c) for c in lags]))
     x = x.repartitionByRange(P, *sort_key).withColumn("_seg", F.spark_partition_id())
-
     gkey = F.struct(*[F.col(c) for c in group]) if group else F.lit(0)
     x = x.withColumn("_g", gkey)
+    # The segment's own window comes first: its exchange and sort also serve the groups inside the segment.
+    whole = Window.partitionBy("_seg").orderBy(*group, *order)
+    x = x.withColumns({"_head": F.lag(F.lit(1)).over(whole).isNull(), "_tail": F.lead(F.lit(1)).over(whole).isNull(),
+                       "_first": F.col("_g").eqNullSafe(F.first("_g").over(whole))})
     w = Window.partitionBy("_seg", "_g").orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("_rn", F.row_number().over(w) - 1)
-    for name in sums:
-        x = x.withColumn(f"_in_{name}", F.coalesce(F.sum(f"_v_{name}").over(before), F.lit(0.0)))
+    scans = {"_rn": F.row_number().over(w) - 1}
+    scans |= {f"_in_{n}": F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0.0)) for n in sums}
     if lags:
-        x = x.withColumn("_lag_in", F.lag("_lagv").over(w))
+        scans["_lag_in"] = F.lag("_lagv").over(w)
     # The segment id comes from one range exchange whose bounds are sampled
     # when it runs; every consumer below must see the same assignment, so the
-    # segmented rows are materialised once (a lost block is recomputed from
-    # the same shuffle dependency, hence the same bounds).
-    x = x.persist(StorageLevel.MEMORY_AND_DISK)
-
-    # Segment table: one row per range partition.
-    ostruct = F.struct(*[F.col(c) for c in order])
-    heads = x.groupBy("_seg").agg(F.min("_g").alias("_g_first"), F.max("_g").alias("_g_last"))
-    tail_aggs = [F.count(F.lit(1)).alias("_t_cnt")]
-    tail_aggs += [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
-    if lags:
-        tail_aggs.append(F.max_by("_lagv", ostruct).alias("_t_last"))
-    tails = (x.join(F.broadcast(heads.select("_seg", "_g_last")), "_seg")
-               .where(F.col("_g") == F.col("_g_last"))
-               .groupBy("_seg", "_g_last").agg(*tail_aggs))
-    # Carry for (segment s, first group k) = tails of earlier segments whose
-    # last group is k.  Both sides have P rows.
-    tail_cols = ["_t_cnt"] + [f"_t_{n}" for n in sums] + (["_t_last"] if lags else [])
-    q = heads.select("_seg", F.col("_g_first").alias("_gk"), F.lit(0).alias("_kind"),
-                     *[F.lit(None).alias(c) for c in tail_cols])
-    t = tails.select("_seg", F.col("_g_last").alias("_gk"), F.lit(1).alias("_kind"), *tail_cols)
-    ev = q.unionByName(t, allowMissingColumns=True)
-    cw = Window.partitionBy("_gk").orderBy("_seg", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    carry_cols = [F.coalesce(F.sum("_t_cnt").over(cw), F.lit(0)).alias("_c_cnt")]
-    carry_cols += [F.coalesce(F.sum(f"_t_{n}").over(cw), F.lit(0.0)).alias(f"_c_{n}") for n in sums]
-    if lags:
-        carry_cols.append(F.last("_t_last", ignorenulls=True).over(cw).alias("_c_last"))
-    carry = (ev.select("_seg", "_gk", "_kind", *carry_cols)
-               .where(F.col("_kind") == 0).drop("_kind")
-               .withColumnRenamed("_gk", "_g_first"))
-
-    x = x.join(F.broadcast(carry), "_seg", "left")
-    is_first_group = F.col("_g") == F.col("_g_first")
-    out = x.withColumn(f"{prefix}idx",
-                       F.col("_rn") + F.when(is_first_group, F.col("_c_cnt")).otherwise(F.lit(0)))
-    for name in sums:
-        out = out.withColumn(f"{prefix}{name}_before",
-                             F.col(f"_in_{name}") + F.when(is_first_group, F.col(f"_c_{name}")).otherwise(F.lit(0.0)))
+    # segmented rows are written once.
+    x = written(x.withColumns(scans), "scan")
+    x = x.join(F.broadcast(_carried(x, list(sums), bool(lags))), "_seg", "left")
+
+    def from_before(inside: Column, carried: str, zero) -> Column:
+        return inside + F.when(F.col("_first"), F.col(carried)).otherwise(F.lit(zero))
+
+    new = {f"{prefix}idx": from_before(F.col("_rn"), "_c_cnt", 0)}
+    new |= {f"{prefix}{n}_before": from_before(F.col(f"_in_{n}"), f"_c_{n}", 0.0) for n in sums}
     if lags:
-        prev = F.when(F.col("_rn") > 0, F.col("_lag_in")).when(is_first_group, F.col("_c_last"))
-        out = out.withColumn("_prev", prev)
-        for c in lags:
-            out = out.withColumn(f"{prefix}prev_{c}", F.col("_prev")[c])
+        prev = F.when(F.col("_rn") > 0, F.col("_lag_in")).when(F.col("_first"), F.col("_c_last"))
+        new |= {f"{prefix}prev_{c}": prev[c] for c in lags}
+    out = x.withColumns(new)
     produced = [f"{prefix}idx"] + [f"{prefix}{n}_before" for n in sums] + [f"{prefix}prev_{c}" for c in lags]
     if all(c in narrow for c in df.columns):
         return out.select(*df.columns, *produced)
@@ -143,24 +117,54 @@ def ordered_scan(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
     return df.join(keyed, cond, "inner").drop(*[f"_ok{i}" for i in range(len(sort_key))])
 
 
+def _carried(x: DataFrame, sums: Sequence[str], lagged: bool) -> DataFrame:
+    """Segment table: what earlier segments hold of the group that a segment
+    begins with.  It has one row per range partition, and the driver sees only
+    the first and last row of each partition (narrow columns) to make it."""
+    picked = [F.col("_rn") + 1, *[F.col(f"_in_{n}") + F.col(f"_v_{n}") for n in sums]]
+    picked += [F.col("_lagv")] if lagged else []
+    names = ["_c_cnt", *[f"_c_{n}" for n in sums], *(["_c_last"] if lagged else [])]
+    edges = x.where(F.col("_head") | F.col("_tail")).select(
+        "_seg", "_g", "_head", "_tail", "_first", *[c.alias(n) for c, n in zip(picked, names)])
+    rows, held_group, held = [], None, [0, *[0.0 for _ in sums], *([None] if lagged else [])]
+    empty = list(held)
+    for r in sorted(edges.collect(), key=lambda r: (r["_seg"], not r["_head"])):
+        g = repr(r["_g"])
+        if r["_head"]:
+            if g != held_group:
+                held = list(empty)
+            rows.append((r["_seg"], *held))
+        if r["_tail"]:
+            last = [r[n] for n in names]
+            if r["_first"]:  # the whole segment is one group: it adds to what was before
+                n = 1 + len(sums)
+                last[:n] = [a + b for a, b in zip(held[:n], last[:n])]
+            held_group, held = g, last
+    schema = StructType([StructField("_seg", IntegerType())] + [StructField(n, edges.schema[n].dataType) for n in names])
+    return x.sparkSession.createDataFrame(rows, schema)
+
+
 # --------------------------------------------------------------------------
 # IAT (T2, T3)
 # --------------------------------------------------------------------------
 
 def inter_arrival(df: DataFrame, mode: str = "delta_diff", keys: Sequence[str] = (),
                   us: str = "us", tiebreak: str = "event_id", out: str = "iat",
-                  partitions: int | None = None, index_out: str | None = None) -> DataFrame:
+                  partitions: int | None = None, index_out: str | None = None,
+                  scan_of: DataFrame | None = None) -> DataFrame:
     """Inter-arrival time in seconds; first row (and null) -> 0.
 
     ``delta_diff``: difference of consecutive ``tcp_time_delta`` (the batch
     reference whenever that column exists); ``ts_gap``: timestamp gap.
     ``index_out`` also keeps the row position from the same scan (R1).
+    ``scan_of`` names a cheaper frame with the same rows to scan, where ``df``
+    adds columns to it.
     """
     if mode == "delta_diff" and "tcp_time_delta" not in df.columns:
         mode = "ts_gap"
     lagc = "tcp_time_delta" if mode == "delta_diff" else us
     x = ordered_scan(df, order=[us, tiebreak], group=keys, lags=[lagc],
-                     partitions=partitions, prefix="_os_")
+                     partitions=partitions, prefix="_os_", scan_of=scan_of)
     if mode == "delta_diff":
         v = F.col("tcp_time_delta") - F.col(f"_os_prev_{lagc}")
     else:
@@ -175,19 +179,18 @@ def inter_arrival(df: DataFrame, mode: str = "delta_diff", keys: Sequence[str] =
 # Sliding windows
 # --------------------------------------------------------------------------
 
-def _collapse(df: DataFrame, keys: Sequence[str], us: str, value: Column, width_us: int) -> DataFrame:
+def _collapse(rows: DataFrame, keys: Sequence[str], us: str) -> DataFrame:
     """One row per (key, microsecond): count, sum and sum of squares of the
-    value around ``_m``, the rounded mean of the row's bucket.  ``_next_m`` is
-    that of the bucket after it (null where that is empty).  For whole-number
-    values (payload lengths) every sum stays a whole number, so differences of
-    running sums are exact."""
-    x = df.where(F.col(us).isNotNull()).select(*keys, us, value.alias("_x"), bucket_of(F.col(us), width_us).alias("_b"))
-    means = x.groupBy(*keys, "_b").agg(F.round(F.avg("_x")).alias("_m"))
+    value ``_x`` around ``_m``, the rounded mean of the row's bucket ``_b``.
+    ``_next_m`` is that of the bucket after it (null where that is empty).  For
+    whole-number values (payload lengths) every sum stays a whole number, so
+    differences of running sums are exact."""
+    means = rows.groupBy(*keys, "_b").agg(F.round(F.avg("_x")).alias("_m"))
     after = means.select(*keys, (F.col("_b") - 1).alias("_b"), F.col("_m").alias("_next_m"))
     off = F.col("_x") - F.col("_m")
-    return (x.join(means, [*keys, "_b"]).join(after, [*keys, "_b"], "left").groupBy(*keys, us, "_b")
-             .agg(F.max("_m").alias("_m"), F.max("_next_m").alias("_next_m"), F.count(F.lit(1)).alias("_n"),
-                  F.sum(off).alias("_s"), F.sum(off * off).alias("_ss")))
+    return (rows.join(means, [*keys, "_b"]).join(after, [*keys, "_b"], "left").groupBy(*keys, us, "_b")
+            .agg(F.max("_m").alias("_m"), F.max("_next_m").alias("_next_m"), F.count(F.lit(1)).alias("_n"),
+                 F.sum(off).alias("_s"), F.sum(off * off).alias("_ss")))
 
 
 def _finish(n: Column, s: Column, ss: Column, centre: Column, w: int, rate: str, mean: str, std: str):
@@ -213,48 +216,56 @@ def window_stats(df: DataFrame, windows: Sequence[int] = S.DEFAULT_WINDOWS,
     windows = [int(w) for w in windows]
     keys = list(keys)
     wmax = max(windows) * MICROS
-    val = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    d = _collapse(df, keys, us, val, wmax)
+    # The input is read once for the windows and once for the join of their results: everything between works on
+    # narrow written tables.
+    rows = written(df.where(F.col(us).isNotNull()).select(
+        *dict.fromkeys([*keys, us, *([] if include_current else [tiebreak])]),
+        F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"), bucket_of(F.col(us), wmax).alias("_b")), "window-rows")
+    d = written(_collapse(rows, keys, us), "window-collapsed")
 
     # Events of a bucket: its rows, those of the bucket before around its
     # mean, and a probe per row and window, which sorts before a row of its time.
     shift = F.col("_m") - F.col("_next_m")
-    own = d.select(*keys, "_b", F.col(us).alias("_t"), F.lit(1).alias("_w"), F.col(us).alias("_own"), "_n", "_s", "_ss")
+    none = F.lit(None)
+    own = d.select(*keys, "_b", F.col(us).alias("_t"), F.lit(1).alias("_w"), F.col(us).alias("_own"), "_m", "_n", "_s", "_ss")
     context = d.where(F.col("_next_m").isNotNull()).select(
         *keys, (F.col("_b") + 1).alias("_b"), F.col(us).alias("_t"), F.lit(1).alias("_w"),
-        F.lit(None).cast("bigint").alias("_own"), "_n", (F.col("_s") + F.col("_n") * shift).alias("_s"),
+        none.cast("bigint").alias("_own"), none.cast("double").alias("_m"), "_n", (F.col("_s") + F.col("_n") * shift).alias("_s"),
         (F.col("_ss") + 2 * shift * F.col("_s") + F.col("_n") * shift * shift).alias("_ss"))
     probes = d.withColumn("_w", F.explode(F.array(*[F.lit(-w) for w in windows]))).select(
         *keys, "_b", (F.col(us) + F.col("_w").cast("bigint") * MICROS).alias("_t"), "_w", F.col(us).alias("_own"),
-        F.lit(0).cast("bigint").alias("_n"), F.lit(0.0).alias("_s"), F.lit(0.0).alias("_ss"))
+        none.cast("double").alias("_m"), F.lit(0).cast("bigint").alias("_n"), F.lit(0.0).alias("_s"), F.lit(0.0).alias("_ss"))
     events = own.unionByName(context).unionByName(probes)
-    scan = ordered_scan(events, order=["_t", "_w"], group=[*keys, "_b"], carry=["_own", "_n", "_s", "_ss"],
+    scan = ordered_scan(events, order=["_t", "_w"], group=[*keys, "_b"], carry=["_own", "_m", "_n", "_s", "_ss"],
                         sums={"n": F.col("_n"), "s": F.col("_s"), "ss": F.col("_ss")},
                         partitions=partitions, prefix="_w_")
     sums = {c: F.col(f"_w_{c}_before") + (F.col(f"_{c}") if include_current else F.lit(0.0)) for c in ("n", "s", "ss")}
     picked = [F.max(F.when(F.col("_w") == 1, e)).alias(f"_at_{c}") for c, e in sums.items()]
     picked += [F.max(F.when(F.col("_w") == -w, F.col(f"_w_{c}_before"))).alias(f"_from_{c}{w}")
                for w in windows for c in ("n", "s", "ss")]
-    frames = scan.where(F.col("_own").isNotNull()).groupBy(*keys, "_b", F.col("_own").alias(us)).agg(*picked).drop("_b")
-    frames = frames.join(d.select(*keys, us, "_m"), keys + [us])
+    frames = (scan.where(F.col("_own").isNotNull()).groupBy(*keys, "_b", F.col("_own").alias(us))
+              .agg(F.max("_m").alias("_m"), *picked).drop("_b"))
 
     def frame(c: str, w: int) -> Column:
         return F.col(f"_at_{c}") - F.col(f"_from_{c}{w}")
 
-    x = df.join(frames, keys + [us], "left")
-    tie = {c: F.lit(0.0) for c in ("n", "s", "ss")}
+    tie, on = {c: F.lit(0.0) for c in ("n", "s", "ss")}, [*keys, us]
     if not include_current:
         # Rows with the same timestamp that come earlier by the tie-breaker.
-        off = val - F.col("_m")
-        x = ordered_scan(x.withColumn("_pv", off), order=[tiebreak], group=keys + [us],
-                         sums={"n": F.lit(1.0), "s": F.col("_pv"), "ss": F.col("_pv") * F.col("_pv")},
-                         partitions=partitions, prefix="_tie_")
-        tie = {c: F.col(f"_tie_{c}_before") for c in ("n", "s", "ss")}
+        frames = rows.join(frames, on).withColumn("_pv", F.col("_x") - F.col("_m")).drop("_x", "_b")
+        frames = ordered_scan(frames, order=[tiebreak], group=on, carry=[c for c in frames.columns if c not in [*on, tiebreak]],
+                              sums={"n": F.lit(1.0), "s": F.col("_pv"), "ss": F.col("_pv") * F.col("_pv")},
+                              partitions=partitions, prefix="_tie_")
+        tie, on = {c: F.col(f"_tie_{c}_before") for c in ("n", "s", "ss")}, [*on, tiebreak]
     out_cols = []
     for w in windows:
         out_cols += _finish(*[frame(c, w) + tie[c] for c in ("n", "s", "ss")], F.col("_m"), w,
                             S.rate_col(w), S.mean_col(w), S.std_col(w))
-    return x.select(*df.columns, *out_cols)
+    found = df.join(frames.select(*on, *out_cols), on, "left")
+    # a row without a timestamp is in no frame: no rate, mean and deviation 0
+    return found.select(*df.columns, *[c for w in windows for c in (
+        F.col(S.rate_col(w)), F.coalesce(S.mean_col(w), F.lit(0.0)).alias(S.mean_col(w)),
+        F.coalesce(S.std_col(w), F.lit(0.0)).alias(S.std_col(w)))])
 
 
 # --------------------------------------------------------------------------

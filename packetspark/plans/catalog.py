@@ -466,15 +466,15 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- models (C1-C10, A2-A9) and E13
 
-# the reference's forest (unlimited depth = Spark's maximum of 30) and its search
+# the reference's forest and its search
 RF_QUERY = dict(num_trees=100, max_depth=None)
 RF_SEARCH = dict(method="randomized", n_iter=10, cv=5)
 
 
 def _features(spark, sf):
-    from packetspark.session import cut_lineage
+    from packetspark.session import written
     res = preprocess(read_packets(spark, sf), PreprocessOptions())
-    return cut_lineage(res.features)
+    return written(res.features, "features")
 
 
 def q_rf_fit_predict(spark, sf):
@@ -496,7 +496,7 @@ def q_rf_importance(spark, sf):
 def q_rf_search(spark, sf):
     from packetspark.operators import classify as C
     from packetspark.plans.training import train_val
-    _, res = C.search_forest(train_val(_features(spark, sf)), space=C.SEARCH_SPACE, **RF_SEARCH)
+    _, res = C.search_forest(train_val(_features(spark, sf)), space=C.SEARCH_SPACE, refit=False, **RF_SEARCH)
     return res
 
 
@@ -594,12 +594,12 @@ def q_stream_dead_letter(spark, sf):
 def q_stream_predict(spark, sf):
     from packetspark.operators import classify as C
     from packetspark.plans.training import train_val
-    from packetspark.session import cut_lineage
+    from packetspark.session import written
     # the model sees features as the stream makes them: per device, timestamp gaps, capped copies, one scaler
     opts = PreprocessOptions(iat_mode="ts_gap", keys=("device_id",), cap_derived=True,
                              scale_columns=tuple(S.SERVE_SCALE_COLUMNS))
     res = preprocess(read_packets(spark, sf), opts)
-    model = C.fit_forest(train_val(cut_lineage(res.features)), **RF_QUERY)
+    model = C.fit_forest(train_val(written(res.features, "features")), **RF_QUERY)
     x = _stream_run(spark, sf, model=model, kind="forest", windows=S.DEFAULT_WINDOWS, scaler=res.scaler, caps=res.caps)
     return x.select("event_id", "device_id", "status", "predicted_label", r("confidence", "confidence"))
 

@@ -59,12 +59,11 @@ def run_forest(features: DataFrame, tuning: str | None = "randomized", n_iter: i
     if tuning:
         best, search = C.search_forest(tv, method=tuning, n_iter=n_iter, cv=cv, seed=seed,
                                        space=space or C.SEARCH_SPACE)
-        rf = best.stages[-1]
-        fit_kw = dict(num_trees=rf.getNumTrees, max_depth=rf.getMaxDepth(),
-                      min_instances=rf.getMinInstancesPerNode(),
-                      feature_subset=rf.getFeatureSubsetStrategy(), bootstrap=rf.getBootstrap())
+        p = best.runs[0].setting
+        fit_kw = dict(num_trees=p.trees, max_depth=p.max_depth or None, min_instances=p.min_leaf, min_split=p.min_split,
+                      feature_subset=p.subset, bootstrap=p.bootstrap, balanced=p.balanced)
     cvres = C.cross_validate(tv, cv=cv, seed=seed, **fit_kw) if do_cv else None
-    model = C.fit_forest(tv, seed=seed, **fit_kw)
+    model = best if tuning else C.fit_forest(tv, seed=seed, **fit_kw)
     test = evaluate_predictions(C.score(model, split_rows(features, "test")))
     val = evaluate_predictions(C.score(model, split_rows(features, "validation")))
     return ForestRun(model, C.feature_importance(model), test, val, cvres, search, fit_kw)

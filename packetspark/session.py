@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -71,6 +72,33 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def written(df, name: str):
+    """``df`` as a Parquet table in the shared folder, read again.
+
+    Cuts the lineage like ``cut_lineage`` but stays columnar, so every later
+    reader scans only the columns it needs.  Nothing is cached: a lost executor
+    costs the tasks that were reading.  ``drop_written`` removes the tables.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/packetspark-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Remove the tables that ``written`` made in this application, once their
+    results have been used; returns how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 _SHIPPED: set = set()
 
 

@@ -213,13 +213,9 @@ def _apply_model(feats: DataFrame, model, kind: str) -> DataFrame:
         return feats.withColumn("predicted_label", F.lit(None).cast("int")) \
                     .withColumn("confidence", F.lit(None).cast("double"))
     if kind == "forest":
-        from pyspark.ml.feature import VectorAssembler
-        from packetspark.functions.mapping import max_probability
-        asm = VectorAssembler(inputCols=list(S.FEATURES), outputCol="features")
-        rf = model.stages[-1]
-        x = rf.transform(asm.transform(feats))
-        return x.withColumn("predicted_label", F.col("prediction").cast("int")) \
-                .withColumn("confidence", max_probability(F.col("probability")))
+        from packetspark.operators.forest import with_scores
+        x = with_scores(model, feats)
+        return x.withColumn("predicted_label", F.col("prediction")).withColumn("confidence", F.array_max("probability_arr"))
     if kind == "iforest":
         from packetspark.functions.mapping import sigmoid_confidence
         from packetspark.operators import isoforest as IF
