@@ -12,6 +12,7 @@ from .repeats import op9_repeated_passages
 from .rules import op6_host_rules
 from .suffixtree import op5_suffix_tree
 from .wavelet import op3_wavelet_corpus
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
@@ -24,4 +25,5 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_weak_pii": op10_weak_pii,
+    "op13_whitening": op13_whitening,
 }
