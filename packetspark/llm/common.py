@@ -60,6 +60,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
 
 
+def numbered(df: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """The rows, written, with ``at``: numbers from ``start`` without gaps, by a count per partition and the places inside."""
+    named = cut(df.withColumn("_id", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_id", 33).cast("int")
+    starts, before = [], start
+    for p, n in sorted((r["_p"], r["count"]) for r in named.groupBy(part.alias("_p")).count().collect()):  # one row per partition
+        starts.append((p, before))
+        before += n
+    of = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    return named.withColumn("_part", part).join(F.broadcast(of), "_part").withColumn("at", F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_id")
+
+
 def drop_shared(spark: SparkSession, path: str) -> None:
     """Remove a table that ``write_shared`` made, once what was derived from it is written."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,7 +11,7 @@ for the ends of what is equal.
    a path occurs wherever its first run does, so it is compacted along its source and judged once, by that run.
 4. The places where a path's first run or an opened edge occurs in a later document are joined to the texts by document.
 
-Words, edges and runs are equal where 64-bit hashes are, and two runs only if their minimizers' hashes are too.
+Words, edges and runs are equal where their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, drop_shared, table, write_shared
 
 #: Words of a window, words of a minimizer.
-K, GRAIN = 13, 4
+K, GRAIN = 13, 7
 #: Bytes of text that are cut into words at once, words whose windows are hashed at once.
-BYTES, WORDS = 2 << 20, 1 << 19
+BYTES, WORDS = 1 << 19, 1 << 17
 #: Bits of the bitmaps that go to all tasks.
 BITS = 1 << 27
 _BASE = 0x9E3779B97F4A7C15
@@ -134,6 +134,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             part = batch.slice(a, b - a)
             for runs in runs_of(part.column("text").to_pylist()):
                 yield part, runs
+        pa.default_memory_pool().release_unused()
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -192,9 +193,8 @@ def _places(heads, branching):
             step = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
             t, at = np.concatenate([r.text[head], r.text[one]]), np.concatenate([r.at[head], r.at[one] + step])
             hashes = np.concatenate([r.run[head], r.edges[r.edge_of[one] + step]])
-            core = np.concatenate([r.core[head], r.core[one]])
             kind = np.concatenate([np.ones(len(head), bool), np.zeros(len(one), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), _signed(core), _signed(hashes), pa.array(doc[t]), pa.array(key[t]), pa.array(at, pa.int32())], names=["path", "core", "hash", "doc", "key", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), _signed(hashes), pa.array(doc[t]), pa.array(key[t]), pa.array(at, pa.int32())], names=["path", "hash", "doc", "key", "at"])
     return go
 
 
@@ -239,12 +239,12 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     path = cut(path, "debruijn-paths")
     # a run that starts no path has no place to look for; bitmaps keep most others from being written
     heads, opened = share(bitmap(path.select(_number("run")))), share(bitmap(branching.select(_number("core"))))
-    held = write_shared(rows.mapInArrow(_places(heads, opened), "path boolean, core long, hash long, doc long, key long, at int"), "debruijn-places")
+    held = write_shared(rows.mapInArrow(_places(heads, opened), "path boolean, hash long, doc long, key long, at int"), "debruijn-places")
     places = spark.read.parquet(held)
-    whole = places.where("path").join(path.select("core", F.col("run").alias("hash"), F.col("doc").alias("source"), "n"), ["core", "hash"]).where("doc > source").select("key", "at", "n")
+    whole = places.where("path").join(path.select(F.col("run").alias("hash"), F.col("doc").alias("source"), "n"), "hash").where("doc > source").select("key", "at", "n")
     edges = places.where("not path")
-    least = edges.groupBy("core", "hash").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("last > source").drop("last")
-    single = edges.join(least, ["core", "hash"]).where("doc > source").select("key", "at", F.lit(1).alias("n"))
+    least = edges.groupBy("hash").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("last > source").drop("last")
+    single = edges.join(least, "hash").where("doc > source").select("key", "at", F.lit(1).alias("n"))
     out = cut(whole.unionByName(single).distinct(), "debruijn-spans")
     drop_shared(spark, held)
     return out

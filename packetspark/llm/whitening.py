@@ -17,7 +17,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, numbered, table
 
 #: Components returned, rows of a block.
 COMPONENTS, BLOCK = 8, 1024
@@ -26,19 +26,6 @@ SCALE, OFFSET = 1024, 100_000
 SCHEMA = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
 
-def _indexed(x: DataFrame) -> DataFrame:
-    """The rows of a written table with ``at``, numbered from 0 without gaps: a count per partition, then places inside."""
-    named = cut(x.withColumn("_id", F.monotonically_increasing_id()), "whitening-rows")
-    part = F.shiftright("_id", 33).cast("int")
-    sizes = sorted((r["part"], r["count"]) for r in named.groupBy(part.alias("part")).count().collect())  # one row per partition
-    starts, before = [], 0
-    for p, n in sizes:
-        starts.append((p, before))
-        before += n
-    of = x.sparkSession.createDataFrame(starts, "_part int, _start long")
-    return named.withColumn("_part", part).join(F.broadcast(of), "_part").withColumn("at", F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_id")
-
-
 def _times(a: BlockMatrix, b: BlockMatrix, splits: int, columns: int) -> BlockMatrix:
     """a * b, summed over ``splits`` parts of the inner dimension."""
     java = a._java_matrix_wrapper._java_model.multiply(b._java_matrix_wrapper._java_model, splits)
@@ -76,7 +63,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     farthest = max(max(abs(n * r["low"] - r["s"]), abs(n * r["high"] - r["s"])) for r in per)
     wide = d * farthest ** 2 >= 1 << 63
     centred = F.zip_with("x", F.array(*[F.lit(s) for s in totals]), lambda v, s: (F.lit(n) * v - s).cast("double") / F.lit(float(n)))
-    indexed = cut(_indexed(rows.select("vec_id", _squares(F.col("x"), totals, n, wide).alias("deviation"), centred.alias("y"))), "whitening-centred")
+    indexed = cut(numbered(rows.select("vec_id", _squares(F.col("x"), totals, n, wide).alias("deviation"), centred.alias("y")), "whitening-rows"), "whitening-centred")
 
     feed = MLUtils.convertVectorColumnsFromML(indexed.select(F.col("at").alias("index"), array_to_vector("y").alias("vector")), "vector")
     blocks = IndexedRowMatrix(feed, n, d).toBlockMatrix(BLOCK, d)
