@@ -250,26 +250,36 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return out
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their covered words."""
-    for batch in batches:
-        out: list[tuple] = []
-        for doc, text, asked in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            words = text.split()  # bytes: white space is exactly that of the contract
-            steps = np.zeros(len(words) + 1, np.int64)
-            if asked:
-                at, n = np.array([a["at"] for a in asked]), np.array([a["n"] for a in asked])
-                np.add.at(steps, at, 1)
-                np.add.at(steps, at + n + K - 1, -1)
-            gone = np.cumsum(steps[:-1]) > 0
-            kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if asked else b" ".join(words)
-            out.append((doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text.
+KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+
+
+def _kept(doc: int | None, text: bytes, asked: list, texts: bool) -> tuple:
+    words = text.split()  # bytes: white space is exactly that of the contract
+    gone = 0
+    if asked:
+        steps = np.zeros(len(words) + 1, np.int64)
+        at, n = np.array([a["at"] for a in asked]), np.array([a["n"] for a in asked])
+        np.add.at(steps, at, 1)
+        np.add.at(steps, at + n + K - 1, -1)
+        covered = np.cumsum(steps[:-1]) > 0
+        gone = int(covered.sum())
+        kept = b" ".join(w for w, g in zip(words, covered.tolist()) if not g)
+    else:
+        kept = b" ".join(words)
+    return doc, len(words), gone, hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in found], k) for i, k in enumerate(kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+
+def _touched(shared, batch: pa.RecordBatch) -> np.ndarray:
+    return _in(shared.value, batch.column("key").to_numpy().view(np.uint64))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (null unless ``texts``).
 
     A null text is empty.  A null id is smaller or greater than none: such a document keeps its words, and none loses words
     for it.  Documents of one id are no copies of each other, whatever their texts; repeated rows are returned each.  An
@@ -281,17 +291,22 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(doc.alias("doc"), _key(doc, text).alias("key"), text.cast("binary").alias("text"))
     keys = docs.sparkSession.sparkContext.broadcast(bitmap(found.select(_number("key")).distinct()))
 
-    def dealt(touched: bool):
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(_in(keys.value, batch.column("key").to_numpy().view(np.uint64)) == touched))
-        return go
-    # only texts that may have lost words are joined; the others stay where they are
-    schema = "doc long, key long, text binary"
-    clean = rows.mapInArrow(dealt(False), schema).select("doc", "text", F.lit(None).cast("array<struct<at:int,n:int>>").alias("spans"))
-    cut_up = rows.mapInArrow(dealt(True), schema).join(per, "key", "left").select("doc", "text", "spans")
-    return clean.unionByName(cut_up).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = batch.filter(pa.array(~_touched(keys, batch)))
+            yield _rows([_kept(d, t, [], texts) for d, t in zip(clean.column("doc").to_pylist(), clean.column("text").to_pylist())])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_touched(keys, batch)))
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows([_kept(d, t, s, texts) for d, t, s in zip(*[batch.column(c).to_pylist() for c in ("doc", "text", "spans")])])
+    # texts that lost no words stay where they are; only the others are joined
+    lost = rows.mapInArrow(dealt, "doc long, key long, text binary").join(per, "key", "left").select("doc", "text", "spans")
+    return rows.mapInArrow(whole, KEPT).unionByName(lost.mapInArrow(cut_up, KEPT))
 
 
 def op12_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return deduplicated(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
