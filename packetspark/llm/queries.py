@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op4_learned_partitions
+from .collocations import op11_collocations
 from .debruijn import op12_debruijn
 from .mixing import op1_pareto_mix
 from .neardup import op8_minhash
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_weak_pii": op10_weak_pii,
+    "op11_collocations": op11_collocations,
     "op12_debruijn": op12_debruijn,
     "op13_whitening": op13_whitening,
 }
