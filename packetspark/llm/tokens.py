@@ -61,13 +61,17 @@ def _runs(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
 
 
 class Encoder:
-    """``keeps_space``: the vocabulary codes white space (byte-level BPE); else white space only separates words and case does not count."""
+    """``keeps_space``: the vocabulary codes white space (byte-level BPE); else white space only separates words and case does not count.
 
-    def __init__(self, path: str, keeps_space: bool):
+    A special token's name in a text is that token, as the library has it, or plain text with ``names_as_text``.
+    """
+
+    def __init__(self, path: str, keeps_space: bool, names_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is text
+        self.names_as_text = names_as_text
+        self.names = [] if names_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.keeps_space = keeps_space
         self.letters = byte_letters()
@@ -102,7 +106,8 @@ class Encoder:
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
         self.known = pa.concat_arrays([self.known, pieces])
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def _library(self, texts: list[str], names_as_text: bool = True) -> list[bytes]:
+        self.tokenizer.encode_special_tokens = names_as_text
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -155,10 +160,12 @@ class Encoder:
         return flat, np.concatenate([[0], np.cumsum(sizes)])
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        n = len(texts)
+        n, whole = len(texts), texts
+        odd = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False).copy() if self.keeps_space else np.zeros(n, bool)
+        for name in self.names:
+            odd |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
         if not self.keeps_space:  # line ends and capitals make no difference: fewer distinct pieces
             texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))  # in this order: ascii_lower needs offsets from 0
-        odd = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False) if self.keeps_space else np.zeros(n, bool)
         pieces = pc.split_pattern(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, " ")
         offsets = pieces.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
@@ -187,8 +194,8 @@ class Encoder:
         ends = np.cumsum(each)
         flat = _runs(pool, starts[codes], each)
         bounds = np.concatenate([[0], ends])[offsets]
-        if odd.any():  # runs of spaces are tokens of their own: such texts go to the library whole
-            own = {i: np.frombuffer(x, "<u4") for i, x in zip(np.flatnonzero(odd).tolist(), self._library(texts.filter(pa.array(odd)).to_pylist()))}
+        if odd.any():  # runs of spaces and names of special tokens are tokens of their own: such texts go to the library whole
+            own = {i: np.frombuffer(x, "<u4") for i, x in zip(np.flatnonzero(odd).tolist(), self._library(whole.filter(pa.array(odd)).to_pylist(), self.names_as_text))}
             parts = [own[i] if i in own else flat[bounds[i]:bounds[i + 1]] for i in range(n)]
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             flat = np.concatenate(parts)
@@ -196,6 +203,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, keeps_space: bool, names_as_text: bool = False) -> Encoder:
     """One encoder per Python worker; tasks that follow in the worker reuse what it has learned."""
-    return Encoder(path, keeps_space)
+    return Encoder(path, keeps_space, names_as_text)

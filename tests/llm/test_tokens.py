@@ -19,7 +19,7 @@ def test_encoder_equals_the_library(name, keeps, small, monkeypatch):
     parts = ["a", "The", "é", " ", "  ", "\n", "\t", " \n", "\r", " ", "　", "'s", "0", "12", "!", "<|endoftext|>", "́", "Σ", "日本", "\x1c", "😀", ".", " b", "cd.\nEf"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(4000)] + [r.text or "" for r in small.select("text").collect()]
     encoder = Encoder(vocabulary(name), keeps)
-    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in Tokenizer.from_file(vocabulary(name)).encode_batch(texts, add_special_tokens=False)]
     monkeypatch.setattr(tokens, "TOGETHER", 20_000)
     monkeypatch.setattr(tokens, "REMEMBERED", 3_000)
     ids, bounds = encoder.encode(pa.array(texts, pa.string()))
@@ -43,10 +43,22 @@ def test_wavelet_matrix(n):
 
 def ids_of(name, text, end):
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return np.array(t.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
+@pytest.mark.parametrize("name, keeps, want", [("word_bpe_49k.json", False, [320, 49407, 321]), ("byte_bpe_50k.json", True, [64, 220, 50256, 275])])
+def test_names_of_special_tokens(name, keeps, want):
+    """The library's default: a name in a text is the token; an option keeps it as text."""
+    texts = ["a <|endoftext|> b", "plain text", "A<|endoftext|><|startoftext|>\n x", "<|ENDOFTEXT|>", "  <|endoftext|>"]
+    flat, at = Encoder(vocabulary(name), keeps).encode(pa.array(texts))
+    library = Tokenizer.from_file(vocabulary(name))
+    assert flat[:at[1]].tolist() == want
+    assert [flat[i:j].tolist() for i, j in zip(at, at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    library.encode_special_tokens = True
+    flat, at = Encoder(vocabulary(name), keeps, names_as_text=True).encode(pa.array(texts))
+    assert [flat[i:j].tolist() for i, j in zip(at, at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_corpus_files_round_trip(spark, odd, odd_clashing, empty):
     out = shared_path(spark, "wavelet")
     wavelet.write_corpus(odd_clashing, out, shard_ids=500)
