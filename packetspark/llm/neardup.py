@@ -92,6 +92,10 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(words_of(ascii_lower(text)), lambda w: F.xxhash64(w))
 
 
+def _set_key(elements: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
+
+
 def _sketch(shingle: int, collections: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +109,7 @@ def _sketch(shingle: int, collections: int, hashes: int):
                         keys[i] = key.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                     pa.array([_set_key(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "set_key", "keys"])
     return run
 
@@ -116,8 +120,8 @@ def _sets(shingle: int):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = shingle_sets(part.column("words"), shingle)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()),
-                                                  pa.array([(s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())], names=["node", "elements", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                                                  pa.array([(s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())], names=["node", "set_key", "elements", "sketch"])
     return run
 
 
@@ -243,10 +247,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ided = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = cut(ided.select("doc_id", _word_hashes(F.col("text")).alias("words")).mapInArrow(
         _sketch(shingle, collections, hashes), "doc_id long, n_shingles long, set_key binary, keys array<long>"), "near-sketches")
-    nodes = cut(sketched.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size")), "near-nodes")
+    # a node is a distinct set; its number is a hash of it, its documents come back by it in the end
+    named = sketched.where("doc_id is not null and set_key is not null").withColumn("node", F.xxhash64("set_key"))
+    nodes = cut(named.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size")), "near-nodes")
     # the collection keys that two nodes share
-    keyed = sketched.alias("s").join(nodes.alias("n"), (F.col("s.set_key") == F.col("n.set_key")) & (F.col("s.doc_id") == F.col("n.node"))).select(
-        "n.node", "n.size", F.explode("s.keys").alias("key")).distinct()
+    keyed = named.join(nodes, "node").where(F.col("doc_id") == F.col("least")).select("node", "size", F.explode("keys").alias("key")).distinct()
     keyed = cut(keyed, "near-keys")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     lists = keyed.join(shared, "key").groupBy("node").agg(F.max("size").alias("size"), F.sort_array(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
@@ -256,8 +261,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     full = tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     open_rows = cut(tables.join(full, "bucket"), "near-buckets")
     meeting = open_rows.select("node").distinct()
-    sets = cut(ided.join(meeting, F.col("doc_id") == F.col("node")).select("node", _word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0).mapInArrow(
-        _sets(shingle), "node long, elements binary, sketch binary").dropDuplicates(["node"]), "near-sets")
+    # one text of each set that meets another: that of its least document (rows of one id may have other texts, so by set too)
+    wanted = meeting.join(nodes, "node").select("node", F.col("least").alias("_id"))
+    texts = ided.join(wanted, F.col("doc_id") == F.col("_id")).select("node", _word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0)
+    sets = texts.mapInArrow(_sets(shingle), "node long, set_key binary, elements binary, sketch binary").where(F.xxhash64("set_key") == F.col("node"))
+    sets = cut(sets.drop("set_key").dropDuplicates(["node"]), "near-sets")
     # first every node with its bucket's centre
     centres = open_rows.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("c"))
     near = 100 * F.least("size", "c.size") >= similarity * F.greatest("size", "c.size")
@@ -270,10 +278,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     rest = rest.join(mixed, "bucket").join(sets.select("node", "sketch"), "node")
     more = cut(verified(cut(agreeing(rest, similarity), "near-pairs"), sets, similarity), "near-edges")
-    labels = components(edges.unionByName(more))
-    joined = sketched.alias("s").join(nodes.alias("n"), F.col("s.set_key") == F.col("n.set_key"), "left").select("s.doc_id", "s.n_shingles", "n.node")
-    joined = joined.alias("j").join(labels.alias("l"), F.col("j.node") == F.col("l.node"), "left").select(
-        "j.doc_id", "j.n_shingles", F.when(F.col("j.doc_id").isNotNull(), F.coalesce("l.component", "j.node", "j.doc_id")).alias("component_id"))
+    # the sets of one id are one document, and a component has the smallest id of its documents
+    ids = cut(named.select("doc_id", "node").distinct(), "near-ids")
+    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    same = several.join(ids, "doc_id").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    labels = components(edges.unionByName(more).unionByName(same))
+    of = ids.join(labels, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("c"))
+    least = of.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    found = of.join(least, "c").select(F.col("doc_id").alias("_id"), "component_id")
+    joined = sketched.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

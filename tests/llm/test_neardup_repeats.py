@@ -66,6 +66,16 @@ def test_near_duplicates_against_brute_force(spark, odd, odd_clashing, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_rows_of_one_id_lose_no_link(spark):
+    """Each text of an id links, whichever order the rows come in."""
+    a, b = prose(60, 120), prose(61, 120)
+    rows = [(1, a), (1, b), (2, a), (3, b), (5, b + " y"), (7, prose(62, 90)), (8, ""), (7, b + " y z"), (8, a + " x"), (None, a)]
+    for turn in (rows, rows[::-1]):
+        docs = spark.createDataFrame(turn, "doc_id long, text string").repartition(3)
+        got = found(neardup.near_duplicates(docs))
+        assert got == classes(turn) and {c for d, _, c in got if d is not None} == {1}
+
+
 def test_small_blocks_and_shares(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     monkeypatch.setattr(neardup, "MEMBERS", 3)
