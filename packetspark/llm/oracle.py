@@ -1,7 +1,7 @@
 """DuckDB SQL for the operators that SQL can express."""
 
 from .mixing import CAP, SEED, SHARE
-from .rules import MAX_REPEAT_PERCENT, MIN_WORDS
+from .rules import DEVIATIONS, MAX_DUP_LINE_PERCENT, MAX_HOST_RATE, MAX_REPEAT_PERCENT, MAX_SYMBOL_PERCENT, MIN_WORDS, STRENGTH, TIMES
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -56,8 +56,13 @@ SELECT c.doc_id, c.size, t.source_size, t.target, (c.size * (c.certain + c.extra
 FROM cutoff c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source
 """
 
-# A host is never rejected here unless its shrunk rate is above one half; the shrunk rate is part of the SQL through
-# the plain failure rate of hosts, which shrinking leaves on its side of one half for the corpora at hand.
+# Rules as (column, failure), then for each the host counts, the moments, the prior, the shrunk rates and the limit.
+_FAILS = {
+    "short": f"n_words < {MIN_WORDS}", "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": f"100 * n_symbols > {MAX_SYMBOL_PERCENT} * word_chars", "dup_lines": f"100 * n_dup_lines > {MAX_DUP_LINE_PERCENT} * n_lines",
+}
+_HOSTS = " UNION ALL ".join(f"SELECT source, '{r}' AS rule, count(*)::DOUBLE AS n, sum(({f})::INT)::DOUBLE AS f FROM m GROUP BY source" for r, f in _FAILS.items())
+
 OP6 = rf"""
 WITH w AS (
   SELECT doc_id, source, row_number() OVER () AS rid, coalesce(text, '') AS t, {_WORDS} AS words FROM documents
@@ -68,16 +73,29 @@ WITH w AS (
 ), covered AS (
   SELECT rid, sum(least(5, coalesce(nxt - i, 5)))::BIGINT AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM twice) GROUP BY rid
 ), lines AS (
-  SELECT rid, (count(*) - count(DISTINCT l))::BIGINT AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM w)
+  SELECT rid, count(*)::BIGINT AS lines, (count(*) - count(DISTINCT l))::BIGINT AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM w)
   WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid
 ), m AS (
   SELECT doc_id, source, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
-    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(l.lines, 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN lines l USING (rid) LEFT JOIN covered c USING (rid)
+), hosts AS (
+  {_HOSTS}
+), moments AS (
+  SELECT rule, sum(f) / sum(n) AS mean, sum(n) AS total, count(*) AS k, sum(n * n) AS nn, sum(f * f / n) AS squares FROM hosts GROUP BY rule
+), spread AS (
+  SELECT rule, mean, mean * (1 - mean) AS chance,
+    greatest(0.0, squares - total * mean * mean - (k - 1) * mean * (1 - mean)) / greatest(1.0, total - nn / total) AS between_hosts FROM moments
+), priors AS (
+  SELECT *, least({STRENGTH[1]}, greatest({STRENGTH[0]}, chance / greatest(between_hosts, 1e-9) - 1)) AS strength FROM spread
+), limits AS (
+  SELECT *, least({MAX_HOST_RATE}, greatest({TIMES} * mean, mean + {DEVIATIONS} * sqrt(chance / (strength + 1)))) AS most FROM priors
+), verdicts AS (
+  SELECT source, bool_or((f + strength * mean) / (n + strength) > most) AS host_failed FROM hosts JOIN limits USING (rule) GROUP BY source
+), judged AS (
+  SELECT m.*, (({_FAILS['short']}) OR ({_FAILS['repeats']})) AS base_failed, host_failed FROM m JOIN verdicts v ON m.source IS NOT DISTINCT FROM v.source
 )
-SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS kept
-FROM (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT host_failed) AS kept FROM judged
 """
 
 ORACLE: dict[str, str] = {"op1_pareto_mix": OP1, "op6_host_rules": OP6}

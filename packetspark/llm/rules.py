@@ -23,8 +23,11 @@ MAX_REPEAT_PERCENT = 20
 MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT = 10, 30
 SYMBOLS = "#*$%&|<>"
 RULES = ("short", "repeats", "symbols", "dup_lines")
-#: A host is rejected when its shrunk failure rate of any rule is above this.
-MAX_HOST_RATE = 0.5
+#: A host is rejected when its shrunk failure rate of any rule is beyond so many deviations of the rates of hosts (the prior's)
+#: and so many times their mean, or above one half.
+DEVIATIONS, TIMES, MAX_HOST_RATE = 4.0, 2.0, 0.5
+#: Bounds of a prior's strength, in documents.
+STRENGTH = (1.0, 1e6)
 
 
 def _windows() -> Column:
@@ -72,12 +75,13 @@ def failures(measured: DataFrame) -> DataFrame:
                            (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines")).alias("dup_lines"))
 
 
-def host_rates(failed: DataFrame) -> DataFrame:
-    """host -> documents and, per rule, failures and the shrunk rate.
+def host_rates(failed: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """host -> documents and, per rule, failures, the shrunk rate and the limit that it is held against.
 
     The prior of a rule has the mean rate m of all documents and the strength s = m(1-m)/v - 1, where v is the variance
     between hosts beyond what chance gives (document-weighted moments).  No variance beyond chance means that hosts are
-    alike: the strength is then large and every rate is close to m.
+    alike: the strength is then large and every rate is close to m.  The limit is m and ``DEVIATIONS`` of the prior's standard
+    deviations, ``TIMES`` m at least and ``max_rate`` at most.
     """
     hosts = failed.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), *[F.sum(F.col(r).cast("long")).alias(r) for r in RULES])
     hosts = cut(hosts, "rules-hosts")
@@ -92,24 +96,29 @@ def host_rates(failed: DataFrame) -> DataFrame:
         chance = mean * (1 - mean)
         spread = (one[f"{r}_squares"] or 0.0) - total * mean * mean
         between = max(0.0, spread - (one["k"] - 1) * chance) / max(1.0, total - (one["nn"] or 0) / total)
-        strength = min(1e6, max(1.0, chance / max(between, 1e-9) - 1))
+        strength = min(STRENGTH[1], max(STRENGTH[0], chance / max(between, 1e-9) - 1))
+        limit = min(max_rate, max(TIMES * mean, mean + DEVIATIONS * (chance / (strength + 1)) ** 0.5))
+        rates.append(F.lit(float(limit)).alias(f"{r}_limit"))
         rates.append(((F.col(r) + F.lit(strength * mean)) / (n + F.lit(strength))).alias(f"{r}_rate"))
     return hosts.select("host", "docs", *RULES, *rates)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row per document with its measures, ``base_failed``, the host's highest shrunk rate and ``kept``.
+    """One row per document with its measures, ``base_failed``, the host's highest shrunk rate, whether the host fails, and ``kept``.
 
     A null text has no words and fails as too short.  A null host is a host of its own.  Repeated rows are judged row by
     row; an empty table gives an empty result; other columns are not read.
     """
     failed = cut(failures(measure(docs, id_col, text_col, host_col)), "rules-docs")
-    rates = host_rates(failed).select(F.col("host").alias("_host"), F.greatest(*[f"{r}_rate" for r in RULES]).alias("host_rate"))
+    above = F.lit(False)
+    for r in RULES:
+        above = above | (F.col(f"{r}_rate") > F.col(f"{r}_limit"))
+    rates = host_rates(failed, max_rate).select(F.col("host").alias("_host"), F.greatest(*[f"{r}_rate" for r in RULES]).alias("host_rate"), above.alias("host_failed"))
     rates = cut(rates, "rules-rates")
     joined = failed.join(rates, F.col("host").eqNullSafe(F.col("_host")), "left")
-    return joined.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate",
-                         (~F.col("base_failed") & (F.col("host_rate") <= max_rate)).alias("kept"))
+    return joined.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "host_failed",
+                         (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"))
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).drop("host", "host_rate")
+    return judge(table(spark, sf_dir, "documents")).drop("host", "host_rate", "host_failed")

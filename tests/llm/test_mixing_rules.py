@@ -67,3 +67,24 @@ def test_host_verdict_needs_evidence(spark):
     out = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert out[0].kept and not out[2000].kept and not out[2000].base_failed  # a good text of a bad host
     assert out[3001].kept  # two documents do not condemn a host
+
+
+def test_sql_judges_hosts_too(spark, tmp_path):
+    """The SQL equals the operator where a host fails by the spread of the others, far below one half, and where none does."""
+    import duckdb
+    from packetspark.llm.oracle import ORACLE
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(100 * h + i, good if i >= (25 if h == 3 else 2) else "too short", f"host{h}") for h in range(30) for i in range(100)]
+    rows += [(9000, good, None), (9001, None, None), (9002, "$$$ ### %%%", "host1"), (9003, "a\na\na\na", "host2"), (9003, "a\na\na\na", "host2")]
+    for n, part in enumerate((rows, [r for r in rows if r[2] != "host3"])):
+        path = str(tmp_path / f"t{n}")
+        spark.createDataFrame(part, "doc_id long, text string, source string").write.parquet(path + "/documents.parquet")
+        got = Counter(tuple(r.asDict().items()) for r in rules.op6_host_rules(spark, path).collect())
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+        cur = con.execute(ORACLE["op6_host_rules"])
+        names = [d[0] for d in cur.description]
+        want = Counter(tuple((c, dict(zip(names, r))[c]) for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")) for r in cur.fetchall())
+        assert got == want
+        lost = [k for k in got if not dict(k)["kept"] and not dict(k)["base_failed"]]
+        assert len(lost) == (75 if n == 0 else 0)
