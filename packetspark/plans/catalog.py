@@ -628,3 +628,63 @@ def q_tumbling_rate(spark, sf):
 
 
 QUERIES["tumbling_rate"] = q_tumbling_rate
+
+
+# ---------------------------------------------------------------- streams in several micro-batches (ST3, ST5, ST10, R7)
+
+def _arrivals(spark, sf, bad_every=None):
+    """Records in four micro-batches: quarters of the time range, one event in fifty held back to the last."""
+    from packetspark.streaming import scorer as SC
+    p = read_packets(spark, sf)
+    lo, hi = p.agg(F.min("us"), F.max("us")).first()
+    quarter = F.floor((F.col("us") - F.lit(lo)) * 4 / F.lit(hi - lo + 1)).cast("int")
+    p = p.withColumn("batch", F.when(F.col("event_id") % 50 == 7, F.lit(3)).otherwise(quarter))
+    return [SC.records_from_packets(p.where(F.col("batch") == b), bad_every) for b in range(4)]
+
+
+def q_stream_late(spark, sf):
+    """ST3 / ST5: rows that come out of order, and late ones behind a watermark of an hour."""
+    from packetspark.streaming import scorer as SC
+    out = SC.scratch(spark, "stream-out")
+    SC.run_in_batches(_arrivals(spark, sf), lambda x: SC.temporal_stream(x, (3600, 10 ** 9), key="device_id", watermark="1 hour"),
+                      SC.scratch(spark, "stream-src"), out, SC.scratch(spark, "stream-ckpt"))
+    return spark.read.parquet(out).select("event_id", "device_id", "status", r("msg_rate_3600s", "msg_rate_3600s"),
+                                          r("rolling_mean_payload_3600s", "rolling_mean_payload_3600s"))
+
+
+def q_tumbling_stream(spark, sf):
+    """ST10 as a stream: append mode; windows that the watermark has not closed stay in the state."""
+    from packetspark.streaming import scorer as SC
+    out = SC.scratch(spark, "stream-out")
+    SC.run_in_batches(_arrivals(spark, sf), lambda x: SC.tumbling_rates(x.withColumn("ts", F.timestamp_micros("us")), "1 hour", watermark="1 hour"),
+                      SC.scratch(spark, "stream-src"), out, SC.scratch(spark, "stream-ckpt"))
+    return spark.read.parquet(out).select("device_id", "window_start_us", "n", r("mean_payload", "mean_payload"))
+
+
+def q_stream_limit(spark, sf):
+    """A stream that stops after a third of the records were successes, over restarts."""
+    from packetspark.streaming import scorer as SC
+    src, out, ckpt = (SC.scratch(spark, f"stream-{n}") for n in ("src", "out", "ckpt"))
+    limit = read_packets(spark, sf).count() // 3
+    for records in _arrivals(spark, sf, bad_every=97):
+        SC.stage_records(records, src, mode="append")
+        scored = SC.score_stream(SC.parse_records(SC.read_stream(spark, src)), (60,), key="device_id", watermark="3650 days")
+        SC.run_until(scored, out, ckpt, limit)
+    return spark.read.parquet(out).select("event_id", "status")
+
+
+QUERIES.update({"stream_late": q_stream_late, "tumbling_stream": q_tumbling_stream, "stream_limit": q_stream_limit})
+
+
+def q_fault_evaluation_anomaly(spark, sf):
+    """E13 for the anomaly model: every scenario scored by one isolation forest."""
+    from packetspark.operators.faults import FaultConfig
+    from packetspark.plans.evaluation import evaluate_faults
+    from packetspark.plans.training import run_isolation
+    f = _features(spark, sf)
+    model = run_isolation(f, do_search=False, n_trees=100).model
+    scen = [FaultConfig(corruption_rate=a, noise_std=b, payload_loss_rate=c, scenario_id=i) for i, a, b, c in SWEEP]
+    return evaluate_faults(model, "iforest", f, scen)["summary"]
+
+
+QUERIES["fault_evaluation_anomaly"] = q_fault_evaluation_anomaly

@@ -531,3 +531,36 @@ ORACLE["tumbling_rate"] = f"""{WITH_M}
 SELECT device_id, us - ((us % 3600000000) + 3600000000) % 3600000000 AS window_start_us, count(*) AS n,
        {rd('avg(mqtt_payload_len)', 'mean_payload')}
 FROM mapped GROUP BY device_id, window_start_us"""
+
+
+# ---------------------------------------------------------------- streams in several micro-batches
+
+# Micro-batch, watermark (ms, of the micro-batches before) and payload of every record.
+ARRIVALS = f"""{WITH_M}, range_ AS (SELECT min(us) AS lo, max(us) AS hi FROM mapped),
+b AS (SELECT event_id, device_id, us, coalesce(CAST(mqtt_msg AS DOUBLE), 0) AS p, mqtt_payload_len,
+        CASE WHEN event_id % 50 = 7 THEN 3 ELSE CAST(floor(CAST((us - lo) * 4 AS DOUBLE) / (hi - lo + 1)) AS INTEGER) END AS batch
+      FROM mapped, range_),
+wm AS (SELECT batch, max(high) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 - 3600000 AS wm
+       FROM (SELECT batch, max(us) AS high FROM b GROUP BY batch))"""
+
+ORACLE["stream_late"] = f"""{ARRIVALS}
+SELECT i.event_id, i.device_id, CASE WHEN any_value(i.us) // 1000 < any_value(wm) THEN 'late' ELSE 'ok' END AS status,
+       {rd('count(j.event_id) / 3600.0', 'msg_rate_3600s')}, {rd('coalesce(avg(j.p), 0)', 'rolling_mean_payload_3600s')}
+FROM b i JOIN wm ON wm.batch = i.batch
+LEFT JOIN b j ON j.device_id = i.device_id AND j.us BETWEEN i.us - 3600000000 AND i.us
+  AND (j.batch < i.batch OR (j.batch = i.batch AND (j.us < i.us OR (j.us = i.us AND j.event_id < i.event_id))))
+GROUP BY i.event_id, i.device_id"""
+
+# A row whose window was closed before its micro-batch is left out; a window comes out once the last watermark is beyond it.
+ORACLE["tumbling_stream"] = f"""{ARRIVALS}, w AS (SELECT *, us - us % 3600000000 AS window_start_us FROM b)
+SELECT device_id, window_start_us, count(*) AS n, {rd('avg(p)', 'mean_payload')}
+FROM w JOIN wm USING (batch), range_
+WHERE wm IS NULL OR (window_start_us + 3600000000) // 1000 > wm
+GROUP BY device_id, window_start_us, hi HAVING (window_start_us + 3600000000) // 1000 <= hi // 1000 - 3600000"""
+
+ORACLE["stream_limit"] = f"""{ARRIVALS}
+SELECT event_id, status FROM (
+  SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'bad' ELSE 'ok' END AS status,
+         coalesce(sum(CASE WHEN event_id % 97 = 0 THEN 0 ELSE 1 END) OVER (ORDER BY batch, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         count(*) OVER () // 3 AS most
+  FROM b) WHERE before < most"""

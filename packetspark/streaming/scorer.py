@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,7 @@ from packetspark import schema as S
 from packetspark.functions.coerce import hex_float, normalise_timestamp_micros
 from packetspark.functions.mapping import feature_map, map_features
 from packetspark.operators.stats import SERVE_CAP_TARGETS, apply_caps, scaler_transform
+from packetspark.session import written
 
 MICROS = 1_000_000
 
@@ -51,12 +52,44 @@ def temporal_schema(windows: Sequence[int], key: str) -> T.StructType:
     return T.StructType(fields)
 
 
+def _frames_any_order(all_us: np.ndarray, all_p: np.ndarray, us: np.ndarray, pos: np.ndarray, windows: Sequence[int]) -> dict:
+    """Count, sum and sum of squares of the rows before ``pos`` in order of
+    arrival whose time is in ``[us - w, us]``, for times in any order.
+
+    The rows before ``pos`` are one block of each power of two in ``pos``.  Per
+    power all blocks are sorted by time at once and every frame is a pair of
+    binary searches in its block: n log^2 n, without a loop over rows."""
+    times, rank = np.unique(all_us, return_inverse=True)
+    span = len(times) + 1
+    high = np.searchsorted(times, us, side="right")
+    low = {w: np.searchsorted(times, us - w * MICROS, side="left") for w in windows}
+    out = {w: (np.zeros(len(us)), np.zeros(len(us)), np.zeros(len(us))) for w in windows}
+    at = np.arange(len(all_us))
+    for bit in range(int(len(all_us)).bit_length()):
+        rows = np.flatnonzero((pos >> bit) & 1)
+        if not len(rows):
+            continue
+        key = (at >> bit) * span + rank
+        order = np.argsort(key, kind="stable")
+        key, p = key[order], all_p[order]
+        sums, squares = np.concatenate([[0.0], np.cumsum(p)]), np.concatenate([[0.0], np.cumsum(p * p)])
+        block = ((pos[rows] >> bit) - 1) * span
+        end = np.searchsorted(key, block + high[rows], side="left")
+        for w in windows:
+            begin = np.searchsorted(key, block + low[w][rows], side="left")
+            n, total, square = out[w]
+            n[rows] += end - begin
+            total[rows] += sums[end] - sums[begin]
+            square[rows] += squares[end] - squares[begin]
+    return out
+
+
 def window_features(buf_us: np.ndarray, buf_p: np.ndarray, us: np.ndarray, p: np.ndarray,
                     windows: Sequence[int]) -> dict:
     """Exclusive windows for rows ``us`` (in processing order) given the
     earlier buffer: row i sees the buffer and rows < i with
     ``t_i - w <= t_j <= t_i``.  Sorted input uses prefix sums + binary
-    search; out-of-order input falls back to masks."""
+    search; out-of-order input a merge-sort tree over the order of arrival."""
     all_us = np.concatenate([buf_us, us])
     all_p = np.concatenate([buf_p, p])
     nb = len(buf_us)
@@ -73,15 +106,7 @@ def window_features(buf_us: np.ndarray, buf_p: np.ndarray, us: np.ndarray, p: np
             ss = css[pos] - css[lo]
             out[w] = (n, s, ss)
     else:
-        for w in windows:
-            n = np.zeros(len(us))
-            s = np.zeros(len(us))
-            ss = np.zeros(len(us))
-            for i, (t, k) in enumerate(zip(us, pos)):
-                m = (all_us[:k] >= t - w * MICROS) & (all_us[:k] <= t)
-                v = all_p[:k][m]
-                n[i], s[i], ss[i] = len(v), v.sum(), (v * v).sum()
-            out[w] = (n, s, ss)
+        out = _frames_any_order(all_us, all_p, us, pos, windows)
     res = {}
     for w, (n, s, ss) in out.items():
         safe = np.where(n > 0, n, 1.0)
@@ -259,13 +284,13 @@ def run_to_sink(stream_df: DataFrame, out_path: str, checkpoint: str, partition_
         raise q.exception()
 
 
-def stage_records(records: DataFrame, path: str, files: int | None = None) -> None:
+def stage_records(records: DataFrame, path: str, files: int | None = None, mode: str = "overwrite") -> None:
     """Write records as the streaming source's text CSV (all columns as text)."""
     x = records.select(*[F.col(f.name).cast("string").alias(f.name) if f.name in records.columns
                          else F.lit(None).cast("string").alias(f.name) for f in S.STREAM_RAW.fields])
     if files:
         x = x.repartitionByRange(files, "timestamp")
-    x.write.mode("overwrite").option("header", True).csv(path)
+    x.write.mode(mode).option("header", True).csv(path)
 
 
 def records_from_packets(packets: DataFrame, bad_every: int | None = None) -> DataFrame:
@@ -308,3 +333,58 @@ def replay(spark: SparkSession, src: str, out: str, checkpoint: str, max_records
     ``max_records``-th success (0 / None = all)."""
     run_to_sink(score_stream(parse_records(read_stream(spark, src)), **score_kw), out, checkpoint)
     return limit_successes(spark.read.parquet(out), max_records)
+
+
+def run_in_batches(batches: Sequence[DataFrame], make: Callable[[DataFrame], DataFrame], src: str, out: str, checkpoint: str,
+                   partition_by: str | None = None) -> None:
+    """Stages each batch of records and replays what is new, from one checkpoint:
+    the micro-batches come in a fixed order, and state, watermark and sink go on
+    across restarts of the query."""
+    for records in batches:
+        spark = records.sparkSession
+        stage_records(records, src, mode="append")
+        run_to_sink(make(parse_records(read_stream(spark, src))), out, checkpoint, partition_by=partition_by)
+
+
+def _ledger(spark: SparkSession, path: str) -> dict[int, int]:
+    """Successes written per micro-batch (one small row each)."""
+    from pyspark.errors import AnalysisException
+    try:
+        return {r["batch"]: r["successes"] for r in spark.read.schema("successes long, batch long").parquet(path).collect()}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+
+
+def run_until(stream_df: DataFrame, out: str, checkpoint: str, max_records: int | None, order=("event_id",), poll: float = 0.2) -> int:
+    """R7 while streaming: stops after the ``max_records``-th success.
+
+    The count of successes is kept beside the sink, a row per micro-batch, so a
+    restarted query goes on counting and a repeated micro-batch replaces its own
+    rows.  A micro-batch after the limit is not computed.  Returns the successes
+    so far; 0 / None means no limit."""
+    spark, counts = stream_df.sparkSession, f"{out.rstrip('/')}-successes"
+
+    def done(before: int | None = None) -> int:
+        return sum(n for b, n in _ledger(spark, counts).items() if before is None or b < before)
+
+    def write(batch: DataFrame, number: int) -> None:
+        left = max_records - done(number) if max_records else None
+        if left is not None and left <= 0:
+            return
+        path = f"{out.rstrip('/')}/batch={number}"
+        # the micro-batch is computed once: reading it twice would run its state twice
+        limit_successes(written(batch, "stream-batch"), left, order).write.mode("overwrite").parquet(path)
+        n = batch.sparkSession.read.parquet(path).where("status <> 'bad'").count()
+        batch.sparkSession.createDataFrame([(n,)], "successes long").write.mode("overwrite").parquet(f"{counts}/batch={number}")
+    if max_records and done() >= max_records:
+        return done()
+    q = stream_df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    while not q.awaitTermination(poll):
+        if max_records and done() >= max_records:
+            q.stop()
+            break
+    if q.exception():
+        raise q.exception()
+    return done()
