@@ -688,3 +688,16 @@ def q_fault_evaluation_anomaly(spark, sf):
 
 
 QUERIES["fault_evaluation_anomaly"] = q_fault_evaluation_anomaly
+
+
+def q_run_tags(spark, sf):
+    """The output name of a scenario for every event's parameters."""
+    from packetspark.operators.faults import run_tag_expr
+    e, none = F.col("event_id"), F.lit(None).cast("double")
+    def rate(k, gap):
+        return F.when(e % gap != 0, (e * k % 101) / F.lit(100.0)).otherwise(none)
+    target = F.when(e % 11 != 0, F.element_at(F.array(*[F.lit(t) for t in ("train", "validation", "test", "all")]), (e % 4 + 1).cast("int")))
+    return read_table(spark, sf, "events").select("event_id", run_tag_expr("models", e % 3 != 0, rate(7, 5), rate(13, 6), rate(29, 7), target).alias("run_tag"))
+
+
+QUERIES["run_tags"] = q_run_tags

@@ -564,3 +564,13 @@ SELECT event_id, status FROM (
          coalesce(sum(CASE WHEN event_id % 97 = 0 THEN 0 ELSE 1 END) OVER (ORDER BY batch, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
          count(*) OVER () // 3 AS most
   FROM b) WHERE before < most"""
+
+
+def _tag(name: str, k: int, gap: int) -> str:
+    text = f"printf('%.2f', event_id * {k} % 101 / 100.0)"
+    short = rf"regexp_replace(regexp_replace({text}, '0+$', ''), '\.$', '')"
+    return f"CASE WHEN event_id % {gap} <> 0 THEN '_{name}' || CASE WHEN {short} IN ('0', '1') THEN {text} ELSE {short} END ELSE '' END"
+
+
+ORACLE["run_tags"] = f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'models' ELSE 'models' || {_tag('corruption', 7, 5)} || {_tag('noise', 13, 6)} || {_tag('payload', 29, 7)}
+  || CASE WHEN event_id % 11 <> 0 THEN '_' || ['train', 'validation', 'test', 'all'][event_id % 4 + 1] ELSE '' END END AS run_tag FROM events"""

@@ -6,27 +6,37 @@ Spark writers; NaN becomes null so the JSON stays valid.
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_metadata(spark: SparkSession, metadata_dir: str | None) -> dict[str, DataFrame]:
+def read_metadata(spark: SparkSession, metadata_dir: str | None, required: bool = False) -> dict[str, DataFrame]:
     """Optional label and categorical encoding documents as small lookup
-    tables (``name -> DataFrame``).  Missing files give an empty dict; the
-    reference loads them but never applies them."""
+    tables (``name -> DataFrame``), from any file system that Spark reads.  A
+    missing file is left out, or an error with ``required``."""
     out = {}
     if not metadata_dir:
         return out
     for name in ("label_encoding", "categorical_encoding"):
-        path = os.path.join(metadata_dir, f"{name}.json")
-        if os.path.exists(path):
-            out[name] = spark.read.option("multiLine", True).json(path)
+        try:
+            out[name] = spark.read.option("multiLine", True).json(f"{metadata_dir.rstrip('/')}/{name}.json")
+        except AnalysisException as e:
+            if required or e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return out
 
 
+def apply_encoding(df: DataFrame, column: str, encoding: DataFrame, out: str) -> tuple[DataFrame, DataFrame]:
+    """S6 applied: a document ``{value: code, ...}`` as (value, code) rows joined
+    to ``column``.  Returns the encoded rows and those whose value is unknown."""
+    codes = encoding.select(F.explode(F.map_from_arrays(
+        F.array(*[F.lit(c) for c in encoding.columns]), F.array(*[F.col(f"`{c}`").cast("long") for c in encoding.columns]))).alias("_value", out))
+    known = df.join(F.broadcast(codes), df[column].cast("string") == F.col("_value"), "left")  # one row per value of the document
+    return known.where(F.col(out).isNotNull()).drop("_value"), known.where(F.col(out).isNull()).drop("_value", out)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:

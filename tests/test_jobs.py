@@ -97,3 +97,17 @@ def test_limit_successes(spark):
 def test_registered_queries_smoke(spark):
     for name in ("packet_map", "confusion", "fault_report", "label_imbalance", "tumbling_rate"):
         assert CAT.QUERIES[name](spark, SF).count() > 0
+
+
+def test_metadata_from_any_file_system(spark, tmp_path):
+    from packetspark.sources.sinks import apply_encoding, read_metadata
+    assert read_metadata(spark, str(tmp_path)) == {}
+    with pytest.raises(Exception):
+        read_metadata(spark, str(tmp_path), required=True)
+    (tmp_path / "label_encoding.json").write_text('{"dos": 0, "normal": 3}')
+    found = read_metadata(spark, f"file://{tmp_path}")
+    assert list(found) == ["label_encoding"]
+    df = spark.createDataFrame([("dos",), ("normal",), ("other",), (None,)], "name string")
+    good, unknown = apply_encoding(df, "name", found["label_encoding"], "code")
+    assert {(r["name"], r["code"]) for r in good.collect()} == {("dos", 0), ("normal", 3)}
+    assert {r["name"] for r in unknown.collect()} == {"other", None}
