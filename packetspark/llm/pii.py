@@ -1,8 +1,8 @@
 """Personal data by weak supervision.
 
 Four kinds have fixed patterns and checks: e-mail and IP addresses, card and phone numbers.  Their matches are final.
-Beside them, runs of letters and digits are candidates for secrets (keys, tokens, passwords).  Labelers of three kinds
-vote on each: patterns, a gazetteer of words before it, and its context and make-up.  Expectation-maximisation over
+Beside them, long runs of letters and digits, and whatever is assigned to a name of the gazetteer, are candidates for secrets
+(keys, tokens, passwords).  Labelers of three kinds vote on each: patterns, a gazetteer of words before it, and its context and make-up.  Expectation-maximisation over
 the table of vote patterns estimates how often each labeler is right without any labels, and the posteriors of the patterns
 train the final classifier over features of the spans, which decides.
 
@@ -30,16 +30,20 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 SECRET = "secret"
-#: Candidates: runs of at least fourteen letters, digits, "_" and "-".  Long words are among them; they show the labelers
-#: and the classifier what is no secret.
-CANDIDATE = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{14,}+"
 #: Words that go before a secret, looked for in so many characters.
-GAZETTEER = ("password", "passwd", "pwd", "secret", "token", "api", "key", "auth", "credential", "bearer", "login")
+GAZETTEER = ("password", "passwd", "pwd", "passphrase", "secret", "token", "api", "key", "auth", "credential", "bearer", "login")
+#: Candidates: what follows a gazetteer word and an assignment sign, of any length from four characters up; and runs of at
+#: least fourteen characters of names, base64 or hex, with the parts that dots join to them.  Long words are among the runs;
+#: they show the labelers and the classifier what is no secret.
+NAME = rf"(?<![A-Za-z0-9_])[A-Za-z0-9_.-]{{0,40}}?(?i:{'|'.join(GAZETTEER)})[A-Za-z0-9_]{{0,8}}+[\"']?[ \t]{{0,2}}+[=:]{{1,2}}+[ \t]{{0,2}}+[\"']?+"
+VALUE = r"[^\s\"',;<>()\[\]{}]{4,}(?<![.:])"
+RUN = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{14,}+(?:\.[A-Za-z0-9_+/=-]{4,}+)*+"
+NAMED = rf"(?i:{'|'.join(GAZETTEER)})[A-Za-z0-9_]{{0,8}}+[\"']?[ \t]{{0,2}}+[=:]"
 BEFORE = 24
 #: Steps of expectation-maximisation, and the probability from which a span is taken.
 STEPS, ACCEPT = 30, 0.5
 LABELERS = ("pattern", "gazetteer", "context", "mixture", "prose")
-FEATURES = ("length", "digits", "capitals", "sign", "after")
+FEATURES = ("length", "digits", "capitals", "sign", "after", "named", "known")
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -107,25 +111,32 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
 
 def _described(text: Column) -> Column:
     """Candidates with the labelers' votes and the classifier's features."""
+    def value(x: Column) -> Column:
+        # the name and the sign are no part of the span
+        name = F.length(F.regexp_extract(x["value"], f"^{NAME}", 0))
+        return F.struct((x["start"] + name).alias("start"), x["end"].alias("end"), F.substr(x["value"], name + 1).alias("value"), (name > 0).alias("named"))
+
     def describe(x: Column) -> Column:
-        v, n = x["value"], F.length(x["value"])
+        v, n, named = x["value"], F.length(x["value"]), x["named"]
         digits, capitals = F.length(_digits(v)), F.length(F.regexp_replace(v, "[^A-Z]", ""))
         letters = F.length(F.regexp_replace(v, "[^A-Za-z]", ""))
         before = F.lower(F.substr(text, F.greatest(F.lit(1), x["start"] - (BEFORE - 1)), F.least(F.lit(BEFORE), x["start"])))
         last = F.substr(text, x["start"], F.lit(1))
         after = F.substr(text, x["end"] + 1, F.lit(1))
-        sign = F.when(x["start"] == 0, 0).when(last.rlike(r"[=:\"'/]"), 2).otherwise(1)
+        sign = F.when(x["start"] == 0, 0).when(named | last.rlike(r"[=:\"'/]"), 2).otherwise(1)
+        known = v.rlike("^(?:AKIA[0-9A-Z]{16}|(?=[0-9]*+[a-f])[0-9a-f]{16,}+|sk-[A-Za-z0-9]{16,}+|eyJ[A-Za-z0-9_-]{8,}+(?:\\.[A-Za-z0-9_-]{8,}+)++)$")
         votes = (
-            _vote(v.rlike("^(?:AKIA[0-9A-Z]{16}|(?=[0-9]*+[a-f])[0-9a-f]{16,}+|sk-[A-Za-z0-9]{16,}+)$"), (n < 16) | (letters == 0)),
-            _vote(reduce(lambda a, b: a | b, [F.contains(before, F.lit(w)) for w in GAZETTEER])),
+            _vote(known, ~named & ((n < 16) | (letters == 0))),
+            _vote(named | reduce(lambda a, b: a | b, [F.contains(before, F.lit(w)) for w in GAZETTEER])),
             _vote(sign == 2, last.rlike(r"[.,@]")),
-            _vote((digits >= 3) & (letters >= 2), letters == 0),
+            _vote((digits >= 3) & (letters >= 2), ~named & (letters == 0)),
             _vote(F.lit(False), letters * 10 > n * 9),
         )
         features = (F.least(F.lit(10), F.floor(n / 4)).cast("int"), F.floor(10 * digits / n).cast("int"), F.floor(5 * capitals / n).cast("int"), sign,
-                    F.when(after.rlike(r"[\"';]"), 1).otherwise(0))
+                    F.when(after.rlike(r"[\"';]"), 1).otherwise(0), named.cast("int"), known.cast("int"))
         return F.struct(x["start"], x["end"], F.array(*votes).alias("votes"), F.array(*features).alias("features"))
-    return F.transform(matches(text, CANDIDATE), describe)
+    found = F.when(text.rlike(NAMED), F.transform(matches(text, f"{NAME}{VALUE}|{RUN}"), value)).otherwise(F.transform(matches(text, RUN), value))
+    return F.transform(found, describe)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -164,7 +175,10 @@ def reliabilities(patterns: dict[tuple[int, ...], int], steps: int = STEPS) -> t
 
 
 def train(found: DataFrame) -> tuple[float, list[dict[int, float]]]:
-    """Log odds of a secret and the evidence of each feature's values, from the candidates' posteriors."""
+    """Log odds of a secret and the evidence of each feature's values, from the candidates' posteriors.
+
+    What is gathered is a row per vote pattern (3 ^ 5 at most) and feature values (11 x 11 x 6 x 3 x 2 x 2 x 2), at any size.
+    """
     spans = found.select(F.explode("_candidates").alias("c")).select("c.votes", "c.features")
     counts = spans.groupBy("votes", "features").count()  # both from a few values each
     rows = [(tuple(r["votes"]), tuple(r["features"]), r["count"]) for r in counts.collect()]

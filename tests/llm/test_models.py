@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -296,3 +297,19 @@ def test_contexts_help_and_probabilities_add_up(spark, monkeypatch):
     assert abs(words.root().sum() - 1) < 1e-9
 
 
+
+
+def test_assigned_and_dotted_secrets(spark):
+    """Short passwords behind a name and a sign, and a token of three parts as one span; names and prose stay."""
+    rnd = random.Random(12)
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0"
+    rows = [(1, 'password = "hunter2!x" and more'), (2, "pwd=Xk9$2mQ"), (3, f"Authorization: Bearer {jwt} end."), (4, "db_password: s3cr/et+Va1ue== ."),
+            (5, "the keynote was long, and the password was changed"), (6, "an uncharacteristically misunderstood counterintuitiveness"), (7, "MY_API_KEY='q7w8e9r0'")]
+    rows += [(100 + i, f"token={''.join(rnd.choice('abcdef0123456789') for _ in range(32))} and {prose(i, 20)}") for i in range(60)]
+    rows += [(300 + i, prose(900 + i, 60) + " internationalization straightforwardly") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("secret")] for r in pii.report(docs).collect()}
+    found = {d: [t[a:b] for a, b in spans[d]] for d, t in rows}
+    assert found[1] == ["hunter2!x"] and found[2] == ["Xk9$2mQ"] and found[3] == [jwt] and found[4] == ["s3cr/et+Va1ue=="] and found[7] == ["q7w8e9r0"]
+    assert not found[5] and not found[6] and not any(found[300 + i] for i in range(100))
+    assert all(len(found[100 + i]) == 1 and len(found[100 + i][0]) == 32 for i in range(60))
