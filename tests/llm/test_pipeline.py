@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 def test_stages_and_registration(spark):
     pipeline = importlib.import_module("corpus_pipeline")
     names = entry.queries()
-    assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert [n for n, _ in pipeline.STAGES] == ["quality", "near_dedup", "personal_data", "mixing", "packing"]
 
 
