@@ -47,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]
 
-#: A classifier, token ids and best-fit packing are beyond SQL; the stages are tested against brute force.
+#: A classifier, token ids and best-fit packing are beyond SQL; the operators are tested against brute force on their own, run() for its shape.
 ORACLE_SQL = None
 
 
