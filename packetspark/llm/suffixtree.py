@@ -1,23 +1,23 @@
 """Language-model scores by a probabilistic suffix tree.
 
 Words are counted over the training documents.  Words seen ``LEAST`` times or more and the end of a document are the
-tree's symbols, each by its hash; rarer words share one symbol, are no contexts and are told apart by their own frequency.
-Contexts are grown level by level from grouped counts of all that follows them: one that is seen ``LEAST`` times or more
-stays in the tree if the symbols that follow it diverge from those that follow its longest kept suffix by more than the
-description of its distribution costs.  Longer contexts are tried until ``PATIENCE`` lengths in a row fail that test; no
-length ends the growth by itself.  A symbol's probability comes from the longest kept suffix of what
+tree's symbols, numbered by falling frequency; rarer words share one symbol, are no contexts and are told apart by their
+own frequency.  Contexts are grown level by level from grouped counts of all that follows them: one that is seen ``LEAST``
+times or more stays in the tree if the symbols that follow it diverge from those that follow its longest kept suffix by
+more than the description of its distribution costs.  Longer contexts are tried until ``PATIENCE`` lengths in a row fail
+that test; no length ends the growth by itself.  A symbol's probability comes from the longest kept suffix of what
 precedes it, smoothed with that of the next shorter one, down to the frequencies of words.
 
-Words, contexts and continuations are Spark tables that grow with the corpus; nothing of them is gathered or broadcast.
-Every chunk of documents asks for its distinct words, contexts and continuations once a level by a join, and each answer
-goes into the scores, the next level and the next question.
+The documents lie in chunks.  A level is two rounds of messages between chunks and buckets, packed arrays in both
+directions.  First each chunk sends its distinct (context, symbol) pairs with their counts to the buckets of the contexts
+(a context seen ``HOT`` times or more is spread over buckets by symbol), which add them up and answer in the order of
+the question.  Then each chunk sends its share of every context's count, kinds and divergence, and the buckets answer
+which contexts stay.  A level's table is removed once the next one is written; nothing is gathered or broadcast.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, cut, table, words_of, write_shared
+from .common import ascii_lower, bounded_batches, cut, drop_shared, numbered, table, words_of, write_shared
 
 #: Least occurrences of a word that is a symbol and of a context.
 LEAST = 10
@@ -34,21 +34,47 @@ LEAST = 10
 PATIENCE = 3
 #: Added to each word's count.
 ADD = 0.1
-#: Tokens in a chunk of documents.
-CHUNK = 1_500_000
+#: Tokens in a chunk of documents, and behind a bucket of messages.
+CHUNK, BUCKET = 1_500_000, 4_000_000
+#: A context with so many occurrences has its continuations spread over buckets.
+HOT = 1_000_000
 END, RARE = 0, 1
 #: Documents whose id's checksum leaves this rest modulo ten are held out.
 HELD_OUT, FOLDS = 0, 10
-#: Kinds of rows of the state: a document, its chunk, a question for a continuation, one for a context.
-DOC, CHUNK_ROW, PAIR, CONTEXT = range(4)
-SPARK_STATE = ("chunk long, kind int, pos int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-               "tokens binary, hashes binary, alive binary, ctx long, sym long, p double, n long, parent long, far long")
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
-STATE = pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in SPARK_STATE.split(", ")])
+#: Bits of a probability's fraction that are not kept: 28 stay.
+DROPPED = np.uint64((1 << 24) - 1)
+MESSAGE = "chunk long, bucket int, a binary, b binary, c binary, d binary"
+#: A row is a chunk (bucket null) or a message of a chunk to a bucket.
+STATE = (MESSAGE + ", tokens binary, alive binary, p binary, hot binary, n binary, doc_id array<long>, held_out array<boolean>, "
+         "n_tokens array<long>, n_known array<long>, base_score array<double>, score array<double>")
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
+          "array<boolean>": pa.list_(pa.bool_()), "array<double>": pa.list_(pa.float64())}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in ddl.split(", ")])
+
+
+def _rows(ddl: str, rows: list[dict]) -> pa.Table:
+    """Rows with the given columns, null in all others."""
+    schema = _schema(ddl)
+    return pa.table([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """The array, first bytes of all numbers first, compressed behind its size."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    raw = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 class Words(NamedTuple):
-    """The words of the training documents as a table (word, n), and the totals."""
+    """The words of the training documents as a table (word, n, sym), and the totals."""
     counts: DataFrame
     ends: int
     total: int
@@ -63,77 +89,6 @@ class Words(NamedTuple):
     def mass(self) -> float:
         return self.total + ADD * (self.distinct + 1)
 
-    def gathered(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and count of each symbol; for small corpora only."""
-        many = self.counts.where(F.col("n") >= LEAST).toPandas().sort_values("word")
-        return np.concatenate([[END, RARE], many["word"].to_numpy(np.int64)]), np.concatenate([[self.ends, 0], many["n"].to_numpy(np.float64)])
-
-    def root(self) -> np.ndarray:
-        """Probability of each symbol without a context; for small corpora only."""
-        p = (self.gathered()[1] + ADD) / self.mass()
-        p[RARE] = self.rare_mass() / self.mass()
-        return p
-
-
-class Level:
-    """Contexts of one length: tables of the contexts and their continuations, and the documents scored so far.
-
-    The arrays gather the tables, the way ``_probabilities`` reads them; for small corpora only.
-    """
-
-    def __init__(self, words: Words, shorter: Level | None, asked: DataFrame, entries: DataFrame, contexts: DataFrame, after: str):
-        self.words, self.shorter, self.asked, self.entries_table, self.contexts, self.after = words, shorter, asked, entries, contexts, after
-
-    @cached_property
-    def _arrays(self) -> tuple:
-        hashes = self.words.gathered()[0]
-        k, place = len(hashes), {h: i for i, h in enumerate(hashes.tolist())}
-        rows = self.contexts.join(self.asked.where(F.col("kind") == CONTEXT).groupBy("ctx").agg(F.first("parent").alias("parent"), F.first("far").alias("far")), "ctx").toPandas()
-        above = {} if self.shorter is None else self.shorter._arrays[0]
-        rows["key"] = [place[far] if self.shorter is None else above[parent] * k + place[far] for parent, far in zip(rows["parent"], rows["far"])]
-        rows = rows.sort_values("key")
-        at = {c: i for i, c in enumerate(rows["ctx"].tolist())}
-        entries = self.entries_table.toPandas()
-        entries["key"] = [at[c] * k + place[s] for c, s in zip(entries["ctx"], entries["sym"])]
-        entries = entries.sort_values("key")
-        n, kinds = rows["n"].to_numpy(float), rows["kinds"].to_numpy(float)
-        return at, rows["key"].to_numpy(np.int64), rows["kept"].to_numpy(bool), kinds / (n + kinds), 1 / (n + kinds), entries["key"].to_numpy(np.int64), entries["n"].to_numpy(float)
-
-    keys = property(lambda self: self._arrays[1])
-    kept = property(lambda self: self._arrays[2])
-    weight = property(lambda self: self._arrays[3])  # of the suffix's distribution
-    scale = property(lambda self: self._arrays[4])  # one over count plus smoothing
-    entries = property(lambda self: self._arrays[5])  # sorted: context * symbols + symbol
-    counts = property(lambda self: self._arrays[6])
-
-
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key, -1 where it is missing."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-def _suffix_at(symbol_keys: list[np.ndarray], d: int, context: np.ndarray, k: int) -> np.ndarray:
-    """Index of the context of d + 1 symbols that ends each context of the last level."""
-    at = context
-    for keys in reversed(symbol_keys[d + 1:]):
-        at = keys[at] // k
-    return at
-
-
-def _probabilities(x: np.ndarray, at: list[np.ndarray], root: np.ndarray, levels: list[Level]) -> np.ndarray:
-    """Probability of each symbol from the longest kept suffix, over gathered levels."""
-    k, p = len(root), root[x]
-    for a, level in zip(at, levels):
-        here = np.flatnonzero(a >= 0)
-        here = here[level.kept[a[here]]]
-        entry = _find(level.entries, a[here] * k + x[here])
-        counts = np.where(entry >= 0, level.counts[entry] if len(level.counts) else 0, 0)
-        p[here] = counts * level.scale[a[here]] + level.weight[a[here]] * p[here]
-    return p
-
 
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, held_out and the hashes of the words; two words share a 64-bit hash with negligible probability."""
@@ -166,35 +121,27 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _rows(n: int, /, **columns) -> pa.Table:
-    """Rows of the state with the given columns, null in all others."""
-    def made(f: pa.Field):
-        given = columns.get(f.name)
-        if isinstance(given, (pa.Array, pa.ChunkedArray)):
-            return given
-        return pa.nulls(n, f.type) if given is None else pa.array(given, f.type)
-    return pa.table([made(f) for f in STATE], schema=STATE)
-
-
 def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk, hashes in zip(batch.column("chunk").to_pylist(), batch.column("hashes").to_pylist()):
-            words = np.frombuffer(hashes, "<i8")[1:]
+        for chunk, hashes in zip(batch.column("chunk").to_pylist(), batch.column("a").to_pylist()):
+            words = _unpack(hashes, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), pa.array(np.arange(len(words)), pa.int32()), pa.array(words)], names=["chunk", "pos", "word"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents in chunks: a row per document and one with the chunk's distinct words and tokens, places in the former."""
+    """Documents in chunks: the hashes of a chunk's distinct words, frequent ones first, and its tokens as places in them."""
     flats, sizes, ids, out, n, turn = [], [], [], [], 0, 0
     name = TaskContext.get().partitionId() << 32
 
     def whole() -> Iterator[pa.RecordBatch]:
         size = np.concatenate(sizes)
-        unique, place = np.unique(np.concatenate(flats), return_inverse=True)
-        tokens = np.insert(place + 1, np.cumsum(size), 0).astype("<i4")
-        chunk, k = name + turn, len(size)
-        yield from _rows(k, chunk=[chunk] * k, kind=[DOC] * k, pos=np.arange(k), doc_id=ids, held_out=out, n_tokens=size + 1).to_batches()
-        yield from _rows(1, chunk=[chunk], kind=[CHUNK_ROW], tokens=[tokens.tobytes()], hashes=[np.concatenate([[END], unique]).astype("<i8").tobytes()]).to_batches()
+        unique, place, count = np.unique(np.concatenate(flats), return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(1, len(order) + 1)
+        tokens = np.insert(rank[place], np.cumsum(size), 0).astype(np.int32)
+        yield from _rows(STATE, [{"chunk": name + turn, "a": _pack(unique[order].astype(np.int64)), "tokens": _pack(tokens),
+                                  "doc_id": ids, "held_out": out, "n_tokens": size + 1}]).to_batches()
     for batch in batches:
         flat, offsets = _flat(batch, "words")
         flats.append(flat)
@@ -209,142 +156,208 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from whole()
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Chunk:
-    """A chunk's documents in order, its tokens and the symbols (hashes) of its distinct words."""
+    """A chunk's documents in order and its tokens; after ``look`` also the contexts of one length at the living places."""
 
     def __init__(self, rows: pa.Table):
-        kind = rows["kind"].to_numpy()
-        self.docs = rows.filter(pa.array(kind == DOC)).sort_by("pos")
-        row = rows.filter(pa.array(kind == CHUNK_ROW)).to_pylist()[0]
-        self.name, self.alive = row["chunk"], row["alive"]
-        self.tokens, self.hashes = np.frombuffer(row["tokens"], "<i4"), np.frombuffer(row["hashes"], "<i8")
-        self.sizes = self.docs["n_tokens"].to_numpy()
+        self.row = rows.to_pylist()[0]
+        self.tokens = _unpack(self.row["tokens"], np.int32)
+        self.sizes = np.asarray(self.row["n_tokens"], np.int64)
         self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.place = np.arange(len(self.owner)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
 
-    def column(self, name: str) -> np.ndarray:
-        return self.docs[name].to_numpy()
-
     def sums(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner[at], values, len(self.sizes))
 
-    def asked(self, at: np.ndarray, depth: int) -> tuple:
-        """Contexts of the tokens at some places (hash, that of the suffix, first symbol) and distinct pairs with the next symbol."""
-        x = self.hashes[self.tokens].astype(np.uint64)
-        before = np.concatenate([np.array([END], np.uint64), x])
-        ctx, parent = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    def look(self, alive: np.ndarray, depth: int) -> None:
+        """Distinct contexts of the tokens at the living places, and pairs with the symbol there, sorted by both."""
+        self.at = np.flatnonzero(alive)
+        before = np.concatenate([np.array([END], np.uint64), self.tokens.astype(np.uint64)])
+        ctx = np.zeros(len(self.at), np.uint64)
         for j in range(depth):
-            parent, far = ctx, before[at - j]
-            ctx = _mix(ctx * np.uint64(0x9E3779B97F4A7C15) + far)
-        _, pair, of_pair = np.unique(_mix(ctx * np.uint64(0xD6E8FEB86659FD93) + x[at]), return_index=True, return_inverse=True)
-        _, one, of_one = np.unique(ctx, return_index=True, return_inverse=True)
-        return ctx.view(np.int64), parent.view(np.int64), far.view(np.int64), x[at].view(np.int64), pair, of_pair, one, of_one
-
-    def state(self, depth: int, alive: np.ndarray, p: np.ndarray, hashes: np.ndarray, **columns) -> pa.Table:
-        """The chunk after a level, with what it asks of the next: pairs with their counts in training, and contexts.
-
-        ``alive`` is 0 where a token has no longer context, else one more than the lengths in a row that were not kept.
+            ctx = _mix(ctx * np.uint64(0x9E3779B97F4A7C15) + before[self.at - j] + np.uint64(1))
+        self.ctx, self.of_ctx = np.unique(ctx, return_inverse=True)
+        key, self.first, self.of_pair = np.unique((self.of_ctx << 32) | self.tokens[self.at], return_index=True, return_inverse=True)
+        self.pair_ctx, self.sym = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+        training = ~np.asarray(self.row["held_out"], bool)[self.owner[self.at]]
+        self.own = np.bincount(self.of_pair, training, len(key)).astype(np.int64)
+
+    def dealt(self, key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The buckets of some hashes, each with the places of its own."""
+        bucket = (_mix(key) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for places in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            if len(places):
+                yield int(bucket[places[0]]), places
+
+    def pairs_dealt(self, hot: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        return self.dealt(self.ctx[self.pair_ctx] + np.where(hot[self.pair_ctx], self.sym + 1, 0).astype(np.uint64), buckets)
+
+    def answers(self, told: pa.Table, dealt: Iterator[tuple[int, np.ndarray]], size: int, column: str) -> np.ndarray:
+        found = dict(zip(told["bucket"].to_pylist(), told[column].to_pylist()))
+        out = np.zeros(size, np.int64)
+        for bucket, places in dealt:
+            out[places] = _unpack(found[bucket], np.int64)
+        return out
+
+    def after(self, messages: list[dict], **columns) -> pa.Table:
+        """The chunk with new values in some columns, and its messages."""
+        kept = {c: v for c, v in self.row.items() if c not in ("a", "b", "c", "d")}
+        return _rows(STATE, [{**kept, **columns}] + [{"chunk": self.row["chunk"], **m} for m in messages])
+
+    def ask(self, depth: int, alive: np.ndarray, p: np.ndarray, often: np.ndarray, buckets: int, **columns) -> pa.Table:
+        """The chunk with its question for all pairs of ``depth`` symbols and the next.
+
+        ``alive`` is 0 where a token has no such context, else one more than the lengths in a row that were not kept;
+        ``often`` is the count of that context where it is known; ``p`` are the probabilities so far.
         """
-        k = len(self.sizes)
-        given = {c: self.docs[c] for c in ("chunk", "pos", "doc_id", "held_out", "n_tokens", "n_known", "base_score")}
-        out = [_rows(k, **{**given, "kind": [DOC] * k, **columns})]
-        left = alive.any()  # without a place to look at, tokens are not needed again
-        out.append(_rows(1, chunk=[self.name], kind=[CHUNK_ROW], tokens=[self.tokens.tobytes() if left else b""], hashes=[hashes.tobytes() if left else b""], alive=[alive.tobytes() if left else b""]))
-        if left:
-            self.hashes = hashes
-            at = np.flatnonzero(alive)
-            ctx, parent, far, sym, pair, of_pair, one, _ = self.asked(at, depth)
-            training = ~self.docs["held_out"].to_numpy()[self.owner[at]]
-            n = np.bincount(of_pair, training, len(pair)).astype(np.int64)
-            out.append(_rows(len(pair), chunk=np.full(len(pair), self.name), kind=np.full(len(pair), PAIR), pos=np.arange(len(pair)), ctx=ctx[pair], sym=sym[pair], p=p[at][pair], n=n))
-            out.append(_rows(len(one), chunk=np.full(len(one), self.name), kind=np.full(len(one), CONTEXT), pos=np.arange(len(one)), ctx=ctx[one], parent=parent[one], far=far[one]))
-        return pa.concat_tables(out)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _begin(ends: int, mass: float, rare_mass: float):
+        if not alive.any():  # without a place to look at, tokens are not needed again
+            return self.after([], **{**columns, "tokens": _pack(self.tokens[:0]), "alive": None, "p": None, "hot": None, "n": None})
+        self.look(alive, depth)
+        hot = np.zeros(len(self.ctx), bool)
+        hot[self.of_ctx] = often[self.at] >= HOT
+        messages = []
+        for bucket, places in self.pairs_dealt(hot, buckets):
+            of, count = np.unique(self.pair_ctx[places], return_counts=True)
+            messages.append({"bucket": bucket, "a": _pack(self.ctx[of]), "b": _pack(count.astype(np.int32)),
+                             "c": _pack(np.diff(self.sym[places], prepend=np.int32(0))), "d": _pack(self.own[places].astype(np.int32))})
+        if depth == 1:  # the probability depends on the symbol alone
+            known = _pack(p[np.unique(self.tokens, return_index=True)[1]])
+        else:
+            known = _pack(p[self.at[self.first]])
+        return self.after(messages, alive=_pack(alive), p=known, hot=_pack(hot), n=None, **columns)
+
+    def known(self, depth: int) -> np.ndarray:
+        """Probabilities so far of the pairs."""
+        p = _unpack(self.row["p"], np.float64)
+        return p[np.searchsorted(np.unique(self.tokens), self.sym)] if depth == 1 else p
+
+
+def _begin(ends: int, mass: float, rare_mass: float, buckets: int):
     """Scores from the frequencies of words; asks for the contexts of one symbol."""
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         chunk = Chunk(rows)
-        n = np.zeros(len(chunk.hashes))
-        n[0] = ends
+        words = len(_unpack(chunk.row["a"], np.int64)) + 1
+        n, symbol = np.zeros(words), np.full(words, RARE, np.int32)
+        n[0], symbol[0] = ends, END
         n[found["pos"].to_numpy() + 1] = found["n"].to_numpy()
-        symbol = np.where(n >= LEAST, chunk.hashes, RARE)
-        symbol[0] = END
+        symbol[found["pos"].to_numpy() + 1] = found["sym"].to_numpy()
         rare = symbol == RARE
         p = np.where(rare, rare_mass, n + ADD) / mass
         every, x = np.arange(len(chunk.tokens)), chunk.tokens
         base = chunk.sums(every, np.log10((n + ADD) / mass)[x])
         tree = chunk.sums(every, (np.log10(p) + np.where(rare, np.log10((n + ADD) / rare_mass), 0.0))[x])
         context = (n >= LEAST) & ~rare
-        alive = context[np.concatenate([[0], x[:-1]])].astype(np.uint8)
-        return chunk.state(1, alive, p[x], symbol, n_known=chunk.sums(every, (n > 0)[x]).astype(np.int64), base_score=base, score=tree)
+        last = np.concatenate([[0], x[:-1]])
+        chunk.tokens = symbol[x]
+        return chunk.ask(1, context[last].astype(np.uint8), p[x], n[last], buckets, tokens=_pack(chunk.tokens),
+                         n_known=chunk.sums(every, (n > 0)[x]).astype(np.int64), base_score=base, score=tree)
     return run
 
 
-def _deepen(depth: int):
-    """Scores with the contexts of ``depth`` symbols; asks for longer ones."""
-    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+def _add_pairs(messages: pa.Table) -> pa.Table:
+    """Answers a bucket's chunks with each pair's count, doubled, and one more in the first chunk that holds the pair in training."""
+    rows = messages.sort_by("chunk").to_pylist()
+    keys, own = [], []
+    for r in rows:
+        ctx = np.repeat(_unpack(r["a"], np.uint64), _unpack(r["b"], np.int32))
+        sym = np.cumsum(_unpack(r["c"], np.int32), dtype=np.int64).astype(np.uint64)
+        keys.append(_mix(ctx * np.uint64(0xD6E8FEB86659FD93) + sym))
+        own.append(_unpack(r["d"], np.int32))
+    sizes, own = [len(k) for k in keys], np.concatenate(own)
+    distinct, pair = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(pair, own, len(distinct)).astype(np.int64)
+    held = np.flatnonzero(own > 0)
+    _, first = np.unique(pair[held], return_index=True)
+    told = 2 * n[pair]
+    told[held[first]] += 1
+    return _rows(MESSAGE, [{"chunk": r["chunk"], "bucket": r["bucket"], "a": _pack(part)} for r, part in zip(rows, np.split(told, np.cumsum(sizes)[:-1]))])
+
+
+def _gather(depth: int, buckets: int):
+    """Takes the counts of the pairs; sends the chunk's share of each context's count, kinds and divergence."""
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         chunk = Chunk(rows)
         if not len(chunk.tokens):
-            return rows.select([f.name for f in STATE])
-        size = len(chunk.tokens)
-        before = np.frombuffer(chunk.alive, np.uint8)
-        at = np.flatnonzero(before)
-        *_, pair, of_pair, one, of_one = chunk.asked(at, depth)
-        kind, pos = found["kind"].to_numpy(), found["pos"].to_numpy()
-        n, p, share, weight, kept = np.zeros(len(pair)), np.ones(len(pair)), np.zeros(len(one)), np.ones(len(one)), np.zeros(len(one), bool)
-        is_pair = kind == PAIR
-        n[pos[is_pair]], p[pos[is_pair]] = found["n"].to_numpy()[is_pair], found["p"].to_numpy()[is_pair]
-        total, kinds = found["n"].to_numpy()[~is_pair], found["kinds"].to_numpy()[~is_pair].astype(float)
-        share[pos[~is_pair]], weight[pos[~is_pair]], kept[pos[~is_pair]] = 1 / (total + kinds), kinds / (total + kinds), found["kept"].to_numpy()[~is_pair].astype(bool)
-        n, p, use = n[of_pair], p[of_pair], kept[of_one]
-        better = np.where(use, n * share[of_one] + weight[of_one] * p, p)
-        tree = chunk.column("score") + chunk.sums(at, np.log10(better) - np.log10(p))
+            return chunk.after([])
+        chunk.look(_unpack(chunk.row["alive"], np.uint8), depth)
+        answer = chunk.answers(told, chunk.pairs_dealt(_unpack(chunk.row["hot"], bool), buckets), len(chunk.sym), "a")
+        n, size = answer >> 1, len(chunk.ctx)
+        gain = np.bincount(chunk.pair_ctx, chunk.own * (np.log(np.maximum(n, 1)) - np.log(chunk.known(depth))), size)
+        count = np.bincount(chunk.pair_ctx, chunk.own, size).astype(np.int64)
+        kinds = np.bincount(chunk.pair_ctx, answer & 1, size).astype(np.int64)
+        return chunk.after([{"bucket": bucket, "a": _pack(chunk.ctx[at]), "b": _pack(count[at]), "c": _pack(kinds[at]), "d": _pack(gain[at])}
+                            for bucket, at in chunk.dealt(chunk.ctx, buckets)], n=_pack(n))
+    return run
+
+
+def _add_contexts(messages: pa.Table) -> pa.Table:
+    """Answers a bucket's chunks with each context's count, doubled, and one more if it stays; and its kinds."""
+    rows = messages.sort_by("chunk").to_pylist()
+    parts = [_unpack(r["a"], np.uint64) for r in rows]
+    distinct, of = np.unique(np.concatenate(parts), return_inverse=True)
+    n, kinds, gain = (np.bincount(of, np.concatenate([_unpack(r[c], kind) for r in rows]), len(distinct)) for c, kind in (("b", np.int64), ("c", np.int64), ("d", np.float64)))
+    total = np.log(np.maximum(n, 2))
+    kept = (n >= LEAST) & (gain - n * np.log(np.maximum(n, 1)) > 0.5 * kinds * total)
+    cuts = np.cumsum([len(p) for p in parts])[:-1]
+    told, kinds = 2 * n[of].astype(np.int64) + kept[of], kinds[of].astype(np.int64)
+    return _rows(MESSAGE, [{"chunk": r["chunk"], "bucket": r["bucket"], "a": _pack(a), "b": _pack(b)} for r, a, b in zip(rows, np.split(told, cuts), np.split(kinds, cuts))])
+
+
+def _deepen(depth: int, buckets: int):
+    """Scores with the contexts of ``depth`` symbols that stay; asks for longer ones."""
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        chunk = Chunk(rows)
+        if not len(chunk.tokens):
+            return chunk.after([])
+        size, before = len(chunk.tokens), _unpack(chunk.row["alive"], np.uint8)
+        chunk.look(before, depth)
+        at = chunk.at
+        answer, kinds = (chunk.answers(told, chunk.dealt(chunk.ctx, buckets), len(chunk.ctx), c) for c in "ab")
+        total, use = answer >> 1, (answer & 1 > 0)[chunk.of_ctx]
+        n, p = _unpack(chunk.row["n"], np.int64)[chunk.of_pair], chunk.known(depth)[chunk.of_pair]
+        share = 1 / np.maximum(total + kinds, 1)
+        better = np.where(use, n * share[chunk.of_ctx] + (kinds * share)[chunk.of_ctx] * p, p)
+        better = (better.view(np.uint64) & ~DROPPED).view(np.float64)
+        tree = np.asarray(chunk.row["score"]) + chunk.sums(at, np.log10(better) - np.log10(p))
         # a longer context is what the context one place before saw follow it
         # (beyond PATIENCE that one may not have been counted; the longer one's own count decides then)
-        frequent = np.full(size + 1, depth > PATIENCE)
-        frequent[at + 1] = n >= LEAST
-        far = chunk.hashes[chunk.tokens[np.maximum(at - depth - 1, 0)]]
-        far, last = np.where(chunk.place[at] == depth, END, far), chunk.hashes[chunk.tokens[np.maximum(at - 1, 0)]]
+        frequent, often = np.full(size + 1, depth > PATIENCE), np.zeros(size + 1, np.int64)
+        frequent[at + 1], often[at + 1] = n >= LEAST, n
+        far = np.where(chunk.place[at] == depth, END, chunk.tokens[np.maximum(at - depth - 1, 0)])
+        last = chunk.tokens[np.maximum(at - 1, 0)]
         alive, full = np.zeros(size, np.uint8), np.ones(size)
         missed = np.where(use, 0, before[at])
         alive[at] = np.where(frequent[at] & (chunk.place[at] >= depth) & (far != RARE) & (last != RARE) & (missed < PATIENCE), missed + 1, 0)
         full[at] = better
-        return chunk.state(depth + 1, alive, full, chunk.hashes, score=tree)
+        return chunk.ask(depth + 1, alive, full, often, buckets, score=tree)
     return run
 
 
-def grow(state: str, words: Words) -> list[Level]:
-    """The tree's levels; ``state`` is the path of the chunks that ask for contexts of one symbol.
+def _round(spark: SparkSession, state: str, add, step) -> str:
+    """Messages to their buckets, answers to their chunks: the path of the next table, the one before is removed."""
+    rows = spark.read.schema(STATE).parquet(state)
+    told = rows.where("bucket is not null").select("chunk", "bucket", "a", "b", "c", "d").groupBy("bucket").applyInArrow(add, MESSAGE)
+    after = write_shared(rows.where("bucket is null").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(step, STATE), "pst-level")
+    drop_shared(spark, state)
+    return after
 
-    Growth ends where no chunk asks for longer contexts; last levels without a kept context are left out.
-    """
-    spark, levels = words.counts.sparkSession, []
-    while True:
-        rows = spark.read.schema(SPARK_STATE).parquet(state)
-        if rows.where(F.col("kind") == PAIR).isEmpty():
-            break
-        pairs, asked = rows.where(F.col("kind") == PAIR).select("chunk", "pos", "ctx", "sym", "p", "n"), rows.where(F.col("kind") == CONTEXT).select("chunk", "pos", "ctx")
-        entries = pairs.where("n > 0").groupBy("ctx", "sym").agg(F.sum("n").alias("n"), F.max("p").alias("p"))
-        n, kinds = F.sum("n"), F.count(F.lit(1))
-        gain = F.sum(F.col("n") * (F.log("n") - F.log("p"))) - n * F.log(n)
-        contexts = entries.groupBy("ctx").agg(n.alias("n"), kinds.alias("kinds"), ((n >= LEAST) & (gain > 0.5 * kinds * F.log(F.greatest(n, F.lit(2))))).alias("kept"))
-        seen = entries.select("ctx", "sym", F.col("n").alias("seen"), F.col("p").alias("q"))
-        told = pairs.drop("n").join(seen, ["ctx", "sym"], "left").select(F.col("chunk").alias("of"), F.lit(PAIR).alias("kind"), "pos", F.coalesce("seen", F.lit(0)).cast("long").alias("n"),
-                                                                         F.coalesce("q", "p").alias("p"), F.lit(0).cast("long").alias("kinds"), F.lit(False).alias("kept"))
-        told = told.unionAll(asked.join(contexts, "ctx").select(F.col("chunk").alias("of"), F.lit(CONTEXT).alias("kind"), "pos", "n", F.lit(1.0).alias("p"), "kinds", "kept"))
-        own = spark.read.schema(SPARK_STATE).parquet(state).where(F.col("kind").isin(DOC, CHUNK_ROW))
-        state = write_shared(own.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(_deepen(len(levels) + 1), SPARK_STATE), "pst-level")
-        levels.append(Level(words, levels[-1] if levels else None, rows, entries, contexts, state))
-    while levels and levels[-1].contexts.where("kept").isEmpty():
-        levels.pop()
-    return levels
+
+def grow(spark: SparkSession, state: str, buckets: int) -> str:
+    """Grows the tree while a chunk asks for longer contexts; ``state`` is the path of the chunks that ask for those of one
+    symbol, the result that of the chunks with their last scores."""
+    depth = 1
+    while not spark.read.schema(STATE).parquet(state).where("bucket is not null").isEmpty():
+        state = _round(spark, state, _add_pairs, _gather(depth, buckets))
+        state = _round(spark, state, _add_contexts, _deepen(depth, buckets))
+        depth += 1
+    return state
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,16 +375,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     often = F.col("n") >= LEAST
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum(F.when(often, F.col("n"))).alias("shown"), F.count(F.when(often, 1)).alias("symbols")).first()
     total = (sums["n"] or 0) + ends
-    words = Words(counts, ends, total, sums["kinds"] + (ends > 0), sums["symbols"], sums["shown"] or 0)
-    chunks = cut(rows.mapInArrow(_chunks, SPARK_STATE), "pst-chunks")
-    asked = chunks.where(F.col("kind") == CHUNK_ROW).select("chunk", "hashes").mapInArrow(_asked_words, "chunk long, pos int, word long")
-    found = asked.join(counts, "word").select(F.col("chunk").alias("of"), "pos", "n")
-    state = write_shared(chunks.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(_begin(ends, words.mass(), words.rare_mass()), SPARK_STATE), "pst-level")
-    levels = grow(state, words)
-    scored = spark.read.schema(SPARK_STATE).parquet(levels[-1].after if levels else state).where(F.col("kind") == DOC)
+    symbols = numbered(counts.where(often).orderBy(F.desc("n"), "word"), "pst-symbols", start=RARE + 1).select("word", "n", F.col("at").cast("int").alias("sym"))
+    words = Words(symbols.unionAll(counts.where(~often).select("word", "n", F.lit(RARE).alias("sym"))), ends, total, sums["kinds"] + (ends > 0), sums["symbols"], sums["shown"] or 0)
+    buckets = 1 + total // BUCKET
+    chunks = write_shared(rows.mapInArrow(_chunks, STATE), "pst-chunks")
+    whole = spark.read.schema(STATE).parquet(chunks)
+    asked = whole.select("chunk", "a").mapInArrow(_asked_words, "chunk long, pos int, word long")
+    found = asked.join(words.counts, "word").select("chunk", "pos", "n", "sym")
+    state = write_shared(whole.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_begin(ends, words.mass(), words.rare_mass(), buckets), STATE), "pst-level")
+    drop_shared(spark, chunks)
+    of = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    last = spark.read.schema(STATE).parquet(grow(spark, state, buckets)).select(F.explode(F.arrays_zip(*of)).alias("doc"))
     plain = F.lit(total > 0)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"),
-                         F.when(plain, F.col("base_score")).otherwise(0.0).alias("base_score"), F.when(plain, F.col("score")).otherwise(0.0).alias("score"))
+    return last.select("doc.doc_id", "doc.held_out", "doc.n_tokens", "doc.n_known", F.lit(int(total)).cast("long").alias("train_tokens"),
+                       F.when(plain, F.col("doc.base_score")).otherwise(0.0).alias("base_score"), F.when(plain, F.col("doc.score")).otherwise(0.0).alias("score"))
 
 
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

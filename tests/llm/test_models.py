@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from packetspark.llm import ann, pii, quality, suffixtree
@@ -274,9 +276,6 @@ def test_tree_against_brute_force_beyond_shares_and_depth(spark):
 
 
 def test_contexts_help_and_probabilities_add_up(spark, monkeypatch):
-    seen = {}
-    grow = suffixtree.grow
-    monkeypatch.setattr(suffixtree, "grow", lambda *a: seen.setdefault("tree", (a[1], grow(*a)))[1])
     rng = np.random.default_rng(8)
     rows = []
     for i in range(300):  # the word after "x y" depends on the word before it
@@ -285,18 +284,42 @@ def test_contexts_help_and_probabilities_add_up(spark, monkeypatch):
             first = rng.integers(0, 4)
             w += [f"s{first}", "x", "y", f"e{first}", f"r{rng.integers(0, 3000)}"]
         rows.append((i, " ".join(w)))
-    out = suffixtree.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
-    assert out["sum(score)"] > 0.7 * out["sum(base_score)"]
-    words, levels = seen["tree"]
-    assert len(levels) == 3 and levels[2].kept.any()
-    k, keys = len(words.root()), [level.keys for level in levels]
-    for length, level in enumerate(levels, 1):
-        for c in np.flatnonzero(level.kept)[:5]:
-            at = [suffixtree._suffix_at(keys[:length], d, np.array([c]), k).repeat(k) for d in range(length)]
-            assert abs(suffixtree._probabilities(np.arange(k), at, words.root(), levels[:length]).sum() - 1) < 1e-9
-    assert abs(words.root().sum() - 1) < 1e-9
-
-
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in suffixtree.score(docs).collect()}
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
+    want, tree = tree_scores(rows)
+    assert len(tree) >= 3 and any(kept for kept, *_ in tree[2].values())
+    assert all(abs(got[d].score - want[d]) < 1e-6 for d in want)
+    for level in tree:  # smoothed by any distribution, a context's own adds up to one
+        assert all(abs((n + len(follow)) / (sum(follow.values()) + len(follow)) - 1) < 1e-12 for _, n, follow, _ in level.values())
+    # small chunks, several buckets and contexts spread over them give the same scores
+    monkeypatch.setattr(suffixtree, "BUCKET", 20_000)
+    many = {r.doc_id: r.score for r in suffixtree.score(docs.repartition(11)).collect()}
+    assert all(abs(many[d] - want[d]) < 1e-6 for d in want)
+
+
+def test_hot_contexts_are_spread(spark):
+    """Chunks agree on pairs that are dealt by symbol, with held-out occurrences and several chunks."""
+    tokens = np.array([2, 3, 2, 4, 2, 3, 0], np.int32)
+    row = {"chunk": 0, "tokens": suffixtree._pack(tokens), "doc_id": [1], "held_out": [False], "n_tokens": [7], "n_known": [7], "base_score": [-1.0], "score": [-1.0]}
+    alive, p = np.ones(7, np.uint8), np.full(7, 0.25)
+    asked = []
+    for name, out in ((0, False), (1, True), (2, False)):
+        chunk = suffixtree.Chunk(suffixtree._rows(suffixtree.STATE, [{**row, "chunk": name, "held_out": [out]}]))
+        asked.append(chunk.ask(1, alive, p, np.full(7, suffixtree.HOT), 5))
+    messages = pa.concat_tables(a.filter(pa.compute.is_valid(a["bucket"])) for a in asked).select([f.split()[0] for f in suffixtree.MESSAGE.split(", ")])
+    told = pa.concat_tables(suffixtree._add_pairs(messages.filter(pa.compute.equal(messages["bucket"], b))) for b in set(messages["bucket"].to_pylist()))
+    counts, firsts = [], []
+    for name, rows in enumerate(asked):
+        chunk = suffixtree.Chunk(rows.slice(0, 1))
+        chunk.look(alive, 1)
+        mine = told.filter(pa.compute.equal(told["chunk"], name))
+        answer = chunk.answers(mine, chunk.pairs_dealt(np.ones(len(chunk.ctx), bool), 5), len(chunk.sym), "a")
+        counts.append(dict(zip(zip(chunk.ctx[chunk.pair_ctx].tolist(), chunk.sym.tolist()), (answer >> 1).tolist())))
+        firsts.append(int((answer & 1).sum()))
+    assert counts[0] == counts[1] == counts[2] and sorted(counts[0].values()) == [2, 2, 2, 2, 2, 4]
+    assert firsts == [6, 0, 0]
 
 
 def test_assigned_and_dotted_secrets(spark):
