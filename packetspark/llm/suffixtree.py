@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, cut, drop_shared, numbered, table, words_of, write_shared
+from .common import ascii_lower, bounded_batches, drop_shared, freed_shuffles, numbered, table, words_of, write_shared
 
 #: Least occurrences of a word that is a symbol and of a context.
 LEAST = 10
@@ -35,9 +35,9 @@ PATIENCE = 3
 #: Added to each word's count.
 ADD = 0.1
 #: Tokens in a chunk of documents, and behind a bucket of messages.
-CHUNK, BUCKET = 1_500_000, 4_000_000
+CHUNK, BUCKET = 1_500_000, 2_000_000
 #: A context with so many occurrences has its continuations spread over buckets.
-HOT = 1_000_000
+HOT = 300_000
 END, RARE = 0, 1
 #: Documents whose id's checksum leaves this rest modulo ten are held out.
 HELD_OUT, FOLDS = 0, 10
@@ -104,21 +104,12 @@ def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-
-    def out() -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["word", "n"])
+def _train_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's words with their counts in its training documents."""
     for batch in batches:
-        words, _ = _flat(batch, "words")
-        held.append(words)
-        n += len(words)
-        if n >= 2 * CHUNK:
-            yield out()
-            held, n = [], 0
-    if n:
-        yield out()
+        for hashes, counts in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            words, n = _unpack(hashes, np.int64), _unpack(counts, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(words[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["word", "n"])
 
 
 def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +131,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(1, len(order) + 1)
         tokens = np.insert(rank[place], np.cumsum(size), 0).astype(np.int32)
-        yield from _rows(STATE, [{"chunk": name + turn, "a": _pack(unique[order].astype(np.int64)), "tokens": _pack(tokens),
+        trained = np.bincount(place, np.repeat(~np.asarray(out, bool), size), len(unique))[order].astype(np.int32)
+        yield from _rows(STATE, [{"chunk": name + turn, "a": _pack(unique[order].astype(np.int64)), "b": _pack(trained), "tokens": _pack(tokens),
                                   "doc_id": ids, "held_out": out, "n_tokens": size + 1}]).to_batches()
     for batch in batches:
         flat, offsets = _flat(batch, "words")
@@ -168,25 +160,37 @@ class Chunk:
     def __init__(self, rows: pa.Table):
         self.row = rows.to_pylist()[0]
         self.tokens = _unpack(self.row["tokens"], np.int32)
-        self.sizes = np.asarray(self.row["n_tokens"], np.int64)
-        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.place = np.arange(len(self.owner)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.ends = np.cumsum(np.asarray(self.row["n_tokens"], np.int64))
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, "right")
 
     def sums(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner[at], values, len(self.sizes))
+        return np.bincount(self.owner(at), values, len(self.ends))
 
     def look(self, alive: np.ndarray, depth: int) -> None:
         """Distinct contexts of the tokens at the living places, and pairs with the symbol there, sorted by both."""
         self.at = np.flatnonzero(alive)
-        before = np.concatenate([np.array([END], np.uint64), self.tokens.astype(np.uint64)])
-        ctx = np.zeros(len(self.at), np.uint64)
-        for j in range(depth):
-            ctx = _mix(ctx * np.uint64(0x9E3779B97F4A7C15) + before[self.at - j] + np.uint64(1))
-        self.ctx, self.of_ctx = np.unique(ctx, return_inverse=True)
-        key, self.first, self.of_pair = np.unique((self.of_ctx << 32) | self.tokens[self.at], return_index=True, return_inverse=True)
+        before = np.concatenate([np.array([END], np.int32), self.tokens])
+
+        def longer(ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+            return _mix(ctx * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64) + np.uint64(1))
+        last = before[self.at]
+        if depth == 1:
+            seen = np.bincount(last) > 0
+            self.ctx, self.of_ctx = longer(np.zeros(seen.sum(), np.uint64), np.flatnonzero(seen)), (np.cumsum(seen) - 1)[last]
+        else:
+            ctx = np.zeros(len(self.at), np.uint64)
+            for j in range(depth):
+                ctx = longer(ctx, before[self.at - j])
+            self.ctx, self.of_ctx = np.unique(ctx, return_inverse=True)
+        key, self.of_pair = np.unique((self.of_ctx << 32) | self.tokens[self.at], return_inverse=True)
         self.pair_ctx, self.sym = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
-        training = ~np.asarray(self.row["held_out"], bool)[self.owner[self.at]]
-        self.own = np.bincount(self.of_pair, training, len(key)).astype(np.int64)
+
+    def own(self) -> np.ndarray:
+        """Count of each pair in the chunk's training documents."""
+        training = ~np.asarray(self.row["held_out"], bool)[self.owner(self.at)]
+        return np.bincount(self.of_pair, training, len(self.sym)).astype(np.int64)
 
     def dealt(self, key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         """The buckets of some hashes, each with the places of its own."""
@@ -222,21 +226,24 @@ class Chunk:
         self.look(alive, depth)
         hot = np.zeros(len(self.ctx), bool)
         hot[self.of_ctx] = often[self.at] >= HOT
-        messages = []
+        messages, own = [], self.own().astype(np.int32)
         for bucket, places in self.pairs_dealt(hot, buckets):
             of, count = np.unique(self.pair_ctx[places], return_counts=True)
             messages.append({"bucket": bucket, "a": _pack(self.ctx[of]), "b": _pack(count.astype(np.int32)),
-                             "c": _pack(np.diff(self.sym[places], prepend=np.int32(0))), "d": _pack(self.own[places].astype(np.int32))})
+                             "c": _pack(np.diff(self.sym[places], prepend=np.int32(0))), "d": _pack(own[places])})
         if depth == 1:  # the probability depends on the symbol alone
-            known = _pack(p[np.unique(self.tokens, return_index=True)[1]])
+            known = np.zeros(int(self.tokens.max()) + 1)
+            known[self.tokens] = p
+            known = known[known > 0]  # by symbol, of those in the chunk
         else:
-            known = _pack(p[self.at[self.first]])
-        return self.after(messages, alive=_pack(alive), p=known, hot=_pack(hot), n=None, **columns)
+            known = np.empty(len(self.sym))
+            known[self.of_pair] = p[self.at]
+        return self.after(messages, alive=_pack(alive), p=_pack(known), hot=_pack(hot), n=None, **columns)
 
     def known(self, depth: int) -> np.ndarray:
         """Probabilities so far of the pairs."""
         p = _unpack(self.row["p"], np.float64)
-        return p[np.searchsorted(np.unique(self.tokens), self.sym)] if depth == 1 else p
+        return p[(np.cumsum(np.bincount(self.tokens) > 0) - 1)[self.sym]] if depth == 1 else p
 
 
 def _begin(ends: int, mass: float, rare_mass: float, buckets: int):
@@ -270,14 +277,17 @@ def _add_pairs(messages: pa.Table) -> pa.Table:
         sym = np.cumsum(_unpack(r["c"], np.int32), dtype=np.int64).astype(np.uint64)
         keys.append(_mix(ctx * np.uint64(0xD6E8FEB86659FD93) + sym))
         own.append(_unpack(r["d"], np.int32))
-    sizes, own = [len(k) for k in keys], np.concatenate(own)
-    distinct, pair = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(pair, own, len(distinct)).astype(np.int64)
-    held = np.flatnonzero(own > 0)
-    _, first = np.unique(pair[held], return_index=True)
-    told = 2 * n[pair]
-    told[held[first]] += 1
-    return _rows(MESSAGE, [{"chunk": r["chunk"], "bucket": r["bucket"], "a": _pack(part)} for r, part in zip(rows, np.split(told, np.cumsum(sizes)[:-1]))])
+    cuts, own = np.cumsum([len(k) for k in keys])[:-1], np.concatenate(own)
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")  # equal pairs by chunk
+    keys, own = keys[order], own[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    pair, held = np.cumsum(new) - 1, np.flatnonzero(own > 0)
+    answer = 2 * np.add.reduceat(own, np.flatnonzero(new), dtype=np.int64)[pair]
+    answer[held[np.diff(pair[held], prepend=-1) > 0]] += 1
+    told = np.empty_like(answer)
+    told[order] = answer
+    return _rows(MESSAGE, [{"chunk": r["chunk"], "bucket": r["bucket"], "a": _pack(part)} for r, part in zip(rows, np.split(told, cuts))])
 
 
 def _gather(depth: int, buckets: int):
@@ -288,9 +298,9 @@ def _gather(depth: int, buckets: int):
             return chunk.after([])
         chunk.look(_unpack(chunk.row["alive"], np.uint8), depth)
         answer = chunk.answers(told, chunk.pairs_dealt(_unpack(chunk.row["hot"], bool), buckets), len(chunk.sym), "a")
-        n, size = answer >> 1, len(chunk.ctx)
-        gain = np.bincount(chunk.pair_ctx, chunk.own * (np.log(np.maximum(n, 1)) - np.log(chunk.known(depth))), size)
-        count = np.bincount(chunk.pair_ctx, chunk.own, size).astype(np.int64)
+        n, own, size = answer >> 1, chunk.own(), len(chunk.ctx)
+        gain = np.bincount(chunk.pair_ctx, own * (np.log(np.maximum(n, 1)) - np.log(chunk.known(depth))), size)
+        count = np.bincount(chunk.pair_ctx, own, size).astype(np.int64)
         kinds = np.bincount(chunk.pair_ctx, answer & 1, size).astype(np.int64)
         return chunk.after([{"bucket": bucket, "a": _pack(chunk.ctx[at]), "b": _pack(count[at]), "c": _pack(kinds[at]), "d": _pack(gain[at])}
                             for bucket, at in chunk.dealt(chunk.ctx, buckets)], n=_pack(n))
@@ -330,11 +340,12 @@ def _deepen(depth: int, buckets: int):
         # (beyond PATIENCE that one may not have been counted; the longer one's own count decides then)
         frequent, often = np.full(size + 1, depth > PATIENCE), np.zeros(size + 1, np.int64)
         frequent[at + 1], often[at + 1] = n >= LEAST, n
-        far = np.where(chunk.place[at] == depth, END, chunk.tokens[np.maximum(at - depth - 1, 0)])
+        place = at - np.concatenate([[0], chunk.ends])[chunk.owner(at)]
+        far = np.where(place == depth, END, chunk.tokens[np.maximum(at - depth - 1, 0)])
         last = chunk.tokens[np.maximum(at - 1, 0)]
         alive, full = np.zeros(size, np.uint8), np.ones(size)
         missed = np.where(use, 0, before[at])
-        alive[at] = np.where(frequent[at] & (chunk.place[at] >= depth) & (far != RARE) & (last != RARE) & (missed < PATIENCE), missed + 1, 0)
+        alive[at] = np.where(frequent[at] & (place >= depth) & (far != RARE) & (last != RARE) & (missed < PATIENCE), missed + 1, 0)
         full[at] = better
         return chunk.ask(depth + 1, alive, full, often, buckets, score=tree)
     return run
@@ -360,6 +371,28 @@ def grow(spark: SparkSession, state: str, buckets: int) -> str:
     return state
 
 
+def _scored(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The documents with their scores, as ``doc``, and the number of training tokens."""
+    spark = rows.sparkSession
+    chunks = write_shared(rows.mapInArrow(_chunks, STATE), "pst-chunks")
+    whole = spark.read.schema(STATE).parquet(chunks)
+    ends = int(whole.agg(F.sum(F.size(F.filter("held_out", lambda out: ~out)))).first()[0] or 0)
+    listed = write_shared(whole.select("a", "b").mapInArrow(_train_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "pst-words")
+    counts, often = spark.read.schema("word long, n long").parquet(listed), F.col("n") >= LEAST
+    sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum(F.when(often, F.col("n"))).alias("shown"), F.count(F.when(often, 1)).alias("symbols")).first()
+    total = (sums["n"] or 0) + ends
+    symbols = numbered(counts.where(often).orderBy(F.desc("n"), "word"), "pst-symbols", start=RARE + 1).select("word", "n", F.col("at").cast("int").alias("sym"))
+    words = Words(symbols.unionAll(counts.where(~often).select("word", "n", F.lit(RARE).alias("sym"))), ends, total, sums["kinds"] + (ends > 0), sums["symbols"], sums["shown"] or 0)
+    buckets = 1 + total // BUCKET
+    found = whole.select("chunk", "a").mapInArrow(_asked_words, "chunk long, pos int, word long").join(words.counts, "word").select("chunk", "pos", "n", "sym")
+    begun = whole.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_begin(ends, words.mass(), words.rare_mass(), buckets), STATE)
+    state = write_shared(begun, "pst-level")
+    drop_shared(spark, chunks)
+    drop_shared(spark, listed)
+    of = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    return spark.read.schema(STATE).parquet(grow(spark, state, buckets)).select(F.explode(F.arrays_zip(*of)).alias("doc")), total
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -369,23 +402,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = hashed(docs, id_col, text_col)
-    counts = cut(rows.where("not held_out").select("words").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "pst-words")
-    ends = docs.where((F.crc32(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).cast("binary")) % FOLDS) != HELD_OUT).count()
-    often = F.col("n") >= LEAST
-    sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum(F.when(often, F.col("n"))).alias("shown"), F.count(F.when(often, 1)).alias("symbols")).first()
-    total = (sums["n"] or 0) + ends
-    symbols = numbered(counts.where(often).orderBy(F.desc("n"), "word"), "pst-symbols", start=RARE + 1).select("word", "n", F.col("at").cast("int").alias("sym"))
-    words = Words(symbols.unionAll(counts.where(~often).select("word", "n", F.lit(RARE).alias("sym"))), ends, total, sums["kinds"] + (ends > 0), sums["symbols"], sums["shown"] or 0)
-    buckets = 1 + total // BUCKET
-    chunks = write_shared(rows.mapInArrow(_chunks, STATE), "pst-chunks")
-    whole = spark.read.schema(STATE).parquet(chunks)
-    asked = whole.select("chunk", "a").mapInArrow(_asked_words, "chunk long, pos int, word long")
-    found = asked.join(words.counts, "word").select("chunk", "pos", "n", "sym")
-    state = write_shared(whole.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_begin(ends, words.mass(), words.rare_mass(), buckets), STATE), "pst-level")
-    drop_shared(spark, chunks)
-    of = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    last = spark.read.schema(STATE).parquet(grow(spark, state, buckets)).select(F.explode(F.arrays_zip(*of)).alias("doc"))
+    with freed_shuffles(spark):
+        last, total = _scored(hashed(docs, id_col, text_col))
     plain = F.lit(total > 0)
     return last.select("doc.doc_id", "doc.held_out", "doc.n_tokens", "doc.n_known", F.lit(int(total)).cast("long").alias("train_tokens"),
                        F.when(plain, F.col("doc.base_score")).otherwise(0.0).alias("base_score"), F.when(plain, F.col("doc.score")).otherwise(0.0).alias("score"))
