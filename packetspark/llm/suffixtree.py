@@ -1,18 +1,19 @@
 """Language-model scores by a probabilistic suffix tree.
 
 Words are counted over the training documents.  Words seen ``LEAST`` times or more and the end of a document are the
-tree's symbols, numbered by falling frequency; rarer words share one symbol, are no contexts and are told apart by their
+tree's symbols, frequent ones with small numbers; rarer words share one symbol, are no contexts and are told apart by their
 own frequency.  Contexts are grown level by level from grouped counts of all that follows them: one that is seen ``LEAST``
 times or more stays in the tree if the symbols that follow it diverge from those that follow its longest kept suffix by
 more than the description of its distribution costs.  Longer contexts are tried until ``PATIENCE`` lengths in a row fail
 that test; no length ends the growth by itself.  A symbol's probability comes from the longest kept suffix of what
 precedes it, smoothed with that of the next shorter one, down to the frequencies of words.
 
-The documents lie in chunks.  A level is two rounds of messages between chunks and buckets, packed arrays in both
-directions.  First each chunk sends its distinct (context, symbol) pairs with their counts to the buckets of the contexts
-(a context seen ``HOT`` times or more is spread over buckets by symbol), which add them up and answer in the order of
-the question.  Then each chunk sends its share of every context's count, kinds and divergence, and the buckets answer
-which contexts stay.  A level's table is removed once the next one is written; nothing is gathered or broadcast.
+The documents lie in chunks.  Their words are counted, and a level is grown, by packed messages between chunks and
+buckets.  A level is two rounds in both directions.  First each chunk sends its distinct (context, symbol) pairs with
+their counts to the buckets of the contexts (a context seen ``HOT`` times or more is spread over buckets by symbol),
+which add them up and answer in the order of the question.  Then each chunk sends its share of every context's count,
+kinds and divergence, and the buckets answer which contexts stay.  A level's table is removed once the next one is
+written; nothing is gathered or broadcast.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, drop_shared, freed_shuffles, numbered, table, words_of, write_shared
+from .common import ascii_lower, bounded_batches, drop_shared, freed_shuffles, give_back, table, words_of, write_shared
 
 #: Least occurrences of a word that is a symbol and of a context.
 LEAST = 10
@@ -35,7 +36,7 @@ PATIENCE = 3
 #: Added to each word's count.
 ADD = 0.1
 #: Tokens in a chunk of documents, and behind a bucket of messages.
-CHUNK, BUCKET = 1_500_000, 2_000_000
+CHUNK, BUCKET = 1_000_000, 2_000_000
 #: A context with so many occurrences has its continuations spread over buckets.
 HOT = 300_000
 END, RARE = 0, 1
@@ -44,6 +45,7 @@ HELD_OUT, FOLDS = 0, 10
 #: Bits of a probability's fraction that are not kept: 28 stay.
 DROPPED = np.uint64((1 << 24) - 1)
 MESSAGE = "chunk long, bucket int, a binary, b binary, c binary, d binary"
+TOLD_WORDS = "chunk long, bucket int, a binary, b binary, sums array<long>"
 #: A row is a chunk (bucket null) or a message of a chunk to a bucket.
 STATE = (MESSAGE + ", tokens binary, alive binary, p binary, hot binary, n binary, doc_id array<long>, held_out array<boolean>, "
          "n_tokens array<long>, n_known array<long>, base_score array<double>, score array<double>")
@@ -74,8 +76,7 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
 
 
 class Words(NamedTuple):
-    """The words of the training documents as a table (word, n, sym), and the totals."""
-    counts: DataFrame
+    """Totals over the words of the training documents."""
     ends: int
     total: int
     distinct: int
@@ -104,19 +105,51 @@ def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
-def _train_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk's words with their counts in its training documents."""
-    for batch in batches:
-        for hashes, counts in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            words, n = _unpack(hashes, np.int64), _unpack(counts, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(words[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["word", "n"])
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for chunk, hashes in zip(batch.column("chunk").to_pylist(), batch.column("a").to_pylist()):
-            words = _unpack(hashes, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), pa.array(np.arange(len(words)), pa.int32()), pa.array(words)], names=["chunk", "pos", "word"])
+def _dealt(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets of some hashes, each with the places of its own."""
+    bucket = (_mix(key) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(places):
+            yield int(bucket[places[0]]), places
+
+
+def _words_dealt(words: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    for bucket, places in _dealt(words, buckets):
+        yield bucket, places[np.argsort(words[places])]
+
+
+def _ask_words(buckets: int):
+    """Each chunk's words with their counts in its training documents, to the buckets of the words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, n = _unpack(row["a"], np.uint64), _unpack(row["b"], np.int32)
+                yield from _rows(MESSAGE, [{"chunk": row["chunk"], "bucket": bucket, "a": _pack(np.diff(words[at], prepend=np.uint64(0))), "b": _pack(n[at])}
+                                           for bucket, at in _words_dealt(words, buckets)]).to_batches()
+    return run
+
+
+def _add_words(buckets: int):
+    """Answers with each word's count and symbol; a row without a chunk has the bucket's totals."""
+    def run(messages: pa.Table) -> pa.Table:
+        rows = messages.sort_by("chunk").to_pylist()
+        parts = [np.cumsum(_unpack(r["a"], np.uint64), dtype=np.uint64) for r in rows]
+        distinct, of = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(of, np.concatenate([_unpack(r["b"], np.int32) for r in rows]), len(distinct)).astype(np.int64)
+        often = np.flatnonzero(n >= LEAST)
+        symbol = np.full(len(distinct), RARE, np.int32)  # numbers of the buckets by turns, frequent words first
+        symbol[often[np.argsort(-n[often], kind="stable")]] = RARE + 1 + np.arange(len(often)) * buckets + rows[0]["bucket"]
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        return _rows(TOLD_WORDS, [{"chunk": r["chunk"], "bucket": r["bucket"], "a": _pack(a), "b": _pack(b)} for r, a, b in zip(rows, np.split(n[of], cuts), np.split(symbol[of], cuts))]
+                     + [{"bucket": rows[0]["bucket"], "sums": [n.sum(), (n > 0).sum(), n[often].sum(), len(often)]}])
+    return run
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,16 +181,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from whole()
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Chunk:
     """A chunk's documents in order and its tokens; after ``look`` also the contexts of one length at the living places."""
 
     def __init__(self, rows: pa.Table):
+        give_back()
         self.row = rows.to_pylist()[0]
         self.tokens = _unpack(self.row["tokens"], np.int32)
         self.ends = np.cumsum(np.asarray(self.row["n_tokens"], np.int64))
@@ -184,30 +212,24 @@ class Chunk:
             for j in range(depth):
                 ctx = longer(ctx, before[self.at - j])
             self.ctx, self.of_ctx = np.unique(ctx, return_inverse=True)
-        key, self.of_pair = np.unique((self.of_ctx << 32) | self.tokens[self.at], return_inverse=True)
+            del ctx
+        key, self.of_pair = np.unique((self.of_ctx.astype(np.int64) << 32) | self.tokens[self.at], return_inverse=True)
         self.pair_ctx, self.sym = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+        self.of_ctx, self.of_pair = self.of_ctx.astype(np.int32), self.of_pair.astype(np.int32)
 
     def own(self) -> np.ndarray:
         """Count of each pair in the chunk's training documents."""
         training = ~np.asarray(self.row["held_out"], bool)[self.owner(self.at)]
         return np.bincount(self.of_pair, training, len(self.sym)).astype(np.int64)
 
-    def dealt(self, key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """The buckets of some hashes, each with the places of its own."""
-        bucket = (_mix(key) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        for places in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            if len(places):
-                yield int(bucket[places[0]]), places
-
     def pairs_dealt(self, hot: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        return self.dealt(self.ctx[self.pair_ctx] + np.where(hot[self.pair_ctx], self.sym + 1, 0).astype(np.uint64), buckets)
+        return _dealt(self.ctx[self.pair_ctx] + np.where(hot[self.pair_ctx], self.sym + 1, 0).astype(np.uint64), buckets)
 
-    def answers(self, told: pa.Table, dealt: Iterator[tuple[int, np.ndarray]], size: int, column: str) -> np.ndarray:
+    def answers(self, told: pa.Table, dealt: Iterator[tuple[int, np.ndarray]], size: int, column: str, kind: type = np.int64) -> np.ndarray:
         found = dict(zip(told["bucket"].to_pylist(), told[column].to_pylist()))
-        out = np.zeros(size, np.int64)
+        out = np.zeros(size, kind)
         for bucket, places in dealt:
-            out[places] = _unpack(found[bucket], np.int64)
+            out[places] = _unpack(found[bucket], kind)
         return out
 
     def after(self, messages: list[dict], **columns) -> pa.Table:
@@ -250,11 +272,11 @@ def _begin(ends: int, mass: float, rare_mass: float, buckets: int):
     """Scores from the frequencies of words; asks for the contexts of one symbol."""
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         chunk = Chunk(rows)
-        words = len(_unpack(chunk.row["a"], np.int64)) + 1
-        n, symbol = np.zeros(words), np.full(words, RARE, np.int32)
+        words = _unpack(chunk.row["a"], np.uint64)
+        n, symbol = np.zeros(len(words) + 1), np.full(len(words) + 1, RARE, np.int32)
         n[0], symbol[0] = ends, END
-        n[found["pos"].to_numpy() + 1] = found["n"].to_numpy()
-        symbol[found["pos"].to_numpy() + 1] = found["sym"].to_numpy()
+        n[1:] = chunk.answers(found, _words_dealt(words, buckets), len(words), "a")
+        symbol[1:] = chunk.answers(found, _words_dealt(words, buckets), len(words), "b", np.int32)
         rare = symbol == RARE
         p = np.where(rare, rare_mass, n + ADD) / mass
         every, x = np.arange(len(chunk.tokens)), chunk.tokens
@@ -303,7 +325,7 @@ def _gather(depth: int, buckets: int):
         count = np.bincount(chunk.pair_ctx, own, size).astype(np.int64)
         kinds = np.bincount(chunk.pair_ctx, answer & 1, size).astype(np.int64)
         return chunk.after([{"bucket": bucket, "a": _pack(chunk.ctx[at]), "b": _pack(count[at]), "c": _pack(kinds[at]), "d": _pack(gain[at])}
-                            for bucket, at in chunk.dealt(chunk.ctx, buckets)], n=_pack(n))
+                            for bucket, at in _dealt(chunk.ctx, buckets)], n=_pack(n))
     return run
 
 
@@ -329,7 +351,7 @@ def _deepen(depth: int, buckets: int):
         size, before = len(chunk.tokens), _unpack(chunk.row["alive"], np.uint8)
         chunk.look(before, depth)
         at = chunk.at
-        answer, kinds = (chunk.answers(told, chunk.dealt(chunk.ctx, buckets), len(chunk.ctx), c) for c in "ab")
+        answer, kinds = (chunk.answers(told, _dealt(chunk.ctx, buckets), len(chunk.ctx), c) for c in "ab")
         total, use = answer >> 1, (answer & 1 > 0)[chunk.of_ctx]
         n, p = _unpack(chunk.row["n"], np.int64)[chunk.of_pair], chunk.known(depth)[chunk.of_pair]
         share = 1 / np.maximum(total + kinds, 1)
@@ -377,20 +399,19 @@ def _scored(rows: DataFrame) -> tuple[DataFrame, int]:
     chunks = write_shared(rows.mapInArrow(_chunks, STATE), "pst-chunks")
     whole = spark.read.schema(STATE).parquet(chunks)
     ends = int(whole.agg(F.sum(F.size(F.filter("held_out", lambda out: ~out)))).first()[0] or 0)
-    listed = write_shared(whole.select("a", "b").mapInArrow(_train_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "pst-words")
-    counts, often = spark.read.schema("word long, n long").parquet(listed), F.col("n") >= LEAST
-    sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum(F.when(often, F.col("n"))).alias("shown"), F.count(F.when(often, 1)).alias("symbols")).first()
-    total = (sums["n"] or 0) + ends
-    symbols = numbered(counts.where(often).orderBy(F.desc("n"), "word"), "pst-symbols", start=RARE + 1).select("word", "n", F.col("at").cast("int").alias("sym"))
-    words = Words(symbols.unionAll(counts.where(~often).select("word", "n", F.lit(RARE).alias("sym"))), ends, total, sums["kinds"] + (ends > 0), sums["symbols"], sums["shown"] or 0)
-    buckets = 1 + total // BUCKET
-    found = whole.select("chunk", "a").mapInArrow(_asked_words, "chunk long, pos int, word long").join(words.counts, "word").select("chunk", "pos", "n", "sym")
+    buckets = 1 + int(whole.agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0) // BUCKET
+    asked = whole.select("chunk", "a", "b").mapInArrow(_ask_words(buckets), MESSAGE)
+    listed = write_shared(asked.groupBy("bucket").applyInArrow(_add_words(buckets), TOLD_WORDS), "pst-words")
+    told = spark.read.schema(TOLD_WORDS).parquet(listed)
+    total, distinct, shown, symbols = (int(x or 0) for x in told.where("chunk is null").agg(*[F.sum(F.col("sums")[i]) for i in range(4)]).first())
+    words = Words(ends, total + ends, distinct + (ends > 0), symbols, shown)
+    found = told.where("chunk is not null").drop("sums")
     begun = whole.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_begin(ends, words.mass(), words.rare_mass(), buckets), STATE)
     state = write_shared(begun, "pst-level")
     drop_shared(spark, chunks)
     drop_shared(spark, listed)
     of = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    return spark.read.schema(STATE).parquet(grow(spark, state, buckets)).select(F.explode(F.arrays_zip(*of)).alias("doc")), total
+    return spark.read.schema(STATE).parquet(grow(spark, state, buckets)).select(F.explode(F.arrays_zip(*of)).alias("doc")), words.total
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
