@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, drop_shared, freed_shuffles, give_back, table, words_of, write_shared
+from .common import ascii_lower, bounded_batches, drop_shared, freed_shuffles, give_back, shared_path, table, words_of, write_shared
 
 #: Least occurrences of a word that is a symbol and of a context.
 LEAST = 10
@@ -47,7 +47,7 @@ DROPPED = np.uint64((1 << 24) - 1)
 MESSAGE = "chunk long, bucket int, a binary, b binary, c binary, d binary"
 TOLD_WORDS = "chunk long, bucket int, a binary, b binary, sums array<long>"
 #: A row is a chunk (bucket null) or a message of a chunk to a bucket.
-STATE = (MESSAGE + ", tokens binary, alive binary, p binary, hot binary, n binary, doc_id array<long>, held_out array<boolean>, "
+STATE = (MESSAGE + ", tokens binary, alive binary, p binary, hot binary, doc_id array<long>, held_out array<boolean>, "
          "n_tokens array<long>, n_known array<long>, base_score array<double>, score array<double>")
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
           "array<boolean>": pa.list_(pa.bool_()), "array<double>": pa.list_(pa.float64())}
@@ -244,7 +244,7 @@ class Chunk:
         ``often`` is the count of that context where it is known; ``p`` are the probabilities so far.
         """
         if not alive.any():  # without a place to look at, tokens are not needed again
-            return self.after([], **{**columns, "tokens": _pack(self.tokens[:0]), "alive": None, "p": None, "hot": None, "n": None})
+            return self.after([], **{**columns, "tokens": _pack(self.tokens[:0]), "alive": None, "p": None, "hot": None})
         self.look(alive, depth)
         hot = np.zeros(len(self.ctx), bool)
         hot[self.of_ctx] = often[self.at] >= HOT
@@ -260,7 +260,7 @@ class Chunk:
         else:
             known = np.empty(len(self.sym))
             known[self.of_pair] = p[self.at]
-        return self.after(messages, alive=_pack(alive), p=_pack(known), hot=_pack(hot), n=None, **columns)
+        return self.after(messages, alive=_pack(alive), p=_pack(known), hot=_pack(hot), **columns)
 
     def known(self, depth: int) -> np.ndarray:
         """Probabilities so far of the pairs."""
@@ -313,19 +313,20 @@ def _add_pairs(messages: pa.Table) -> pa.Table:
 
 
 def _gather(depth: int, buckets: int):
-    """Takes the counts of the pairs; sends the chunk's share of each context's count, kinds and divergence."""
+    """Takes the counts of the pairs; sends the chunk's share of each context's count, kinds and divergence, and keeps the counts."""
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         chunk = Chunk(rows)
         if not len(chunk.tokens):
-            return chunk.after([])
+            return _rows(MESSAGE, [])
         chunk.look(_unpack(chunk.row["alive"], np.uint8), depth)
         answer = chunk.answers(told, chunk.pairs_dealt(_unpack(chunk.row["hot"], bool), buckets), len(chunk.sym), "a")
         n, own, size = answer >> 1, chunk.own(), len(chunk.ctx)
         gain = np.bincount(chunk.pair_ctx, own * (np.log(np.maximum(n, 1)) - np.log(chunk.known(depth))), size)
         count = np.bincount(chunk.pair_ctx, own, size).astype(np.int64)
         kinds = np.bincount(chunk.pair_ctx, answer & 1, size).astype(np.int64)
-        return chunk.after([{"bucket": bucket, "a": _pack(chunk.ctx[at]), "b": _pack(count[at]), "c": _pack(kinds[at]), "d": _pack(gain[at])}
-                            for bucket, at in _dealt(chunk.ctx, buckets)], n=_pack(n))
+        name = chunk.row["chunk"]
+        return _rows(MESSAGE, [{"chunk": name, "a": _pack(n)}] + [{"chunk": name, "bucket": bucket, "a": _pack(chunk.ctx[at]), "b": _pack(count[at]), "c": _pack(kinds[at]), "d": _pack(gain[at])}
+                            for bucket, at in _dealt(chunk.ctx, buckets)])
     return run
 
 
@@ -353,7 +354,7 @@ def _deepen(depth: int, buckets: int):
         at = chunk.at
         answer, kinds = (chunk.answers(told, _dealt(chunk.ctx, buckets), len(chunk.ctx), c) for c in "ab")
         total, use = answer >> 1, (answer & 1 > 0)[chunk.of_ctx]
-        n, p = _unpack(chunk.row["n"], np.int64)[chunk.of_pair], chunk.known(depth)[chunk.of_pair]
+        n, p = _unpack(told.filter(told["bucket"].is_null())["a"][0].as_py(), np.int64)[chunk.of_pair], chunk.known(depth)[chunk.of_pair]
         share = 1 / np.maximum(total + kinds, 1)
         better = np.where(use, n * share[chunk.of_ctx] + (kinds * share)[chunk.of_ctx] * p, p)
         better = (better.view(np.uint64) & ~DROPPED).view(np.float64)
@@ -373,23 +374,32 @@ def _deepen(depth: int, buckets: int):
     return run
 
 
-def _round(spark: SparkSession, state: str, add, step) -> str:
-    """Messages to their buckets, answers to their chunks: the path of the next table, the one before is removed."""
-    rows = spark.read.schema(STATE).parquet(state)
-    told = rows.where("bucket is not null").select("chunk", "bucket", "a", "b", "c", "d").groupBy("bucket").applyInArrow(add, MESSAGE)
-    after = write_shared(rows.where("bucket is null").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(step, STATE), "pst-level")
-    drop_shared(spark, state)
-    return after
+def _write(df: DataFrame) -> str:
+    """The path of chunks and messages in folders of their own, so that messages can go once they were answered."""
+    path = shared_path(df.sparkSession, "pst-level")
+    df.withColumn("message", F.col("bucket").isNotNull()).write.option("compression", "zstd").partitionBy("message").parquet(path)
+    return path
+
+
+def _read(spark: SparkSession, path: str, schema: str, message: bool) -> DataFrame:
+    return spark.read.schema(f"{schema}, message boolean").parquet(path).where(F.col("message") == message).drop("message")
 
 
 def grow(spark: SparkSession, state: str, buckets: int) -> str:
     """Grows the tree while a chunk asks for longer contexts; ``state`` is the path of the chunks that ask for those of one
     symbol, the result that of the chunks with their last scores."""
     depth = 1
-    while not spark.read.schema(STATE).parquet(state).where("bucket is not null").isEmpty():
-        state = _round(spark, state, _add_pairs, _gather(depth, buckets))
-        state = _round(spark, state, _add_contexts, _deepen(depth, buckets))
-        depth += 1
+    while not (asked := _read(spark, state, MESSAGE, True)).isEmpty():
+        own = _read(spark, state, STATE, False)
+        told = asked.groupBy("bucket").applyInArrow(_add_pairs, MESSAGE)
+        shares = _write(own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_gather(depth, buckets), MESSAGE))
+        drop_shared(spark, f"{state}/message=true")
+        own = _read(spark, state, STATE, False)
+        told = _read(spark, shares, MESSAGE, True).groupBy("bucket").applyInArrow(_add_contexts, MESSAGE).unionAll(_read(spark, shares, MESSAGE, False))
+        after = _write(own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_deepen(depth, buckets), STATE))
+        drop_shared(spark, state)
+        drop_shared(spark, shares)
+        state, depth = after, depth + 1
     return state
 
 
@@ -407,11 +417,11 @@ def _scored(rows: DataFrame) -> tuple[DataFrame, int]:
     words = Words(ends, total + ends, distinct + (ends > 0), symbols, shown)
     found = told.where("chunk is not null").drop("sums")
     begun = whole.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_begin(ends, words.mass(), words.rare_mass(), buckets), STATE)
-    state = write_shared(begun, "pst-level")
+    state = _write(begun)
     drop_shared(spark, chunks)
     drop_shared(spark, listed)
     of = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    return spark.read.schema(STATE).parquet(grow(spark, state, buckets)).select(F.explode(F.arrays_zip(*of)).alias("doc")), words.total
+    return _read(spark, grow(spark, state, buckets), STATE, False).select(F.explode(F.arrays_zip(*of)).alias("doc")), words.total
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
