@@ -54,6 +54,11 @@ def py_rank_key(parts: Sequence) -> str:
     return hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()
 
 
+def py_uniform(parts: Sequence) -> float:
+    """``uniform`` of plain values."""
+    return (int(py_rank_key(parts)[:8], 16) + 0.5) / TWO32
+
+
 # ---------------------------------------------------------------- SQL twins
 
 def sql_key(parts: Sequence, cols: set[str]) -> str:

@@ -7,6 +7,7 @@
   hash order.
 * Fit (A2): ``groupBy('tree_id').applyInPandas`` grows one tree per group; a
   group holds at most ``psi`` rows, so trees are the unit of parallelism.
+  Splits are hash draws of (seed, tree, node).
 * Score (A3): the tree table (``T * (2 psi - 1)`` nodes at most) is broadcast
   and an iterator pandas UDF walks all trees over Arrow batches.
 * Offset, decision, threshold sweep (A4, A5, A7) are aggregates over scores.
@@ -68,30 +69,28 @@ def contamination(df: DataFrame, y: str = "y", flip: bool = True) -> dict:
 
 # ---------------------------------------------------------------- A2
 
-def _grow(X: np.ndarray, rng: np.random.RandomState, max_depth: int):
-    nodes = []  # (feature, threshold, left, right, n, depth)
+def _grow(X: np.ndarray, seed: int, tree_id: int, max_depth: int) -> list[tuple]:
+    """Nodes ``(node, feature, threshold, left, right, n, depth)`` of one tree.
 
-    def build(idx, depth):
-        nid = len(nodes)
-        nodes.append(None)
+    The root is node 1, the children of ``k`` are ``2 k`` and ``2 k + 1``.  A
+    node's feature and threshold are hash draws of (seed, tree, node), so a tree
+    depends on its rows alone, not on their order, and SQL grows the same one."""
+    nodes, open_nodes = [], [(1, np.arange(len(X)), 0)]
+    while open_nodes:
+        node, idx, depth = open_nodes.pop()
         sub = X[idx]
-        if depth >= max_depth or len(idx) <= 1:
-            nodes[nid] = (-1, 0.0, -1, -1, len(idx), depth)
-            return nid
         lo, hi = sub.min(axis=0), sub.max(axis=0)
-        usable = np.where(hi > lo)[0]
-        if usable.size == 0:
-            nodes[nid] = (-1, 0.0, -1, -1, len(idx), depth)
-            return nid
-        f = int(usable[rng.randint(usable.size)])
-        thr = float(rng.uniform(lo[f], hi[f]))
-        mask = sub[:, f] < thr
-        left = build(idx[mask], depth + 1)
-        right = build(idx[~mask], depth + 1)
-        nodes[nid] = (f, thr, left, right, len(idx), depth)
-        return nid
-
-    build(np.arange(len(X)), 0)
+        usable = np.flatnonzero(hi > lo)
+        if depth >= max_depth or not len(usable):
+            nodes.append((node, -1, 0.0, -1, -1, len(idx), depth))
+            continue
+        f = int(usable[int(D.py_uniform([seed, tree_id, node, "feature"]) * len(usable))])
+        thr = float(lo[f] + D.py_uniform([seed, tree_id, node, "threshold"]) * (hi[f] - lo[f]))
+        if not thr > lo[f]:     # rounded down to the least value: both sides keep a row
+            thr = float(hi[f])
+        below = sub[:, f] < thr
+        nodes.append((node, f, thr, 2 * node, 2 * node + 1, len(idx), depth))
+        open_nodes += [(2 * node, idx[below], depth + 1), (2 * node + 1, idx[~below], depth + 1)]
     return nodes
 
 
@@ -99,16 +98,11 @@ def _tree_builder(features: Sequence[str], seed: int, max_depth: int):
     feats = list(features)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        tid = int(pdf["tree_id"].iloc[0])
-        X = pdf[feats].to_numpy(dtype="float64")
-        rng = np.random.RandomState((seed * 1_000_003 + tid) % (2 ** 32))
-        nodes = _grow(X, rng, max_depth)
-        arr = np.array(nodes, dtype=object)
-        return pd.DataFrame({
-            "tree_id": tid, "node_id": np.arange(len(nodes), dtype="int32"),
-            "feature": arr[:, 0].astype("int32"), "threshold": arr[:, 1].astype("float64"),
-            "left": arr[:, 2].astype("int32"), "right": arr[:, 3].astype("int32"),
-            "n": arr[:, 4].astype("int32"), "depth": arr[:, 5].astype("int32")})
+        tree_id = int(pdf["tree_id"].iloc[0])
+        nodes = _grow(pdf[feats].to_numpy(dtype="float64"), seed, tree_id, max_depth)
+        out = pd.DataFrame(nodes, columns=["node_id", "feature", "threshold", "left", "right", "n", "depth"])
+        out.insert(0, "tree_id", tree_id)
+        return out
     return fn
 
 
@@ -186,8 +180,9 @@ def _tree_arrays(trees: DataFrame, max_trees: int | None = None):
     pdf = t.toPandas().sort_values(["tree_id", "node_id"])  # <= T * (2 psi - 1) rows
     out = []
     for _, g in pdf.groupby("tree_id"):
-        out.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(),
-                    g["right"].to_numpy(), g["n"].to_numpy(), g["depth"].to_numpy()))
+        # children as places among the tree's nodes in order of their numbers
+        left, right = (np.searchsorted(g["node_id"].to_numpy(), g[c].to_numpy()) for c in ("left", "right"))
+        out.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), left, right, g["n"].to_numpy(), g["depth"].to_numpy()))
     return out
 
 

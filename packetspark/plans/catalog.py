@@ -701,3 +701,41 @@ def q_run_tags(spark, sf):
 
 
 QUERIES["run_tags"] = q_run_tags
+
+
+# ---------------------------------------------------------------- isolation trees by hash draws
+
+# features that both engines hold exactly
+IFOREST_FEATURES = ["frame_length", "protocol_flags", "mqtt_msgtype", "mqtt_qos", "mqtt_payload_len", "mqtt_retain",
+                    "mqtt_client_id_hash", "tcp_time_delta"]
+
+
+def _isolation(spark, sf):
+    from packetspark.operators import isoforest as IF
+    from packetspark.session import written
+    m = written(mapped(spark, sf).select("event_id", binary_relabel(F.col("target")).alias("y"), *IFOREST_FEATURES), "packets")
+    return m, IF.fit(m, IFOREST_FEATURES, n_trees=100)
+
+
+def q_iforest_trees(spark, sf):
+    """A2: every node of the forest."""
+    _, model = _isolation(spark, sf)
+    return model.trees.select("tree_id", "node_id", "feature", r("threshold", "threshold"), "n", "depth")
+
+
+def q_iforest_scores(spark, sf):
+    """All packets scored by the forest as saved and loaded again."""
+    from packetspark.operators import isoforest as IF
+    from packetspark.streaming.scorer import scratch
+    m, model = _isolation(spark, sf)
+    c = IF.contamination(m, "y")
+    model.flipped, model.contamination = c["flipped"], c["contamination"]
+    model.offset = IF.fit_offset(IF.score(model, m), c["contamination"])
+    path = scratch(spark, "iforest")
+    model.save(path)
+    saved = IF.IsolationForestModel.load(spark, path)
+    p = IF.predict(IF.score(saved, m), saved.offset, flipped=saved.flipped)
+    return p.select("event_id", r("score", "score"), r("decision", "decision"), "prediction")
+
+
+QUERIES.update({"iforest_trees": q_iforest_trees, "iforest_scores": q_iforest_scores})

@@ -574,3 +574,59 @@ def _tag(name: str, k: int, gap: int) -> str:
 
 ORACLE["run_tags"] = f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'models' ELSE 'models' || {_tag('corruption', 7, 5)} || {_tag('noise', 13, 6)} || {_tag('payload', 29, 7)}
   || CASE WHEN event_id % 11 <> 0 THEN '_' || ['train', 'validation', 'test', 'all'][event_id % 4 + 1] ELSE '' END END AS run_tag FROM events"""
+
+
+# ---------------------------------------------------------------- isolation trees by hash draws
+
+def _iforest_sql(select: str, n_trees: int = 100, psi: int = 256, seed: int = 42) -> str:
+    """Samples, trees (a level of all trees at a time) and path lengths."""
+    from packetspark.functions import draws as D
+    feats = ["frame_length", "protocol_flags", "mqtt_msgtype", "mqtt_qos", "mqtt_payload_len", "mqtt_retain", "mqtt_client_id_hash", "tcp_time_delta"]
+    levels = (psi - 1).bit_length()
+    def u(what):
+        return D.sql_uniform([seed, "tree_id", "node", what], {"tree_id", "node"})
+    ctes = [PACKETS, MAPPED,
+            f"rows_ AS MATERIALIZED (SELECT event_id, CASE WHEN target = 3 THEN 1 ELSE -1 END AS y, [{', '.join(f'coalesce(CAST({c} AS DOUBLE), 0)' for c in feats)}] AS x FROM mapped)",
+            f"size_ AS (SELECT *, greatest(1, round_even(n * pool_p, 0)) AS m FROM (SELECT *, least(1.0::DOUBLE, 2.0::DOUBLE * {n_trees} * psi / greatest(n, 1)) AS pool_p "
+            f"FROM (SELECT count(*) AS n, least({psi}, count(*)) AS psi FROM rows_)))",
+            "limit_ AS (SELECT greatest(1, CAST(ceil(log2(greatest(psi, 2))) AS INTEGER)) AS deepest FROM size_)",
+            f"pool_ AS (SELECT rows_.* FROM rows_, size_ WHERE {D.sql_uniform([seed, 'event_id', 'pool'], {'event_id'})} < pool_p)",
+            f"drawn_ AS (SELECT tree_id, event_id, x, {D.sql_uniform([seed, 'tree_id', 'event_id', 'tree'], {'tree_id', 'event_id'})} AS u FROM pool_, range({n_trees}) t(tree_id))",
+            "l0 AS MATERIALIZED (SELECT tree_id, event_id, x, 1 AS node FROM drawn_, size_ WHERE u < least(1.0::DOUBLE, 3.0::DOUBLE * psi / m) "
+            "QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY u, event_id) <= psi)"]
+    for k in range(levels + 1):
+        lo, hi = (f"[{', '.join(f'{f}(x[{i + 1}])' for i in range(len(feats)))}]" for f in ("min", "max"))
+        ctes.append(f"g{k} AS (SELECT tree_id, node, count(*) AS n, {lo} AS lo, {hi} AS hi FROM l{k} GROUP BY tree_id, node)")
+        ctes.append(f"c{k} AS (SELECT *, list_filter(range(1, {len(feats) + 1}), lambda i: hi[i] > lo[i]) AS usable FROM g{k}, limit_)")
+        ctes.append(f"f{k} AS (SELECT *, CASE WHEN {k} < deepest AND len(usable) > 0 THEN usable[1 + CAST(floor({u('feature')} * len(usable)) AS INTEGER)] END AS f FROM c{k})")
+        ctes.append(f"s{k} AS MATERIALIZED (SELECT tree_id, node, n, {k} AS depth, f, lo[f] + {u('threshold')} * (hi[f] - lo[f]) AS drawn, lo[f] AS least_, hi[f] AS most_ FROM f{k})")
+        if k < levels:
+            ctes.append(f"l{k + 1} AS MATERIALIZED (SELECT l.tree_id, l.event_id, l.x, 2 * l.node + CASE WHEN l.x[s.f] < CASE WHEN s.drawn > s.least_ THEN s.drawn ELSE s.most_ END THEN 0 ELSE 1 END AS node "
+                        f"FROM l{k} l JOIN s{k} s USING (tree_id, node) WHERE s.f IS NOT NULL)")
+    union = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(levels + 1))
+    ctes.append(f"nodes AS MATERIALIZED (SELECT tree_id, node, n, depth, f, CASE WHEN drawn > least_ THEN drawn ELSE most_ END AS threshold FROM ({union}))")
+    return "WITH " + ",\n".join(ctes) + select
+
+
+def _iforest_scores_sql(levels: int = 8) -> str:
+    def c(n):
+        return f"CASE WHEN {n} > 2 THEN 2.0::DOUBLE * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329) - 2.0::DOUBLE * ({n} - 1.0::DOUBLE) / {n} WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    walk = ["w0 AS (SELECT event_id, x, t.tree_id, 1 AS node FROM rows_, range(100) t(tree_id))"]
+    for k in range(levels + 1):
+        walk.append(f"v{k} AS MATERIALIZED (SELECT w.*, s.f, s.threshold, s.n, s.depth FROM w{k} w JOIN nodes s USING (tree_id, node))")
+        walk.append(f"w{k + 1} AS (SELECT event_id, x, tree_id, 2 * node + CASE WHEN x[f] < threshold THEN 0 ELSE 1 END AS node FROM v{k} WHERE f IS NOT NULL)")
+    ends = " UNION ALL ".join(f"SELECT event_id, tree_id, depth + {c('n')} AS h FROM v{k} WHERE f IS NULL" for k in range(levels + 1))
+    return ",\n".join(["", *walk, f"ends AS ({ends})",
+        "h AS (SELECT event_id, list_sum(list(h ORDER BY tree_id)) / 100.0::DOUBLE AS h FROM ends GROUP BY event_id)",
+        f"sc AS MATERIALIZED (SELECT event_id, -pow(2.0::DOUBLE, -h / ({c('psi')})) AS score FROM h, size_)",
+        "k AS (SELECT a > 0.5 AS flipped, CASE WHEN a > 0.5 THEN 1.0 - a ELSE a END AS c, (n - 1) * CASE WHEN a > 0.5 THEN 1.0 - a ELSE a END AS h "
+        "FROM (SELECT avg(CAST(y = -1 AS DOUBLE)) AS a, count(*) AS n FROM rows_))",
+        "r AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i FROM sc)",
+        "o AS (SELECT lo + (h - floor(h)) * (hi - lo) AS off FROM (SELECT any_value(h) AS h, max(score) FILTER (i = floor(h)) AS lo, max(score) FILTER (i = ceil(h)) AS hi FROM r, k))"]) + f"""
+SELECT event_id, {rd('score', 'score')}, {rd('score - off', 'decision')},
+       CASE WHEN (score < off) = flipped THEN 1 ELSE -1 END AS prediction FROM sc, o, k"""
+
+
+ORACLE["iforest_trees"] = _iforest_sql(f"""
+SELECT tree_id, node AS node_id, coalesce(f - 1, -1) AS feature, {rd('coalesce(threshold, 0)', 'threshold')}, n, depth FROM nodes""")
+ORACLE["iforest_scores"] = _iforest_sql(_iforest_scores_sql())

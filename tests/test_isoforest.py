@@ -50,3 +50,17 @@ def test_threshold_sweep_picks_best(spark):
     assert sw.count() == 46
     best = sw.where("selected").first()
     assert best["percentile"] == 10.0 and best["f1_macro"] == pytest.approx(1.0)
+
+
+def test_trees_do_not_depend_on_order_or_partitions(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame(rng.integers(0, 9, (400, 3)), columns=["a", "b", "c"]).assign(event_id=np.arange(400))
+    trees = [IF.fit(spark.createDataFrame(rows).repartition(parts), ["a", "b", "c"], n_trees=5, max_samples=64).trees.toPandas()
+             .sort_values(["tree_id", "node_id"]).reset_index(drop=True)
+             for rows, parts in ((pdf, 1), (pdf.iloc[::-1], 7))]
+    pd.testing.assert_frame_equal(*trees)
+    inner = trees[0][trees[0].feature >= 0]
+    sizes = trees[0].set_index(["tree_id", "node_id"]).n
+    for t in inner.itertuples():
+        assert sizes[t.tree_id, 2 * t.node_id] + sizes[t.tree_id, 2 * t.node_id + 1] == t.n
+        assert sizes[t.tree_id, 2 * t.node_id] > 0 and sizes[t.tree_id, 2 * t.node_id + 1] > 0
