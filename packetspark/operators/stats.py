@@ -215,13 +215,15 @@ def standardise(df: DataFrame, columns: Sequence[str] = S.BATCH_SCALE_COLUMNS):
     return scaler_transform(df, fit), fit
 
 
-def state_table(spark, scaler: dict[str, dict], caps: dict[str, dict], fitted_on: str) -> DataFrame:
-    """One row per column with scaler and cap statistics."""
+def state_table(spark, scaler: dict[str, dict], caps: dict[str, dict], fitted_on: str,
+                fitted: tuple = (None, None, None)) -> DataFrame:
+    """One row per column with scaler and cap statistics, the layout's
+    version and what it was fitted on: rows, first and last time."""
     rows = []
     for c in sorted(set(scaler) | set(caps)):
         s, k = scaler.get(c, {}), caps.get(c, {})
         rows.append((c, s.get("mean"), s.get("std_pop"), k.get("q1"), k.get("q3"),
-                     k.get("lower"), k.get("upper"), fitted_on))
+                     k.get("lower"), k.get("upper"), fitted_on, S.STATS_VERSION, *fitted))
     return spark.createDataFrame(rows, S.STATS)
 
 
@@ -231,7 +233,9 @@ def fit_state(df: DataFrame, scale_columns: Sequence[str] = S.SERVE_SCALE_COLUMN
     """Fit scaler + caps and return them as the stats table."""
     scaler = scaler_fit(df, scale_columns)
     caps = iqr_bounds(df, cap_columns, factor)
-    return state_table(df.sparkSession, scaler, caps, fitted_on)
+    us = F.col("us").cast("long") if "us" in df.columns else F.lit(None).cast("long")
+    fitted = df.agg(F.count(F.lit(1)), F.min(us), F.max(us)).first()
+    return state_table(df.sparkSession, scaler, caps, fitted_on, tuple(fitted))
 
 
 def save_state(state: DataFrame, path: str) -> None:
@@ -239,13 +243,15 @@ def save_state(state: DataFrame, path: str) -> None:
 
 
 def load_state(spark, path: str | None = None, refit_from: DataFrame | None = None):
-    """Saved stats table, else refit from ``refit_from``, else identity.
+    """Saved stats table, else refit from ``refit_from``, else identity.  A
+    table of another layout version counts as not saved.
 
     Returns ``(scaler, caps)`` dictionaries (empty = identity)."""
     state = None
     if path:
         try:
-            state = spark.read.schema(S.STATS).parquet(path)
+            saved = spark.read.schema(S.STATS).parquet(path)
+            state = saved if saved.where(~F.col("version").eqNullSafe(S.STATS_VERSION)).isEmpty() else None
         except AnalysisException as e:  # nothing was saved there; any other failure to read is an error
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise

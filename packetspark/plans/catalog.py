@@ -739,3 +739,69 @@ def q_iforest_scores(spark, sf):
 
 
 QUERIES.update({"iforest_trees": q_iforest_trees, "iforest_scores": q_iforest_scores})
+
+
+# ---------------------------------------------------------------- metadata, scenarios and saved state
+
+def q_metadata_encode(spark, sf):
+    """A label document in a metadata folder applied to all events; values that it does not hold are routed aside."""
+    from packetspark.sources.sinks import apply_encoding, read_metadata
+    from packetspark.streaming.scorer import scratch
+    e = read_table(spark, sf, "events").select("event_id", "event_type")
+    # a document of all types but one: one row per type
+    types = e.where(F.col("event_type") != "error").select("event_type").distinct()
+    codes = types.withColumn("code", F.row_number().over(Window.orderBy("event_type")) - 1)
+    folder = scratch(spark, "metadata")
+    codes.groupBy().pivot("event_type").agg(F.first("code")).write.json(f"{folder}/label_encoding.json")
+    known, unknown = apply_encoding(e, "event_type", read_metadata(spark, folder)["label_encoding"], "code")
+    return known.withColumn("status", F.lit("ok")).unionByName(
+        unknown.select("*", F.lit(-1).cast("long").alias("code"), F.lit("unknown").alias("status")))
+
+
+def q_scenario_table(spark, sf):
+    """A scenario document per event, read, checked and tagged; bad ones keep the reason."""
+    from packetspark.operators.faults import read_scenarios, validate_scenarios
+    from packetspark.streaming.scorer import scratch
+    e = F.col("event_id")
+    def rate(k, modulus):
+        return (e * k % modulus) / F.lit(100.0)
+    def but(gap, value):
+        return F.when(e % gap != 0, value)
+    docs = read_table(spark, sf, "events").select(
+        F.concat(F.lit("e"), e.cast("string")).alias("scenario_id"),
+        but(13, e % 3 != 0).alias("enabled"),
+        F.struct(rate(7, 131).alias("rate"), but(17, rate(13, 101)).alias("noise_std")).alias("corruption"),
+        F.struct(rate(29, 113).alias("rate"), but(19, F.lit("mqtt_payload_len")).alias("payload_feature")).alias("payload_loss"),
+        but(23, F.element_at(F.array(*[F.lit(t) for t in ("train", "validation", "test", "all", "live")]), (e % 5 + 1).cast("int"))).alias("target"))
+    path = scratch(spark, "scenarios")
+    docs.write.json(path)
+    return validate_scenarios(read_scenarios(spark, path, multi_line=False)).select("scenario_id", "reason", "run_tag")
+
+
+def q_apply_saved_state(spark, sf):
+    """Caps and scaler saved, loaded in a new session and applied to raw packets."""
+    from packetspark.streaming.scorer import scratch
+    path = scratch(spark, "state")
+    ST.save_state(ST.fit_state(read_packets(spark, sf), scale_columns=RAW, cap_columns=RAW, fitted_on="all"), path)
+    other = spark.newSession()
+    scaler, caps = ST.load_state(other, path)
+    fitted = other.read.parquet(path).select("version", "n_rows", "from_us", "to_us").distinct().first()
+    x = ST.scaler_transform(ST.apply_caps(read_packets(spark, sf), caps), scaler)
+    return x.select("event_id", *[r(c, c) for c in RAW], *[F.lit(v).alias(k) for k, v in fitted.asDict().items()])
+
+
+QUERIES.update({"metadata_encode": q_metadata_encode, "scenario_table": q_scenario_table, "apply_saved_state": q_apply_saved_state})
+
+
+def q_stream_idle(spark, sf):
+    """ST3 / ST4: devices silent for a day behind the watermark leave the state, with a row that says so; they begin anew after."""
+    from packetspark.streaming import scorer as SC
+    out = SC.scratch(spark, "stream-out")
+    with SC.one_stateful_operator(spark):
+        SC.run_in_batches(_arrivals(spark, sf), lambda x: SC.temporal_stream(x, (60,), key="device_id", watermark="1 hour", idle=86400),
+                          SC.scratch(spark, "stream-src"), out, SC.scratch(spark, "stream-ckpt"))
+    x = spark.read.parquet(out)
+    return x.select(F.coalesce("event_id", F.lit(-1)).alias("event_id"), "device_id", "us", r(F.coalesce(F.col("iat"), F.lit(0.0)), "iat"), "status")
+
+
+QUERIES["stream_idle"] = q_stream_idle

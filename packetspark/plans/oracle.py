@@ -566,10 +566,14 @@ SELECT event_id, status FROM (
   FROM b) WHERE before < most"""
 
 
-def _tag(name: str, k: int, gap: int) -> str:
-    text = f"printf('%.2f', event_id * {k} % 101 / 100.0)"
+def _rate(name: str, k: int, modulus: int) -> str:
+    text = f"printf('%.2f', event_id * {k} % {modulus} / 100.0)"
     short = rf"regexp_replace(regexp_replace({text}, '0+$', ''), '\.$', '')"
-    return f"CASE WHEN event_id % {gap} <> 0 THEN '_{name}' || CASE WHEN {short} IN ('0', '1') THEN {text} ELSE {short} END ELSE '' END"
+    return f"('_{name}' || CASE WHEN {short} IN ('0', '1') THEN {text} ELSE {short} END)"
+
+
+def _tag(name: str, k: int, gap: int) -> str:
+    return f"CASE WHEN event_id % {gap} <> 0 THEN {_rate(name, k, 101)} ELSE '' END"
 
 
 ORACLE["run_tags"] = f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'models' ELSE 'models' || {_tag('corruption', 7, 5)} || {_tag('noise', 13, 6)} || {_tag('payload', 29, 7)}
@@ -623,10 +627,48 @@ def _iforest_scores_sql(levels: int = 8) -> str:
         "FROM (SELECT avg(CAST(y = -1 AS DOUBLE)) AS a, count(*) AS n FROM rows_))",
         "r AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i FROM sc)",
         "o AS (SELECT lo + (h - floor(h)) * (hi - lo) AS off FROM (SELECT any_value(h) AS h, max(score) FILTER (i = floor(h)) AS lo, max(score) FILTER (i = ceil(h)) AS hi FROM r, k))"]) + f"""
-SELECT event_id, {rd('score', 'score')}, {rd('score - off', 'decision')},
+SELECT event_id, {rd('score', 'score')}, round(score - off, 6) + 0.0::DOUBLE AS decision,
        CASE WHEN (score < off) = flipped THEN 1 ELSE -1 END AS prediction FROM sc, o, k"""
 
 
 ORACLE["iforest_trees"] = _iforest_sql(f"""
 SELECT tree_id, node AS node_id, coalesce(f - 1, -1) AS feature, {rd('coalesce(threshold, 0)', 'threshold')}, n, depth FROM nodes""")
 ORACLE["iforest_scores"] = _iforest_sql(_iforest_scores_sql())
+
+
+# ---------------------------------------------------------------- metadata, scenarios and saved state
+
+ORACLE["metadata_encode"] = """WITH codes AS (
+  SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM events WHERE event_type <> 'error'))
+SELECT event_id, e.event_type, coalesce(code, -1) AS code, CASE WHEN code IS NULL THEN 'unknown' ELSE 'ok' END AS status FROM events e LEFT JOIN codes USING (event_type)"""
+
+ORACLE["scenario_table"] = f"""WITH s AS (
+  SELECT event_id, 'e' || event_id AS scenario_id, event_id % 3 <> 0 AS enabled, event_id * 7 % 131 / 100.0 AS c, event_id * 29 % 113 / 100.0 AS p,
+         ['train', 'validation', 'test', 'all', 'live'][event_id % 5 + 1] AS target FROM events),
+v AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN 'missing enabled' WHEN event_id % 23 = 0 THEN 'missing target'
+                     WHEN event_id % 17 = 0 THEN 'missing corruption.noise_std' WHEN event_id % 19 = 0 THEN 'missing payload_loss.payload_feature'
+                     WHEN c > 1 THEN 'corruption.rate not in [0, 1]' WHEN p > 1 THEN 'payload_loss.rate not in [0, 1]'
+                     WHEN target = 'live' THEN 'unknown target' END AS reason FROM s)
+SELECT scenario_id, reason, CASE WHEN reason IS NULL THEN CASE WHEN enabled THEN 'models' || {_rate('corruption', 7, 131)} || {_rate('noise', 13, 101)} || {_rate('payload', 29, 113)} || '_' || target ELSE 'models' END END AS run_tag
+FROM v"""
+
+ORACLE["apply_saved_state"] = f"""{WITH_P}, {_bounds_cte(RAW, 3.0)},
+z AS (SELECT {', '.join(f'avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s' for c in RAW)}, count(*) AS n_rows, min(us) AS from_us, max(us) AS to_us FROM packets)
+SELECT event_id, {', '.join(rd(f'({_clip(c)} - {c}_m) / {c}_s', c) for c in RAW)}, 1 AS version, n_rows, from_us, to_us FROM packets, b, z"""
+
+
+# A device's last time, and whether it is over when the micro-batch's watermark has passed that time by a day.
+ORACLE["stream_idle"] = f"""{ARRIVALS},
+after AS (SELECT batch, max(high) OVER (ORDER BY batch) // 1000 - 3600000 AS wm_after FROM (SELECT batch, max(us) AS high FROM b GROUP BY batch)),
+own AS (SELECT device_id, batch, max(us) AS high FROM b GROUP BY device_id, batch),
+g AS (SELECT d.device_id, after.batch, wm, wm_after, high, max(high) OVER (PARTITION BY d.device_id ORDER BY after.batch) AS seen
+      FROM (SELECT DISTINCT device_id FROM b) d, after JOIN wm ON wm.batch = after.batch LEFT JOIN own ON own.device_id = d.device_id AND own.batch = after.batch),
+e AS (SELECT *, coalesce(lag(seen // 1000 + 86400001 < wm_after) OVER (PARTITION BY device_id ORDER BY batch), false) AS anew FROM g),
+k AS (SELECT *, sum(CAST(anew AS INTEGER)) OVER (PARTITION BY device_id ORDER BY batch) AS segment,
+        CASE WHEN anew THEN high ELSE seen END AS last FROM e),
+x AS (SELECT b.*, wm, segment FROM b JOIN k USING (device_id, batch))
+SELECT event_id, device_id, us, {rd('coalesce((us - lag(us) OVER (PARTITION BY device_id, segment ORDER BY batch, us, event_id)) / 1000000.0, 0)', 'iat')},
+       CASE WHEN us // 1000 < wm THEN 'late' ELSE 'ok' END AS status FROM x
+UNION ALL
+SELECT -1, device_id, (SELECT max_by(us, us) FROM b WHERE b.device_id = k.device_id AND b.batch = (SELECT max(batch) FROM own WHERE own.device_id = k.device_id AND own.batch <= k.batch)), 0.0, 'ended'
+FROM k WHERE last IS NOT NULL AND greatest(last // 1000 + 86400000, coalesce(CASE WHEN high IS NOT NULL THEN wm END, 0)) + 1 < wm_after"""

@@ -116,7 +116,13 @@ STATS = T.StructType([
     T.StructField("lower", T.DoubleType()),
     T.StructField("upper", T.DoubleType()),
     T.StructField("fitted_on", T.StringType()),
+    T.StructField("version", T.IntegerType()),
+    T.StructField("n_rows", T.LongType()),
+    T.StructField("from_us", T.LongType()),
+    T.StructField("to_us", T.LongType()),
 ])
+# Layout of STATS; a saved state of another one is not read.
+STATS_VERSION = 1
 
 # Fault scenario document.
 FAULT_CONFIG = T.StructType([

@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ from packetspark.operators.stats import SERVE_CAP_TARGETS, apply_caps, scaler_tr
 from packetspark.session import written
 
 MICROS = 1_000_000
+#: Seconds of a time after all packets (the year 2200; pandas times end in 2262).
+FAR = 7_258_118_400
 
 STATE_SCHEMA = T.StructType([
     T.StructField("buf_us", T.ArrayType(T.LongType())),
@@ -118,11 +121,31 @@ def window_features(buf_us: np.ndarray, buf_p: np.ndarray, us: np.ndarray, p: np
     return res
 
 
-def make_state_fn(windows: Sequence[int], key: str, max_buffer: int | None = None):
+@contextmanager
+def one_stateful_operator(spark: SparkSession):
+    """Streams started meanwhile have one stateful operator and may have two event-time columns."""
+    name = "spark.sql.streaming.statefulOperator.allowMultiple"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def make_state_fn(windows: Sequence[int], key: str, max_buffer: int | None = None, idle: int | None = None):
+    """The state function.  With ``idle`` a key leaves the state once the
+    watermark has passed its last row by so many seconds (at least the longest
+    window); a row of status ``ended`` with that row's time says so."""
     windows = [int(w) for w in windows]
     wmax = max(windows) * MICROS
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            ended = {key: [k[0]], "event_id": pd.array([None], dtype="Int64"), "us": [state.get[2]], "status": ["ended"]}
+            state.remove()
+            yield pd.DataFrame(ended).reindex(columns=temporal_schema(windows, key).names)
+            return
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["us", "event_id"], kind="mergesort")
         if state.exists:
             buf_us, buf_p, prev = state.get
@@ -149,6 +172,8 @@ def make_state_fn(windows: Sequence[int], key: str, max_buffer: int | None = Non
         if max_buffer:
             all_us, all_p = all_us[-max_buffer:], all_p[-max_buffer:]
         state.update((all_us.tolist(), all_p.tolist(), int(us[-1])))
+        if idle:
+            state.setTimeoutTimestamp(max(int(all_us.max()) // 1000 + max(idle * 1000, wmax // 1000), wm or 0) + 1)
         yield out
 
     return fn
@@ -168,17 +193,23 @@ def parse_records(raw: DataFrame, hex_mode: str = "parse") -> DataFrame:
 
 def temporal_stream(parsed: DataFrame, windows: Sequence[int] = S.DEFAULT_WINDOWS,
                     key: str = "device_id", watermark: str = "1 hour",
-                    max_buffer: int | None = None, caps: dict | None = None) -> DataFrame:
-    """ST2 / ST3 / ST5: stateful temporal features per key."""
+                    max_buffer: int | None = None, caps: dict | None = None, idle: int | None = None) -> DataFrame:
+    """ST2 / ST3 / ST5: stateful temporal features per key; with ``idle`` silent
+    keys leave the state (``make_state_fn``): start such a stream under
+    ``one_stateful_operator``."""
     good = parsed.where(F.col("us").isNotNull())
     if caps:
         good = apply_caps(good, caps, {"mqtt_msg": "_payload"})
     good = good.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", watermark)
+    if idle:
+        # Before a state function with a timeout Spark drops rows that are late by the nearest event-time column.  This one is
+        # never late, and the least of both watermarks is that of the packets: late rows reach the function and are flagged.
+        good = good.withColumn("ts", F.timestamp_seconds(F.lit(FAR))).withWatermark("ts", "0 seconds")
     feats = (good.select(key, "event_id", "us", "ts", "_payload")
                  .groupBy(key)
-                 .applyInPandasWithState(make_state_fn(windows, key, max_buffer),
+                 .applyInPandasWithState(make_state_fn(windows, key, max_buffer, idle),
                                          temporal_schema(windows, key), STATE_SCHEMA, "append",
-                                         GroupStateTimeout.NoTimeout))
+                                         GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout))
     return feats
 
 

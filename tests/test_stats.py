@@ -54,3 +54,15 @@ def test_state_roundtrip(spark, tmp_path):
     scaler, caps = ST.load_state(spark, path)
     assert caps["iat"]["upper"] == 10 and scaler["iat"]["mean"] == pytest.approx(22.0)
     assert ST.load_state(spark, str(tmp_path / "missing")) == ({}, {})
+
+
+def test_state_of_another_version_is_not_read(spark, tmp_path):
+    from pyspark.sql import functions as F
+    df = col(spark, [1, 2, 3, 4, 100]).withColumnRenamed("x", "iat").withColumn("us", F.lit(7).cast("long"))
+    st = ST.fit_state(df, scale_columns=["iat"], cap_columns=["iat"])
+    assert [tuple(r) for r in st.select("n_rows", "from_us", "to_us").collect()] == [(5, 7, 7)]
+    path = str(tmp_path / "state")
+    ST.save_state(st.withColumn("version", F.lit(99)), path)
+    assert ST.load_state(spark, path) == ({}, {})
+    refitted, _ = ST.load_state(spark, path, refit_from=df)
+    assert refitted["iat"]["mean"] == pytest.approx(22.0)

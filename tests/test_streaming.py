@@ -87,3 +87,18 @@ def test_limit_goes_on_after_a_restart(spark, tmp_path):
     got = [r["event_id"] for r in spark.read.parquet(out).orderBy("event_id").collect()]
     assert done == 13 and got == list(range(17))  # the 13th success is record 16
     assert SC.run_until(scored, out, ckpt, 13) == 13 and spark.read.parquet(out).count() == 17
+
+
+def test_silent_devices_leave_the_state_and_late_rows_stay(spark, tmp_path):
+    def rows(*items):
+        p = [(i, d, f"2024-01-01 {h:02d}:00:00", "1") for i, d, h in items]
+        return spark.createDataFrame(p, "event_id long, device_id long, timestamp string, mqtt_msg string")
+    batches = [rows((1, 1, 0), (2, 2, 1)), rows((3, 2, 9)), rows((4, 1, 10), (5, 2, 2))]
+    out = str(tmp_path / "out")
+    with SC.one_stateful_operator(spark):
+        SC.run_in_batches(batches, lambda x: SC.temporal_stream(x, (60,), watermark="1 hour", idle=3600), str(tmp_path / "src"), out, str(tmp_path / "ckpt"))
+    got = spark.read.parquet(out).collect()
+    assert {(r["event_id"], r["status"], r["iat"]) for r in got if r["event_id"]} == {
+        (1, "ok", 0.0), (2, "ok", 0.0), (3, "ok", 28800.0),
+        (4, "ok", 0.0), (5, "late", -25200.0)}
+    assert [(r["event_id"], r["us"] % 86_400_000_000) for r in got if r["status"] == "ended" and r["device_id"] == 1] == [(None, 0)]
