@@ -14,6 +14,7 @@ from packetspark.operators import classify as C
 from packetspark.operators import faults as FI
 from packetspark.operators import isoforest as IF
 from packetspark.operators import metrics as M
+from packetspark.session import written
 
 
 def faulted_test_set(features: DataFrame, scenarios: Sequence[FI.FaultConfig],
@@ -38,12 +39,13 @@ def evaluate_faults(model, kind: str, features: DataFrame, scenarios: Sequence[F
     x = faulted_test_set(features, scenarios)
     g = ["scenario_id"]
     if kind == "forest":
-        p = C.score(model, x)
-        lab = p.select("scenario_id", F.col(S.LABEL).cast("int").alias("label"), "prediction", "probability_arr")
+        # scored once: every metric below reads the written scores
+        lab = written(C.score(model, x).select("scenario_id", F.col(S.LABEL).cast("int").alias("label"), "prediction", "probability_arr"), "fault-scores")
         out = {"ovr": M.roc_auc_ovr(lab, "label", "probability_arr", g)}
     else:
         s = IF.score(model, x.withColumn("y", binary_relabel(F.col(S.LABEL), normal_class)))
         p = IF.predict(s, model.offset or 0.0, threshold=model.threshold, flipped=model.flipped)
+        p = written(p.select("scenario_id", "y", "prediction", "score"), "fault-scores")
         lab = p.select("scenario_id", F.col("y").alias("label"), "prediction", "score")
         b = M.minmax_scale_scores(p, "score", "score_scaled").withColumn("y01", (F.col("y") == -1).cast("int"))
         out = {"roc_auc": M.roc_auc(b, "y01", "score_scaled", g),
