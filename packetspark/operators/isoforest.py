@@ -43,6 +43,8 @@ TREE_SCHEMA = T.StructType([
 ])
 
 EULER = 0.5772156649015329
+#: Rows that walk all trees together.
+ROWS = 2048
 
 
 def c_factor(n) -> np.ndarray:
@@ -182,22 +184,26 @@ def _tree_arrays(trees: DataFrame, max_trees: int | None = None):
     for _, g in pdf.groupby("tree_id"):
         # children as places among the tree's nodes in order of their numbers
         left, right = (np.searchsorted(g["node_id"].to_numpy(), g[c].to_numpy()) for c in ("left", "right"))
-        out.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), left, right, g["n"].to_numpy(), g["depth"].to_numpy()))
+        feat, depth, at = g["feature"].to_numpy(), g["depth"].to_numpy(), np.arange(len(g))
+        leaf = feat < 0
+        # a leaf leads to itself: every row makes the same number of steps
+        child = np.stack([np.where(leaf, at, left), np.where(leaf, at, right)], axis=1).reshape(-1)
+        # node i is at place 2 i + 1 of feature and threshold; its children's places are at 2 i (left) and 2 i + 1 (right)
+        out.append((np.repeat(np.where(leaf, 0, feat).astype(np.int64), 2), np.repeat(g["threshold"].to_numpy(), 2), 2 * child.astype(np.int64) + 1,
+                    np.repeat(depth + c_factor(g["n"].to_numpy()), 2), int(depth.max() - depth.min())))
     return out
 
 
 def _path_lengths(X: np.ndarray, tree) -> np.ndarray:
-    feat, thr, left, right, n, depth = tree
-    node = np.zeros(len(X), dtype="int64")
-    while True:
-        f = feat[node]
-        inner = f >= 0
-        if not inner.any():
-            break
-        idx = np.where(inner)[0]
-        go_left = X[idx, f[idx]] < thr[node[idx]]
-        node[idx] = np.where(go_left, left[node[idx]], right[node[idx]])
-    return depth[node] + c_factor(n[node])
+    feat, thr, child, length, steps = tree
+    flat, base = X.reshape(-1), np.arange(len(X)) * X.shape[1]
+    place = np.ones(len(X), dtype="int64")
+    for _ in range(steps):
+        cell = feat.take(place)
+        cell += base
+        place -= flat.take(cell) < thr.take(place)
+        place = child.take(place)
+    return length.take(place)
 
 
 def score(model: IsolationForestModel, df: DataFrame, out: str = "score",
@@ -219,14 +225,16 @@ def score(model: IsolationForestModel, df: DataFrame, out: str = "score",
     def _score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = bc.value
         for batch in it:
-            X = batch.to_numpy(dtype="float64")
-            acc = np.zeros(len(X))
-            res = {}
-            for i, tr in enumerate(trees):
-                acc += _path_lengths(X, tr)
-                k = i + 1
-                if k in counts:
-                    res[f"s{k}"] = -np.power(2.0, -(acc / k) / cpsi)
+            whole = np.ascontiguousarray(batch.to_numpy(dtype="float64"))
+            res = {f"s{k}": np.empty(len(whole)) for k in counts}
+            for at in range(0, len(whole), ROWS):  # so many rows stay in the processor's cache for all trees
+                X = whole[at:at + ROWS]
+                acc = np.zeros(len(X))
+                for i, tr in enumerate(trees):
+                    acc += _path_lengths(X, tr)
+                    k = i + 1
+                    if k in counts:
+                        res[f"s{k}"][at:at + ROWS] = -np.power(2.0, -(acc / k) / cpsi)
             yield pd.DataFrame(res)
 
     args = F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats])

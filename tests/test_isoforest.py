@@ -64,3 +64,29 @@ def test_trees_do_not_depend_on_order_or_partitions(spark):
     for t in inner.itertuples():
         assert sizes[t.tree_id, 2 * t.node_id] + sizes[t.tree_id, 2 * t.node_id + 1] == t.n
         assert sizes[t.tree_id, 2 * t.node_id] > 0 and sizes[t.tree_id, 2 * t.node_id + 1] > 0
+
+
+def test_rows_walk_the_trees_as_in_a_loop():
+    """iforest_search, fault_evaluation_anomaly: leaves of any depth, missing values, a tree that is one leaf."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    x[3, 1] = np.nan
+    nodes = []
+    for t, (n, depth) in enumerate(((64, 6), (200, 3), (1, 8))):
+        nodes += [(t, *node) for node in IF._grow(x[10:10 + n], 5, t, depth)]
+    pdf = pd.DataFrame(nodes, columns=["tree_id", "node_id", "feature", "threshold", "left", "right", "n", "depth"])
+
+    class Trees:
+        def toPandas(self):
+            return pdf
+    arrays = IF._tree_arrays(Trees())
+    assert len(arrays) == 3 and all(len(tree) == 5 for tree in arrays)
+    for t, tree in enumerate(arrays):
+        at = {r.node_id: r for r in pdf[pdf.tree_id == t].itertuples()}
+        want = []
+        for row in x:
+            r = at[1]
+            while r.feature >= 0:
+                r = at[r.left if row[r.feature] < r.threshold else r.right]
+            want.append(r.depth + IF.c_factor([r.n])[0])
+        assert IF._path_lengths(x, tree).tolist() == want
