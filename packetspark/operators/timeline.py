@@ -10,7 +10,7 @@ distributed building blocks are used instead:
     (Spark samples the key, so a hot timestamp or device is split across
     segments because the tie-breaker differs), each segment is scanned by a
     window, and a *segment table* with exactly one row per range partition
-    (a bound fixed by configuration, not by data) carries counts, sums and the
+    (a bound fixed by configuration, or one per ``SEGMENT_ROWS`` rows) carries counts, sums and the
     last row across segment borders through a broadcast join.
 
 ``window_stats``
@@ -37,12 +37,15 @@ from packetspark import schema as S
 from packetspark.session import written
 
 MICROS = 1_000_000
+#: Rows of a segment of an ordered scan, where their number is known.
+SEGMENT_ROWS = 1_000_000
 
 
-def _parts(df: DataFrame, partitions: int | None) -> int:
+def _parts(df: DataFrame, partitions: int | None, rows: int | None = None) -> int:
+    """Segments: the session's shuffle partitions, and more where ``rows`` would fill them beyond ``SEGMENT_ROWS``."""
     if partitions:
         return int(partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-(rows or 0) // SEGMENT_ROWS))
 
 
 def bucket_of(us: Column, width_us: int) -> Column:
@@ -57,7 +60,8 @@ def bucket_of(us: Column, width_us: int) -> Column:
 def ordered_scan(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
                  sums: dict[str, Column] | None = None,
                  lags: Sequence[str] = (), partitions: int | None = None,
-                 prefix: str = "", carry: Sequence[str] = (), scan_of: DataFrame | None = None) -> DataFrame:
+                 prefix: str = "", carry: Sequence[str] = (), scan_of: DataFrame | None = None,
+                 rows: int | None = None) -> DataFrame:
     """Adds, per row and within ``group`` in ``order``:
 
     * ``{prefix}idx``: 0-based position,
@@ -71,10 +75,12 @@ def ordered_scan(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
     the narrow columns are shuffled by range and cached.  ``carry`` names
     further columns that travel with the scan; if they are all that is left,
     there is no join.  ``scan_of`` is scanned in place of ``df`` (same rows).
+    ``rows``, about how many there are, keeps segments small: a segment is sorted
+    in one task, so a fixed number of them would hold ever more rows each.
     """
     sums = dict(sums or {})
     group, order, lags = list(group), list(order), list(lags)
-    P = _parts(df, partitions)
+    P = _parts(df, partitions, rows)
     sort_key = group + order
     narrow = list(dict.fromkeys(sort_key + lags + list(carry)))
 
@@ -164,7 +170,8 @@ def inter_arrival(df: DataFrame, mode: str = "delta_diff", keys: Sequence[str] =
         mode = "ts_gap"
     lagc = "tcp_time_delta" if mode == "delta_diff" else us
     x = ordered_scan(df, order=[us, tiebreak], group=keys, lags=[lagc],
-                     partitions=partitions, prefix="_os_", scan_of=scan_of)
+                     partitions=partitions, prefix="_os_", scan_of=scan_of,
+                     rows=scan_of.count() if scan_of is not None else None)
     if mode == "delta_diff":
         v = F.col("tcp_time_delta") - F.col(f"_os_prev_{lagc}")
     else:
@@ -236,9 +243,10 @@ def window_stats(df: DataFrame, windows: Sequence[int] = S.DEFAULT_WINDOWS,
         *keys, "_b", (F.col(us) + F.col("_w").cast("bigint") * MICROS).alias("_t"), "_w", F.col(us).alias("_own"),
         none.cast("double").alias("_m"), F.lit(0).cast("bigint").alias("_n"), F.lit(0.0).alias("_s"), F.lit(0.0).alias("_ss"))
     events = own.unionByName(context).unionByName(probes)
+    n_events = (2 + len(windows)) * d.count()  # at most
     scan = ordered_scan(events, order=["_t", "_w"], group=[*keys, "_b"], carry=["_own", "_m", "_n", "_s", "_ss"],
                         sums={"n": F.col("_n"), "s": F.col("_s"), "ss": F.col("_ss")},
-                        partitions=partitions, prefix="_w_")
+                        partitions=partitions, prefix="_w_", rows=n_events)
     sums = {c: F.col(f"_w_{c}_before") + (F.col(f"_{c}") if include_current else F.lit(0.0)) for c in ("n", "s", "ss")}
     picked = [F.max(F.when(F.col("_w") == 1, e)).alias(f"_at_{c}") for c, e in sums.items()]
     picked += [F.max(F.when(F.col("_w") == -w, F.col(f"_w_{c}_before"))).alias(f"_from_{c}{w}")
@@ -255,7 +263,7 @@ def window_stats(df: DataFrame, windows: Sequence[int] = S.DEFAULT_WINDOWS,
         frames = rows.join(frames, on).withColumn("_pv", F.col("_x") - F.col("_m")).drop("_x", "_b")
         frames = ordered_scan(frames, order=[tiebreak], group=on, carry=[c for c in frames.columns if c not in [*on, tiebreak]],
                               sums={"n": F.lit(1.0), "s": F.col("_pv"), "ss": F.col("_pv") * F.col("_pv")},
-                              partitions=partitions, prefix="_tie_")
+                              partitions=partitions, prefix="_tie_", rows=rows.count())
         tie, on = {c: F.col(f"_tie_{c}_before") for c in ("n", "s", "ss")}, [*on, tiebreak]
     out_cols = []
     for w in windows:
@@ -273,8 +281,8 @@ def window_stats(df: DataFrame, windows: Sequence[int] = S.DEFAULT_WINDOWS,
 # --------------------------------------------------------------------------
 
 def with_global_index(df: DataFrame, order: Sequence[str] = ("us", "event_id"),
-                      out: str = "row_idx", partitions: int | None = None) -> DataFrame:
-    x = ordered_scan(df, order=list(order), partitions=partitions, prefix="_gi_")
+                      out: str = "row_idx", partitions: int | None = None, rows: int | None = None) -> DataFrame:
+    x = ordered_scan(df, order=list(order), partitions=partitions, prefix="_gi_", rows=rows)
     return x.withColumnRenamed("_gi_idx", out)
 
 
@@ -291,7 +299,7 @@ def time_split(df: DataFrame, train_ratio: float = 0.6, val_ratio: float = 0.2,
     if index_col:
         x = df.withColumnRenamed(index_col, "_split_idx")
     else:
-        x = with_global_index(df, order, out="_split_idx", partitions=partitions)
+        x = with_global_index(df, order, out="_split_idx", partitions=partitions, rows=total)
     split = (F.when(F.col("_split_idx") < F.lit(n_train), F.lit("train"))
               .when(F.col("_split_idx") < F.lit(n_train + n_val), F.lit("validation"))
               .otherwise(F.lit("test")))

@@ -103,3 +103,18 @@ def test_dense_minute_against_brute_force(spark):
             assert abs(rows[i][f"msg_rate_{w}s"] - len(frame) / w) < 1e-9
             assert abs(rows[i][f"rolling_mean_payload_{w}s"] - frame.mean()) < 1e-8
             assert abs(rows[i][f"rolling_std_payload_{w}s"] - frame.std()) < 1e-6
+
+
+def test_segments_grow_with_the_rows(spark, monkeypatch):
+    """msg_rate, rolling_*, preprocess_features: no task sorts more rows as tables grow; results stay."""
+    from pyspark.sql import functions as F
+    from packetspark.operators import timeline as TL
+    df = spark.range(3000).select(F.col("id").alias("event_id"), (F.col("id") * 1_500_000).alias("us"), (F.col("id") % 11).cast("double").alias("mqtt_payload_len"))
+    few = TL.window_stats(df, (10, 60)).orderBy("event_id").collect()
+    seen = []
+    real = TL._parts
+    monkeypatch.setattr(TL, "_parts", lambda *a: seen.append(real(*a)) or seen[-1])
+    monkeypatch.setattr(TL, "SEGMENT_ROWS", 500)
+    assert TL.window_stats(df, (10, 60)).orderBy("event_id").collect() == few
+    assert seen == [24]
+    assert TL.time_split(df).where("split = 'train'").count() == 1800
