@@ -564,6 +564,7 @@ def q_label_imbalance(spark, sf):
 
 def _stream_run(spark, sf, bad_every=None, model=None, kind="label", windows=WIDE, scaler=None, caps=None,
                 temporal_only=False):
+    from packetspark.operators.forest import BROADCAST_BYTES, size_of
     from packetspark.streaming import scorer as SC
     src = SC.scratch(spark, "stream-src")
     SC.stage_records(SC.records_from_packets(read_packets(spark, sf), bad_every), src)
@@ -573,10 +574,15 @@ def _stream_run(spark, sf, bad_every=None, model=None, kind="label", windows=WID
         out = SC.scratch(spark, "stream-out")
         SC.run_to_sink(st, out, SC.scratch(spark, "stream-ckpt"))
     else:
+        # a forest that is too large for every worker meets the micro-batches as a table
+        large = kind == "forest" and size_of(model) > BROADCAST_BYTES
         st = SC.score_stream(parsed, windows, key="device_id", watermark="3650 days", scaler=scaler, caps=caps,
-                             model=model, model_kind=kind)
-        out = SC.scratch(spark, "stream-out")
-        SC.run_to_sink(st, out, SC.scratch(spark, "stream-ckpt"))
+                             model=None if large else model, model_kind=kind)
+        out, ckpt = SC.scratch(spark, "stream-out"), SC.scratch(spark, "stream-ckpt")
+        if large:
+            SC.run_scored(st, model, out, ckpt, kind)
+        else:
+            SC.run_to_sink(st, out, ckpt)
     return spark.read.parquet(out)
 
 

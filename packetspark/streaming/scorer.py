@@ -133,8 +133,10 @@ def one_stateful_operator(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def make_state_fn(windows: Sequence[int], key: str, max_buffer: int | None = None, idle: int | None = None):
-    """The state function.  With ``idle`` a key leaves the state once the
+def make_state_fn(windows: Sequence[int], key: str, max_buffer: int | None = None, idle: int | None = None, also: dict[str, str] | None = None):
+    """The state function.  ``also`` names, per further column of the result, the
+    column of the records that it copies as a double.  A key is a call, so the
+    call is plain arrays and makes one frame.  With ``idle`` a key leaves the state once the
     watermark has passed its last row by so many seconds (at least the longest
     window); a row of status ``ended`` with that row's time says so."""
     windows = [int(w) for w in windows]
@@ -146,15 +148,17 @@ def make_state_fn(windows: Sequence[int], key: str, max_buffer: int | None = Non
             state.remove()
             yield pd.DataFrame(ended).reindex(columns=temporal_schema(windows, key).names)
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["us", "event_id"], kind="mergesort")
+        pdfs = list(pdfs)
+        pdf = pdfs[0] if len(pdfs) == 1 else pd.concat(pdfs, ignore_index=True)
+        ids, us = pdf["event_id"].to_numpy(), pdf["us"].to_numpy(dtype="int64")
+        order = np.lexsort((ids, us))
+        ids, us, p = ids[order], us[order], pdf["_payload"].to_numpy(dtype="float64")[order]
         if state.exists:
             buf_us, buf_p, prev = state.get
             buf_us = np.asarray(buf_us or [], dtype="int64")
             buf_p = np.asarray(buf_p or [], dtype="float64")
         else:
             buf_us, buf_p, prev = np.zeros(0, "int64"), np.zeros(0, "float64"), None
-        us = pdf["us"].to_numpy(dtype="int64")
-        p = pdf["_payload"].to_numpy(dtype="float64")
         prev_arr = np.concatenate([[us[0] if prev is None else prev], us[:-1]])
         iat = (us - prev_arr) / MICROS
         if prev is None:
@@ -162,8 +166,10 @@ def make_state_fn(windows: Sequence[int], key: str, max_buffer: int | None = Non
         feats = window_features(buf_us, buf_p, us, p, windows)
         wm = state.getCurrentWatermarkMs()
         late = (us // 1000) < wm if wm and wm > 0 else np.zeros(len(us), dtype=bool)
-        out = pd.DataFrame({key: k[0], "event_id": pdf["event_id"].to_numpy(), "us": us, "iat": iat, **feats,
-                            "status": np.where(late, "late", "ok")})
+        status = np.full(len(us), "ok", dtype=object)
+        status[late] = "late"
+        copied = {c: pdf[source].to_numpy(dtype="float64")[order] for c, source in (also or {}).items()}
+        out = pd.DataFrame({key: np.full(len(us), k[0]), "event_id": ids, "us": us, "iat": iat, **feats, "status": status, **copied}, copy=False)
         # New state: trim to the longest window (and optionally a row cap).
         all_us = np.concatenate([buf_us, us])
         all_p = np.concatenate([buf_p, p])
@@ -229,20 +235,11 @@ def score_stream(parsed: DataFrame, windows: Sequence[int] = S.DEFAULT_WINDOWS,
     schema = temporal_schema(windows, key)
     for c in static_cols:
         schema = schema.add(T.StructField(c, T.DoubleType()))
-    fn = make_state_fn(windows, key, max_buffer)
-
-    def fn2(k, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["us", "event_id"], kind="mergesort")
-        for out in fn(k, iter([pdf]), state):
-            for c in static_cols:
-                out[c] = pdf[c].to_numpy(dtype="float64")
-            out["mqtt_payload_len"] = pdf["_payload"].to_numpy(dtype="float64")
-            yield out
-
+    fn = make_state_fn(windows, key, max_buffer, also={**{c: c for c in static_cols}, "mqtt_payload_len": "_payload"})
     schema = schema.add(T.StructField("mqtt_payload_len", T.DoubleType()))
     feats = (good.select(key, "event_id", "us", "ts", "_payload", *[F.col(c).cast("double") for c in static_cols])
                  .groupBy(key)
-                 .applyInPandasWithState(fn2, schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+                 .applyInPandasWithState(fn, schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
     if caps:
         feats = apply_caps(feats, caps, {k2: v for k2, v in SERVE_CAP_TARGETS.items() if k2 == "iat"})
     if scaler:
@@ -315,6 +312,27 @@ def run_to_sink(stream_df: DataFrame, out_path: str, checkpoint: str, partition_
         raise q.exception()
 
 
+def run_scored(stream_df: DataFrame, model, out_path: str, checkpoint: str, model_kind: str = "forest") -> None:
+    """ST8 for a model that is too large to be sent to every worker: ``stream_df``
+    comes from ``score_stream`` without a model, and each micro-batch meets the
+    model as a table.  A micro-batch has its own folder, so one that is repeated
+    after a restart replaces its rows."""
+    spark = stream_df.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        # the micro-batch is computed once: reading it twice would run its state twice
+        staged = f"{out_path.rstrip('/')}-features/batch={number}"
+        batch.write.mode("overwrite").parquet(staged)
+        x = spark.read.schema(batch.schema).parquet(staged)
+        good = x.where(F.col("features_map").isNotNull()).withColumns({c: F.col("features_map")[c] for c in S.FEATURES})
+        scored = _apply_model(good.drop("predicted_label", "confidence"), model, model_kind).select(*x.columns)
+        scored.unionByName(x.where(F.col("features_map").isNull())).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={number}")
+    q = stream_df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+
+
 def stage_records(records: DataFrame, path: str, files: int | None = None, mode: str = "overwrite") -> None:
     """Write records as the streaming source's text CSV (all columns as text)."""
     x = records.select(*[F.col(f.name).cast("string").alias(f.name) if f.name in records.columns

@@ -102,3 +102,29 @@ def test_silent_devices_leave_the_state_and_late_rows_stay(spark, tmp_path):
         (1, "ok", 0.0), (2, "ok", 0.0), (3, "ok", 28800.0),
         (4, "ok", 0.0), (5, "late", -25200.0)}
     assert [(r["event_id"], r["us"] % 86_400_000_000) for r in got if r["status"] == "ended" and r["device_id"] == 1] == [(None, 0)]
+
+
+def test_a_forest_too_large_for_workers_scores_a_stream(spark, tmp_path, monkeypatch):
+    """stream_predict: the forest meets each micro-batch as a table; the rows are those of a small forest."""
+    from pyspark.sql import functions as F
+    from packetspark import schema as S
+    from packetspark.operators import forest as RF
+    from packetspark.plans import catalog as CAT
+    rng = np.random.default_rng(1)
+    n = 120
+    rows = [(i, i % 4, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}" if i % 40 else "bad", str(int(v))) for i, v in enumerate(rng.integers(0, 50, n))]
+    events = spark.createDataFrame(rows, "event_id long, device_id long, timestamp string, mqtt_msg string")
+    base = spark.range(300).select(F.col("id").alias("event_id"), (F.col("id") % 3).cast("double").alias("target"),
+                                   *[(F.col("id") * 7 % (5 + i)).cast("double").alias(c) for i, c in enumerate(S.FEATURES)])
+    model = RF.fit(base, [RF.Setting(trees=4)])[0]
+    monkeypatch.setattr(CAT, "read_packets", lambda *a: events)
+    monkeypatch.setattr(SC, "records_from_packets", lambda p, bad: p)
+
+    def run():
+        got = CAT._stream_run(spark, "", model=model, kind="forest", windows=S.DEFAULT_WINDOWS)
+        return sorted(map(tuple, got.select("event_id", "status", F.coalesce("predicted_label", F.lit(-1)),
+                                            F.round(F.coalesce("confidence", F.lit(-1.0)), 6), "error").collect()), key=str)
+    small = run()
+    monkeypatch.setattr(RF, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(RF.with_scores, "__defaults__", (0, 0))
+    assert run() == small and len(small) == n and sum(r[1] == "bad" for r in small) == 3
