@@ -87,10 +87,12 @@ def ordered_scan(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
     x = (df if scan_of is None else scan_of).select(*narrow, *[F.coalesce(e.cast("double"), F.lit(0.0)).alias(f"_v_{n}") for n, e in sums.items()])
     if lags:
         x = x.withColumn("_lagv", F.struct(*[F.col(c) for c in lags]))
-    x = x.repartitionByRange(P, *sort_key).withColumn("_seg", F.spark_partition_id())
+    # A segment stays a partition of its own: dealt by a hash of its number, several would meet in one task, and Spark
+    # would join small partitions by their compressed bytes, which for sorted events hides many rows.
+    x = x.repartitionByRange(P, *sort_key).withColumn("_seg", F.spark_partition_id()).repartitionById(P, "_seg")
     gkey = F.struct(*[F.col(c) for c in group]) if group else F.lit(0)
     x = x.withColumn("_g", gkey)
-    # The segment's own window comes first: its exchange and sort also serve the groups inside the segment.
+    # The segment's own window comes first: its sort also serves the groups inside the segment.
     whole = Window.partitionBy("_seg").orderBy(*group, *order)
     x = x.withColumns({"_head": F.lag(F.lit(1)).over(whole).isNull(), "_tail": F.lead(F.lit(1)).over(whole).isNull(),
                        "_first": F.col("_g").eqNullSafe(F.first("_g").over(whole))})

@@ -118,3 +118,20 @@ def test_segments_grow_with_the_rows(spark, monkeypatch):
     assert TL.window_stats(df, (10, 60)).orderBy("event_id").collect() == few
     assert seen == [24]
     assert TL.time_split(df).where("split = 'train'").count() == 1800
+
+
+def test_segments_of_a_scan_do_not_meet_in_a_task(spark, monkeypatch):
+    """However small its shuffle, a segment is a partition of its own: no task sorts several."""
+    rows = []
+    kept = TL.written
+
+    def seen(df, name):
+        if name == "scan":
+            rows.append(df.groupBy(F.spark_partition_id()).agg(F.countDistinct("_seg").alias("n"), F.max("_rn").alias("last"))
+                        .agg(F.max("n"), F.count(F.lit(1)), F.max("last")).first())
+        return kept(df, name)
+    monkeypatch.setattr(TL, "written", seen)
+    df = spark.range(4000).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 4001).alias("us"))
+    out = TL.with_global_index(df, ("us", "event_id"), partitions=16)
+    assert rows[0][0] == 1 and rows[0][1] == 16
+    assert [r["row_idx"] for r in out.orderBy("us").collect()] == list(range(4000))
