@@ -6,7 +6,8 @@ scaling (N9), vector (ST7) -> model (ST8) -> one sink with a ``status``
 column (``ok`` / ``late`` / ``bad``).
 
 State per key holds the arrival-ordered buffer of ``(us, payload)`` trimmed
-to the longest window, and the previous timestamp.  Within a micro-batch the
+to the longest window, and the previous timestamp; keys share the calls and
+rows of the state by groups (``GROUPS``).  Within a micro-batch the
 rows of a key are processed in ``(us, event_id)`` order; across micro-batches
 in arrival order (the reference's semantics).  The default key is
 ``device_id``; a constant key reproduces the reference's single global
@@ -34,13 +35,18 @@ from packetspark.operators.stats import SERVE_CAP_TARGETS, apply_caps, scaler_tr
 from packetspark.session import written
 
 MICROS = 1_000_000
+#: Groups of devices that a stream without ``idle`` keeps its state by: a call of the state function costs some milliseconds
+#: before its first row.  A checkpoint is bound to it.
+GROUPS = 2048
 #: Seconds of a time after all packets (the year 2200; pandas times end in 2262).
 FAR = 7_258_118_400
 
 STATE_SCHEMA = T.StructType([
+    T.StructField("buf_device", T.ArrayType(T.LongType())),
     T.StructField("buf_us", T.ArrayType(T.LongType())),
     T.StructField("buf_p", T.ArrayType(T.DoubleType())),
-    T.StructField("prev_us", T.LongType()),
+    T.StructField("device", T.ArrayType(T.LongType())),
+    T.StructField("prev_us", T.ArrayType(T.LongType())),
 ])
 
 
@@ -112,15 +118,18 @@ def window_features(buf_us: np.ndarray, buf_p: np.ndarray, us: np.ndarray, p: np
         out = _frames_any_order(all_us, all_p, us, pos, windows)
     res = {}
     for w, (n, s, ss) in out.items():
-        safe = np.where(n > 0, n, 1.0)
-        mean = np.where(n > 0, s / safe, 0.0)
-        var = np.where(n > 1, np.maximum(ss / safe - mean * mean, 0.0), 0.0)
-        res[S.rate_col(w)] = n / w
-        res[S.mean_col(w)] = mean
-        res[S.std_col(w)] = np.sqrt(var)
+        res.update(_moments(w, n, s, ss))
     return res
 
 
+def _moments(w: int, n: np.ndarray, s: np.ndarray, ss: np.ndarray) -> dict:
+    """Features of a window from count, sum and sum of squares of its rows."""
+    safe = np.where(n > 0, n, 1.0)
+    mean = np.where(n > 0, s / safe, 0.0)
+    var = np.where(n > 1, np.maximum(ss / safe - mean * mean, 0.0), 0.0)
+    return {S.rate_col(w): n / w, S.mean_col(w): mean, S.std_col(w): np.sqrt(var)}
+
+
 @contextmanager
 def one_stateful_operator(spark: SparkSession):
     """Streams started meanwhile have one stateful operator and may have two event-time columns."""
@@ -133,10 +142,47 @@ def one_stateful_operator(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def _running(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums from the start of each device's rows: the one before row i of device g is at i + g, the one after its last row one further."""
+    out = np.zeros(len(values) + len(cuts) - 1)
+    for g, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        np.cumsum(values[a:b], out=out[a + g + 1:b + g + 1])
+    return out
+
+
+def device_windows(buf_dev: np.ndarray, buf_us: np.ndarray, buf_p: np.ndarray, dev: np.ndarray, us: np.ndarray, p: np.ndarray,
+                   windows: Sequence[int]) -> dict:
+    """``window_features`` of many devices at once, for new rows in order of (device, time).
+
+    All rows of the buffer came before, in any order of time: sorted once, they answer by two binary searches per frame; of
+    the new rows a frame has those from its begin to the row itself."""
+    devices, times = np.unique(np.concatenate([buf_dev, dev])), np.unique(np.concatenate([buf_us, us]))
+    span, of = len(times) + 1, np.searchsorted(devices, dev)
+    key = of * span + np.searchsorted(times, us)
+    old = np.searchsorted(devices, buf_dev) * span + np.searchsorted(times, buf_us)
+    order = np.argsort(old, kind="stable")
+    old, buf_p = old[order], buf_p[order]
+    sides = []
+    for k, v in ((old, buf_p), (key, p)):
+        cuts = np.searchsorted(k, np.arange(len(devices) + 1) * span)
+        sides.append((k, _running(v, cuts), _running(v * v, cuts)))
+    ends, res = (np.searchsorted(old, key, side="right"), np.arange(len(us))), {}
+    for w in windows:
+        low = of * span + np.searchsorted(times, us - w * MICROS, side="left")
+        n, s, ss = np.zeros(len(us)), np.zeros(len(us)), np.zeros(len(us))
+        for (k, sums, squares), end in zip(sides, ends):
+            begin = np.searchsorted(k, low, side="left")
+            n += end - begin
+            s += sums[end + of] - sums[begin + of]
+            ss += squares[end + of] - squares[begin + of]
+        res.update(_moments(w, n, s, ss))
+    return res
+
+
 def make_state_fn(windows: Sequence[int], key: str, max_buffer: int | None = None, idle: int | None = None, also: dict[str, str] | None = None):
-    """The state function.  ``also`` names, per further column of the result, the
-    column of the records that it copies as a double.  A key is a call, so the
-    call is plain arrays and makes one frame.  With ``idle`` a key leaves the state once the
+    """The state function of a group of devices (``grouped``).  ``also`` names, per further column of the result, the
+    column of the records that it copies as a double.  A group is a call, so the call is plain arrays over all its devices
+    and makes one frame.  With ``idle`` a group is one device and leaves the state once the
     watermark has passed its last row by so many seconds (at least the longest
     window); a row of status ``ended`` with that row's time says so."""
     windows = [int(w) for w in windows]
@@ -144,40 +190,45 @@ def make_state_fn(windows: Sequence[int], key: str, max_buffer: int | None = Non
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            ended = {key: [k[0]], "event_id": pd.array([None], dtype="Int64"), "us": [state.get[2]], "status": ["ended"]}
+            ended = {key: [k[0]], "event_id": pd.array([None], dtype="Int64"), "us": [state.get[4][0]], "status": ["ended"]}
             state.remove()
             yield pd.DataFrame(ended).reindex(columns=temporal_schema(windows, key).names)
             return
         pdfs = list(pdfs)
         pdf = pdfs[0] if len(pdfs) == 1 else pd.concat(pdfs, ignore_index=True)
-        ids, us = pdf["event_id"].to_numpy(), pdf["us"].to_numpy(dtype="int64")
-        order = np.lexsort((ids, us))
-        ids, us, p = ids[order], us[order], pdf["_payload"].to_numpy(dtype="float64")[order]
-        if state.exists:
-            buf_us, buf_p, prev = state.get
-            buf_us = np.asarray(buf_us or [], dtype="int64")
-            buf_p = np.asarray(buf_p or [], dtype="float64")
-        else:
-            buf_us, buf_p, prev = np.zeros(0, "int64"), np.zeros(0, "float64"), None
-        prev_arr = np.concatenate([[us[0] if prev is None else prev], us[:-1]])
-        iat = (us - prev_arr) / MICROS
-        if prev is None:
-            iat[0] = 0.0
-        feats = window_features(buf_us, buf_p, us, p, windows)
+        dev, ids, us, no_id = (pdf[c].to_numpy(dtype=t) for c, t in (("_device", "int64"), ("_event", "int64"), ("us", "int64"), ("_no_event", "bool")))
+        order = np.lexsort((ids, no_id, us, dev))
+        dev, ids, us, no_id, p = dev[order], ids[order], us[order], no_id[order], pdf["_payload"].to_numpy(dtype="float64")[order]
+        buf_dev, buf_us, buf_p, last_dev, last_us = (np.asarray(x or [], dtype=t) for x, t in zip(state.get if state.exists else [[]] * 5, ("int64", "int64", "float64", "int64", "int64")))
+        first = np.flatnonzero(np.concatenate([[True], dev[1:] != dev[:-1]]))
+        last = np.concatenate([first[1:], [len(dev)]]) - 1
+        prev = np.concatenate([us[:1], us[:-1]])
+        prev[first] = us[first]  # of a device's first row, unless the state knows an earlier one
+        if len(last_dev):
+            at = np.minimum(np.searchsorted(last_dev, dev[first]), len(last_dev) - 1)
+            known = last_dev[at] == dev[first]
+            prev[first[known]] = last_us[at[known]]
+        feats = device_windows(buf_dev, buf_us, buf_p, dev, us, p, windows)
         wm = state.getCurrentWatermarkMs()
         late = (us // 1000) < wm if wm and wm > 0 else np.zeros(len(us), dtype=bool)
         status = np.full(len(us), "ok", dtype=object)
         status[late] = "late"
         copied = {c: pdf[source].to_numpy(dtype="float64")[order] for c, source in (also or {}).items()}
-        out = pd.DataFrame({key: np.full(len(us), k[0]), "event_id": ids, "us": us, "iat": iat, **feats, "status": status, **copied}, copy=False)
-        # New state: trim to the longest window (and optionally a row cap).
-        all_us = np.concatenate([buf_us, us])
-        all_p = np.concatenate([buf_p, p])
-        keep = all_us >= all_us.max() - wmax
-        all_us, all_p = all_us[keep], all_p[keep]
+        nobody = pd.arrays.IntegerArray(dev, np.full(len(dev), bool(pd.isna(k[0]))))  # a null device is a group of its own
+        out = pd.DataFrame({key: nobody, "event_id": pd.arrays.IntegerArray(ids, no_id), "us": us, "iat": (us - prev) / MICROS, **feats, "status": status, **copied}, copy=False)
+        # New state: trim to the longest window (and optionally a row cap), by device, in order of arrival.
+        all_dev, all_us, all_p = np.concatenate([buf_dev, dev]), np.concatenate([buf_us, us]), np.concatenate([buf_p, p])
+        devices, of = np.unique(all_dev, return_inverse=True)
+        newest = np.full(len(devices), np.iinfo(np.int64).min)
+        np.maximum.at(newest, of, all_us)
+        keep = np.flatnonzero(all_us >= newest[of] - wmax)
         if max_buffer:
-            all_us, all_p = all_us[-max_buffer:], all_p[-max_buffer:]
-        state.update((all_us.tolist(), all_p.tolist(), int(us[-1])))
+            keep = keep[np.argsort(of[keep], kind="stable")]
+            keep = np.sort(keep[np.searchsorted(of[keep], of[keep], "right") - np.arange(len(keep)) <= max_buffer])
+        ends = np.full(len(devices), 0)
+        ends[np.searchsorted(devices, last_dev)] = last_us
+        ends[np.searchsorted(devices, dev[last])] = us[last]
+        state.update((all_dev[keep].tolist(), all_us[keep].tolist(), all_p[keep].tolist(), devices.tolist(), ends.tolist()))
         if idle:
             state.setTimeoutTimestamp(max(int(all_us.max()) // 1000 + max(idle * 1000, wmax // 1000), wm or 0) + 1)
         yield out
@@ -185,6 +236,14 @@ def make_state_fn(windows: Sequence[int], key: str, max_buffer: int | None = Non
     return fn
 
 
+def grouped(good: DataFrame, key: str, groups: int | None, *columns):
+    """Records by the group of their device: one of ``groups`` by its hash, the device itself without ``groups``; null is a group of its own."""
+    device, event = F.col(key).cast("long"), F.col("event_id").cast("long")
+    group = F.when(device.isNotNull(), F.pmod(F.xxhash64(device), F.lit(groups))) if groups else device
+    return good.select(group.alias("_group"), F.coalesce(device, F.lit(0)).alias("_device"), F.coalesce(event, F.lit(0)).alias("_event"),
+                       event.isNull().alias("_no_event"), "us", "ts", "_payload", *columns).groupBy("_group")
+
+
 def parse_records(raw: DataFrame, hex_mode: str = "parse") -> DataFrame:
     """ST1 stateless part: timestamp (S5), mapping with defaults (M7),
     payload as float (missing -> 0).  ``us`` null marks a bad record."""
@@ -211,8 +270,7 @@ def temporal_stream(parsed: DataFrame, windows: Sequence[int] = S.DEFAULT_WINDOW
         # Before a state function with a timeout Spark drops rows that are late by the nearest event-time column.  This one is
         # never late, and the least of both watermarks is that of the packets: late rows reach the function and are flagged.
         good = good.withColumn("ts", F.timestamp_seconds(F.lit(FAR))).withWatermark("ts", "0 seconds")
-    feats = (good.select(key, "event_id", "us", "ts", "_payload")
-                 .groupBy(key)
+    feats = (grouped(good, key, None if idle else GROUPS)
                  .applyInPandasWithState(make_state_fn(windows, key, max_buffer, idle),
                                          temporal_schema(windows, key), STATE_SCHEMA, "append",
                                          GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout))
@@ -237,8 +295,7 @@ def score_stream(parsed: DataFrame, windows: Sequence[int] = S.DEFAULT_WINDOWS,
         schema = schema.add(T.StructField(c, T.DoubleType()))
     fn = make_state_fn(windows, key, max_buffer, also={**{c: c for c in static_cols}, "mqtt_payload_len": "_payload"})
     schema = schema.add(T.StructField("mqtt_payload_len", T.DoubleType()))
-    feats = (good.select(key, "event_id", "us", "ts", "_payload", *[F.col(c).cast("double") for c in static_cols])
-                 .groupBy(key)
+    feats = (grouped(good, key, GROUPS, *[F.col(c).cast("double") for c in static_cols])
                  .applyInPandasWithState(fn, schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
     if caps:
         feats = apply_caps(feats, caps, {k2: v for k2, v in SERVE_CAP_TARGETS.items() if k2 == "iat"})

@@ -77,6 +77,44 @@ def test_windows_of_rows_in_any_order():
     assert time.time() - begin < 20
 
 
+def test_devices_share_calls_of_the_state_function(spark, tmp_path, monkeypatch):
+    """stream_late: 300 devices in 4 groups cost few calls per micro-batch, and each row has the frames of its own device."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(3)
+    rows = [(int(e), int(d) if d else None, int(t), float(v)) for e, (d, t, v) in enumerate(zip(rng.integers(0, 300, 1500), rng.integers(0, 9000, 1500), rng.integers(0, 40, 1500) / 4))]
+    parts = [rows[:600], rows[600:900], rows[900:]]
+    monkeypatch.setattr(SC, "GROUPS", 4, raising=False)
+    make, calls = SC.make_state_fn, spark.sparkContext.accumulator(0)
+
+    def counted(*args, **kw):
+        fn = make(*args, **kw)
+
+        def run(k, pdfs, state):
+            calls.add(1)
+            yield from fn(k, pdfs, state)
+        return run
+    monkeypatch.setattr(SC, "make_state_fn", counted)
+    frames = [spark.createDataFrame(x, "event_id long, device_id long, t long, mqtt_msg double").withColumn("timestamp", F.date_format(F.timestamp_seconds(F.col("t") + 1_700_000_000), "yyyy-MM-dd HH:mm:ss")) for x in parts]
+    out = str(tmp_path / "out")
+    SC.run_in_batches(frames, lambda x: SC.temporal_stream(x, (60, 3000), watermark="3650 days", max_buffer=3), str(tmp_path / "src"), out, str(tmp_path / "ck"))
+    got = {r["event_id"]: r for r in spark.read.parquet(out).collect()}
+    assert len(got) == 1500 and calls.value <= 3 * 5
+    before, last = {}, {}
+    for part in parts:
+        for d, mine in before.items():  # what the state keeps between micro-batches
+            before[d] = [x for x in mine if x[0] >= max(mine)[0] - 3000][-3:]
+        for e, d, t, v in sorted(part, key=lambda r: (r[2], r[0])):
+            mine, r = before.setdefault(d, []), got[e]
+            assert r["device_id"] == d and r["iat"] == t - last.get(d, t)
+            last[d] = t
+            for w in (60, 3000):
+                seen = [x for u, x in mine if t - w <= u <= t]
+                assert r[f"msg_rate_{w}s"] == pytest.approx(len(seen) / w)
+                assert r[f"rolling_mean_payload_{w}s"] == pytest.approx(np.mean(seen) if seen else 0)
+                assert r[f"rolling_std_payload_{w}s"] == pytest.approx(np.std(seen) if seen else 0, abs=1e-6)
+            mine.append((t, v))
+
+
 def test_limit_goes_on_after_a_restart(spark, tmp_path):
     src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ck"))
     rows = [(i, 1, f"2024-01-01 00:00:{i:02d}" if i % 5 else "bad") for i in range(40)]
