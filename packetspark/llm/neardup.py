@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, cut, table, words_of
+from .common import ascii_lower, bounded_batches, cut, lean, table, words_of
 from .components import components
 
 #: Fixed values of the registered query: words in a shingle and the least similarity in per cent.
@@ -217,7 +217,7 @@ def agreeing(rows: DataFrame, similarity: int) -> DataFrame:
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "size", "sketch")
     ordered = cells.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return ordered.mapInArrow(_agreeing(similarity), "centre long, node long").distinct()
+    return ordered.mapInArrow(lean(_agreeing(similarity)), "centre long, node long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -232,7 +232,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) ->
     members = pairs.join(shares, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), "node").join(sets.select("node", "elements"), "node").select(
         "centre", "share", "node", "elements")
     rows = heads.unionByName(members).repartition("centre", "share").sortWithinPartitions("centre", "share", F.col("node").asc_nulls_first())
-    return rows.select("centre", "node", "elements").mapInArrow(_compare(similarity), "a long, b long")
+    return rows.select("centre", "node", "elements").mapInArrow(lean(_compare(similarity)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY,
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bounded_batches(docs.sparkSession)
     ided = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = cut(ided.select("doc_id", _word_hashes(F.col("text")).alias("words")).mapInArrow(
-        _sketch(shingle, collections, hashes), "doc_id long, n_shingles long, set_key binary, keys array<long>"), "near-sketches")
+        lean(_sketch(shingle, collections, hashes)), "doc_id long, n_shingles long, set_key binary, keys array<long>"), "near-sketches")
     # a node is a distinct set; its number is a hash of it, its documents come back by it in the end
     named = sketched.where("doc_id is not null and set_key is not null").withColumn("node", F.xxhash64("set_key"))
     nodes = cut(named.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size")), "near-nodes")
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # one text of each set that meets another: that of its least document (rows of one id may have other texts, so by set too)
     wanted = meeting.join(nodes, "node").select("node", F.col("least").alias("_id"))
     texts = ided.join(wanted, F.col("doc_id") == F.col("_id")).select("node", _word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0)
-    sets = texts.mapInArrow(_sets(shingle), "node long, set_key binary, elements binary, sketch binary").where(F.xxhash64("set_key") == F.col("node"))
+    sets = texts.mapInArrow(lean(_sets(shingle)), "node long, set_key binary, elements binary, sketch binary").where(F.xxhash64("set_key") == F.col("node"))
     sets = cut(sets.drop("set_key").dropDuplicates(["node"]), "near-sets")
     # first every node with its bucket's centre
     centres = open_rows.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("c"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, cut, table
+from .common import bounded_batches, cut, lean, table
 
 #: The classifier is fitted on at most so many labelled documents, drawn by the hash of their ids: features on three quarters
 #: of them, the evidence of a score on the others.
@@ -131,13 +131,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     n_bad, n_good = sizes[0]
     share, n = n_bad / (n_bad + n_good), F.col("docs").cast("double")
     z = (F.col("bad") - n * share) / F.sqrt(n * share * (1 - share))
-    counted = joined.where("half = 0").select("text", "bad").mapInArrow(_count_features, "feature string, bad long, docs long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("docs").alias("docs"))
+    counted = joined.where("half = 0").select("text", "bad").mapInArrow(lean(_count_features), "feature string, bad long, docs long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("docs").alias("docs"))
     weights = {}
     for row in counted.where((F.col("docs") >= MIN_DOCS) & (z >= MIN_Z)).collect():
         evidence = _log_ratio(row["bad"], row["docs"] - row["bad"], n_bad, n_good)
         if evidence >= LEAST_EVIDENCE:
             weights[row["feature"]] = min(MOST_EVIDENCE, evidence)
-    other = joined.where("half = 1").select("text", "bad").mapInArrow(_scores(weights), "bad long, score double")
+    other = joined.where("half = 1").select("text", "bad").mapInArrow(lean(_scores(weights)), "bad long, score double")
     by_class = {r["c"]: (r["bad"], r["n"] - r["bad"]) for r in other.groupBy(_class(F.col("score")).alias("c")).agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n")).collect()}
     evidence = [_log_ratio(*by_class.get(c, (0, 0)), *sizes[1]) if c in by_class else -math.inf for c in range(len(EDGES) + 1)]
     return Model(weights, [max(evidence[:c + 1]) if max(evidence[:c + 1]) > -math.inf else 0.0 for c in range(len(evidence))])  # a higher score is never less evidence
@@ -191,7 +191,7 @@ def known_labels(labels: DataFrame) -> DataFrame:
 def _evidence(rows: DataFrame, model: Model, keep_text: bool) -> DataFrame:
     """Rows with a text -> + score and evidence."""
     kind = StructType([f for f in rows.schema.fields if keep_text or f.name != "text"]).add("score", "double")
-    scored = rows.mapInArrow(_scores(model.weights, keep_text), kind)
+    scored = rows.mapInArrow(lean(_scores(model.weights, keep_text)), kind)
     return scored.withColumn("evidence", F.element_at(F.array(*map(F.lit, model.evidence)), _class(F.col("score")) + 1))
 
 

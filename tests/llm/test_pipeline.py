@@ -22,3 +22,23 @@ def test_pipeline_runs_on_all_documents(spark):
     assert kept and kept <= ids
     out = pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in out} == kept and max(r.offset + r.length for r in out) <= 2048
+
+
+def test_stages_drop_what_other_stages_left_in_a_worker(spark):
+    """pipeline: the tables of an encoder stay in a Python worker; the stages that follow in it free them."""
+    import pyarrow as pa
+    from packetspark.llm import common, quality
+    from packetspark.llm.tokens import encoder, vocabulary
+
+    def held(batches):
+        code = encoder(vocabulary("byte_bpe_50k.json"), True)
+        code.encode(pa.array(["some words"]))
+        seen = []
+        for batch in quality_task(iter([pa.RecordBatch.from_pydict({"text": ["a b"], "doc_id": [1]})])):
+            seen.append(encoder.cache_info().currsize)
+        yield from (pa.RecordBatch.from_pydict({"n": seen}) for _ in batches)
+    quality_task = common.lean(quality._scores({}))
+    assert [r.n for r in spark.range(1, numPartitions=1).mapInArrow(held, "n long").collect()] == [0]
+    plan = quality.good_documents(spark.createDataFrame([(1, "a", "s", "en")], "doc_id long, text string, source string, lang string"),
+                                  spark.createDataFrame([(1, 0, 0)], "doc_id long, quality long, toxic long"))._jdf.queryExecution().toString()
+    assert "task(" in plan
