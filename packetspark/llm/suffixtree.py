@@ -8,12 +8,17 @@ more than the description of its distribution costs.  Longer contexts are tried
 that test; no length ends the growth by itself.  A symbol's probability comes from the longest kept suffix of what
 precedes it, smoothed with that of the next shorter one, down to the frequencies of words.
 
-The documents lie in chunks.  Their words are counted, and a level is grown, by packed messages between chunks and
-buckets.  A level is two rounds in both directions.  First each chunk sends its distinct (context, symbol) pairs with
-their counts to the buckets of the contexts (a context seen ``HOT`` times or more is spread over buckets by symbol),
-which add them up and answer in the order of the question.  Then each chunk sends its share of every context's count,
-kinds and divergence, and the buckets answer which contexts stay.  A level's table is removed once the next one is
-written; nothing is gathered or broadcast.
+The documents lie in chunks.  Their words are counted by packed messages between chunks and buckets.  Each place whose
+context is seen fewer than ``HOT`` times goes to the bucket of that context with the ``BLOCK`` symbols of context next
+to it.  A bucket has all places of its contexts, so it grows ``BLOCK`` lengths of the subtree below each one by itself,
+and answers with the change of each document's score and the places that may grow further, which are sent again with
+the symbols that follow.  A place is sent once for ``BLOCK`` lengths, so the bytes grow with the corpus alone.
+
+The few contexts seen ``HOT`` times or more have too many places for a bucket.  They are grown level by level in two
+rounds in both directions.  First each chunk sends its distinct (context, symbol) pairs with their counts to buckets by
+context and symbol, which add them up and answer in the order of the question.  Then each chunk sends its share of every
+context's count, kinds and divergence, and the buckets answer which contexts stay.  A round's table is removed once the
+next one is written; nothing is gathered or broadcast.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ ADD = 0.1
 CHUNK, BUCKET = 1_000_000, 2_000_000
 #: A context with so many occurrences has its continuations spread over buckets.
 HOT = 300_000
+#: Lengths of context that a bucket grows at a time.
+BLOCK = 4
 END, RARE = 0, 1
 #: Documents whose id's checksum leaves this rest modulo ten are held out.
 HELD_OUT, FOLDS = 0, 10
@@ -46,8 +53,15 @@ HELD_OUT, FOLDS = 0, 10
 DROPPED = np.uint64((1 << 24) - 1)
 MESSAGE = "chunk long, bucket int, a binary, b binary, c binary, d binary"
 TOLD_WORDS = "chunk long, bucket int, a binary, b binary, sums array<long>"
+#: Places of a chunk by context, and what became of them.
+PLACES = ("chunk long, bucket int, names binary, due binary, missed binary, ctx binary, sym binary, far binary, p binary, at binary, "
+          "docs binary, sizes binary, held binary")
+GROWN = "chunk long, docs binary, change binary, left_at binary, left_due binary, left_missed binary, left_p binary"
+#: The places that are to be sent: where, the length of their context, one more than the lengths not kept, probabilities.
+COLD = ("left_at", "left_due", "left_missed", "left_p")
 #: A row is a chunk (bucket null) or a message of a chunk to a bucket.
-STATE = (MESSAGE + ", tokens binary, alive binary, p binary, hot binary, doc_id array<long>, held_out array<boolean>, "
+STATE = (MESSAGE + ", tokens binary, alive binary, p binary, hot binary, left_at binary, left_due binary, left_missed binary, "
+         "left_p binary, doc_id array<long>, held_out array<boolean>, "
          "n_tokens array<long>, n_known array<long>, base_score array<double>, score array<double>")
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
           "array<boolean>": pa.list_(pa.bool_()), "array<double>": pa.list_(pa.float64())}
@@ -111,6 +125,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _longer(ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Contexts with one more symbol."""
+    return _mix(ctx * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64) + np.uint64(1))
+
+
+def _short(p: np.ndarray) -> np.ndarray:
+    return (p.view(np.uint64) & ~DROPPED).view(np.float64)
+
+
 def _dealt(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """The buckets of some hashes, each with the places of its own."""
     bucket = (_mix(key) % np.uint64(buckets)).astype(np.int32)
@@ -196,21 +219,66 @@ class Chunk:
     def sums(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner(at), values, len(self.ends))
 
+    def before(self) -> np.ndarray:
+        """The symbol before each place; before a document that is an end."""
+        return np.concatenate([np.array([END], np.int32), self.tokens])
+
+    def place(self, at: np.ndarray) -> np.ndarray:
+        return at - np.concatenate([[0], self.ends])[self.owner(at)]
+
+    def by_symbol(self, p: np.ndarray) -> np.ndarray:
+        """Probabilities by symbol, of the symbols in the chunk."""
+        known = np.zeros(int(self.tokens.max()) + 1)
+        known[self.tokens] = p
+        return known[known > 0]
+
+    def blocks(self, buckets: int) -> Iterator[dict]:
+        """The places to be sent, in order, to the buckets of their contexts."""
+        at = np.cumsum(_unpack(self.row["left_at"], np.int32))
+        due, missed = _unpack(self.row["left_due"], np.int32).astype(np.int64), _unpack(self.row["left_missed"], np.uint8)
+        p = _unpack(self.row["left_p"], np.float64) if self.row["left_p"] else None
+        if p is None:  # so far the probability depends on the symbol alone
+            root = np.zeros(int(self.tokens.max()) + 1)
+            root[np.flatnonzero(np.bincount(self.tokens))] = _unpack(self.row["p"], np.float64)
+        before, place, owner, held = self.before(), self.place(at), self.owner(at), np.asarray(self.row["held_out"], bool)
+        ctx = np.zeros(len(at), np.uint64)
+        for j in range(int(due.max())):
+            on = np.flatnonzero(due > j)
+            ctx[on] = _longer(ctx[on], before[at[on] - j])
+        for bucket, of in _dealt(ctx, buckets):
+            names, first, which = np.unique(ctx[of], return_index=True, return_inverse=True)
+            docs, sizes = np.unique(owner[of], return_counts=True)
+            here, sym = at[of], self.tokens[at[of]]
+            far = np.concatenate([np.where(place[of] >= n, before[np.maximum(here - n, 0)], RARE) for n in (due[of] + k for k in range(BLOCK - 1))])
+            yield {"chunk": self.row["chunk"], "bucket": bucket, "names": _pack(names), "due": _pack(due[of][first].astype(np.int32)),
+                   "missed": _pack(missed[of][first]), "ctx": _pack(which.astype(np.int32)), "sym": _pack(sym), "far": _pack(far.astype(np.int32)),
+                   "p": _pack(root[np.unique(sym)] if p is None else p[of]), "at": _pack(np.diff(here, prepend=0).astype(np.int32)),
+                   "docs": _pack(np.diff(docs, prepend=0).astype(np.int32)), "sizes": _pack(sizes.astype(np.int32)), "held": _pack(held[docs])}
+
+    def grown(self, told: pa.Table, score: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The scores after the buckets' answers, and the places that may grow further."""
+        left = {c: [] for c in COLD}
+        for r in told.to_pylist():
+            np.add.at(score, np.cumsum(_unpack(r["docs"], np.int32)), _unpack(r["change"], np.float64))
+            for c, kind in zip(COLD, (np.int32, np.int32, np.uint8, np.float64)):
+                left[c].append(_unpack(r[c], kind))
+        left = {c: np.concatenate(v) if v else np.zeros(0) for c, v in left.items()}
+        at, due = left["left_at"].astype(np.int64), left["left_due"].astype(np.int64)
+        go = np.flatnonzero((self.place(at) >= due - 1) & (self.before()[np.maximum(at - due + 1, 0)] != RARE))
+        return score, {c: v[go] for c, v in left.items()}
+
     def look(self, alive: np.ndarray, depth: int) -> None:
         """Distinct contexts of the tokens at the living places, and pairs with the symbol there, sorted by both."""
         self.at = np.flatnonzero(alive)
-        before = np.concatenate([np.array([END], np.int32), self.tokens])
-
-        def longer(ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-            return _mix(ctx * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64) + np.uint64(1))
+        before = self.before()
         last = before[self.at]
         if depth == 1:
             seen = np.bincount(last) > 0
-            self.ctx, self.of_ctx = longer(np.zeros(seen.sum(), np.uint64), np.flatnonzero(seen)), (np.cumsum(seen) - 1)[last]
+            self.ctx, self.of_ctx = _longer(np.zeros(seen.sum(), np.uint64), np.flatnonzero(seen)), (np.cumsum(seen) - 1)[last]
         else:
             ctx = np.zeros(len(self.at), np.uint64)
             for j in range(depth):
-                ctx = longer(ctx, before[self.at - j])
+                ctx = _longer(ctx, before[self.at - j])
             self.ctx, self.of_ctx = np.unique(ctx, return_inverse=True)
             del ctx
         key, self.of_pair = np.unique((self.of_ctx.astype(np.int64) << 32) | self.tokens[self.at], return_inverse=True)
@@ -234,17 +302,32 @@ class Chunk:
 
     def after(self, messages: list[dict], **columns) -> pa.Table:
         """The chunk with new values in some columns, and its messages."""
-        kept = {c: v for c, v in self.row.items() if c not in ("a", "b", "c", "d")}
+        kept = {c: v for c, v in self.row.items() if c not in ("a", "b", "c", "d", "alive", "p", "hot", *COLD)}
         return _rows(STATE, [{**kept, **columns}] + [{"chunk": self.row["chunk"], **m} for m in messages])
 
-    def ask(self, depth: int, alive: np.ndarray, p: np.ndarray, often: np.ndarray, buckets: int, **columns) -> pa.Table:
-        """The chunk with its question for all pairs of ``depth`` symbols and the next.
+    def ask(self, depth: int, alive: np.ndarray, p: np.ndarray, often: np.ndarray, buckets: int, left: dict[str, np.ndarray] | None = None, **columns) -> pa.Table:
+        """The chunk with the places to be sent, and its question for the pairs of ``depth`` symbols and the next in hot contexts.
 
         ``alive`` is 0 where a token has no such context, else one more than the lengths in a row that were not kept;
-        ``often`` is the count of that context where it is known; ``p`` are the probabilities so far.
+        ``often`` is the count of that context where it may be hot; ``p`` are the probabilities so far; ``left`` are
+        further places to be sent, with contexts of their own length.
         """
-        if not alive.any():  # without a place to look at, tokens are not needed again
-            return self.after([], **{**columns, "tokens": _pack(self.tokens[:0]), "alive": None, "p": None, "hot": None})
+        cold = np.flatnonzero((alive > 0) & (often < HOT))
+        send = {"left_at": cold, "left_due": np.full(len(cold), depth), "left_missed": alive[cold], "left_p": p[cold]}
+        if left is not None:
+            send = {c: np.concatenate([v, left[c]]) for c, v in send.items()}
+            order = np.argsort(send["left_at"], kind="stable")
+            send = {c: v[order] for c, v in send.items()}
+        alive = np.where(often < HOT, 0, alive).astype(np.uint8)
+        if len(send["left_at"]):
+            columns |= {"left_at": _pack(np.diff(send["left_at"], prepend=0).astype(np.int32)), "left_due": _pack(send["left_due"].astype(np.int32)),
+                        "left_missed": _pack(send["left_missed"].astype(np.uint8)), "left_p": None if depth == 1 else _pack(send["left_p"])}
+        elif not alive.any():  # without a place to look at, tokens are not needed again
+            return self.after([], **{**columns, "tokens": _pack(self.tokens[:0])})
+        if depth == 1:  # the probability depends on the symbol alone
+            columns["p"] = _pack(self.by_symbol(p))
+        if not alive.any():
+            return self.after([], **columns)
         self.look(alive, depth)
         hot = np.zeros(len(self.ctx), bool)
         hot[self.of_ctx] = often[self.at] >= HOT
@@ -253,14 +336,11 @@ class Chunk:
             of, count = np.unique(self.pair_ctx[places], return_counts=True)
             messages.append({"bucket": bucket, "a": _pack(self.ctx[of]), "b": _pack(count.astype(np.int32)),
                              "c": _pack(np.diff(self.sym[places], prepend=np.int32(0))), "d": _pack(own[places])})
-        if depth == 1:  # the probability depends on the symbol alone
-            known = np.zeros(int(self.tokens.max()) + 1)
-            known[self.tokens] = p
-            known = known[known > 0]  # by symbol, of those in the chunk
-        else:
+        if depth > 1:
             known = np.empty(len(self.sym))
             known[self.of_pair] = p[self.at]
-        return self.after(messages, alive=_pack(alive), p=_pack(known), hot=_pack(hot), **columns)
+            columns["p"] = _pack(known)
+        return self.after(messages, alive=_pack(alive), hot=_pack(hot), **columns)
 
     def known(self, depth: int) -> np.ndarray:
         """Probabilities so far of the pairs."""
@@ -316,7 +396,7 @@ def _gather(depth: int, buckets: int):
     """Takes the counts of the pairs; sends the chunk's share of each context's count, kinds and divergence, and keeps the counts."""
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         chunk = Chunk(rows)
-        if not len(chunk.tokens):
+        if chunk.row["alive"] is None:
             return _rows(MESSAGE, [])
         chunk.look(_unpack(chunk.row["alive"], np.uint8), depth)
         answer = chunk.answers(told, chunk.pairs_dealt(_unpack(chunk.row["hot"], bool), buckets), len(chunk.sym), "a")
@@ -343,34 +423,98 @@ def _add_contexts(messages: pa.Table) -> pa.Table:
     return _rows(MESSAGE, [{"chunk": r["chunk"], "bucket": r["bucket"], "a": _pack(a), "b": _pack(b)} for r, a, b in zip(rows, np.split(told, cuts), np.split(kinds, cuts))])
 
 
+def _send(buckets: int):
+    """The messages of each chunk's places."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield from _rows(PLACES, list(Chunk(pa.Table.from_batches([batch.slice(i, 1)])).blocks(buckets))).to_batches()
+    return run
+
+
+def _subtree(messages: pa.Table) -> pa.Table:
+    """Grows the subtrees below a bucket's contexts by ``BLOCK`` lengths; answers each chunk with the changes of its documents'
+    scores and the places that may grow further."""
+    give_back()
+    rows = messages.sort_by("chunk").to_pylist()
+
+    def column(name: str, kind: type) -> list[np.ndarray]:
+        return [_unpack(r.pop(name), kind) for r in rows]
+    names, sym, docs, sizes = column("names", np.uint64), column("sym", np.int32), [np.cumsum(d) for d in column("docs", np.int32)], column("sizes", np.int32)
+    known, of = np.unique(np.concatenate(names), return_inverse=True)
+    due, missed = np.zeros(len(known), np.int64), np.zeros(len(known), np.uint8)
+    due[of], missed[of] = np.concatenate(column("due", np.int32)), np.concatenate(column("missed", np.uint8)) - 1
+    begin = np.concatenate([group[which] for group, which in zip(np.split(of, np.cumsum([len(n) for n in names])[:-1]), column("ctx", np.int32))])
+    cuts = np.cumsum([len(x) for x in sym])[:-1]
+    # probabilities by symbol while they depend on it alone
+    p = np.concatenate([q[np.unique(x, return_inverse=True)[1]] if len(q) < len(x) else q for q, x in zip(column("p", np.float64), sym)])
+    far = np.concatenate([x.reshape(BLOCK - 1, -1) for x in column("far", np.int32)], axis=1)
+    own = ~np.concatenate([np.repeat(held, n) for held, n in zip(column("held", bool), sizes)])
+    sym, group, change, left = np.concatenate(sym), begin, -np.log10(p), np.zeros(len(own), np.uint8)
+    on = np.arange(len(own))
+    for k in range(BLOCK):
+        pair, of = np.unique((group.astype(np.int64) << 32) | sym[on], return_inverse=True)
+        n, ctx, before = np.bincount(of, own[on], len(pair)), pair >> 32, np.empty(len(pair))
+        before[of] = p[on]
+        total, kinds = np.bincount(ctx, n, len(missed)), np.bincount(ctx, n > 0, len(missed))
+        gain = np.bincount(ctx, n * (np.log(np.maximum(n, 1)) - np.log(before)), len(missed))
+        kept = (total >= LEAST) & (gain - total * np.log(np.maximum(total, 1)) > 0.5 * kinds * np.log(np.maximum(total, 2)))
+        share = 1 / np.maximum(total + kinds, 1)
+        p[on] = _short(np.where(kept[ctx], n * share[ctx] + (kinds * share)[ctx] * before, before))[of]
+        missed = np.where(kept, 0, missed + 1).astype(np.uint8)
+        go = ((total >= LEAST) & (missed < PATIENCE))[group]
+        if k == BLOCK - 1:
+            left[on[go]] = missed[group[go]] + 1
+            break
+        go &= far[k, on] != RARE
+        on, group = on[go], group[go]
+        if not len(on):
+            break
+        longer, group = np.unique((group.astype(np.int64) << 32) | far[k, on], return_inverse=True)
+        missed = missed[longer >> 32]
+    change += np.log10(p)
+    out = []
+    for r, at, d, size, which, c, m, q in zip(rows, column("at", np.int32), docs, sizes, *(np.split(x, cuts) for x in (begin, change, left, p))):
+        go = np.flatnonzero(m)
+        out.append({"chunk": r["chunk"], "docs": _pack(np.diff(d, prepend=0).astype(np.int32)), "change": _pack(np.add.reduceat(c, np.cumsum(size) - size)),
+                    "left_at": _pack(np.cumsum(at, dtype=np.int64)[go].astype(np.int32)), "left_due": _pack((due[which[go]] + BLOCK).astype(np.int32)),
+                    "left_missed": _pack(m[go]), "left_p": _pack(q[go])})
+    return _rows(GROWN, out)
+
+
 def _deepen(depth: int, buckets: int):
-    """Scores with the contexts of ``depth`` symbols that stay; asks for longer ones."""
+    """Scores with the contexts that stay, of ``depth`` symbols where they are hot; asks for longer ones."""
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         chunk = Chunk(rows)
         if not len(chunk.tokens):
             return chunk.after([])
-        size, before = len(chunk.tokens), _unpack(chunk.row["alive"], np.uint8)
+        size = len(chunk.tokens)
+        grown = pa.compute.is_valid(told["docs"])
+        tree, left = chunk.grown(told.filter(grown), np.array(chunk.row["score"], float))
+        told = told.filter(pa.compute.invert(grown))
+        alive, full, often = np.zeros(size, np.uint8), np.ones(size), np.zeros(size + 1, np.int64)
+        if chunk.row["alive"] is None:
+            return chunk.ask(depth + 1, alive, full, often[:-1], buckets, left, score=tree)
+        before = _unpack(chunk.row["alive"], np.uint8)
         chunk.look(before, depth)
         at = chunk.at
         answer, kinds = (chunk.answers(told, _dealt(chunk.ctx, buckets), len(chunk.ctx), c) for c in "ab")
         total, use = answer >> 1, (answer & 1 > 0)[chunk.of_ctx]
         n, p = _unpack(told.filter(told["bucket"].is_null())["a"][0].as_py(), np.int64)[chunk.of_pair], chunk.known(depth)[chunk.of_pair]
         share = 1 / np.maximum(total + kinds, 1)
-        better = np.where(use, n * share[chunk.of_ctx] + (kinds * share)[chunk.of_ctx] * p, p)
-        better = (better.view(np.uint64) & ~DROPPED).view(np.float64)
-        tree = np.asarray(chunk.row["score"]) + chunk.sums(at, np.log10(better) - np.log10(p))
-        # a longer context is what the context one place before saw follow it
-        # (beyond PATIENCE that one may not have been counted; the longer one's own count decides then)
-        frequent, often = np.full(size + 1, depth > PATIENCE), np.zeros(size + 1, np.int64)
+        better = _short(np.where(use, n * share[chunk.of_ctx] + (kinds * share)[chunk.of_ctx] * p, p))
+        tree = tree + chunk.sums(at, np.log10(better) - np.log10(p))
+        # a longer context is what the context one place before saw follow it; where that one is not hot, the
+        # longer one is not either, and its bucket finds whether it is frequent
+        frequent = np.ones(size + 1, bool)
         frequent[at + 1], often[at + 1] = n >= LEAST, n
-        place = at - np.concatenate([[0], chunk.ends])[chunk.owner(at)]
-        far = np.where(place == depth, END, chunk.tokens[np.maximum(at - depth - 1, 0)])
+        place = chunk.place(at)
+        far = chunk.before()[np.maximum(at - depth, 0)]
         last = chunk.tokens[np.maximum(at - 1, 0)]
-        alive, full = np.zeros(size, np.uint8), np.ones(size)
         missed = np.where(use, 0, before[at])
         alive[at] = np.where(frequent[at] & (place >= depth) & (far != RARE) & (last != RARE) & (missed < PATIENCE), missed + 1, 0)
         full[at] = better
-        return chunk.ask(depth + 1, alive, full, often, buckets, score=tree)
+        return chunk.ask(depth + 1, alive, full, often[:-1], buckets, left, score=tree)
     return run
 
 
@@ -386,21 +530,29 @@ def _read(spark: SparkSession, path: str, schema: str, message: bool) -> DataFra
 
 
 def grow(spark: SparkSession, state: str, buckets: int) -> str:
-    """Grows the tree while a chunk asks for longer contexts; ``state`` is the path of the chunks that ask for those of one
-    symbol, the result that of the chunks with their last scores."""
+    """Grows the tree while a chunk has places to be sent or asks for longer contexts; ``state`` is the path of the chunks that
+    begin with contexts of one symbol, the result that of the chunks with their last scores."""
     depth = 1
-    while not (asked := _read(spark, state, MESSAGE, True)).isEmpty():
-        own = _read(spark, state, STATE, False)
-        told = asked.groupBy("bucket").applyInArrow(_add_pairs, MESSAGE)
-        shares = _write(own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_gather(depth, buckets), MESSAGE))
-        drop_shared(spark, f"{state}/message=true")
-        own = _read(spark, state, STATE, False)
-        told = _read(spark, shares, MESSAGE, True).groupBy("bucket").applyInArrow(_add_contexts, MESSAGE).unionAll(_read(spark, shares, MESSAGE, False))
-        after = _write(own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_deepen(depth, buckets), STATE))
-        drop_shared(spark, state)
-        drop_shared(spark, shares)
+    while True:
+        asked, own = _read(spark, state, MESSAGE, True), _read(spark, state, STATE, False)
+        hot, places = not asked.isEmpty(), own.where(F.col("left_at").isNotNull())
+        if not hot and places.isEmpty():
+            return state
+        sent = places.select("chunk", "tokens", "p", *COLD, "held_out", "n_tokens").mapInArrow(_send(2 * buckets), PLACES)
+        grown = write_shared(sent.groupBy("bucket").applyInArrow(_subtree, GROWN), "pst-grown")
+        own = own.drop(*COLD)
+        answers, shares = spark.read.schema(GROWN).parquet(grown), None
+        if hot:
+            told = asked.groupBy("bucket").applyInArrow(_add_pairs, MESSAGE)
+            shares = _write(own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_gather(depth, buckets), MESSAGE))
+            drop_shared(spark, f"{state}/message=true")
+            own = _read(spark, state, STATE, False).drop(*COLD)
+            told = _read(spark, shares, MESSAGE, True).groupBy("bucket").applyInArrow(_add_contexts, MESSAGE).unionAll(_read(spark, shares, MESSAGE, False))
+            answers = answers.unionByName(told, allowMissingColumns=True)
+        after = _write(own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_deepen(depth, buckets), STATE))
+        for path in filter(None, (state, grown, shares)):
+            drop_shared(spark, path)
         state, depth = after, depth + 1
-    return state
 
 
 def _scored(rows: DataFrame) -> tuple[DataFrame, int]:
