@@ -23,7 +23,7 @@ next one is written; nothing is gathered or broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -46,6 +46,8 @@ CHUNK, BUCKET = 1_000_000, 2_000_000
 HOT = 300_000
 #: Lengths of context that a bucket grows at a time.
 BLOCK = 4
+#: Chunks and buckets are shuffled in so many parts, one after the other, where there are WAVE tokens for each.
+WAVES, WAVE = 4, 8_000_000
 END, RARE = 0, 1
 #: Documents whose id's checksum leaves this rest modulo ten are held out.
 HELD_OUT, FOLDS = 0, 10
@@ -232,19 +234,24 @@ class Chunk:
         known[self.tokens] = p
         return known[known > 0]
 
-    def blocks(self, buckets: int) -> Iterator[dict]:
-        """The places to be sent, in order, to the buckets of their contexts."""
+    def blocks(self, buckets: int, wave: int = 0, waves: int = 1) -> Iterator[dict]:
+        """The places to be sent, in order, to the buckets of their contexts; those of a wave."""
         at = np.cumsum(_unpack(self.row["left_at"], np.int32))
         due, missed = _unpack(self.row["left_due"], np.int32).astype(np.int64), _unpack(self.row["left_missed"], np.uint8)
         p = _unpack(self.row["left_p"], np.float64) if self.row["left_p"] else None
         if p is None:  # so far the probability depends on the symbol alone
             root = np.zeros(int(self.tokens.max()) + 1)
             root[np.flatnonzero(np.bincount(self.tokens))] = _unpack(self.row["p"], np.float64)
-        before, place, owner, held = self.before(), self.place(at), self.owner(at), np.asarray(self.row["held_out"], bool)
+        before, held = self.before(), np.asarray(self.row["held_out"], bool)
         ctx = np.zeros(len(at), np.uint64)
         for j in range(int(due.max())):
             on = np.flatnonzero(due > j)
             ctx[on] = _longer(ctx[on], before[at[on] - j])
+        if waves > 1:
+            now = np.flatnonzero(_mix(ctx) % np.uint64(buckets) % np.uint64(waves) == wave)
+            at, due, missed, ctx, p = at[now], due[now], missed[now], ctx[now], p if p is None else p[now]
+        owner = self.owner(at)
+        place = at - np.concatenate([[0], self.ends])[owner]
         for bucket, of in _dealt(ctx, buckets):
             names, first, which = np.unique(ctx[of], return_index=True, return_inverse=True)
             docs, sizes = np.unique(owner[of], return_counts=True)
@@ -423,12 +430,12 @@ def _add_contexts(messages: pa.Table) -> pa.Table:
     return _rows(MESSAGE, [{"chunk": r["chunk"], "bucket": r["bucket"], "a": _pack(a), "b": _pack(b)} for r, a, b in zip(rows, np.split(told, cuts), np.split(kinds, cuts))])
 
 
-def _send(buckets: int):
-    """The messages of each chunk's places."""
+def _send(buckets: int, wave: int, waves: int):
+    """The messages of each chunk's places to the buckets of a wave."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                yield from _rows(PLACES, list(Chunk(pa.Table.from_batches([batch.slice(i, 1)])).blocks(buckets))).to_batches()
+                yield from _rows(PLACES, list(Chunk(pa.Table.from_batches([batch.slice(i, 1)])).blocks(buckets, wave, waves))).to_batches()
     return run
 
 
@@ -518,10 +525,12 @@ def _deepen(depth: int, buckets: int):
     return run
 
 
-def _write(df: DataFrame) -> str:
-    """The path of chunks and messages in folders of their own, so that messages can go once they were answered."""
-    path = shared_path(df.sparkSession, "pst-level")
-    df.withColumn("message", F.col("bucket").isNotNull()).write.option("compression", "zstd").partitionBy("message").parquet(path)
+def _write(parts: Iterable[DataFrame], spark: SparkSession) -> str:
+    """The path of chunks and messages in folders of their own, so that messages can go once they were answered.  The shuffle
+    of a part is removed before that of the next begins."""
+    path = shared_path(spark, "pst-level")
+    for df in parts:
+        df.withColumn("message", F.col("bucket").isNotNull()).write.mode("append").option("compression", "zstd").partitionBy("message").parquet(path)
     return path
 
 
@@ -529,7 +538,23 @@ def _read(spark: SparkSession, path: str, schema: str, message: bool) -> DataFra
     return spark.read.schema(f"{schema}, message boolean").parquet(path).where(F.col("message") == message).drop("message")
 
 
-def grow(spark: SparkSession, state: str, buckets: int) -> str:
+def _answered(own: DataFrame, told: DataFrame, run, schema: str, waves: int) -> str:
+    """Chunks with what was told them; some chunks after the other."""
+    def of(df: DataFrame, wave: int) -> DataFrame:
+        return df if waves == 1 else df.where(F.pmod(F.xxhash64("chunk"), F.lit(waves)) == wave)
+    return _write((of(own, w).groupBy("chunk").cogroup(of(told, w).groupBy("chunk")).applyInArrow(run, schema) for w in range(waves)), own.sparkSession)
+
+
+def _grown(places: DataFrame, buckets: int, waves: int) -> str:
+    """The path of the answers to the places that chunks send; some buckets after the other."""
+    spark, path = places.sparkSession, shared_path(places.sparkSession, "pst-grown")
+    for w in range(waves):
+        sent = places.mapInArrow(_send(buckets, w, waves), PLACES)
+        sent.groupBy("bucket").applyInArrow(_subtree, GROWN).write.mode("append").option("compression", "zstd").parquet(path)
+    return path
+
+
+def grow(spark: SparkSession, state: str, buckets: int, waves: int) -> str:
     """Grows the tree while a chunk has places to be sent or asks for longer contexts; ``state`` is the path of the chunks that
     begin with contexts of one symbol, the result that of the chunks with their last scores."""
     depth = 1
@@ -538,19 +563,21 @@ def grow(spark: SparkSession, state: str, buckets: int) -> str:
         hot, places = not asked.isEmpty(), own.where(F.col("left_at").isNotNull())
         if not hot and places.isEmpty():
             return state
-        sent = places.select("chunk", "tokens", "p", *COLD, "held_out", "n_tokens").mapInArrow(_send(2 * buckets), PLACES)
-        grown = write_shared(sent.groupBy("bucket").applyInArrow(_subtree, GROWN), "pst-grown")
+        grown = _grown(places.select("chunk", "tokens", "p", *COLD, "held_out", "n_tokens"), 2 * buckets, waves)
         own = own.drop(*COLD)
-        answers, shares = spark.read.schema(GROWN).parquet(grown), None
+        answers, used = spark.read.schema(GROWN).parquet(grown), [state, grown]
         if hot:
-            told = asked.groupBy("bucket").applyInArrow(_add_pairs, MESSAGE)
-            shares = _write(own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_gather(depth, buckets), MESSAGE))
+            def told(messages: DataFrame, add) -> DataFrame:
+                used.append(write_shared(messages.groupBy("bucket").applyInArrow(add, MESSAGE), "pst-told"))
+                return spark.read.schema(MESSAGE).parquet(used[-1])
+            counted = told(asked, _add_pairs)
             drop_shared(spark, f"{state}/message=true")
             own = _read(spark, state, STATE, False).drop(*COLD)
-            told = _read(spark, shares, MESSAGE, True).groupBy("bucket").applyInArrow(_add_contexts, MESSAGE).unionAll(_read(spark, shares, MESSAGE, False))
-            answers = answers.unionByName(told, allowMissingColumns=True)
-        after = _write(own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_deepen(depth, buckets), STATE))
-        for path in filter(None, (state, grown, shares)):
+            used.append(shares := _answered(own, counted, _gather(depth, buckets), MESSAGE, waves))
+            kept = told(_read(spark, shares, MESSAGE, True), _add_contexts).unionAll(_read(spark, shares, MESSAGE, False))
+            answers = answers.unionByName(kept, allowMissingColumns=True)
+        after = _answered(own, answers, _deepen(depth, buckets), STATE, waves)
+        for path in used:
             drop_shared(spark, path)
         state, depth = after, depth + 1
 
@@ -561,19 +588,19 @@ def _scored(rows: DataFrame) -> tuple[DataFrame, int]:
     chunks = write_shared(rows.mapInArrow(_chunks, STATE), "pst-chunks")
     whole = spark.read.schema(STATE).parquet(chunks)
     ends = int(whole.agg(F.sum(F.size(F.filter("held_out", lambda out: ~out)))).first()[0] or 0)
-    buckets = 1 + int(whole.agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0) // BUCKET
+    tokens = int(whole.agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0)
+    buckets, waves = 1 + tokens // BUCKET, max(1, min(WAVES, tokens // WAVE))
     asked = whole.select("chunk", "a", "b").mapInArrow(_ask_words(buckets), MESSAGE)
     listed = write_shared(asked.groupBy("bucket").applyInArrow(_add_words(buckets), TOLD_WORDS), "pst-words")
     told = spark.read.schema(TOLD_WORDS).parquet(listed)
     total, distinct, shown, symbols = (int(x or 0) for x in told.where("chunk is null").agg(*[F.sum(F.col("sums")[i]) for i in range(4)]).first())
     words = Words(ends, total + ends, distinct + (ends > 0), symbols, shown)
     found = told.where("chunk is not null").drop("sums")
-    begun = whole.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_begin(ends, words.mass(), words.rare_mass(), buckets), STATE)
-    state = _write(begun)
+    state = _answered(whole, found, _begin(ends, words.mass(), words.rare_mass(), buckets), STATE, waves)
     drop_shared(spark, chunks)
     drop_shared(spark, listed)
     of = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    return _read(spark, grow(spark, state, buckets), STATE, False).select(F.explode(F.arrays_zip(*of)).alias("doc")), words.total
+    return _read(spark, grow(spark, state, buckets, waves), STATE, False).select(F.explode(F.arrays_zip(*of)).alias("doc")), words.total
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

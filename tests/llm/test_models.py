@@ -322,6 +322,66 @@ def test_hot_contexts_are_spread(spark):
     assert firsts == [6, 0, 0]
 
 
+def test_places_are_sent_once_for_some_lengths(spark, monkeypatch):
+    """A tree of several lengths takes a round of messages for ``BLOCK`` of them; waves of chunks and buckets give the same scores."""
+    rng, rows = np.random.default_rng(11), []
+    for i in range(200):
+        first = rng.integers(0, 3)
+        rows.append((i, " ".join([f"f{rng.integers(0, 20)}" for _ in range(200)] + [f"s{first}", "a", "b", "c", f"e{first}"])))
+    want, tree = tree_scores(rows)
+    docs, written, write = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), [], suffixtree.shared_path
+    monkeypatch.setattr(suffixtree, "shared_path", lambda session, name: written.append(name) or write(session, name))
+    got = {r.doc_id: r.score for r in suffixtree.score(docs).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
+    assert len(tree) > 3 and written.count("pst-level") <= 2 + len(tree) // suffixtree.BLOCK
+    monkeypatch.setattr(suffixtree, "BUCKET", 10_000)
+    monkeypatch.setattr(suffixtree, "WAVE", 10_000)
+    waves = {r.doc_id: r.score for r in suffixtree.score(docs.repartition(5)).collect()}
+    assert all(abs(waves[d] - want[d]) < 1e-6 for d in want)
+
+
+def test_hot_and_other_contexts_give_one_tree(monkeypatch):
+    """The same scores where contexts are grown level by level, in buckets, or in buckets below the hot ones."""
+    rng = np.random.default_rng(12)
+    texts = [np.concatenate([np.minimum(rng.geometric(0.2, 60) + 1, 9), [2 + k, 7, 8, 5 + k, 0]]) for k in rng.integers(0, 3, 90)]
+    flat = np.concatenate(texts)
+    n = np.bincount(flat, minlength=10)
+    p0, last = n[flat] / n.sum(), np.concatenate([[0], flat[:-1]])
+    known = lambda t, kind: suffixtree._rows(kind, t.to_pylist())
+
+    def groups(rows, key):
+        keys = rows[key].to_pylist()
+        return [rows.take([i for i, x in enumerate(keys) if x == k]) for k in sorted({x for x in keys if x is not None})]
+
+    def scores(hot):
+        monkeypatch.setattr(suffixtree, "HOT", hot)
+        begun = []
+        for name in range(3):
+            part = texts[name * 30:name * 30 + 30]
+            row = {"chunk": name, "tokens": suffixtree._pack(np.concatenate(part).astype(np.int32)), "doc_id": list(range(30)), "held_out": [i == 4 for i in range(30)],
+                   "n_tokens": [65] * 30, "n_known": [65] * 30, "base_score": [0.0] * 30, "score": [0.0] * 30}
+            at = slice(name * 30 * 65, (name + 1) * 30 * 65)
+            begun.append(suffixtree.Chunk(suffixtree._rows(suffixtree.STATE, [row])).ask(1, np.ones(30 * 65, np.uint8), p0[at], n[last[at]], 3))
+        state, depth, sent = pa.concat_tables(begun), 1, [0, 0]
+        while True:
+            own, asked = state.filter(pa.compute.is_null(state["bucket"])), state.filter(pa.compute.is_valid(state["bucket"]))
+            places = [m for c in groups(own, "chunk") if c["left_at"][0].is_valid for m in suffixtree.Chunk(c).blocks(4)]
+            if not len(asked) and not places:
+                return np.concatenate([np.array(c["score"][0].as_py()) for c in groups(own, "chunk")]), sent
+            sent = [sent[0] + len(asked), sent[1] + len(places)]
+            answers = [r for b in groups(suffixtree._rows(suffixtree.PLACES, places), "bucket") for r in suffixtree._subtree(b).to_pylist()]
+            told = pa.concat_tables([known(suffixtree._add_pairs(b), suffixtree.STATE) for b in groups(asked, "bucket")] or [state.slice(0, 0)])
+            shares = pa.concat_tables([suffixtree._gather(depth, 3)(c, told.filter(pa.compute.equal(told["chunk"], c["chunk"][0]))) for c in groups(own, "chunk")])
+            answers += [r for b in groups(shares, "bucket") for r in suffixtree._add_contexts(b).to_pylist()] + shares.filter(pa.compute.is_null(shares["bucket"])).to_pylist()
+            every = suffixtree._rows(suffixtree.MESSAGE + suffixtree.GROWN.removeprefix("chunk long"), answers)
+            state = pa.concat_tables([suffixtree._deepen(depth, 3)(c, every.filter(pa.compute.equal(every["chunk"], c["chunk"][0]))) for c in groups(own, "chunk")])
+            depth += 1
+
+    (levels, a), (mixed, b), (buckets, c) = scores(1), scores(300), scores(10 ** 9)
+    assert a[0] and b[0] and b[1] and c[1] and not c[0]
+    assert abs(levels).max() > 1 and np.allclose(levels, mixed, rtol=0, atol=1e-9) and np.allclose(levels, buckets, rtol=0, atol=1e-9)
+
+
 def test_assigned_and_dotted_secrets(spark):
     """Short passwords behind a name and a sign, and a token of three parts as one span; names and prose stay."""
     rnd = random.Random(12)
