@@ -38,7 +38,8 @@ GAZETTEER = ("password", "passwd", "pwd", "passphrase", "secret", "token", "api"
 NAME = rf"(?<![A-Za-z0-9_])[A-Za-z0-9_.-]{{0,40}}?(?i:{'|'.join(GAZETTEER)})[A-Za-z0-9_]{{0,8}}+[\"']?[ \t]{{0,2}}+[=:]{{1,2}}+[ \t]{{0,2}}+[\"']?+"
 VALUE = r"[^\s\"',;<>()\[\]{}]{4,}(?<![.:])"
 RUN = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{14,}+(?:\.[A-Za-z0-9_+/=-]{4,}+)*+"
-NAMED = rf"(?i:{'|'.join(GAZETTEER)})[A-Za-z0-9_]{{0,8}}+[\"']?[ \t]{{0,2}}+[=:]"
+#: Whether a text has any: looked for behind the signs, which are few.
+NAMED = rf"[=:](?<=(?i:{'|'.join(GAZETTEER)})[A-Za-z0-9_]{{0,8}}[\"']?[ \t]{{0,2}}[=:])"
 BEFORE = 24
 #: Steps of expectation-maximisation, and the probability from which a span is taken.
 STEPS, ACCEPT = 30, 0.5
@@ -120,9 +121,10 @@ def _described(text: Column) -> Column:
         v, n, named = x["value"], F.length(x["value"]), x["named"]
         digits, capitals = F.length(_digits(v)), F.length(F.regexp_replace(v, "[^A-Z]", ""))
         letters = F.length(F.regexp_replace(v, "[^A-Za-z]", ""))
-        before = F.lower(F.substr(text, F.greatest(F.lit(1), x["start"] - (BEFORE - 1)), F.least(F.lit(BEFORE), x["start"])))
-        last = F.substr(text, x["start"], F.lit(1))
-        after = F.substr(text, x["end"] + 1, F.lit(1))
+        lead = F.least(F.lit(BEFORE), x["start"])
+        before = F.lower(F.substr(x["near"], F.lit(1), lead))
+        last = F.substr(x["near"], lead, F.lit(1))
+        after = F.substr(x["near"], lead + (x["end"] - x["start"]) + 1, F.lit(1))
         sign = F.when(x["start"] == 0, 0).when(named | last.rlike(r"[=:\"'/]"), 2).otherwise(1)
         known = v.rlike("^(?:AKIA[0-9A-Z]{16}|(?=[0-9]*+[a-f])[0-9a-f]{16,}+|sk-[A-Za-z0-9]{16,}+|eyJ[A-Za-z0-9_-]{8,}+(?:\\.[A-Za-z0-9_-]{8,}+)++)$")
         votes = (
@@ -135,8 +137,13 @@ def _described(text: Column) -> Column:
         features = (F.least(F.lit(10), F.floor(n / 4)).cast("int"), F.floor(10 * digits / n).cast("int"), F.floor(5 * capitals / n).cast("int"), sign,
                     F.when(after.rlike(r"[\"';]"), 1).otherwise(0), named.cast("int"), known.cast("int"))
         return F.struct(x["start"], x["end"], F.array(*votes).alias("votes"), F.array(*features).alias("features"))
+
+    def near(x: Column) -> Column:
+        # the span with what is before and after it, taken from the text once
+        lead = F.least(F.lit(BEFORE), x["start"])
+        return F.struct(*[x[c].alias(c) for c in ("start", "end", "value", "named")], F.substr(text, x["start"] - lead + 1, lead + (x["end"] - x["start"]) + 1).alias("near"))
     found = F.when(text.rlike(NAMED), F.transform(matches(text, f"{NAME}{VALUE}|{RUN}"), value)).otherwise(F.transform(matches(text, RUN), value))
-    return F.transform(found, describe)
+    return F.transform(F.transform(found, near), describe)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -233,8 +240,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Of overlapping spans the first takes the place, at equal starts the longer.
     """
-    model = train(cut(find(docs, id_col, text_col).select("_candidates"), "pii-candidates"))
-    found = find(docs, id_col, text_col, tuple(docs.columns)).withColumn("_secret", _accepted(model))
+    # looked through once: the spans are written beside their documents
+    written = cut(find(docs, id_col, text_col, tuple(docs.columns)).drop("_text"), "pii-candidates")
+    found = written.withColumns({"_text": F.col(f"_kept.`{text_col}`").cast("string"), "_secret": _accepted(train(written))})
 
     def of_kind(kind: str) -> Column:
         return F.transform(f"_{kind}", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), F.lit(kind.upper()).alias("kind")))

@@ -396,3 +396,27 @@ def test_assigned_and_dotted_secrets(spark):
     assert found[1] == ["hunter2!x"] and found[2] == ["Xk9$2mQ"] and found[3] == [jwt] and found[4] == ["s3cr/et+Va1ue=="] and found[7] == ["q7w8e9r0"]
     assert not found[5] and not found[6] and not any(found[300 + i] for i in range(100))
     assert all(len(found[100 + i]) == 1 and len(found[100 + i][0]) == 32 for i in range(60))
+
+
+def test_redaction_looks_once(spark, odd_clashing, monkeypatch):
+    """pipeline: the texts are looked through once, whatever the redaction then writes."""
+    from packetspark.llm import pii as P
+    calls, real = [], P.find
+    monkeypatch.setattr(P, "find", lambda *a, **b: calls.append(1) or real(*a, **b))
+    out = P.redact(odd_clashing)
+    assert out.columns == odd_clashing.columns and out.count() == odd_clashing.count() and len(calls) == 1
+    assert not any("Project" in x and "regexp_extract_all" in x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+
+
+def test_named_values_are_found_behind_their_signs(spark):
+    """pipeline, op10: the look behind a sign finds the texts that the look from each word found."""
+    from packetspark.llm import pii as P
+    from pyspark.sql import functions as F
+    rnd = random.Random(8)
+    bits = [*P.GAZETTEER, "KEY", "Token", "tok", "_", "x9", "abcdefgh", "Key", "'", '"', " ", "  ", "\t", "=", ":", "::", "é", "."]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 9))) for _ in range(4000)]
+    plain = rf"(?i:{'|'.join(P.GAZETTEER)})[A-Za-z0-9_]{{0,8}}+[\"']?[ \t]{{0,2}}+[=:]"
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select(F.col("t").rlike(plain).alias("a"), F.col("t").rlike(P.NAMED).alias("b"))
+    assert both.where("a <> b").isEmpty() and both.where("a").count() > 500 and both.where("not a").count() > 500
+    assert P.NAMED.startswith("[=:]")
